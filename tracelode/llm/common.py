@@ -63,3 +63,16 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` whose key is in `kept` (doc_id, th, times), one for each key, in the columns of `docs`.
+
+    `kept` is a written table. The texts are shuffled once; the other side, two numbers a row, is the one that is hashed."""
+    side = kept.select(F.struct("doc_id", "th").alias("__kept")).hint("shuffle_hash")
+    rows = docs.withColumn("__th", text_key(F.col("text")))
+    rows = rows.join(side, F.col("doc_id").eqNullSafe(F.col("__kept.doc_id")) & (F.col("__th") == F.col("__kept.th")), "left_semi")
+    if not kept.filter("times > 1").isEmpty():
+        # Some rows repeat in full; of those one stays.
+        rows = rows.dropDuplicates(["doc_id", "__th"])
+    return rows.drop("__th")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, secrets, sharding
+from . import exactdups, lines, mixing, quality, secrets, sharding, tokens
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
     "op2_line_dedup": lines.query,
+    "op3_token_output": tokens.query,
+    "op4_exact_dedup": exactdups.query,
     "op6_secret_scan": secrets.query,
     "op7_source_mixing": mixing.query,
     "op9_kd_sharding": sharding.query,
 }
 ORACLES = {
     "op2_line_dedup": lines.ORACLE,
+    "op4_exact_dedup": exactdups.ORACLE,
 }
