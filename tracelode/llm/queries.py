@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exactdups, lines, mixing, quality, secrets, sharding, tokens
+from . import exactdups, lines, mixing, quality, secrets, sharding, tokens, vectors
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op2_line_dedup": lines.query,
     "op3_token_output": tokens.query,
     "op4_exact_dedup": exactdups.query,
+    "op5_topk_search": vectors.query,
     "op6_secret_scan": secrets.query,
     "op7_source_mixing": mixing.query,
     "op9_kd_sharding": sharding.query,
@@ -16,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op2_line_dedup": lines.ORACLE,
     "op4_exact_dedup": exactdups.ORACLE,
+    "op5_topk_search": vectors.ORACLE,
 }
