@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdups, lines, mixing, quality, secrets, sharding, tokens, vectors
+from . import exactdups, lines, mixing, neardups, quality, secrets, sharding, tokens, vectors
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_topk_search": vectors.query,
     "op6_secret_scan": secrets.query,
     "op7_source_mixing": mixing.query,
+    "op8_near_dedup": neardups.query,
     "op9_kd_sharding": sharding.query,
 }
 ORACLES = {

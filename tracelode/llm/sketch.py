@@ -56,15 +56,26 @@ def _p(x):
 _GRID = np.linspace(0, 1, 101)
 
 
-def may_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, doubt: float = 14.0) -> np.ndarray:
-    """Whether the similarity of two sets of known sizes may be `least` or more, by the joint likelihood of which
-    registers are greater, less and equal. A pair is given up only if its best explanation below `least` is exp(doubt) times as
-    likely as any from `least` on; 14 makes that wrong for about one pair in ten million."""
-    up, down = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
-    same = a.shape[1] - up - down
-    u, v = (na / (na + nb))[:, None], (nb / (na + nb))[:, None]
-    j = np.minimum(_GRID, np.minimum(u / v, v / u))  # no two sets are more similar than their sizes allow
+def _reaches(up, down, total, ratio, least, doubt):
+    """For counts of greater and less registers and a size ratio: is the best similarity from `least` on plausible enough?"""
+    u, v = (ratio / (1 + ratio))[:, None], (1 / (1 + ratio))[:, None]
+    most = np.minimum(u / v, v / u)  # no two sets are more similar than their sizes allow
+    j = np.minimum(_GRID, most)
+    up, down = up[:, None], down[:, None]
     pu, pd = np.maximum(_p(np.maximum(u - v * j, 0)), 1e-12), np.maximum(_p(np.maximum(v - u * j, 0)), 1e-12)
-    like = up * np.log(pu) + down * np.log(pd) + same * np.log(np.maximum(1 - pu - pd, 1e-12))
-    high = np.where(j >= least - 1e-9, like, -np.inf).max(1)
-    return (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb) if least == 0.75 else np.minimum(na, nb) >= least * np.maximum(na, nb)) & (high >= like.max(1) - doubt)
+    like = up * np.log(pu) + down * np.log(pd) + (total - up - down) * np.log(np.maximum(1 - pu - pd, 1e-12))
+    high = np.where((j >= least) | (j >= most), like, -np.inf).max(1)
+    return high >= like.max(1) - doubt
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float = 0.75, doubt: float = 14.0) -> np.ndarray:
+    """Whether the similarity of two sets of known sizes may be `least` or more, by the joint likelihood of how many
+    registers are greater, less and equal. A pair is given up only if some similarity explains its registers exp(doubt) times
+    better than any from `least` on; 14 makes that wrong for about one pair in ten million. Pairs whose sizes differ too much are given up for certain."""
+    na, nb = np.asarray(na, float), np.asarray(nb, float)
+    ok = np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-9
+    up, down = (a > b).sum(1), (a < b).sum(1)
+    # Equal counts at nearly equal size ratios are judged once.
+    step = np.round(np.log2(na / nb) * 64).astype(np.int64)
+    kinds, where = np.unique(np.stack([up, down, step], 1), axis=0, return_inverse=True)
+    return ok & _reaches(kinds[:, 0], kinds[:, 1], a.shape[1], 2.0 ** (kinds[:, 2] / 64), least, doubt)[where.ravel()]
