@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdups, lines, mixing, neardups, quality, secrets, sharding, tokens, vectors
+from . import exactdups, lines, mixing, neardups, quality, secrets, segmentation, sharding, tokens, vectors
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_source_mixing": mixing.query,
     "op8_near_dedup": neardups.query,
     "op9_kd_sharding": sharding.query,
+    "op10_sampled_segmentation": segmentation.query,
 }
 ORACLES = {
     "op2_line_dedup": lines.ORACLE,
