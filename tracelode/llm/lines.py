@@ -19,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +31,31 @@ DROP, WAIT, EDGE = 0, 1, 2
 _DECIDED = "kind int, h1 long, h2 long, doc_id long, th long, n_lines int, pos int, n long"
 
 
+_LINES = "h1 long, h2 long, doc_id long, th long, n_lines int, pos int"
+_STRIPPED = common.BLANKS.encode()
+
+
 def line_rows(docs: DataFrame, min_points: int) -> DataFrame:
-    keyed = common.keyed(docs)
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.translate(F.btrim(x, F.lit(common.BLANKS)), common.UPPER, common.LOWER))
-    rows = keyed.select("doc_id", "th", F.posexplode(lines).alias("pos", "line"), F.regexp_count("text", F.lit("\n")).alias("breaks"))
-    rows = rows.filter(F.char_length("line") >= min_points)
-    return rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.col("doc_id").cast("long"), "th", (F.col("breaks") + 1).cast("int").alias("n_lines"), "pos")
+    """A row for each line whose key is long enough: 128-bit hash of the key, document, number of lines, position."""
+
+    def hashed(batches):
+        for batch in batches:
+            digests, counts, rows, positions = [], [], [], []
+            for k, text in enumerate(batch.column("text")):
+                lines = text.as_py().encode().lower().split(b"\n")  # bytes: only A-Z
+                for pos, line in enumerate(lines):
+                    key = line.strip(_STRIPPED)
+                    if len(key) >= min_points and (min_points <= 1 or len(key.decode()) >= min_points):
+                        digests.append(xxhash.xxh3_128_digest(key))
+                        positions.append(pos)
+                        rows.append(k)
+                counts.append(len(lines))
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            at = np.array(rows, np.int64)
+            taken = [batch.column(n).take(pa.array(at)) for n in ("doc_id", "th")]
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), *taken, pa.array(np.array(counts, np.int32)[at] if len(at) else np.zeros(0, np.int32)), pa.array(np.array(positions, np.int32))], names=["h1", "h2", "doc_id", "th", "n_lines", "pos"])
+
+    return common.keyed(docs).select(F.col("doc_id").cast("long"), "text", "th").mapInArrow(hashed, _LINES)
 
 
 def decide(min_docs: int):
@@ -155,7 +175,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduped(spark, common.table(spark, sf_dir, "documents"))
     changed = rebuilt_hash(F.when(F.col("keep_bitmap").isNotNull(), F.col("text")), "keep_bitmap")
     return out.select(
-        "doc_id", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        "doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(changed, F.sha2("text", 256)).alias("kept_sha256"),
     )
 
