@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from . import common
 END_ID = 2
 BLOCK, CHUNK = 16_384, 65_536
 #: Pieces that a worker remembers; longer pieces are not kept.
-REMEMBER, REMEMBER_CHARS = 500_000, 64
+REMEMBER, REMEMBER_CHARS = 900_000, 64
+MARKS = ".,!?;:"
 PLANES = 4
 CHUNK_SCHEMA = "shard int, chunk int, offset long, doc_ids array<long>, lengths array<int>, planes array<binary>"
 _known: dict[str, tuple[object, dict[str, bytes]]] = {}
@@ -50,14 +52,25 @@ def encoder(path: str):
         _known[path] = Tokenizer.from_file(path), {"": b""}
     tokenizer, known = _known[path]
 
+    def core(piece: str) -> tuple[str, str]:
+        """A piece as the word it stands for and the marks behind it, where cutting there changes no id: behind a letter or digit
+        the tokenizer always cuts before such a mark, and it lower-cases ASCII letters as Python does."""
+        word = piece.rstrip(MARKS)
+        if not word or word == piece and not piece.isascii() or "<|" in piece or not word[-1].isalnum() or not word[-1].isascii():
+            return piece, ""
+        return word.lower() if word.isascii() else word, piece[len(word) :]
+
     def encode(text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
         try:
             return b"".join([known[p] for p in pieces])
         except KeyError:
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False))}
-            out = b"".join([ids[p] if p in ids else known[p] for p in pieces])
+            cores = {p: core(p) for p in dict.fromkeys(pieces) if p not in known}
+            new = [w for w in dict.fromkeys(x for c in cores.values() for x in c) if w not in known]
+            ids = {w: array("I", e.ids).tobytes() for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False))}
+            of = lambda w: ids[w] if w in ids else known[w]
+            ids |= {p: of(w) + of(marks) for p, (w, marks) in cores.items()}
+            out = b"".join([of(p) for p in pieces])
             if len(known) + len(ids) > REMEMBER:
                 known.clear()
                 known[""] = b""
