@@ -92,3 +92,17 @@ def timeline_document(queries: DataFrame, outputs: DataFrame) -> DataFrame:
     item = F.array_sort(F.collect_list(F.struct("seq", "t_s", "text")))
     q, o = queries.groupBy("session").agg(item.alias("queries")), outputs.groupBy("session").agg(item.alias("outputs"))
     return q.join(o, "session", "full_outer")
+
+
+#: Categories whose latency counts from an explicit query, and marks of one in the D3 anchor.
+QUERY_CATEGORIES = ("App引导", "实时翻译")
+QUERY_MARKERS = ("query", "输入问题", "提问", "提交", "首次点评启动")
+
+
+def d3_clock_policy(specs: DataFrame) -> DataFrame:
+    """Which clock is authoritative for a task's latency: the reported latency after an explicit query or start, else the time from the visual event to the output
+    on an aligned clock. specs: task_id, category, threshold (the D3 anchor)."""
+    explicit = F.coalesce(F.col("category").isin(*QUERY_CATEGORIES), F.lit(False))
+    for marker in QUERY_MARKERS:
+        explicit = explicit | F.coalesce(F.col("threshold").contains(marker), F.lit(False))
+    return specs.select("task_id", F.when(explicit, "explicit_query_or_startup_model_latency").otherwise("visual_event_end_to_end").alias("mode"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("judgments", "timeline", "responses", "tasks", "audits", "quality")
+MODULES = ("judgments", "timeline", "responses", "tasks", "audits", "quality", "streams")
 
 
 def _all(name: str) -> dict:
