@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cluster import cut
+
 
 def verify_artifacts(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     """path, reason: missing files, and files whose size or hash has changed. Both: path, bytes, sha256."""
@@ -132,7 +134,7 @@ def reachable(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
     seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
     front = seen
     for depth in range(1, most + 1):
-        new = front.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        new = cut(front.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         seen, front = seen.unionByName(new), new
