@@ -185,6 +185,14 @@ def source_roles(refs: DataFrame) -> DataFrame:
     return refs.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), (F.count_distinct("sha256") == 1).alias("one_hash"))
 
 
+def execution_check(attestations: DataFrame, ledgers: DataFrame, required: list[str]) -> DataFrame:
+    """Attestations that lack a required artifact, whose seal is broken, or whose ledger is gone or did not end well. attestations: id, artifacts ARRAY<STRING>, seal_ok; ledgers: id, final_ok."""
+    rows = attestations.join(ledgers, "id", "left")
+    lacking = F.size(F.array_except(F.array(*map(F.lit, required)), F.col("artifacts"))) > 0
+    rules = [F.when(lacking, "artifacts"), F.when(~F.col("seal_ok"), "seal"), F.when(F.col("final_ok").isNull(), "no_ledger").when(~F.col("final_ok"), "ledger")]
+    return rows.select("id", F.explode(F.array_compact(F.array(*rules))).alias("reason"))
+
+
 def reusable(previous: DataFrame, actual: DataFrame) -> DataFrame:
     """Whether an earlier result of a task holds: it was ok and all its files are unchanged. previous: task_id, ok, path, sha256; actual: path, sha256."""
     a = actual.select("path", F.col("sha256").alias("now"))

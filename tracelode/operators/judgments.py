@@ -152,3 +152,16 @@ def batch_summary(predictions: DataFrame) -> DataFrame:
     n = lambda cond: F.count(F.when(cond, 1))
     ok = F.col("status") == "ok"
     return predictions.groupBy("stage").agg(F.count("*").alias("total"), n(ok).alias("ok"), n(~F.coalesce(ok, F.lit(False))).alias("failed"))
+
+
+def extract_json(text: Column) -> Column:
+    """The JSON object in a text as a string: the whole text, a fenced block, or what stands between the outermost braces; else null."""
+    ok = lambda t: F.when(F.json_object_keys(t).isNotNull(), t)
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.coalesce(ok(F.trim(text)), ok(fenced), ok(braces))
+
+
+def stage_input(rows: DataFrame, stage: str, keys: dict[str, list[str]]) -> DataFrame:
+    """The persisted input document of a stage, with exactly the keys of that stage in sorted order."""
+    return rows.select(*ITEM, F.to_json(F.struct(*sorted(keys[stage])), {"ignoreNullFields": "false"}).alias("document"))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.cluster import new_path
+from ..operators import audits as A
+from ..operators import judgments as J
 from ..operators import timeline as L
+from ..operators import windows as W
 from ..sources import files
 from ..streaming import sessions as S
 from . import fixtures as X
@@ -60,3 +64,105 @@ SELECT id, min(video) AS video, count(*) AS times FROM r GROUP BY 1""",
     "rsp_round_assembly": """WITH c AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '<response>' || text[1:20] WHEN 'assistant' THEN text[1:5] || '</response>' ELSE text END, '' ORDER BY turn) AS t FROM conversations GROUP BY 1),
 p AS (SELECT conv_id, regexp_extract_all(t, '(?s)<response>(.*?)</response>', 1) AS r FROM c) SELECT conv_id AS session, i - 1 AS round, sha256(trim(r[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text FROM (SELECT conv_id, r, unnest(range(1, len(r) + 1)) AS i FROM p)""",
 }
+
+
+# Files that Spark writes from the given tables and reads back
+
+
+def _events_text(s, d):
+    e = X.session_events(s, d)
+    doc = F.to_json(F.struct(F.col("session").cast("string").alias("session"), "seq", (F.col("t_s") * 1000).alias("t_ms"), F.col("kind").alias("type"), "text"))
+    return e.select(F.when(F.col("event_id") % 50 == 0, F.lit("{broken")).otherwise(doc).alias("value"))
+
+
+def _event_log(s, d):
+    _events_text(s, d).write.text(path := new_path(s, "events"))
+    return files.read_events(s, path).groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
+
+
+def _task_lines(s, d):
+    r = X.rounds(s, d).filter("rn = 1")
+    doc = F.to_json(F.struct(F.col("session").cast("string").alias("id"), F.lit("c").alias("category"), F.array(F.struct(F.lit("R1").alias("id"), F.col("text").alias("query"), F.col("turn").cast("double").alias("query_time_s"))).alias("queries")))
+    r.select(F.explode(F.array(F.lit("# note"), F.lit(""), doc)).alias("value")).write.text(path := new_path(s, "tasks"))
+    return files.read_tasks_jsonl(s, path).select("id", F.sha2(F.get("queries", 0)["query"], 256).alias("query"), F.get("queries", 0)["query_time_s"].alias("at_s"))
+
+
+def _task_csv(s, d):
+    c = X.table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit('say "'), F.substring("text", 1, 9), F.lit('"\nend')).alias("query"))
+    c.unionByName(s.range(3).select(F.lit(" ").alias("id"), F.lit(None).cast("string").alias("query"))).write.csv(path := new_path(s, "csv"), header=True, quote='"', escape='"')
+    return files.read_tasks_csv(s, path).select("id", F.sha2("query", 256).alias("query"))
+
+
+def _result_tree(s, d):
+    """One document a file: stages are folders of a partitioned write, read back with stage and task out of the path."""
+    g = X.grades(s, d).filter("system = 's1' AND task_id < 6 AND dim = 'D4'")
+    root = new_path(s, "tree")
+    g.select(F.to_json(F.struct("grade", "applicable")).alias("value"), F.concat(F.lit("t"), F.col("task_id").cast("string")).alias("task"), F.lit("first").alias("stage")).repartition(1).write.partitionBy("stage", "task").text(root)
+    return files.read_result_tree(s, root, "grade string, applicable boolean").select("stage", "task_id", "doc.grade", "doc.applicable")
+
+
+def _summaries(s, d):
+    c = X.table(s, d, "conversations")
+    turns = lambda role, item: F.transform(F.filter("m", lambda x: x["role"] == role), item)
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return g.select(F.lit("s1").alias("system"), F.col("conv_id").cast("string").alias("task_id"), F.lit(1).alias("attempt"), turns("user", lambda x: F.struct(x["text"].alias("query"), x["turn"].alias("turn"))).alias("query_events"), turns("assistant", lambda x: F.struct(x["turn"].alias("t"), x["text"].alias("text"))).alias("vlm_responses"))
+
+
+def _artifact_files(s, d):
+    X.table(s, d, "nation").repartition(3, "n_nationkey").sortWithinPartitions("n_nationkey").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("value")).write.text(path := new_path(s, "files"))
+    a = files.read_artifacts(s, path).filter(F.col("path").contains("part-"))
+    return a.agg(F.sum("bytes").alias("bytes"), (F.count_if(F.length("sha256") == 64) == F.count(F.lit(1))).alias("hashed"))
+
+
+def _run_summary(s, d):
+    path = new_path(s, "summary")
+    files.write_run_summary(X.table(s, d, "orders"), path, ["o_orderkey", "o_orderstatus"])
+    return s.read.csv(f"{path}/csv", header=True, schema="o_orderkey long, o_orderstatus string").join(s.read.schema("o_orderkey long, o_orderstatus string").json(f"{path}/json").withColumnRenamed("o_orderstatus", "again"), "o_orderkey")
+
+
+QUERIES |= {
+    "src_event_log": _event_log,
+    "src_task_jsonl": _task_lines,
+    "src_task_csv": _task_csv,
+    "src_result_tree": _result_tree,
+    "src_capture_summary": lambda s, d: files.explode_summaries(_summaries(s, d))["vlm_responses"].select("task_id", "seq", "t", F.sha2("text", 256).alias("text")),
+    "src_artifacts": _artifact_files,
+    "sink_run_summary": _run_summary,
+    "st_frame_window": lambda s, d: X.table(s, d, "events").select("event_id", W.frame_window(_window_text(), F.lit(2.0)).alias("w")).select("event_id", "w.*"),
+    "st_resolve_windows": lambda s, d: W.resolve_windows(_partial_windows(s, d), 2.0).select("session", "seq", "start_s", "end_s", "in_order"),
+    "st_wall_window": lambda s, d: W.wall_window(X.table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("timestamp")).alias("started")), 3600.0, F.lit("1996-06-01 00:30:00").cast("timestamp")).select("o_orderkey", F.round("remaining_s", 3).alias("remaining_s"), "expired"),
+    "jd_extract_json": lambda s, d: X.table(s, d, "events").select("event_id", F.get_json_object(J.extract_json(_answer()), "$.k").alias("k")),
+    "jd_stage_input": lambda s, d: J.stage_input(X.grades(s, d).filter("dim = 'D4'").select("system", "task_id", F.col("grade").alias("judgment"), F.col("category").alias("task_spec")), "review_1", {"first": ["task_spec"], "review_1": ["judgment", "task_spec"]}).select("system", "task_id", F.sha2("document", 256).alias("document")),
+    "aud_execution": lambda s, d: A.execution_check(X.recorded(s, d).select(F.col("path").alias("id"), F.array_compact(F.array(F.lit("prediction"), F.when(F.col("bytes") % 3 != 0, "ledger"))).alias("artifacts"), (F.col("bytes") % 5 != 0).alias("seal_ok")), X.artifacts(s, d).select(F.col("path").alias("id"), (F.col("doc_id") % 4 != 0).alias("final_ok")), ["prediction", "ledger"]),
+}
+
+
+def _window_text():
+    k = F.col("event_id")
+    return F.when(k % 5 == 0, F.concat((k % 100).cast("string"), F.lit(" seconds"))).when(k % 5 == 1, F.concat((k % 90).cast("string"), F.lit("-"), (k % 77).cast("string"), F.lit(" seconds"))).when(k % 5 == 2, "90000 seconds").when(k % 5 == 3, "-3 seconds")
+
+
+def _partial_windows(s, d):
+    e = X.session_events(s, d)
+    return e.select("session", "seq", F.when(F.col("session") % 3 == 0, F.col("seq") * 2.0).when((F.col("session") % 3 == 1) & (F.col("seq") == 1), 7.0).alias("start_s"))
+
+
+def _answer():
+    k = F.col("event_id")
+    return F.when(k % 4 == 0, F.col("props")).when(k % 4 == 1, F.concat(F.lit("Here:\n```json\n"), F.col("props"), F.lit("\n```"))).when(k % 4 == 2, F.concat(F.lit("so "), F.col("props"), F.lit(" done"))).otherwise("nothing")
+
+
+ORACLES |= {
+    "src_event_log": oracle("events_", "SELECT session::VARCHAR AS session, count(*) AS n, max(seq) AS last_seq FROM session_events WHERE event_id % 50 <> 0 GROUP BY 1"),
+    "src_task_jsonl": oracle("rounds", "SELECT session::VARCHAR AS id, sha256(text) AS query, turn::DOUBLE AS at_s FROM rounds WHERE rn = 1"),
+    "src_task_csv": "SELECT conv_id || '-' || turn AS id, sha256('say \"' || text[1:9] || '\"' || chr(10) || 'end') AS query FROM conversations",
+    "src_capture_summary": "SELECT conv_id::VARCHAR AS task_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, turn AS t, sha256(text) AS text FROM conversations WHERE role = 'assistant'",
+    "src_artifacts": "SELECT sum(length('n' || n_nationkey) + 1) AS bytes, true AS hashed FROM nation",
+    "sink_run_summary": "SELECT o_orderkey, o_orderstatus, o_orderstatus AS again FROM orders",
+    "st_frame_window": """WITH e AS (SELECT event_id, event_id % 5 AS m, (event_id % 100)::DOUBLE AS a, (event_id % 90)::DOUBLE AS b, (event_id % 77)::DOUBLE AS c FROM events)
+SELECT event_id, CASE m WHEN 0 THEN a WHEN 1 THEN CASE WHEN c > b THEN b END END AS start_s, CASE m WHEN 0 THEN a + 2 WHEN 1 THEN CASE WHEN c > b THEN c END END AS end_s, CASE m WHEN 1 THEN CASE WHEN c <= b THEN 'reversed' END WHEN 2 THEN 'too_late' WHEN 3 THEN 'not_a_window' END AS error FROM e""",
+    "st_resolve_windows": oracle("events_", """, w AS (SELECT session, seq, CASE WHEN session % 3 = 0 THEN seq * 2.0 WHEN session % 3 = 1 THEN 7.0 + (seq - 1) * 2.0 ELSE (seq - 1) * 2.0 END::DOUBLE AS start_s FROM session_events) SELECT session, seq, start_s, start_s + 2.0 AS end_s, true AS in_order FROM w"""),
+    "st_wall_window": "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 AND o_orderdate <= TIMESTAMP '1996-06-01 00:30:00' THEN o_orderdate ELSE TIMESTAMP '1996-06-01 00:30:00' END AS st FROM orders) SELECT o_orderkey, round(greatest(0.0, 3600.0 - (epoch_us(TIMESTAMP '1996-06-01 00:30:00') - epoch_us(st)) / 1e6), 3) AS remaining_s, 3600.0 - (epoch_us(TIMESTAMP '1996-06-01 00:30:00') - epoch_us(st)) / 1e6 <= 0 AS expired FROM o",
+    "jd_extract_json": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN json_extract_string(props, '$.k') END AS k FROM events",
+    "aud_execution": oracle("recorded", """SELECT id, reason FROM (SELECT r.path AS id, unnest([CASE WHEN r.bytes % 3 = 0 THEN 'artifacts' END, CASE WHEN r.bytes % 5 = 0 THEN 'seal' END, CASE WHEN a.path IS NULL THEN 'no_ledger' WHEN a.doc_id % 4 = 0 THEN 'ledger' END]) AS reason FROM recorded r LEFT JOIN artifacts a ON a.path = r.path) WHERE reason IS NOT NULL"""),
+}
