@@ -182,6 +182,6 @@ UNION ALL SELECT DISTINCT video, 'missing' FROM names WHERE video NOT IN (SELECT
     "rel_redact": "SELECT page_id, 'https://[REDACTED]@h.example/x?token=[REDACTED]&page=1 {\"api_key\": \"[REDACTED]\", \"n\": 1} ' || url AS text FROM pages",
     "rel_sensitive_scan": """SELECT doc_id, 'text' AS "column" FROM documents WHERE regexp_matches(text, '/(home|root|users)/[^\\s]+|(rtsp|rtsps)://|https?://(localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0)|\\bsk-[a-z0-9_-]{8,}|\\bAKIA[0-9A-Z]{12,}', 'i')""",
     "rel_index_rewrite": _NAMES + "SELECT id, 'videos/' || string_split(video, '/')[-1] AS video FROM names",
-    "reg_validate": _PROFILES + "SELECT DISTINCT id, reason FROM (SELECT id, unnest([CASE WHEN id LIKE 'Bad%' THEN 'id' END, CASE base WHEN 'ftp' THEN 'base_url' WHEN 'cred' THEN 'credentials' END, CASE WHEN bad_transport THEN 'transport' END, CASE WHEN id = 'p-same' THEN 'repeated' END]) AS reason FROM profiles) WHERE reason IS NOT NULL",
+    "reg_validate": _PROFILES + "SELECT DISTINCT id, reason FROM (SELECT id, unnest([CASE WHEN id LIKE 'Bad%' THEN 'id' END, CASE base WHEN 'ftp' THEN 'base_url' WHEN 'cred' THEN 'credentials' END, CASE WHEN bad_transport THEN 'transport' END, CASE WHEN n > 1 THEN 'repeated' END]) AS reason FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM profiles)) WHERE reason IS NOT NULL",
     "reg_select": _PROFILES + "SELECT id, min(CASE WHEN id = 'p-12' THEN 0 WHEN tag = 'tag3' THEN 1 WHEN id = 'p-same' THEN 2 WHEN tag = 'tag1' THEN 3 END) AS place FROM profiles WHERE id IN ('p-12', 'p-same') OR tag IN ('tag1', 'tag3') GROUP BY 1",
 }
