@@ -38,6 +38,7 @@ def round_label(text: Column) -> Column:
     return F.when(digits == "", up).otherwise(F.concat(F.lit("R"), digits.cast("long").cast("string")))
 
 
+#: Labels of rounds.
 _LABEL, _NUMBER = r"(?i)(?:^|\n|\s)(R\d+)\s*[：:]", r"(?:^|\n|\s)(\d+)\s*[.．、]"
 _PART = "array<struct<label:string,text:string>>"
 

@@ -96,7 +96,7 @@ def _number(x) -> float | None:
 def outages(events: DataFrame) -> DataFrame:
     """Outages of finished sessions, one pass in log order over each session's own events. events: session, seq, t_ms, type, source_position_s."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         state, out = (None, "", None, None), []
         for kind, t, p in pdf.sort_values("seq")[["type", "t_ms", "source_position_s"]].itertuples(index=False):
             if _number(t) is not None:
@@ -130,7 +130,7 @@ def media_clock(frames: DataFrame) -> DataFrame:
     """An anchored clock that never runs back: a query's exact time sets the anchor; else anchor plus elapsed, at least the inbound time and the last value plus 1 ms.
     frames: session, seq, wall_ms, inbound_ms, query_ms (null without a query). Each value depends on the one before, so a session is one pass."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         anchor = origin = last = None
         out = []
         for seq, wall, inbound, query in pdf.sort_values("seq")[["seq", "wall_ms", "inbound_ms", "query_ms"]].itertuples(index=False):
@@ -156,7 +156,7 @@ ROUNDS = "session long, round long, text string"
 def assemble_rounds(chunks: DataFrame, open_token: str = "<response>", close_token: str = "</response>") -> DataFrame:
     """Complete responses out of chunks of text in which control tokens open and close rounds; a token may be cut by a chunk's border. chunks: session, seq, text."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         text = "".join(x for x in pdf.sort_values("seq")["text"] if x)
         out, at = [], text.find(open_token)
         while at >= 0:
