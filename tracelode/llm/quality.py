@@ -5,7 +5,7 @@ case pattern, digits and punctuation of a word, its length class, and whether it
 that each feature has among its grams; its score is the logistic function of one sparse dot product.
 
 Training uses a bounded sample of labelled rows: at most `MAX_ROWS` of each label, those with the smallest hash of doc_id,
-which is the only thing in this operator that does not cover all rows. It runs on the driver over feature arrays of bounded length.
+which is the only thing in this operator that does not cover all rows. It runs in one task, and only the weights come to the driver.
 Labels come only from rows whose crc32(doc_id as text) mod 4 is not 2.
 
 Defined cases: null and empty texts have only the intercept; null labels and labels without a document are not used; a doc_id that repeats in labels
@@ -98,17 +98,23 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select("doc_id", F.col("quality").cast("int").alias("quality"))
     picked = [usable.filter(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
-    picked = picked[0].unionByName(picked[1])  # 2 * max_rows rows at most, which bounds the broadcast and what the driver gets
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked.hint("broadcast"), "doc_id").select("doc_id", "text", "quality").toPandas()
-    rows = rows.sort_values(["doc_id", "text", "quality"])
-    count = rows.quality.value_counts()
-    if len(count) < 2:
-        return np.zeros((1 << BITS) + 1)
-    # Both labels weigh the same in the fit: rows of the rarer one are repeated.
-    items = sample(rows.text.tolist(), rows.quality.tolist())
-    rare = count.idxmin()
-    items += [x for x in items if x[2] == rare] * min(4, int(count.max() // count.min()) - 1)
-    return fit(items)
+    picked = picked[0].unionByName(picked[1])  # 2 * max_rows rows at most, which bounds the broadcast and the task of the fit
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked.hint("broadcast"), "doc_id").select("doc_id", "text", "quality")
+
+    def fitted(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("quality", "ascending")])
+        items = sample(group.column("text").to_pylist(), group.column("quality").to_pylist())
+        count = [sum(x[2] == y for x in items) for y in (0, 1)]
+        weights = np.zeros((1 << BITS) + 1)
+        if all(count):
+            # Both labels weigh the same in the fit: rows of the rarer one are repeated.
+            rare = int(count[1] < count[0])
+            weights = fit(items + [x for x in items if x[2] == rare] * min(4, max(count) // min(count) - 1))
+        return pa.table({"weights": pa.array([weights.astype(np.float32).tobytes()])})
+
+    # One task fits the bounded sample; only the weights come to the driver.
+    fitted_rows = rows.withColumn("fit", F.lit(0)).groupBy("fit").applyInArrow(fitted, "weights binary").collect()
+    return np.frombuffer(fitted_rows[0].weights, np.float32) if fitted_rows else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -117,7 +123,7 @@ def held_out(doc_id: Column) -> Column:
 
 def scorer(spark: SparkSession, weights: np.ndarray):
     """A Column function: text to score. The weights, 2^BITS floats, travel as a broadcast variable."""
-    shared = spark.sparkContext.broadcast(weights.astype(np.float32))
+    shared = spark.sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
