@@ -69,6 +69,8 @@ def thresholds(spark: SparkSession, sizes: DataFrame, goal: DataFrame, hint: str
         # No bucket crosses: the whole source falls short of its need, which only rounding can cause.
         at = F.coalesce(F.col("e.bin"), F.lit((1 << BITS * (depth + 1)) - 1))
         state = joined.select("source", "source_size", "target", "repeats", (F.col("need") - F.coalesce(F.col("e.before"), F.lit(0))).alias("need"), at.alias("at"), F.col("e.in_bin").alias("last"))
+        # The next level refers to this one several times; as a table it is computed once.
+        state = common.written(spark, state, "mix-level")
     # What is left of the boundary bucket is taken whole if that comes nearer to the budget.
     return state.select("source", "source_size", "target", "repeats", (F.col("at") + (F.col("need") > F.col("last") / 2).cast("long")).alias("below"))
 
@@ -78,7 +80,7 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = 0) -> tuple[DataFrame,
     sizes = common.written(spark, sized(docs, seed), "mix-sizes")
     goal = common.written(spark, targets(sizes), "mix-targets")
     hint = "broadcast" if goal.count() <= BROADCAST_SOURCES else "merge"
-    return sizes, common.written(spark, thresholds(spark, sizes, goal, hint), "mix-thresholds"), hint
+    return sizes, thresholds(spark, sizes, goal, hint), hint
 
 
 def taken(rows: DataFrame, goal: DataFrame, hint: str) -> DataFrame:
