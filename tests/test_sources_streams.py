@@ -5,10 +5,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tracelode import plans
 from tracelode.operators import intervals, responses
+from tracelode.plans import fixtures
 from tracelode.sources import files
 from tracelode.streaming import sessions
 
+SF = "/root/testdata/sf0.001"
 EVENTS = "session long, seq long, ts timestamp, event_id long, t_ms double, type string, source_position_s double, text string, task long, status string, t double"
 
 
@@ -45,6 +48,16 @@ def test_trees_logs_summaries_artifacts(spark, tmp_path):
     assert sorted(r.bytes for r in a) == [7, 12]
 
 
+def test_result_tree_holds_every_document(spark, tmp_path):
+    (tmp_path / "first").mkdir()
+    (tmp_path / "first" / "part-0").write_text('t1\t{"ok": true}\nt2\t{broken\nt3\t{"ok": false}\n')
+    out = {(r.stage, r.task_id): r.doc for r in files.read_result_tree(spark, str(tmp_path), "ok boolean", packed=True).collect()}
+    assert out["first", "t1"].ok is True and out["first", "t2"] is None and out["first", "t3"].ok is False
+    got = plans.queries()["src_result_tree"](spark, SF).collect()
+    want = fixtures.grades(spark, SF).select("dim", F.concat_ws("-t", "system", "task_id"), "grade", "applicable").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want))) and len(got) > 1000
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(5).withColumn("v", F.col("id").cast("string"))
     p = str(tmp_path / "out")

@@ -94,11 +94,12 @@ def _task_csv(s, d):
 
 
 def _result_tree(s, d):
-    """One document a file: stages are folders of a partitioned write, read back with stage and task out of the path."""
-    g = X.grades(s, d).filter("system = 's1' AND task_id < 6 AND dim = 'D4'")
+    """Documents of every system, task and dimension, many a file: dimensions are the stages, folders of a partitioned write, read back with the stage out of the path."""
+    g = X.grades(s, d)
     root = new_path(s, "tree")
-    g.select(F.to_json(F.struct("grade", "applicable")).alias("value"), F.concat(F.lit("t"), F.col("task_id").cast("string")).alias("task"), F.lit("first").alias("stage")).repartition(1).write.partitionBy("stage", "task").text(root)
-    return files.read_result_tree(s, root, "grade string, applicable boolean").select("stage", "task_id", "doc.grade", "doc.applicable")
+    task = F.concat("system", F.lit("-t"), F.col("task_id").cast("string"))
+    g.select(F.concat(task, F.lit("\t"), F.to_json(F.struct("grade", "applicable"))).alias("value"), F.col("dim").alias("stage")).write.partitionBy("stage").text(root)
+    return files.read_result_tree(s, root, "grade string, applicable boolean", packed=True).select(F.regexp_replace("stage", "^stage=", "").alias("stage"), "task_id", "doc.grade", "doc.applicable")
 
 
 def _summaries(s, d):

@@ -53,10 +53,14 @@ def placed(path: Column) -> list[Column]:
     return [F.element_at(F.split(path, "/"), -3).alias("stage"), F.element_at(F.split(path, "/"), -2).alias("task_id")]
 
 
-def read_result_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A tree of JSON documents; an unreadable one has a null `doc`."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return rows.select("path", *placed(F.col("path")), F.from_json("value", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("d")).select("path", "stage", "task_id", F.when(F.col("d._broken").isNull(), F.col("d")).alias("doc"))
+def read_result_tree(spark: SparkSession, path: str, schema: str, packed: bool = False) -> DataFrame:
+    """A tree of JSON documents; an unreadable one has a null `doc`. A packed tree has many documents a file, <root>/<stage>/<file>: each line is the task, a tab and its document."""
+    rows = spark.read.text(path, wholetext=not packed, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
+    if packed:
+        rows = rows.select("path", F.element_at(F.split("path", "/"), -2).alias("stage"), F.substring_index("value", "\t", 1).alias("task_id"), F.regexp_replace("value", "^[^\t]*\t?", "").alias("value"))
+    else:
+        rows = rows.select("path", *placed(F.col("path")), "value")
+    return rows.select("path", "stage", "task_id", F.from_json("value", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("d")).select("path", "stage", "task_id", F.when(F.col("d._broken").isNull(), F.col("d")).alias("doc"))
 
 
 def read_events(spark: SparkSession, path: str, streaming: bool = False, strict: bool = False, schema: str = EVENT, files_per_trigger: int = 1):
