@@ -400,6 +400,43 @@ def test_sampled_segmentations_follow_their_law(text):
             assert abs(second[ids] / total - p) < 5 * math.sqrt(p * (1 - p) / total) + 0.01
 
 
+def _full_law(v, text):
+    """All segmentations over every piece of the model, without units."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=segmentation.model())
+    n = m.get_piece_size()
+    whole = lattice.SPACE + text.replace(" ", lattice.SPACE)
+    pieces = {m.id_to_piece(i): i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
+    weigh = lambda i: -0.15 * math.log(2 - max(m.get_score(i), -n))
+    ways = {0: {(): 0.0}}
+    for j in range(1, len(whole) + 1):
+        ways[j] = {}
+        for i in range(j):
+            k = pieces.get(whole[i:j])
+            if k is None and i + 1 < j:
+                continue
+            raw = whole[i:j].encode()
+            ids, w = ((k,), weigh(k)) if k is not None else (tuple(int(v.byte_ids[b]) for b in raw), v.fallback * len(raw))
+            ways[j] |= {a + ids: x + w for a, x in ways[i].items()}
+    z = np.logaddexp.reduce(list(ways[len(whole)].values()))
+    return {a: math.exp(x - z) for a, x in ways[len(whole)].items()}, tuple(m.encode(text))
+
+
+@pytest.mark.parametrize("text", ["a  b", " x", "   ", "a  ", "\n  b", "a \n   c"])
+def test_runs_of_spaces_have_all_their_segmentations(text):
+    v = lattice.Vocabulary(segmentation.model(), theta=0.15)
+    (law, own), n = _full_law(v, text), 4000
+    out = lattice.sample(v, [text] * n, wordhash.mix64(np.arange(n, dtype=np.uint64)), 2)
+    first = collections.Counter(tuple(r[0][0].tolist()) for r in out)
+    assert own in law and first[own]
+    assert all(abs(math.exp(x[1]) - law[tuple(x[0].tolist())]) < 1e-9 for r in out for x in r)
+    for ids, p in law.items():
+        assert abs(first[ids] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-9
+    assert abs(np.mean([sum(math.exp(x[1] - x[2]) for x in r) for r in out]) - 1) < 0.05
+    assert all(v.decode(x[0].tolist()) == text for r in out[:50] for x in r)
+
+
 def test_segmentation_round_trip(spark, sf_dir):
     rows = run(spark, "op10_sampled_segmentation", sf_dir)
     assert all(r["round_trip"] for r in rows) and {r["sample"] for r in rows} == {1, 2}

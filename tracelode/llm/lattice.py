@@ -21,7 +21,8 @@ import numpy as np
 from .wordhash import mix64
 
 SPACE = "▁"
-_UNITS = re.compile("▁[^▁\n]*|[^▁\n]+|\n")
+#: Pieces of more than one U+2581 are runs of it and nothing else, so no piece crosses these borders.
+_UNITS = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
 _STEP = 0x9E3779B97F4A7C15
 _TABLE, _SPREAD = 19, 0xD1342543DE82EF95
 
@@ -49,8 +50,8 @@ class Vocabulary:
                 self.byte_ids[b], self.bytes_of[i] = i, bytes([b])
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
-                if SPACE in piece[1:] or "\n" in piece:
-                    continue  # runs of spaces are never merged by the model
+                if SPACE in piece.lstrip(SPACE) or "\n" in piece:
+                    raise ValueError(f"piece {i} crosses a border of units: {piece!r}")
                 at = 0
                 for ch in piece:
                     key = at << 21 | ord(ch)
