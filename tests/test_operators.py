@@ -87,6 +87,15 @@ def test_one_changed_cell_is_one_finding(spark, change, reason):
     assert [r.reason for r in audits.verify_artifacts(recorded, actual).collect()] == [reason]
 
 
+def test_markers_inside_longer_words(spark):
+    markers = ["longest of all", "one passage longest", "passage", "two words", "b", "漢字", "", " ", "  ", None, " led", "led ", "a(b", "long single", "\tx\n", "unusuallylongword", "c d e"]
+    texts = ["see (longest of all)", '"longest of all".', "one passage longest.", "xone passage longestx", "the passages", "two wordsmith", "no wo two word", "a漢字b", "", " ", "  a", None, "settled now", "a(b)c", "an overlong singles", "q\tx\n", "theunusuallylongwords end", "unusuallylong", "c d e", "abc d efg", "c  d e"]
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    m = spark.createDataFrame(list(enumerate(markers)), "marker_id long, text string")
+    want = sorted((i, k) for i, x in enumerate(texts) for k, y in enumerate(markers) if x is not None and y is not None and y in x)
+    assert sorted((r.id, r.marker_id) for r in audits.marker_join(t, m).collect()) == want
+
+
 def test_forbidden_keys_at_any_depth(spark):
     docs = spark.createDataFrame([(1, '{"a": [{"Scores": 1}, {"b": {"score": 2}}]}'), (2, "no"), (3, None)], "id int, json string")
     assert sorted(r.path for r in audits.forbidden_keys(docs, ["score"], "loose").collect()) == ["$.a[0].Scores", "$.a[1].b.score"]

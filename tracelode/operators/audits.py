@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.cluster import cut
 
+_GRAM = 8
+
 
 def verify_artifacts(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     """path, reason: missing files, and files whose size or hash has changed. Both: path, bytes, sha256."""
@@ -34,12 +36,25 @@ def marker_scan(texts: DataFrame, markers: list[str]) -> DataFrame:
 
 
 def marker_join(texts: DataFrame, markers: DataFrame) -> DataFrame:
-    """(id, marker) pairs for a table of markers, too many to list. markers: marker_id, text. Candidates share the marker's longest word, so no text meets every marker."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    m = markers.select("marker_id", F.col("text").alias("marker"), F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("key"))
-    w = texts.select("id", F.explode(F.array_distinct(words)).alias("key"))
-    pairs = w.join(m, "key").select("id", "marker_id", "marker").distinct()
-    return pairs.join(texts, "id").filter(F.col("text").contains(F.col("marker"))).select("id", "marker_id")
+    """(id, marker) pairs for a table of markers, too many to list. markers: marker_id, text. Candidates share the marker's longest inner word: with white space on both sides,
+    it is a word of every text that has the marker, while its first and last may be parts of longer ones. A marker without an inner word shares the first `_GRAM` characters
+    of its longest word, or all if it has fewer, with a word of the text. Only markers of nothing but white space meet every text."""
+    parts = F.split("text", r"\s+")
+    longest = lambda words: F.array_max(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    inner = F.when(F.size(parts) > 2, longest(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))))
+    m = markers.filter("text IS NOT NULL").select("marker_id", F.col("text").alias("marker"), inner.alias("key"), F.substring(longest(parts), 1, _GRAM).alias("gram"))
+    words = texts.select("id", F.explode(F.array_distinct(F.filter(parts, lambda w: w != ""))).alias("key"))
+    pairs = words.join(m.filter("key IS NOT NULL"), "key").select("id", "marker_id", "marker")
+    short = m.filter("key IS NULL")
+    sizes = [r[0] for r in short.select(F.coalesce(F.length("gram"), F.lit(0))).distinct().collect()]
+    if any(sizes):
+        cut_up = lambda c, n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array())
+        grams = F.transform(F.array(F.split("key", "")), lambda c: F.concat(*[cut_up(c, n) for n in sorted(sizes) if n]))[0]  # each word is cut into characters once
+        held = words.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
+        pairs = pairs.unionByName(held.join(short, "gram").select("id", "marker_id", "marker"))
+    if 0 in sizes:
+        pairs = pairs.unionByName(texts.select("id", "text").join(short.filter("gram IS NULL"), F.col("text").contains(F.col("marker"))).select("id", "marker_id", "marker"))
+    return pairs.distinct().join(texts, "id").filter(F.col("text").contains(F.col("marker"))).select("id", "marker_id")
 
 
 def literal_ids(texts: DataFrame, ids: DataFrame, pattern: str) -> DataFrame:
