@@ -199,6 +199,18 @@ def test_topk_with_ties(spark, sf_dir, monkeypatch):
         assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in run(spark, "op5_topk_search", sf_dir)} == want
 
 
+def test_topk_with_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    other = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(1, 60)]
+    same, second = [2.0, 2.0, 2.0], [-2.0, 1.0, 0.5]
+    vs = other + [(100, same), (100, same)] + [(101 + i, same) for i in range(12)] + [(103, same)] * 3 + [(200, same), (200, second), (300, second)] + [(300, [9.0 + i, 9.0, 9.0]) for i in range(14)]
+    got = vectors.search(spark, spark.createDataFrame(vs, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    ints = [(i, tuple(math.floor(1024 * x) for x in v)) for i, v in vs]
+    for q in (100, 200, 300):
+        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for a in {a for i, a in ints if i == q} for i, b in ints if i != q)[:10]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+
+
 def _spans(text):
     kinds = [("assign", r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A, 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 0, 16), ("hex", r"[0-9a-f]+", 0, 0, 32)]
     out = []

@@ -1,7 +1,7 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Components become integers floor(1024 x). Equal vectors are one class that remembers its k + 1 smallest ids, as no answer can need
-more of it. The approximation file holds one byte per component of each class: its cell between the component's least and greatest value in the table.
+Components become integers floor(1024 x). Equal vectors are one class that remembers its k + 1 smallest distinct ids and how often each
+occurs, as no answer can need more of it. The approximation file holds one byte per component of each class: its cell between the component's least and greatest value in the table.
 A cell gives an upper and a lower bound of the inner product. Queries meet the cells in blocks of bounded size (block of queries, block of classes):
 a block pair keeps, of each query, the classes whose upper bound reaches the k-th best lower bound seen there. Over all blocks the k-th best lower bound is
 raised, and what cannot reach it falls out. Exact vectors are then read in bound order, in two steps: the first k candidates of
@@ -36,9 +36,10 @@ def integers(vectors: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, k: int) -> DataFrame:
-    """class id (the smallest vec_id of it), vector, the k + 1 smallest ids; the rank is limited before the shuffle."""
+    """class id (a number given as the table is written, since one vec_id can be the smallest of several classes), vector, the k + 1 smallest distinct ids with their counts, and the id if there is only one; the rank is limited before the shuffle."""
+    rows = rows.groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    return rows.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("cls"), "v", "ids", F.size("v").alias("dim"))
+    return rows.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("ids")).select(F.monotonically_increasing_id().alias("cls"), "v", "ids", F.when(F.size("ids") == 1, F.get("ids", 0)["vec_id"]).alias("lone"), F.size("v").alias("dim"))
 
 
 def _matrix(column: pa.Array, dim: int, kind) -> np.ndarray:
@@ -50,8 +51,8 @@ def bounds_udf(k: int):
     """Candidates of one block pair. Bounds are sums in double precision of integers far below 2^53, widened by one cell step's rounding."""
 
     def pair(_, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        names = ["query_id", "cls", "low", "high"]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["query_id", "qn", "cls", "low", "high"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
         if not queries.num_rows or not rows.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         dim = rows.column("dim")[0].as_py()
@@ -63,13 +64,16 @@ def bounds_udf(k: int):
         slack = 1e-9 * (np.abs(q) @ np.maximum(np.abs(lo), np.abs(lo + CELLS * step)))[:, None] + 1e-6
         high = up @ cell_hi.T + down @ cell_lo.T + slack
         low = up @ cell_lo.T + down @ cell_hi.T - slack
-        ids = rows.column("cls").to_numpy()
-        # A class stands for at least one answer, unless that one is the query itself; so the bound is of rank k + 1.
-        best = np.partition(low, -min(k + 1, low.shape[1]), axis=1)[:, -min(k + 1, low.shape[1])]
-        if low.shape[1] < k + 1:
+        ids, own = rows.column("cls").to_numpy(), queries.column("query_id").to_numpy()
+        # A class that holds only the query's own id is no candidate; any other stands for at least one answer, so the bound is of rank k.
+        lone = rows.column("lone")
+        barred = (own[:, None] == lone.fill_null(0).to_numpy()) & lone.is_valid().to_numpy()
+        low[barred] = -np.inf
+        best = np.partition(low, -min(k, low.shape[1]), axis=1)[:, -min(k, low.shape[1])]
+        if low.shape[1] < k:
             best[:] = -np.inf
-        a, b = np.nonzero(high >= best[:, None])
-        return pa.table([pa.array(queries.column("query_id").to_numpy()[a]), pa.array(ids[b]), pa.array(low[a, b]), pa.array(high[a, b])], names=names)
+        a, b = np.nonzero((high >= best[:, None]) & ~barred)
+        return pa.table([pa.array(own[a]), pa.array(queries.column("qn").to_numpy()[a], pa.int32()), pa.array(ids[b]), pa.array(low[a, b]), pa.array(high[a, b])], names=names)
 
     return pair
 
@@ -98,34 +102,38 @@ def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = K) -> Dat
     count = max(1, reps.count())
     coded = approximated(spark, reps)
     asked = rows.filter(is_query).dropDuplicates(["vec_id", "v"]).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")).filter("dim > 0")
+    # Several vectors under one query_id are told apart by `qn`; each has bounds of its own.
+    asked = asked.withColumn("qn", F.row_number().over(Window.partitionBy("query_id").orderBy("v")))
     asked = common.written(spark, asked, "vector-queries")
     row_blocks, query_blocks = -(-count // BLOCK_ROWS), -(-max(1, asked.count()) // BLOCK_QUERIES)
     block = lambda c, n, as_: F.pmod(F.xxhash64(c), F.lit(n)).alias(as_)
     every = lambda n, as_: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(as_)
-    left = asked.select("query_id", "v", "dim", block("query_id", query_blocks, "qb"), every(row_blocks, "rb"))
-    right = coded.select("cls", "dim", "cells", "lo", "step", block("cls", row_blocks, "rb"), every(query_blocks, "qb"))
+    left = asked.select("query_id", "qn", "v", "dim", block("query_id", query_blocks, "qb"), every(row_blocks, "rb"))
+    right = coded.select("cls", "lone", "dim", "cells", "lo", "step", block("cls", row_blocks, "rb"), every(query_blocks, "qb"))
     keys = ["dim", "qb", "rb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(bounds_udf(k), "query_id long, cls long, low double, high double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(bounds_udf(k), "query_id long, qn int, cls long, low double, high double")
     found = common.written(spark, found, "vector-candidates")
-    # The k-th best lower bound of each query over all blocks (k + 1, as one class may hold only the query itself).
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
-    floor = found.withColumn("p", place).filter(F.col("p") == k + 1).select(F.col("query_id").alias("f_id"), F.col("low").alias("floor"))
-    kept = found.join(floor.hint("shuffle_hash"), F.col("query_id") == F.col("f_id"), "left").filter(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("query_id", "cls", "high")
-    kept = common.written(spark, kept.withColumn("p", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), "cls"))), "vector-kept")
+    # The k-th best lower bound of each query over all blocks.
+    place = F.row_number().over(Window.partitionBy("query_id", "qn").orderBy(F.desc("low")))
+    floor = found.withColumn("p", place).filter(F.col("p") == k).select(F.col("query_id").alias("f_id"), F.col("qn").alias("f_qn"), F.col("low").alias("floor"))
+    kept = found.join(floor.hint("shuffle_hash"), (F.col("query_id") == F.col("f_id")) & (F.col("qn") == F.col("f_qn")), "left").filter(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("query_id", "qn", "cls", "high")
+    kept = common.written(spark, kept.withColumn("p", F.row_number().over(Window.partitionBy("query_id", "qn").orderBy(F.desc("high"), "cls"))), "vector-kept")
 
     def exact(pairs: DataFrame) -> DataFrame:
         full = reps.select("cls", F.col("v").alias("w"), "ids").hint("merge")
-        q = asked.select(F.col("query_id").alias("q_id"), F.col("v").alias("q"), F.col("dim").alias("q_dim")).hint("merge")
-        both = pairs.join(full, "cls").join(q, (F.col("query_id") == F.col("q_id")) & (F.size("w") == F.col("q_dim")))
+        q = asked.select(F.col("query_id").alias("q_id"), F.col("qn").alias("q_qn"), F.col("v").alias("q"), F.col("dim").alias("q_dim")).hint("merge")
+        both = pairs.join(full, "cls").join(q, (F.col("query_id") == F.col("q_id")) & (F.col("qn") == F.col("q_qn")) & (F.size("w") == F.col("q_dim")))
         score = F.aggregate(F.zip_with("q", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-        return both.select("query_id", "ids", score.alias("score"))
+        return both.select("query_id", "qn", "ids", score.alias("score"))
 
-    first = common.written(spark, exact(kept.filter(F.col("p") <= k + 1)), "vector-first")
-    # With k + 1 exact scores the k-th certain score is known; a query with fewer candidates reads them all at once.
-    sure = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k + 1).select(F.col("query_id").alias("s_id"), "least")
-    rest = kept.filter(F.col("p") > k + 1).join(sure.hint("shuffle_hash"), F.col("query_id") == F.col("s_id")).filter(F.col("high") >= F.col("least")).select("query_id", "cls", "high", "p")
+    first = common.written(spark, exact(kept.filter(F.col("p") <= k)), "vector-first")
+    # With k exact scores the k-th certain score is known; a query with fewer candidates reads them all at once.
+    sure = first.groupBy("query_id", "qn").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("s_id"), F.col("qn").alias("s_qn"), "least")
+    rest = kept.filter(F.col("p") > k).join(sure.hint("shuffle_hash"), (F.col("query_id") == F.col("s_id")) & (F.col("qn") == F.col("s_qn"))).filter(F.col("high") >= F.col("least")).select("query_id", "qn", "cls", "high", "p")
     scores = first.unionByName(exact(rest))
-    answers = scores.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id")
+    answers = scores.select("query_id", F.explode("ids").alias("i"), "score").filter("i.vec_id != query_id")
+    # Rows that repeat an id are answers each, of which no query needs more than k.
+    answers = answers.select("query_id", F.explode(F.array_repeat("i.vec_id", F.least("i.n", F.lit(k)).cast("int"))).alias("vec_id"), "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return answers.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
