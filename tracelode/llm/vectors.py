@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ K, EVERY = 10, 100
 CELLS = 256
 #: Classes and queries of one block pair.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
+#: Parts of a query's candidates where they meet what is known of the query.
+SALTS = 16
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ def _matrix(column: pa.Array, dim: int, kind) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
 
 
-def bounds_udf(k: int):
+def bounds_udf(k: int, scale):
     """Candidates of one block pair. Bounds are sums in double precision of integers far below 2^53, widened by one cell step's rounding."""
 
     def pair(_, queries: pa.Table, rows: pa.Table) -> pa.Table:
@@ -56,7 +59,7 @@ def bounds_udf(k: int):
         if not queries.num_rows or not rows.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         dim = rows.column("dim")[0].as_py()
-        lo, step = (np.array(rows.column(n)[0].as_py(), float) for n in ("lo", "step"))
+        lo, step = scale.value[dim]
         cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, dim).astype(float)
         cell_lo, cell_hi = lo + cells * step, lo + (cells + 1) * step
         q = _matrix(queries.column("v").combine_chunks(), dim, float)
@@ -78,29 +81,45 @@ def bounds_udf(k: int):
     return pair
 
 
-def approximated(spark: SparkSession, reps: DataFrame) -> DataFrame:
-    """Classes with their cells; `lo` and `step` are the scale of each component for the class's dimension."""
+def scales(reps: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors the least value and the step of a cell of every component; as many numbers as the lengths that occur sum to."""
     spans = reps.select("dim", F.posexplode("v").alias("i", "x")).groupBy("dim", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    scale = spans.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("s"))
-    scale = scale.select("dim", F.transform("s", lambda s: s["lo"].cast("double")).alias("lo"), F.transform("s", lambda s: (s["hi"] - s["lo"] + 1) / float(CELLS)).alias("step"))
+    out: dict[int, list] = {}
+    for r in sorted(spans.collect(), key=lambda r: r.i):
+        out.setdefault(r.dim, []).append((float(r.lo), (r.hi - r.lo + 1) / CELLS))
+    return {dim: (np.array([x[0] for x in s]), np.array([x[1] for x in s])) for dim, s in out.items()}
+
+
+def approximated(reps: DataFrame, scale) -> DataFrame:
+    """Classes with their cells, one byte a component; `scale` is the broadcast variable of `scales`."""
 
     @F.arrow_udf("binary")
-    def cells(v: pa.Array, lo: pa.Array, step: pa.Array) -> pa.Array:
-        out = []
-        for x, a, s in zip(v, lo, step):
-            x, a, s = (np.array(y.as_py(), float) for y in (x, a, s))
-            out.append(np.clip(np.floor((x - a) / s), 0, CELLS - 1).astype(np.uint8).tobytes())
-        return pa.array(out, pa.binary())
+    def cells(v: pa.Array) -> pa.Array:
+        lengths = pc.list_value_length(v).to_numpy()
+        flat, ends = v.flatten().to_numpy().astype(float), np.cumsum(lengths)
+        out = np.empty(len(v), object)
+        for dim in np.unique(lengths):
+            lo, step = scale.value[int(dim)]
+            at = np.flatnonzero(lengths == dim)
+            x = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
+            coded = np.clip(np.floor((x - lo) / step), 0, CELLS - 1).astype(np.uint8)
+            out[at] = [c.tobytes() for c in coded]
+        return pa.array(out.tolist(), pa.binary())
+
+    return reps.withColumn("cells", cells("v"))
+
 
-    # One row for each length of vectors in the table.
-    return reps.join(scale.hint("shuffle_hash"), "dim").withColumn("cells", cells("v", "lo", "step"))
+def salted(rows: DataFrame, as_: str) -> DataFrame:
+    """`rows` once for every part of a query's candidates."""
+    return rows.withColumn(as_, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     rows = common.written(spark, integers(vectors), "vectors")
     reps = common.written(spark, classes(rows, k).filter("dim > 0"), "vector-classes")
     count = max(1, reps.count())
-    coded = approximated(spark, reps)
+    scale = spark.sparkContext.broadcast(scales(reps))
+    coded = common.written(spark, approximated(reps, scale).select("cls", "lone", "dim", "cells"), "vector-cells")
     asked = rows.filter(is_query).dropDuplicates(["vec_id", "v"]).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")).filter("dim > 0")
     # Several vectors under one query_id are told apart by `qn`; each has bounds of its own.
     asked = asked.withColumn("qn", F.row_number().over(Window.partitionBy("query_id").orderBy("v")))
@@ -109,27 +128,37 @@ def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = K) -> Dat
     block = lambda c, n, as_: F.pmod(F.xxhash64(c), F.lit(n)).alias(as_)
     every = lambda n, as_: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(as_)
     left = asked.select("query_id", "qn", "v", "dim", block("query_id", query_blocks, "qb"), every(row_blocks, "rb"))
-    right = coded.select("cls", "lone", "dim", "cells", "lo", "step", block("cls", row_blocks, "rb"), every(query_blocks, "qb"))
+    right = coded.select("cls", "lone", "dim", "cells", block("cls", row_blocks, "rb"), every(query_blocks, "qb"))
     keys = ["dim", "qb", "rb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(bounds_udf(k), "query_id long, qn int, cls long, low double, high double")
-    found = common.written(spark, found, "vector-candidates")
-    # The k-th best lower bound of each query over all blocks.
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(bounds_udf(k, scale), "query_id long, qn int, cls long, low double, high double")
+    found = common.written(spark, found.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")), "vector-candidates")
+    # The k-th best lower bound of each query over all blocks; both ranks here are limited to k before the shuffle. A query with very many
+    # candidates meets its bound in parts, so that they do not come into one task.
     place = F.row_number().over(Window.partitionBy("query_id", "qn").orderBy(F.desc("low")))
     floor = found.withColumn("p", place).filter(F.col("p") == k).select(F.col("query_id").alias("f_id"), F.col("qn").alias("f_qn"), F.col("low").alias("floor"))
-    kept = found.join(floor.hint("shuffle_hash"), (F.col("query_id") == F.col("f_id")) & (F.col("qn") == F.col("f_qn")), "left").filter(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("query_id", "qn", "cls", "high")
-    kept = common.written(spark, kept.withColumn("p", F.row_number().over(Window.partitionBy("query_id", "qn").orderBy(F.desc("high"), "cls"))), "vector-kept")
+    of_floor = (F.col("query_id") == F.col("f_id")) & (F.col("qn") == F.col("f_qn")) & (F.col("part") == F.col("f_part"))
+    kept = found.join(salted(floor, "f_part").hint("shuffle_hash"), of_floor, "left").filter(F.col("floor").isNull() | (F.col("high") >= F.col("floor")))
+    kept = common.written(spark, kept.select("query_id", "qn", "cls", "part", "high"), "vector-kept")
+    place = F.row_number().over(Window.partitionBy("query_id", "qn").orderBy(F.desc("high"), "cls"))
+    top = common.written(spark, kept.withColumn("p", place).filter(F.col("p") <= k), "vector-top")
 
     def exact(pairs: DataFrame) -> DataFrame:
         full = reps.select("cls", F.col("v").alias("w"), "ids").hint("merge")
-        q = asked.select(F.col("query_id").alias("q_id"), F.col("qn").alias("q_qn"), F.col("v").alias("q"), F.col("dim").alias("q_dim")).hint("merge")
-        both = pairs.join(full, "cls").join(q, (F.col("query_id") == F.col("q_id")) & (F.col("qn") == F.col("q_qn")) & (F.size("w") == F.col("q_dim")))
+        q = salted(asked.select(F.col("query_id").alias("q_id"), F.col("qn").alias("q_qn"), F.col("v").alias("q"), F.col("dim").alias("q_dim")), "q_part").hint("merge")
+        # Spark splits the partition of a class that very many queries ask for.
+        both = pairs.join(full, "cls").join(q, (F.col("query_id") == F.col("q_id")) & (F.col("qn") == F.col("q_qn")) & (F.col("part") == F.col("q_part")) & (F.size("w") == F.col("q_dim")))
         score = F.aggregate(F.zip_with("q", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
         return both.select("query_id", "qn", "ids", score.alias("score"))
 
-    first = common.written(spark, exact(kept.filter(F.col("p") <= k)), "vector-first")
-    # With k exact scores the k-th certain score is known; a query with fewer candidates reads them all at once.
-    sure = first.groupBy("query_id", "qn").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("query_id").alias("s_id"), F.col("qn").alias("s_qn"), "least")
-    rest = kept.filter(F.col("p") > k).join(sure.hint("shuffle_hash"), (F.col("query_id") == F.col("s_id")) & (F.col("qn") == F.col("s_qn"))).filter(F.col("high") >= F.col("least")).select("query_id", "qn", "cls", "high", "p")
+    first = common.written(spark, exact(top), "vector-first")
+    # With k exact scores the k-th certain score is known. A query with fewer candidates has been read in full; of the others, what comes after
+    # the first k in bound order and may still reach the score is read now.
+    sure = first.groupBy("query_id", "qn").agg(F.min("score").alias("least"))
+    edge = top.filter(F.col("p") == k).select(F.col("query_id").alias("s_id"), F.col("qn").alias("s_qn"), F.col("high").alias("e_high"), F.col("cls").alias("e_cls"))
+    sure = sure.join(edge.hint("shuffle_hash"), (F.col("query_id") == F.col("s_id")) & (F.col("qn") == F.col("s_qn"))).select("s_id", "s_qn", "least", "e_high", "e_cls")
+    after = (F.col("high") < F.col("e_high")) | ((F.col("high") == F.col("e_high")) & (F.col("cls") > F.col("e_cls")))
+    of_sure = (F.col("query_id") == F.col("s_id")) & (F.col("qn") == F.col("s_qn")) & (F.col("part") == F.col("s_part"))
+    rest = kept.join(salted(sure, "s_part").hint("shuffle_hash"), of_sure).filter((F.col("high") >= F.col("least")) & after).select("query_id", "qn", "cls", "part")
     scores = first.unionByName(exact(rest))
     answers = scores.select("query_id", F.explode("ids").alias("i"), "score").filter("i.vec_id != query_id")
     # Rows that repeat an id are answers each, of which no query needs more than k.
