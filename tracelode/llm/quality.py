@@ -4,25 +4,25 @@ Features of a text are hashed one- and two-word grams, of the words as written a
 case pattern, digits and punctuation of a word, its length class, and whether it repeats the word before). A text is the sparse vector of the share
 that each feature has among its grams; its score is the logistic function of one sparse dot product.
 
-Training uses a bounded sample of labelled rows: at most `MAX_ROWS` of each label, those with the smallest hash of doc_id,
-which is the only thing in this operator that does not cover all rows. It runs in one task, and only the weights come to the driver.
+Training uses a bounded sample of documents that have a label: at most `MAX_ROWS` of each label, those with the smallest hash of doc_id and text, and
+of these as many as have `MAX_BYTES` together, which is the only thing in this operator that does not cover all rows. It runs in one task, and only the weights come to the driver.
 Labels come only from rows whose crc32(doc_id as text) mod 4 is not 2.
 
-Defined cases: null and empty texts have only the intercept; null labels and labels without a document are not used; a doc_id that repeats in labels
-or documents counts as often as the pair occurs; without labels every score is 0.5; an empty table gives an empty result.
+Defined cases: null and empty texts have only the intercept; null labels and labels without a document are not used; a pair of label and document
+counts once however often it repeats; without labels every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, wordhash
 
-#: Labelled rows of each label that the fit may use (whole texts of them), and passes over them.
-MAX_ROWS, PASSES = 1500, 4
+#: Labelled rows of each label that the fit may use (whole texts of them), bytes of all their texts (of one a 64th), and passes over them.
+MAX_ROWS, MAX_BYTES, PASSES = 1500, 1 << 28, 4
 BITS = 18
 #: Per-coordinate learning rate and regularisation.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
@@ -96,10 +96,17 @@ SCALE = 10.0
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.ndarray:
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.select("doc_id", F.col("quality").cast("int").alias("quality"))
-    picked = [usable.filter(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
-    picked = picked[0].unionByName(picked[1])  # 2 * max_rows rows at most, which bounds the broadcast and the task of the fit
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked.hint("broadcast"), "doc_id").select("doc_id", "text", "quality")
+    usable = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    texts = common.keyed(docs)
+    found = texts.groupBy("doc_id", "th").agg(F.first(F.octet_length("text")).alias("bytes")).filter(F.col("bytes") <= MAX_BYTES // 64)
+    found = found.join(usable.hint("merge"), "doc_id")
+    order = [F.xxhash64("doc_id", "th"), "doc_id", "th"]
+    picked = [found.filter(F.col("quality") == y).orderBy(*order).limit(max_rows) for y in (0, 1)]
+    picked = common.written(docs.sparkSession, picked[0].unionByName(picked[1]), "quality-sample")  # 2 * max_rows rows at most
+    upto = F.sum("bytes").over(Window.orderBy(*order, "quality").rowsBetween(Window.unboundedPreceding, 0))
+    picked = picked.withColumn("upto", upto).filter(F.col("upto") <= MAX_BYTES).select("doc_id", "th", "quality")
+    # The sample's bounds are those of the broadcast and of the task of the fit; rows that repeat in full fall out before they are shuffled.
+    rows = texts.join(picked.hint("broadcast"), ["doc_id", "th"]).groupBy("doc_id", "th", "quality").agg(F.first("text").alias("text")).select("doc_id", "text", "quality")
 
     def fitted(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("quality", "ascending")])
