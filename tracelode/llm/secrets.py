@@ -8,7 +8,7 @@ Match positions: Spark gives the matches of a pattern (`regexp_extract_all`) and
 the lengths of both in code points, run together, are the positions.
 
 Defined cases: null text is the empty text; spans of one kind never overlap, spans of different kinds may; rows that
-repeat each get a result row; an empty table gives an empty result. A text without findings has the hash of the empty string.
+repeat each get a result row; a blob that scans at the same time wrote twice counts once; an empty table gives an empty result. A text without findings has the hash of the empty string.
 """
 
 from __future__ import annotations
@@ -80,7 +80,8 @@ def update_ledger(spark: SparkSession, docs: DataFrame, path: str, rules=RULES,
 
 def findings(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """The spans of every row of `docs`; blobs without findings need no join partner."""
-    hits = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("found_blob"), "spans")
+    # Scans that overlap may both have written a blob; it counts once.
+    hits = ledger.filter(F.size("spans") > 0).groupBy(F.col("blob").alias("found_blob")).agg(F.first("spans").alias("spans"))
     paths = addressed(docs).select("doc_id", "blob")
     none = F.array().cast(f"array<{_SPAN}>")
     return paths.join(hits.hint("merge"), F.col("blob") == F.col("found_blob"), "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
