@@ -7,7 +7,7 @@ the budget is the only one that is refined, with the next bits of the hash. Noth
 budget keeps what a smaller one took), and only histograms are shuffled, summed before the shuffle.
 
 Defined cases: null text counts 0 words; the null source is a source of its own, last in order; rows that repeat
-doc_id and text share one hash and are taken or left together; documents without words take 0; an empty table gives an empty result.
+doc_id and text share one hash and are taken or left together; documents without words take 0, and a source of nothing else has target 0; windows over all sources run in one task, which suits up to some millions of sources; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -71,8 +71,10 @@ def thresholds(spark: SparkSession, sizes: DataFrame, goal: DataFrame, hint: str
         state = joined.select("source", "source_size", "target", "repeats", (F.col("need") - F.coalesce(F.col("e.before"), F.lit(0))).alias("need"), at.alias("at"), F.col("e.in_bin").alias("last"))
         # The next level refers to this one several times; as a table it is computed once.
         state = common.written(spark, state, "mix-level")
-    # What is left of the boundary bucket is taken whole if that comes nearer to the budget.
-    return state.select("source", "source_size", "target", "repeats", (F.col("at") + (F.col("need") > F.col("last") / 2).cast("long")).alias("below"))
+    # What is left of the boundary bucket is taken whole if that comes nearer to the budget. A source that needs nothing beyond its repeats takes nothing more.
+    edge = F.col("at") + F.coalesce(F.col("need") > F.col("last") / 2, F.lit(False)).cast("long")
+    whole = F.col("target") <= F.col("repeats") * F.col("source_size")
+    return state.select("source", "source_size", "target", "repeats", F.when(whole, F.lit(0).cast("long")).otherwise(edge).alias("below"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, str]:
