@@ -9,7 +9,7 @@ threshold wait for that sum. Positions of a document become one compressed bitma
 
 Defined cases: null text is one empty line; keys shorter than `min_points` are never counted or dropped;
 a null doc_id is a document like others; rows repeating doc_id and text count as one document and get the same result;
-an empty table gives an empty result.
+an empty table gives an empty result. doc_id must be a number or the text of one; it is cast to long.
 """
 
 from __future__ import annotations

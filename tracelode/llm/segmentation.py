@@ -7,7 +7,7 @@ The model's vocabulary file is a parameter; it is a merge model, whose scores ar
 As in the model, a text gets one leading space, spaces are U+2581, and a character that is no piece becomes its bytes; decoding turns ids back into the text, in which a U+2581 has become a space.
 
 Defined cases: null text is empty; an empty text has one segmentation without ids, of probability and score 1 (logarithm 0); a text with fewer than k segmentations gets them all;
-rows that repeat doc_id and text get the same samples each; a null doc_id is a key like others; an empty table gives an empty result.
+rows that repeat doc_id and text get the same samples each; a null doc_id is a key like others; an empty table gives an empty result. doc_id must be a number or the text of one; it is cast to long.
 """
 
 from __future__ import annotations

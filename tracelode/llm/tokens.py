@@ -6,15 +6,16 @@ plane is compressed with zstandard, so the high planes, nearly constant, take al
 one row per chunk holds the planes, and its other columns are the chunk index (shard, chunk, token offset in the shard, documents, lengths),
 which a reader can scan without touching the planes. Offsets over all shards are sums over the index, one row a shard.
 
-The tokenizer cuts at blanks before anything else, so ids of a text are the ids of its pieces between spaces and line
-ends, one after the other; each worker remembers the ids of pieces it has met, in a table of bounded size.
+A tokenizer with the normaliser and pre-tokenizer stated below cuts at blanks before anything else, so ids of a text are the ids of its pieces between spaces and line
+ends, one after the other; each worker remembers the ids of pieces it has met, in a table of bounded size. Any other tokenizer gets whole texts.
 
 Defined cases: null text is empty; an empty text has only the end id; a null doc_id sorts first; rows that repeat doc_id follow each other in the order of
-their text hash, each with a place of its own; an empty table gives an empty store and an empty result.
+their text hash, each with a place of its own; an empty table gives an empty store and an empty result. doc_id must be a number or the text of one, as in the store it is a long.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -33,8 +34,11 @@ BLOCK, CHUNK = 16_384, 65_536
 REMEMBER, REMEMBER_CHARS = 900_000, 64
 MARKS = ".,!?;:"
 PLANES = 4
+#: What a tokenizer file must say for texts to be cut at blanks and before marks without changing an id.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CHUNK_SCHEMA = "shard int, chunk int, offset long, doc_ids array<long>, lengths array<int>, planes array<binary>"
-_known: dict[str, tuple[object, dict[str, bytes]]] = {}
+_known: dict[str, tuple[object, dict[str, bytes], bool]] = {}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -43,14 +47,27 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def cuts_at_blanks(path: str) -> bool:
+    """Whether the tokenizer's file has the normaliser and pre-tokenizer under which pieces can be encoded apart."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    first, *later = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    cut = first.get("type") == "Split" and first.get("pattern") == {"Regex": PIECES} and first.get("behavior") == "Removed" and first.get("invert") is True
+    added = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in said.get("added_tokens", ()))
+    bytes_only = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex", True) for x in later)
+    return cut and added and bytes_only and (said.get("normalizer") or {}).get("normalizers") == NORMALIZERS and not said.get("post_processor")
+
+
 def encoder(path: str):
     """A function: text to the bytes of its ids."""
     if path not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = Tokenizer.from_file(path), {"": b""}
-    tokenizer, known = _known[path]
+        _known[path] = Tokenizer.from_file(path), {"": b""}, cuts_at_blanks(path)
+    tokenizer, known, apart = _known[path]
+    if not apart:
+        return lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def core(piece: str) -> tuple[str, str]:
         """A piece as the word it stands for and the marks behind it, where cutting there changes no id: behind a letter or digit
