@@ -3,24 +3,25 @@
 1. One pass over the texts gives each document its shingle set's size, a 128-bit digest of the set and its registers. Documents with equal sets
    are one node from here on.
 2. Four registers each make 32 bands. Nodes that agree in a band share a bucket. (band, node) rows are range partitioned by both and streamed, so a band that a
-   third of all nodes share is spread, and rows that are alone in their band fall out before anything is grouped.
+   third of all nodes share is spread, and rows that are alone in their band fall out before anything is grouped. What is known of a band (company, pivot) meets its rows
+   by (band, partition they were written from), so a large band stays spread.
 3. Each bucket takes as pivot its node with the most company. (pivot, node) pairs, one a row at most, pass the joint likelihood of their registers
-   and are verified on the full sets, which come from the texts of the surviving nodes. Components of these links are labels.
+   and are verified on the full sets, which come from the texts of the surviving nodes; the spokes of a pivot are dealt over `SALTS` parts. Components of these links are labels.
 4. Pairs without the pivot: a bucket's rows that some other row may reach by its registers are compared on the full sets, but only across labels; copies that
    the pivot has joined cost nothing more. Large buckets are cut into blocks, and pairs of blocks are compared like buckets. A pair is
    looked at in the first band it shares only. Nothing is capped: every pair that shares a band is either linked, given up by the likelihood, or of one component.
 
-With similarity s a pair shares no band with probability (1 - s^4)^32: at s = 0.75 that is 5 in a million.
+With similarity s and independent registers a pair shares no band with probability (1 - s^4)^32: at s = 0.75 that is 5 in a million. Registers of tiny sets are
+not independent; sets of up to `TINY` shingles are similar only if one is the other and a single shingle more, and these links are found exactly, by the digests
+of a set without each of its shingles. Joins on a node or a label are sort-merge joins, whose hot partitions (a hub of links, the label of a large group) Spark splits.
 
 Defined cases: null texts, and texts without words, have the empty set and are linked with nothing; documents with fewer than five words have one shingle; a null
 doc_id is a document like others, and is never a component's id unless all of it lack one; rows that repeat in full have equal sets and so one component.
-An empty table gives an empty result.
+An empty table gives an empty result. doc_id must be a number or the text of one; it is cast to long.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,6 +35,10 @@ SIMILARITY = 75  # of a hundred
 WORDS = 5
 #: Rows, and shingles, of a block of a large bucket.
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 18
+#: Parts of a key that may be hot.
+SALTS = 64
+#: Links between sets of at most so many shingles are found without sketches.
+TINY = 6
 
 
 def _batch(names, *columns) -> pa.RecordBatch:
@@ -46,16 +51,29 @@ def _sets(texts: pa.Array):
         yield a, b, wordhash.shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS)
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def _without_one(s: np.ndarray) -> list[bytes] | None:
+    """Digests of the set without each of its shingles, where such a subset is similar and both are tiny."""
+    n = len(s)
+    return [_digest(np.delete(s, i)) for i in range(n)] if 2 <= n <= TINY and 100 * (n - 1) >= SIMILARITY * n else None
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for a, b, sets in _sets(batch.column("text")):
                 regs = sketch.registers(sets)
-                node = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+                node = pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())
+                subsets = pa.array([_without_one(s) for s in sets], pa.list_(pa.binary()))
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield _batch(["doc_id", "th", "n_shingles", "node", "regs"], batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), sizes, node, pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets)], pa.binary()))
+                registers = pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets)], pa.binary())
+                ids, th = (batch.column(c).slice(a, b - a) for c in ("doc_id", "th"))
+                yield _batch(["doc_id", "th", "n_shingles", "node", "regs", "subsets"], ids, th, sizes, node, registers, subsets)
 
-    return common.keyed(docs).select(F.col("doc_id").cast("long"), "text", "th").mapInArrow(run, "doc_id long, th long, n_shingles long, node binary, regs binary")
+    return common.keyed(docs).select(F.col("doc_id").cast("long"), "text", "th").mapInArrow(run, "doc_id long, th long, n_shingles long, node binary, regs binary, subsets array<binary>")
 
 
 def _registers(column) -> np.ndarray:
@@ -141,11 +159,13 @@ def linked(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
     return 100 * both >= SIMILARITY * (len(one) + np.array([len(x) for x in many]) - both)
 
 
-def with_blocks(rows: DataFrame, key: str, weight, most: int) -> DataFrame:
+def in_blocks(rows: DataFrame, blocks) -> DataFrame:
     """Adds `blocks`, the number of blocks a bucket is cut into, and `block`, the row's own."""
-    counts = rows.groupBy(key).agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks")).filter("blocks > 1").withColumnRenamed(key, "large")
-    rows = rows.join(counts.hint("merge"), F.col(key) == F.col("large"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("large")
-    return rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def salt():
+    return F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
 
 
 def block_pairs(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
@@ -156,7 +176,7 @@ def block_pairs(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
 
 
 def reachable_rows(batches):
-    """(band, node) of rows that another row, not the pivot, may be similar to; both in the first band they share."""
+    """(band, node, n) of rows that another row, not the pivot, may be similar to; both in the first band they share."""
     for t in runs(batches, ["band", "b1", "b2"]):
         regs, sizes = _registers(t.column("regs")), t.column("n").to_numpy()
         keys, band, block = sketch.band_keys(regs), t.column("band")[0].as_py(), t.column("block").to_numpy()
@@ -173,21 +193,31 @@ def reachable_rows(batches):
                 hit[others] = True
                 hit[i] |= len(others) > 0
         if hit.any():
-            yield _batch(["band", "node"], pa.array(np.full(int(hit.sum()), band, np.int64)), pa.array(nodes[hit].tolist(), pa.binary()))
+            yield _batch(["band", "node", "n"], pa.array(np.full(int(hit.sum()), band, np.int64)), pa.array(nodes[hit].tolist(), pa.binary()), pa.array(sizes[hit]))
 
 
 def star_links(batches):
-    """Links between a pivot and the rows of its block."""
-    for t in runs(batches, ["pivot", "block"]):
-        nodes = t.column("node").to_pylist()
-        pivot = t.column("pivot")[0].as_py()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
-        own = [s for s, n in zip(sets, nodes) if n == pivot]
-        others = [(n, s) for s, n in zip(sets, nodes) if n != pivot]
-        if own and others:
-            good = [n for (n, _), ok in zip(others, linked(own[0], [s for _, s in others])) if ok]
-            if good:
-                yield _batch(["a", "b"], pa.array([pivot] * len(good), pa.binary()), pa.array(good, pa.binary()))
+    """Links between pivots and their spokes. A pivot stands before the spokes of each of its parts, and only its set is held."""
+    pivot = own = None
+    for batch in batches:
+        pivots, nodes, sets = (batch.column(c).to_pylist() for c in ("pivot", "node", "set"))
+        links, spokes = [], []
+
+        def compared(links=links, spokes=spokes):
+            if spokes:
+                good = linked(own, [s for _, s in spokes])
+                links.extend((pivot, n) for (n, _), ok in zip(spokes, good) if ok)
+                spokes.clear()
+
+        for p, n, s in zip(pivots, nodes, sets):
+            if n == p:
+                compared()
+                pivot, own = p, np.frombuffer(s, np.uint64)
+            elif p == pivot:
+                spokes.append((n, np.frombuffer(s, np.uint64)))
+        compared()
+        if links:
+            yield _batch(["a", "b"], pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary()))
 
 
 def cross_links(batches):
@@ -235,27 +265,23 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are no longer referred to; they would fill disks until the next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def clustered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, th, n_shingles, best (doc_id and th of the row that stands for its component)."""
     rows = common.written(spark, sketches(docs), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("best")
-    nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), first)
+    nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("subsets").alias("subsets"), first)
     nodes = common.written(spark, nodes, "nodes")
-    buckets = common.written(spark, shared_bands(spark, nodes), "buckets")
-    released(spark)
+    buckets = common.written(spark, shared_bands(spark, nodes).withColumn("piece", F.spark_partition_id()), "buckets")
 
     # Pivots: of each bucket the node with the most company over all bands.
-    counts = buckets.groupBy("band").agg(F.count("*").alias("company")).filter("company > 1")
-    sized = common.written(spark, buckets.join(counts.hint("merge"), "band"), "sized-buckets")
+    pieces = buckets.groupBy("band", "piece").agg(F.count("*").alias("n"))
+    company = pieces.groupBy("band").agg(F.sum("n").alias("company")).filter("company > 1")
+    pieces = common.written(spark, pieces.select("band", "piece").join(company.hint("merge"), "band"), "band-pieces")
+    sized = common.written(spark, buckets.join(pieces.hint("merge"), ["band", "piece"]), "sized-buckets")
     degree = sized.groupBy("node").agg(F.sum("company").alias("degree"))
     pivots = sized.join(degree.hint("merge"), "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
-    members = common.written(spark, sized.join(pivots.hint("merge"), "band"), "members")
+    pivots = pieces.select("band", "piece").join(pivots.hint("merge"), "band")
+    members = common.written(spark, sized.join(pivots.hint("merge"), ["band", "piece"]), "members")
 
     # Step 3 on registers.
     facts = nodes.select("node", "n", "regs")
@@ -270,9 +296,9 @@ def clustered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = common.written(spark, pairs.select("pivot", "node", "n"), "star-pairs")
 
     # Step 4 on registers.
-    more = members.filter("company > 2").join(facts.hint("merge"), "node")
-    more = block_pairs(spark, with_blocks(more, "band", F.lit(1), BLOCK_ROWS), "band")
-    more = common.written(spark, more.mapInArrow(reachable_rows, "band long, node binary").distinct(), "reachable-rows")
+    more = members.filter("company > 2").select("band", "node", "pivot", F.ceil(F.col("company") / BLOCK_ROWS).alias("blocks")).join(facts.hint("merge"), "node")
+    more = block_pairs(spark, in_blocks(more, F.col("blocks")), "band")
+    more = common.written(spark, more.mapInArrow(reachable_rows, "band long, node binary, n long").distinct(), "reachable-rows")
 
     # The sets of what is left, from the texts.
     wanted = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).unionByName(more.select("node")).distinct()
@@ -288,23 +314,26 @@ def clustered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # Rows that repeat in full give the same node; one of them is enough.
     sets = common.written(spark, texts.select("node", "text").mapInArrow(sets_of, "node binary, set binary"), "sets")
     sets = sets.groupBy("node").agg(F.first("set").alias("set")) if not rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty() else sets
-    released(spark)
-
-    # Step 3 on sets.
-    spoke = with_blocks(pairs, "pivot", F.col("n"), BLOCK_SHINGLES)
-    hubs = spoke.groupBy("pivot").agg(F.max("blocks").alias("blocks")).select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    star = spoke.select("pivot", "node", "block").unionByName(hubs).join(sets.hint("merge"), "node")
-    star = star.repartition(common.parts(spark), "pivot", "block").sortWithinPartitions("pivot", "block")
-    star = common.written(spark, star.mapInArrow(star_links, "a binary, b binary"), "star-links")
+
+    # Step 3 on sets, and the links of tiny sets.
+    spoke = pairs.select("pivot", "node", salt())
+    hubs = spoke.select("pivot", "salt").distinct().select("pivot", F.col("pivot").alias("node"), "salt")
+    star = spoke.unionByName(hubs).join(sets.hint("merge"), "node")
+    star = star.repartition(common.parts(spark), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("node") != F.col("pivot"))
+    tiny = nodes.filter("subsets IS NOT NULL").select(F.explode("subsets").alias("a"), F.col("node").alias("b"))
+    tiny = tiny.join(nodes.filter(F.col("n") < TINY).select(F.col("node").alias("a")).hint("merge"), "a", "left_semi")
+    star = common.written(spark, star.mapInArrow(star_links, "a binary, b binary").unionByName(tiny), "star-links")
     labels = components(spark, star)
-    released(spark)
 
     # Step 4 on sets, across labels.
     label_of = labels.select(F.col("node").alias("l_node"), "label")
-    named = more.join(label_of.hint("merge"), F.col("node") == F.col("l_node"), "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
-    named = named.join(mixed.hint("merge"), "band", "left_semi").join(facts.hint("merge"), "node")
-    left = with_blocks(named, "band", F.col("n"), BLOCK_SHINGLES).join(sets.hint("merge"), "node")
+    named = more.join(label_of.hint("merge"), F.col("node") == F.col("l_node"), "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"), salt())
+    named = common.written(spark, named, "named-rows")
+    per = named.groupBy("band", "salt").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("weight"))
+    mixed = per.groupBy("band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.ceil(F.sum("weight") / BLOCK_SHINGLES).alias("blocks")).filter("lo != hi").select("band", "blocks")
+    mixed = per.select("band", "salt").join(mixed.hint("merge"), "band")
+    left = named.join(mixed.hint("merge"), ["band", "salt"]).drop("salt").join(nodes.select("node", "regs").hint("merge"), "node")
+    left = in_blocks(left, F.col("blocks")).join(sets.hint("merge"), "node")
     crossed = common.written(spark, block_pairs(spark, left, "band").mapInArrow(cross_links, "a binary, b binary"), "cross-links")
     if not crossed.isEmpty():
         labels = components(spark, star.unionByName(crossed))
