@@ -34,7 +34,7 @@ from . import common, sketch, wordhash
 SIMILARITY = 75  # of a hundred
 WORDS = 5
 #: Rows, and shingles, of a block of a large bucket.
-BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 18
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 18
 #: Parts of a key that may be hot.
 SALTS = 64
 #: Links between sets of at most so many shingles are found without sketches.
