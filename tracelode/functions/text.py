@@ -21,6 +21,19 @@ def nfkc(text: Column) -> Column:
     return F.when(plain, text).otherwise(_nfkc(F.when(~plain, text)))
 
 
+#: White space of the texts' own protocol, inside a character class: the Unicode spaces, line separators and the byte order mark.
+SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^[{SPACES}]+|[{SPACES}]+\z", "")
+
+
+def normalised(text: Column) -> Column:
+    """Null as empty, compatibility normal form, line ends as \\n, no outer white space."""
+    return trimmed(F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"\r\n?", "\n"))
+
+
 def name_key(text: Column) -> Column:
     """A file or label name for matching: normal form, without the page sign, spaces, underscores and dashes, in lower case."""
     return F.lower(F.regexp_replace(nfkc(F.replace(F.coalesce(text, F.lit("")), F.lit("📄"), F.lit(""))), r"(?U)[\s_\-—–]+", ""))

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeline import clean_response, squeezed
+from ..functions.text import SPACES, nfkc, normalised, trimmed
 
-PREFIX, CLOSER = r"(?i)^</response>\s*", r"(?i)</response>\s*$"
+PREFIX, CLOSER = rf"(?i)^</response>[{SPACES}]*", rf"(?i)</response>[{SPACES}]*\z"
 #: Markers and patterns of an answer that only promises one.
 DEFERRED_MARKERS = ("需要调用后台模型", "后台处理", "后台模型", "请稍等", "稍后回复", "稍后为您", "</delegation>")
 DEFERRED_PATTERNS = (
@@ -27,34 +27,38 @@ DEFERRED_PATTERNS = (
 
 
 def body(text: Column) -> Column:
-    """A response without its marker in front and a closing one behind."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), PREFIX, ""), CLOSER, ""))
+    """A response in normal form without its marker in front and a closing one behind."""
+    return trimmed(F.regexp_replace(F.regexp_replace(normalised(text), PREFIX, ""), CLOSER, ""))
+
+
+def squeezed(text: Column) -> Column:
+    return F.regexp_replace(text, f"[{SPACES}]+", "")
 
 
 #: The patterns of the response protocol.
-ROLE_LINE = r"(?i)(?:^|\n)\s*(?:user|assistant|system)\s*:"
+ROLE_LINE = rf"(?i)(?:^|\n)[{SPACES}]*(?:user|assistant|system)[{SPACES}]*:"
 ACTION_PREFIX = r"(?i)^<(?:response|silence)>"
-SILENCE_ONLY, SILENCE_CONTROL = r"(?i)^<?/?sil[a-z0-9_-]*>?$", r"(?i)<?/?sil[a-z0-9_-]*>?"
-TIMESTAMP_ONLY = r"(?i)^<\s*-?\d+(?:\.\d+)?\s*(?:seconds?|s)(?:\s*(?:~|-)\s*-?\d+(?:\.\d+)?\s*(?:seconds?|s))?\s*>$"
-ERROR_TEXT = r"(?i)^Error:\s+"
+SILENCE_ONLY, SILENCE_CONTROL = r"(?i)^<?/?sil[a-z0-9_-]*>?\z", r"(?i)<?/?sil[a-z0-9_-]*>?"
+TIMESTAMP_ONLY = r"(?i)^<\s*-?\d+(?:\.\d+)?\s*(?:seconds?|s)(?:\s*(?:~|-)\s*-?\d+(?:\.\d+)?\s*(?:seconds?|s))?\s*>\z"
+ERROR_TEXT = rf"(?i)^Error:[{SPACES}]+"
 VALID = ("substantive_response", "silence")
 
 
 def classify_response(text: Column, raw: Column | None = None, provider_error: Column | None = None) -> Column:
     """The class of a response: the first rule that holds. `raw` is the provider's text before any adapter touched it, if known.
 
-    Only a substantive response counts as an answer; of the others only silence keeps the protocol. Texts with compatibility characters go through `nfkc` first."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"))
-    r = F.trim(F.coalesce(raw, F.lit(""))) if raw is not None else F.lit("")
+    Texts are read in normal form. Only a substantive response counts as an answer; of the others only silence keeps the protocol."""
+    t = normalised(text)
+    r = normalised(raw) if raw is not None else F.lit("")
     failed = F.coalesce(provider_error, F.lit(False)) if provider_error is not None else F.lit(False)
     upstream = F.when(r != "", r).otherwise(t)
     marked = t.rlike(PREFIX)
-    inner = F.when(marked, F.trim(F.regexp_replace(t, PREFIX, ""))).otherwise(t)
-    content = F.trim(F.regexp_replace(inner, CLOSER, ""))
+    inner = F.when(marked, trimmed(F.regexp_replace(t, PREFIX, ""))).otherwise(t)
+    content = trimmed(F.regexp_replace(inner, CLOSER, ""))
     return (
         F.when(failed | t.rlike(ERROR_TEXT), "provider_error")
         .when(t == "", "empty_output")
-        .when(F.trim(F.regexp_replace(upstream, PREFIX, "")).rlike(ROLE_LINE), "role_transcript_continuation")
+        .when(trimmed(F.regexp_replace(upstream, PREFIX, "")).rlike(ROLE_LINE), "role_transcript_continuation")
         .when((r != "") & (F.lower(r) != "</silence>") & ~r.rlike(PREFIX), F.when(r.rlike(ACTION_PREFIX), "malformed_action_marker").otherwise("missing_response_marker"))
         .when(F.lower(t) == "</silence>", "silence")
         .when(content == "", F.when(marked, "empty_response").otherwise("empty_output"))
@@ -77,7 +81,8 @@ def is_deferred(text: Column) -> Column:
 
 
 def normalized_question(text: Column) -> Column:
-    return squeezed(text)
+    """Compatibility normal form without any white space."""
+    return squeezed(nfkc(F.coalesce(text, F.lit(""))))
 
 
 def is_query_echo(response: Column, query: Column) -> Column:
@@ -106,7 +111,7 @@ def attribute_responses(responses: DataFrame, rounds: DataFrame) -> DataFrame:
     """(session, rn, t) for every round that a response belongs to. The first kind of evidence that a response has decides: event id, query hash,
     prompt text, frame time, and else the time it came. responses: session, t, event_id, query_sha256, prompt, frame_s; rounds: session, rn, turn, event_id, text, query_s.
 
-    One join on the session with the rule as its condition; a null bound is open."""
+    One join on the session with the rule as its condition, rounds times responses of a session, which suits recordings of an hour; a null bound is open."""
     w = Window.partitionBy("session").orderBy("rn")
     q = rounds.select(F.col("session").alias("q_session"), "rn", F.col("event_id").alias("q_event"), F.sha2("text", 256).alias("q_sha"), normalized_question(F.col("text")).alias("q_text"), "query_s", F.lead("query_s").over(w).alias("next_s"), "turn", F.lead("turn").over(w).alias("next_turn"))
     r = responses.select("session", "t", "event_id", "query_sha256", F.nullif(normalized_question(F.col("prompt")), F.lit("")).alias("prompt"), "frame_s")
@@ -204,8 +209,12 @@ def backend_identity(observed: DataFrame, profiles: DataFrame) -> DataFrame:
     return rows.select("system", status.alias("status"), F.coalesce("without_name", F.lit(0)).alias("without_name"))
 
 
+#: The classes of failed calls, and the messages that decide some of them.
+DEADLINE_MESSAGE, FRAME_MESSAGE = r"(?i)operation was aborted|timed? out|timeout", r"(?i)Frames yielded inconsistent|smart_resize"
+
+
 def failure_class(status: Column, deadline: Column, transport: Column) -> Column:
-    """Class of a failed call, and whether the infrastructure is worth another try, as a struct."""
+    """Class of a call that failed at an adapter, and whether the infrastructure is worth another try, as a struct."""
     kind = (
         F.when(F.coalesce(deadline, F.lit(False)), "model_latency_timeout").when(status == 429, "provider_rate_limit").when(status >= 500, "provider_service_error")
         .when(F.coalesce(transport, F.lit(False)), "provider_transport_error").when(status.isin(401, 403), "provider_auth_error").otherwise("provider_request_error")
@@ -213,6 +222,17 @@ def failure_class(status: Column, deadline: Column, transport: Column) -> Column
     return F.struct(kind.alias("failure_class"), (~kind.isin("model_latency_timeout", "provider_auth_error")).alias("retryable"))
 
 
+def session_failure_class(status: Column, deadline: Column, message: Column) -> Column:
+    """The same for a call that failed at a session proxy, where messages count; a status of null or 0 is none. Only a deadline is final."""
+    m = F.coalesce(message, F.lit(""))
+    known = F.nullif(status, F.lit(0))
+    kind = (
+        F.when(F.coalesce(deadline, F.lit(False)) | m.rlike(DEADLINE_MESSAGE), "model_latency_timeout").when(m.rlike(FRAME_MESSAGE), "provider_frame_preprocessing_error")
+        .when(known == 429, "provider_rate_limit").when(known.isNotNull(), "provider_http_error").otherwise("provider_transport_error")
+    )
+    return F.struct(kind.alias("failure_class"), (kind != "model_latency_timeout").alias("retryable"))
+
+
 #: Messages of providers that block an account or a key.
 BLOCKED = r"(?i)SetLimitExceeded|RateLimitExceeded|QuotaExceeded|AccountOverdue|TooManyRequests|model service has been paused"
 KEY_LIMIT = r"(?i)SetLimitExceeded|AccountOverdue|QuotaExceeded|model service has been paused|安全体验模式"
@@ -223,11 +243,21 @@ def quota_class(message: Column) -> Column:
     return F.struct(m.rlike(BLOCKED).alias("temporarily_blocked"), m.rlike(KEY_LIMIT).alias("key_limit"))
 
 
-def to_marker(text: Column) -> Column:
-    """Raw provider text in the marked form: silence, or a response with its marker."""
-    t = clean_response(text)
-    quiet = F.lower(squeezed(t)).isin("", "silence", "<silence>", "</silence>", "none", "null")
-    return F.when(quiet, "</silence>").otherwise(F.concat(F.lit("</response> "), t))
+def to_marker(text: Column, variant: str) -> Column:
+    """Raw provider text in the marked form. `session`: silence tags in any spelling are silence, response tags become the marker; `native`: text that
+    starts with a tag stays as it is; `streaming`: one line, of which only the exact tag is silence."""
+    t = trimmed(F.coalesce(text, F.lit("")))
+    marked = lambda x: F.concat(F.lit("</response> "), x)
+    if variant == "native":
+        return F.when(t == "", "</silence>").when(t.rlike(r"(?i)^</?(?:response|silence)>"), t).otherwise(marked(t))
+    if variant == "streaming":
+        line = trimmed(F.regexp_replace(t, r"(?U)[\s\x1C-\x1F]+", " "))
+        return F.when(line.isin("", "</silence>"), "</silence>").when(line.startswith("</response>"), line).otherwise(marked(line))
+    if variant != "session":
+        raise ValueError(variant)
+    inner = trimmed(F.regexp_replace(t, r"(?i)^<\s*/?\s*response\s*>\s*", ""))
+    quiet = (t == "") | t.rlike(r"(?i)^<\s*/?\s*silence\s*>\z") | (inner == "")
+    return F.when(quiet, "</silence>").otherwise(marked(inner))
 
 
 def message_parts(messages: DataFrame) -> DataFrame:

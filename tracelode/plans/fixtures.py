@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DIMS = ("D1", "D2", "D3", "D4", "D5")
+#: Spellings of markers that responses come in, beside whole texts.
+SPELLED = ("</silence>\n", "\n\t", "＜／ｓｉｌｅｎｃｅ＞", "\n<silence>", "</response>\r\n", "</response> <12.5 seconds>", "</response> ok </silence>", "Error: Error code: 500", "</response> a </response> b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +48,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     prev = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
     k = F.col("conv_id") % 4
-    said = F.when(k == 0, F.concat(F.lit("</response> "), F.col("text"))).when(k == 1, F.lit("</silence>")).when((k == 3) & (F.col("turn") % 3 == 0), prev).otherwise(F.col("text"))
+    marked = F.concat(F.lit("</response> "), F.col("text"))
+    n = (F.col("conv_id") * 3 + F.col("turn")) % 17
+    spelled = F.element_at(F.array(*map(F.lit, SPELLED)), (n + 1).cast("int"))
+    said = F.when((k < 3) & (n < len(SPELLED)), spelled).when((k == 0) & (n == 9), F.concat(F.lit("\n\t\u3000"), marked, F.lit("</response>\r\n"))).when(k == 0, marked)
+    said = said.when(k == 1, F.lit("</silence>")).when((k == 3) & (F.col("turn") % 3 == 0), prev).otherwise(F.col("text"))
     return c.select(F.col("conv_id").alias("session"), "turn", "role", said.alias("text")).filter("role = 'assistant'").drop("role")
 
 
@@ -120,7 +126,8 @@ items AS (SELECT system, task_id, category, d1, d2, d3, d4, d5, list_avg([least(
  value AS latency_ms, json_extract_string(props, '$.k') AS text, event_id FROM events)""",
     "rounds": """rounds AS (SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn, text
  FROM conversations WHERE role = 'user')""",
-    "responses": """responses AS (SELECT session, turn, text FROM (SELECT conv_id AS session, turn, role, CASE WHEN conv_id % 4 = 0 THEN '</response> ' || text WHEN conv_id % 4 = 1 THEN '</silence>'
+    "responses": """responses AS (SELECT session, turn, text FROM (SELECT conv_id AS session, turn, role, CASE WHEN conv_id % 4 < 3 AND (conv_id * 3 + turn) % 17 < 9 THEN """ + "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '").replace("\r", "' || chr(13) || '") + "'" for x in SPELLED) + "]" + """[(conv_id * 3 + turn) % 17 + 1]
+ WHEN conv_id % 4 = 0 AND (conv_id * 3 + turn) % 17 = 9 THEN chr(10) || chr(9) || chr(12288) || '</response> ' || text || '</response>' || chr(13) || chr(10) WHEN conv_id % 4 = 0 THEN '</response> ' || text WHEN conv_id % 4 = 1 THEN '</silence>'
  WHEN conv_id % 4 = 3 AND turn % 3 = 0 THEN coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') ELSE text END AS text FROM conversations) WHERE role = 'assistant')""",
     "intervals": """intervals AS (SELECT l_orderkey AS session, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)::DOUBLE AS start_s,
  date_diff('day', DATE '1992-01-01', l_shipdate::DATE) + l_quantity AS end_s, l_returnflag AS reason FROM lineitem)""",

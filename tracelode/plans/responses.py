@@ -63,13 +63,14 @@ def _firsts(s, d):
 def _calls(s, d):
     e = X.table(s, d, "events")
     k = F.col("event_id") % 9
+    # Every eleventh call says in its message that it ran out of time.
     status = F.element_at(F.array(*map(F.lit, [0, 429, 503, 401, 403, 404, 500, 200, 0])), (k + 1).cast("int"))
-    message = F.element_at(F.array(*map(F.lit, ["", "TooManyRequests", "AccountOverdue", "x", "quotaexceeded today", "model service has been paused", "安全体验模式", "", "RateLimitExceeded"])), (k + 1).cast("int"))
-    return e.select("event_id", status.alias("status"), (F.col("event_id") % 10 == 0).alias("deadline"), (F.col("event_id") % 4 == 0).alias("transport"), message.alias("message"))
+    message = F.element_at(F.array(*map(F.lit, ["", "TooManyRequests", "AccountOverdue", "x", "quotaexceeded today", "model service has been paused", "安全体验模式", "smart_resize: bad size", "RateLimitExceeded"])), (k + 1).cast("int"))
+    return e.select("event_id", status.alias("status"), (F.col("event_id") % 10 == 0).alias("deadline"), (F.col("event_id") % 4 == 0).alias("transport"), F.when(F.col("event_id") % 11 == 0, "Request timed out").otherwise(message).alias("message"))
 
 
 _CALLS = """calls AS (SELECT event_id, [0, 429, 503, 401, 403, 404, 500, 200, 0][event_id % 9 + 1] AS status, event_id % 10 = 0 AS deadline, event_id % 4 = 0 AS transport,
- ['', 'TooManyRequests', 'AccountOverdue', 'x', 'quotaexceeded today', 'model service has been paused', '安全体验模式', '', 'RateLimitExceeded'][event_id % 9 + 1] AS message FROM events)"""
+ ['', 'TooManyRequests', 'AccountOverdue', 'x', 'quotaexceeded today', 'model service has been paused', '安全体验模式', 'smart_resize: bad size', 'RateLimitExceeded'][event_id % 9 + 1] AS message0, CASE WHEN event_id % 11 = 0 THEN 'Request timed out' ELSE message0 END AS message FROM events)"""
 
 
 def _observed(s, d):
@@ -104,15 +105,21 @@ QUERIES = {
     "rsp_expected_frame": lambda s, d: R.expected_frame(*_timed(s, d)),
     "rsp_frame_drift": lambda s, d: R.frame_drift(R.expected_frame(*_timed(s, d)), _firsts(s, d)),
     "rsp_identity": lambda s, d: R.backend_identity(*_observed(s, d)),
-    "rsp_failure_class": lambda s, d: _calls(s, d).select("event_id", R.failure_class(F.col("status"), F.col("deadline"), F.col("transport")).alias("f")).select("event_id", "f.*"),
+    "rsp_failure_class": lambda s, d: _calls(s, d).select("event_id", R.failure_class(F.col("status"), F.col("deadline"), F.col("transport")).alias("f"), R.session_failure_class(F.col("status"), F.col("deadline"), F.col("message")).alias("g")).select("event_id", "f.*", F.col("g.failure_class").alias("session_class"), F.col("g.retryable").alias("session_retryable")),
     "rsp_quota_class": lambda s, d: _calls(s, d).select("event_id", R.quota_class(F.col("message")).alias("q")).select("event_id", "q.*"),
-    "rsp_to_marker": lambda s, d: X.responses(s, d).select("session", "turn", F.sha2(R.to_marker(F.col("text")), 256).alias("marked")),
+    "rsp_to_marker": lambda s, d: X.responses(s, d).select("session", "turn", *[F.sha2(R.to_marker(F.col("text"), v), 256).alias(v) for v in ("session", "native", "streaming")]).toDF("session", "turn", "session_form", "native_form", "streaming_form"),
     "rsp_message_parts": lambda s, d: _messages(s, d).select("id", F.sha2("user_text", 256).alias("user_text"), "images"),
     "task_name_key": lambda s, d: X.table(s, d, "pages").select("page_id", name_key(F.col("url")).alias("key")),
 }
-_CLASS = """CASE WHEN trim(text) = '' THEN 'empty_output' WHEN regexp_matches(regexp_replace(trim(text), '^</response>\\s*', '', 'i'), '(^|\\n)\\s*(user|assistant|system)\\s*:', 'i') THEN 'role_transcript_continuation' WHEN lower(trim(text)) = '</silence>' THEN 'silence'
- WHEN NOT regexp_matches(trim(text), '^</response>', 'i') THEN 'missing_response_marker' WHEN regexp_matches(text, '<?/?sil[a-z0-9_-]*>?', 'i') THEN 'mixed_silence_control_token' ELSE 'substantive_response' END"""
-_SQ = "regexp_replace(regexp_replace(trim({}), '^</response>\\s*', '', 'i'), '\\s+', '', 'g')"
+_FORM = "regexp_replace(regexp_replace(translate({}, '＜／ｓｉｌｅｎｃｅ＞', '</silence>'), '\\r\\n?', chr(10), 'g'), '^[\\s\u3000]+|[\\s\u3000]+$', '', 'g')"
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_INNER = _STRIP.format(f"regexp_replace({_FORM}, '^</response>\\s*', '', 'i')")
+_BODY = _STRIP.format(f"regexp_replace({_INNER}, '</response>\\s*$', '', 'i')")
+_CLASS = f"""CASE WHEN regexp_matches({_FORM}, '^Error:\\s', 'i') THEN 'provider_error' WHEN {_FORM} = '' THEN 'empty_output' WHEN regexp_matches({_INNER}, '(^|\\n)\\s*(user|assistant|system)\\s*:', 'i') THEN 'role_transcript_continuation'
+ WHEN lower({_FORM}) = '</silence>' THEN 'silence' WHEN {_BODY} = '' THEN CASE WHEN regexp_matches({_FORM}, '^</response>', 'i') THEN 'empty_response' ELSE 'empty_output' END WHEN regexp_matches({_BODY}, '^<[0-9.]+ seconds>$') THEN 'timestamp_only_response'
+ WHEN regexp_matches(regexp_replace({_BODY}, '\\s+', '', 'g'), '^<?/?sil[a-z0-9_-]*>?$', 'i') THEN 'malformed_silence' WHEN NOT regexp_matches({_FORM}, '^</response>', 'i') THEN 'missing_response_marker'
+ WHEN regexp_matches({_BODY}, '<?/?sil[a-z0-9_-]*>?', 'i') THEN 'mixed_silence_control_token' WHEN contains(lower({_INNER}), '</response>') THEN 'unexpected_response_closer' ELSE 'substantive_response' END""".replace("{}", "text")
+_SQ = f"regexp_replace({_BODY}, '\\s+', '', 'g')"
 _FLAGS = f""", f AS (SELECT q.session, q.rn, q.turn, r.turn AS t, coalesce(({_CLASS.replace("text", "r.text")}) = 'substantive_response', false) AND r.turn IS NOT NULL AS substantive,
  coalesce({_SQ.format("r.text")} = regexp_replace(q.text, '\\s+', '', 'g'), false) AS same FROM rounds q LEFT JOIN responses r ON r.session = q.session AND r.turn >= q.turn AND (q.next_turn IS NULL OR r.turn < q.next_turn))
 """
@@ -147,9 +154,11 @@ ORACLES = {
 SELECT e.session, e.rn, frame_s - expected_s AS drift_s, abs(frame_s - expected_s) > 3 AS invalid FROM expd e JOIN firsts f ON f.session = e.session AND f.rn = e.rn"""),
     "rsp_identity": """WITH p AS (SELECT unnest(range(8)) AS k), o AS (SELECT 's' || (o_custkey % 6) AS system, count(*) FILTER (o_orderkey % 9 = 0) AS n, count(*) FILTER (o_orderkey % 9 <> 0) AS named FROM orders GROUP BY 1)
 SELECT 's' || k AS system, CASE WHEN k = 4 THEN 'disabled' WHEN coalesce(named, 0) = 0 THEN 'missing' WHEN k = 2 THEN 'mismatch' ELSE 'verified' END AS status, coalesce(n, 0) AS without_name FROM p LEFT JOIN o ON o.system = 's' || k""",
-    "rsp_failure_class": f"WITH {_CALLS}, c AS (SELECT event_id, CASE WHEN deadline THEN 'model_latency_timeout' WHEN status = 429 THEN 'provider_rate_limit' WHEN status >= 500 THEN 'provider_service_error' WHEN transport THEN 'provider_transport_error' WHEN status IN (401, 403) THEN 'provider_auth_error' ELSE 'provider_request_error' END AS failure_class FROM calls) SELECT *, failure_class NOT IN ('model_latency_timeout', 'provider_auth_error') AS retryable FROM c",
+    "rsp_failure_class": f"WITH {_CALLS}, c AS (SELECT event_id, CASE WHEN deadline THEN 'model_latency_timeout' WHEN status = 429 THEN 'provider_rate_limit' WHEN status >= 500 THEN 'provider_service_error' WHEN transport THEN 'provider_transport_error' WHEN status IN (401, 403) THEN 'provider_auth_error' ELSE 'provider_request_error' END AS failure_class, CASE WHEN deadline OR message = 'Request timed out' THEN 'model_latency_timeout' WHEN message LIKE 'smart_resize%' THEN 'provider_frame_preprocessing_error' WHEN status = 429 THEN 'provider_rate_limit' WHEN status <> 0 THEN 'provider_http_error' ELSE 'provider_transport_error' END AS session_class FROM calls) SELECT *, failure_class NOT IN ('model_latency_timeout', 'provider_auth_error') AS retryable, session_class <> 'model_latency_timeout' AS session_retryable FROM c",
     "rsp_quota_class": f"WITH {_CALLS} SELECT event_id, regexp_matches(message, 'SetLimitExceeded|RateLimitExceeded|QuotaExceeded|AccountOverdue|TooManyRequests|model service has been paused', 'i') AS temporarily_blocked, regexp_matches(message, 'SetLimitExceeded|AccountOverdue|QuotaExceeded|model service has been paused|安全体验模式', 'i') AS key_limit FROM calls",
-    "rsp_to_marker": oracle("responses", ", c AS (SELECT *, trim(regexp_replace(text, '^\\s*</?response>\\s*', ''), ' ' || chr(9) || chr(10) || chr(13)) AS b FROM responses) SELECT session, turn, sha256(CASE WHEN lower(regexp_replace(b, '\\s+', '', 'g')) IN ('', 'silence', '<silence>', '</silence>', 'none', 'null') THEN '</silence>' ELSE '</response> ' || b END) AS marked FROM c"),
+    "rsp_to_marker": oracle("responses", r""", c AS (SELECT session, turn, regexp_replace(text, '^[\s　]+|[\s　]+$', '', 'g') AS t FROM responses), e AS (SELECT *, regexp_replace(regexp_replace(t, '^<\s*/?\s*response\s*>\s*', '', 'i'), '^\s+|\s+$', '', 'g') AS inn, regexp_replace(t, '[\s　]+', ' ', 'g') AS line FROM c)
+SELECT session, turn, sha256(CASE WHEN inn = '' OR regexp_matches(t, '^<\s*/?\s*silence\s*>$', 'i') THEN '</silence>' ELSE '</response> ' || inn END) AS session_form,
+ sha256(CASE WHEN t = '' THEN '</silence>' WHEN regexp_matches(t, '^</?(response|silence)>', 'i') THEN t ELSE '</response> ' || t END) AS native_form, sha256(CASE WHEN line IN ('', '</silence>') THEN '</silence>' WHEN starts_with(line, '</response>') THEN line ELSE '</response> ' || line END) AS streaming_form FROM e"""),
     "rsp_message_parts": "SELECT conv_id AS id, sha256(coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '')) AS user_text, count(*) FILTER (role = 'user' AND turn % 2 = 0) AS images FROM conversations GROUP BY 1",
     "task_name_key": "SELECT page_id, lower(regexp_replace(nfc_normalize(url), '[\\s_—–-]+', '', 'g')) AS key FROM pages",
 }
