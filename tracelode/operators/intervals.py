@@ -5,6 +5,7 @@ Every operator works on partitions by session and running frames; none looks at
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +13,22 @@ TOUCH_S = 0.001
 
 
 def merge_intervals(df: DataFrame, min_s: float = 0.001, touch_s: float = TOUCH_S) -> DataFrame:
-    """Intervals of a session that overlap or touch become one; shorter ones than `min_s` do not count. Reasons in the order in which they are first met.
+    """Intervals of a session that overlap or touch become one; shorter ones than `min_s` do not count. Reasons (`reason`, or lists of them in `reasons`)
+    in the order in which they are first met; null and empty ones do not count. Other columns come from an island's first interval.
 
     A new island starts where the start lies beyond the greatest end so far, not just the end before."""
     rows = df.filter(F.col("end_s") - F.col("start_s") >= min_s)
-    order = Window.partitionBy("session").orderBy("start_s", "end_s", "reason")
+    if "reasons" not in df.columns:
+        rows = rows.withColumn("reasons", F.array("reason")).drop("reason")
+    more = [c for c in rows.columns if c not in ("session", "start_s", "end_s", "reasons")]
+    order = Window.partitionBy("session").orderBy("start_s", "end_s", "reasons")
     upto = F.max("end_s").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("__new", F.coalesce(F.col("start_s") > upto + touch_s, F.lit(True)).cast("int"))
     rows = rows.withColumn("__island", F.sum("__new").over(order)).withColumn("__n", F.row_number().over(order))
-    reasons = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("__n", "reason"))), lambda x: x["reason"]))
-    return rows.groupBy("session", "__island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), reasons.alias("reasons")).drop("__island")
+    reasons = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__n", "reasons"))), lambda x: x["reasons"]))
+    reasons = F.array_distinct(F.filter(reasons, lambda x: x.isNotNull() & (x != "")))
+    first = [F.min_by(c, "__n").alias(c) for c in more]
+    return rows.groupBy("session", "__island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), reasons.alias("reasons"), *first).drop("__island")
 
 
 def keep_segments(trims: DataFrame, merged: DataFrame, least_s: float = 0.01) -> DataFrame:
@@ -47,13 +54,38 @@ def unroll_loops(samples: DataFrame, jump_s: float = 0.25) -> DataFrame:
     return samples.withColumn("loops", loops).withColumn("timeline_s", F.col("loops") * F.col("duration_s") + F.col("media_s"))
 
 
+#: How far ahead of its last progress a media clock must be to have moved, and how far behind it to have looped.
+AHEAD_S, BEHIND_S = 0.03, 0.25
+
+
+def stall_step(state: tuple, t: float, media: float | None, frame: float | None) -> tuple:
+    """One sample: time and value of the last progress of the media clock, and of the frame counter."""
+    at, value, frame_at, count = state
+    if media is not None and (value is None or media > value + AHEAD_S or media + BEHIND_S < value):
+        at, value = t, media
+    if frame is not None and (count is None or frame > count):
+        frame_at, count = t, frame
+    return at, value, frame_at, count
+
+
 def stalls(samples: DataFrame) -> DataFrame:
-    """Time since the media clock last advanced. samples: session, seq, t_s, media_s."""
-    order = Window.partitionBy("session").orderBy("seq")
-    most = F.max("media_s").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    moved = F.when(most.isNull() | (F.col("media_s") > most), F.col("t_s"))
-    rows = samples.withColumn("__moved", moved)
-    return rows.withColumn("stall_s", F.col("t_s") - F.last("__moved", ignorenulls=True).over(order)).drop("__moved")
+    """Time since the media clock and the frame counter last advanced; a clock that has fallen back has looped, which is an advance too. samples: session, seq, t_s, media_s, frame.
+
+    What counts as an advance depends on the last one, so a session, a recording of an hour or so, is one pass."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = (None,) * 4, []
+        none = lambda x: None if x is None or x != x else float(x)
+        for seq, t, media, frame in pdf.sort_values("seq")[["seq", "t_s", "media_s", "frame"]].itertuples(index=False):
+            state = stall_step(state, t, none(media), none(frame))
+            out.append((key[0], seq, t, None if state[0] is None else t - state[0], None if state[2] is None else t - state[2]))
+        return pd.DataFrame(out, columns=["session", "seq", "t_s", "stall_s", "frame_stall_s"])
+
+    return samples.groupBy("session").applyInPandas(run, "session long, seq long, t_s double, stall_s double, frame_stall_s double")
+
+
+def longest_stalls(stalled: DataFrame) -> DataFrame:
+    return stalled.groupBy("session").agg(F.max("stall_s").alias("longest_stall_s"), F.max("frame_stall_s").alias("longest_frame_stall_s"))
 
 
 def downtime(events: DataFrame) -> DataFrame:
@@ -65,19 +97,55 @@ def downtime(events: DataFrame) -> DataFrame:
     return down.groupBy("session").agg(F.count(F.lit(1)).alias("outages"), F.sum("down_s").alias("down_s"), F.max("down_s").alias("longest_s"))
 
 
-def interruptions(samples: DataFrame) -> DataFrame:
-    """The first reason of each session why playback must be interrupted. samples: session, seq, state, paused, reconnects, unhealthy_s, media_stall_s, frame_stall_s."""
+def interruptions(samples: DataFrame, reconnects: int = 3, reconnect_timeout_s: float = 30.0) -> DataFrame:
+    """The first reason of each session why playback must be interrupted. samples: session, seq, state, paused, closes (of the control connection), disconnected_s
+    (null while it is open), unhealthy_s, media_stall_s, frame_stall_s, guard_pauses. A continuity guard that has paused playback allows a stall as long as a reconnect."""
+    down = F.col("disconnected_s").isNotNull()
     reason = (
-        F.when(F.col("state").isin("failed", "closed"), "hard_state").when(F.col("paused"), "paused").when(F.col("reconnects") > 3, "reconnect_budget")
-        .when(F.col("unhealthy_s") > 2, "unhealthy").when(F.col("media_stall_s") > 5, "media_stall").when(F.col("frame_stall_s") > 5, "frame_stall")
+        F.when(F.col("state").isin("failed", "closed"), "hard_state").when(F.col("paused"), "paused").when(down & (F.col("closes") > reconnects), "reconnect_budget")
+        .when(F.col("disconnected_s") > reconnect_timeout_s, "reconnect_timeout").when(F.col("unhealthy_s") > 2, "unhealthy")
+        .when(F.col("media_stall_s") > F.when(F.col("guard_pauses") > 0, reconnect_timeout_s).otherwise(2.0), "media_stall").when(~down & (F.col("frame_stall_s") > 5), "frame_stall")
     )
     return samples.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy("session").agg(F.min_by("reason", "seq").alias("reason"), F.min("seq").alias("seq"))
 
 
-def segments(frames: DataFrame, seconds: float) -> DataFrame:
-    """Tumbling segments; a frame belongs to the segment of its start."""
-    k = F.floor(F.col("start_s") / seconds)
-    return frames.groupBy("session", k.alias("segment")).agg(F.count(F.lit(1)).alias("frames"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
+def segments_of(rows, seconds: float, end_of_stream: bool) -> list[tuple]:
+    """Segments of frames in the order of their arrival, as (segment, frames, start_s, end_s)."""
+    pending, at, out = [], None, []
+    for start, end in rows:
+        pending.append((start, end))
+        at = start // seconds * seconds if at is None else at
+        while pending and max(e for _, e in pending) >= at + seconds:
+            at = _consume(pending, at, seconds, out)
+    while pending and end_of_stream:
+        flushed = len(out)
+        at = _consume(pending, at, seconds, out)
+        if len(out) > flushed:
+            break
+    return out
+
+
+def _consume(pending: list, at: float, seconds: float, out: list) -> float:
+    """The segment at `at`, or a jump to the next frame; what starts before its end is used up, late frames that no longer overlap it too."""
+    chosen = [(s, e) for s, e in pending if s < at + seconds and e > at]
+    if not chosen:
+        return max(at + seconds, min(s for s, _ in pending) // seconds * seconds)
+    out.append((int(at // seconds), len(chosen), min(s for s, _ in chosen), max(e for _, e in chosen)))
+    pending[:] = [(s, e) for s, e in pending if s >= at + seconds]
+    return at + seconds
+
+
+def segments(frames: DataFrame, seconds: float, end_of_stream: bool = True) -> DataFrame:
+    """Tumbling segments of frames that arrive in the order of `position`. A frame belongs to the segment of its start; one that comes late joins the current segment if it
+    still overlaps it, and is lost otherwise. A segment is complete when the end of some frame reaches its end; the end of the stream flushes one more.
+
+    Which segment is current depends on what came before, so a session, a recording of an hour or so, is one pass."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("position")[["start_s", "end_s"]].itertuples(index=False)
+        return pd.DataFrame([(key[0], *x) for x in segments_of(rows, seconds, end_of_stream)], columns=["session", "segment", "frames", "start_s", "end_s"])
+
+    return frames.groupBy("session").applyInPandas(run, "session long, segment long, frames long, start_s double, end_s double")
 
 
 def sessions(events: DataFrame, gap_s: float) -> DataFrame:
@@ -120,19 +188,28 @@ def ack_match(requests: DataFrame, acks: DataFrame) -> DataFrame:
     return hit.select("session", "seq", "t_s", "text", F.col("a.t_s").alias("ack_t_s"))
 
 
-def value_runs(series: DataFrame, low: float, least: int, high: float) -> DataFrame:
-    """The last run of at least `least` samples at or under `low`, and the first later sample at or over `high`.
+def value_runs(series: DataFrame, low: float, least_s: float, high: float, earliest_s: float = -0.25, latest_s: float = 30.0) -> DataFrame:
+    """The last run at or under `low` that lasts at least `least_s`, the first later sample at or over `high`, and by how much the event clock is ahead of the series there.
 
-    A run breaks where the step is more than max(0.12, 2.5 times the session's median step). series: session, seq, t_s, value."""
+    series: session, seq, t_s, value, removed_s (when the marker was removed, on the event clock). The usual step is the upper median of steps between 0 and 1 (0.04 without any);
+    a run lasts from its first to its last sample and one step more, and breaks where a step is more than max(0.12, 2.5 times the usual one).
+    `error` says what is missing: too_few, no_marker, no_transition, or implausible_offset."""
     order = Window.partitionBy("session").orderBy("seq")
     s = series.withColumn("step", F.col("t_s") - F.lag("t_s").over(order))
-    usual = s.groupBy("session").agg(F.median("step").alias("usual"))
-    s = s.join(usual, "session")
+    usual = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN step > 0 AND step < 1 THEN step END DESC)")
+    facts = s.groupBy("session").agg(F.coalesce(usual, F.lit(0.04)).alias("usual"), F.count(F.lit(1)).alias("rows"), F.max("removed_s").alias("removed_s"))
+    s = s.join(facts.select("session", "usual"), "session").withColumn("low", F.col("value") <= low)
     starts = F.col("low") & ~F.coalesce(F.lag("low").over(order) & (F.col("step") <= F.greatest(F.lit(0.12), 2.5 * F.col("usual"))), F.lit(False))
-    s = s.withColumn("low", F.col("value") <= low)
     s = s.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(order))
-    runs = s.filter("low").groupBy("session", "run").agg(F.count(F.lit(1)).alias("n"), F.min("t_s").alias("start_s"), F.max("t_s").alias("end_s"), F.max("seq").alias("end_seq")).filter(F.col("n") >= least)
+    runs = s.filter("low").groupBy("session", "run", "usual").agg(F.count(F.lit(1)).alias("n"), F.min("t_s").alias("start_s"), F.max("t_s").alias("end_s"), F.max("seq").alias("end_seq"))
+    runs = runs.filter(F.col("end_s") - F.col("start_s") + F.col("usual") >= least_s)
     last = runs.groupBy("session").agg(F.max_by(F.struct("n", "start_s", "end_s", "end_seq"), "run").alias("r")).select("session", "r.*")
     after = series.filter(F.col("value") >= high).select(F.col("session").alias("h_session"), F.struct("seq", "t_s").alias("h"))
     hit = last.join(after, (F.col("session") == F.col("h_session")) & (F.col("h.seq") > F.col("end_seq")), "left")
-    return hit.groupBy("session", "n", "start_s", "end_s").agg(F.min("h").alias("h")).select("session", "n", "start_s", "end_s", F.col("h.t_s").alias("rise_s"))
+    hit = hit.groupBy("session", "n", "start_s", "end_s").agg(F.min("h").alias("h")).select("session", "n", "start_s", "end_s", F.col("h.t_s").alias("rise_s"))
+    out = facts.join(hit, "session", "left").withColumn("offset_s", F.col("removed_s") - F.col("rise_s"))
+    error = (
+        F.when(F.col("rows") < 2, "too_few").when(F.col("n").isNull(), "no_marker").when(F.col("rise_s").isNull(), "no_transition")
+        .when(~F.col("offset_s").between(earliest_s, latest_s), "implausible_offset")
+    )
+    return out.select("session", "n", "start_s", "end_s", "rise_s", "offset_s", error.alias("error"))

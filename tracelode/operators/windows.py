@@ -6,25 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LATEST_S, LONGEST_S = 86_400.0, 3_600.0
-_WINDOW = r"^\s*(\d+(?:\.\d+)?)\s*(?:-\s*(\d+(?:\.\d+)?)\s*)?(?:seconds?|s)\s*$"
+_NUMBER, _NEGATIVE = r"\d+(?:\.\d+)?", r"^\s*-\s*\d|\d\s*-\s*-\s*\d"
 
 
 def frame_window(text: Column, frame_s: Column) -> Column:
-    """`N seconds` or `N-M seconds` as a struct of start_s, end_s and error. Windows are within a day and an hour long at most; a null text is no window and no error."""
-    a = F.nullif(F.regexp_extract(text, _WINDOW, 1), F.lit("")).cast("double")
-    b = F.coalesce(F.nullif(F.regexp_extract(text, _WINDOW, 2), F.lit("")).cast("double"), a + frame_s)
-    error = F.when(text.isNull(), None).when(a.isNull(), "not_a_window").when(b <= a, "reversed").when(b > LATEST_S, "too_late").when(b - a > LONGEST_S, "too_long")
+    """The first number of a text, and the second or else `frame_s` later, as a struct of start_s, end_s and error. A text without numbers, or null, is no window and no error.
+    Windows are within a day and an hour long at most; they may be empty."""
+    numbers = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_NUMBER), F.lit(0)), lambda x: x.cast("double"))
+    a = F.get(numbers, 0)
+    b = F.coalesce(F.get(numbers, 1), a + frame_s)
+    error = (
+        F.when(text.rlike(_NEGATIVE), "negative").when(a.isNull(), None).when((a == float("inf")) | (b == float("inf")), "not_finite")
+        .when(b < a, "reversed").when(b > LATEST_S, "too_late").when(b - a > LONGEST_S, "too_long")
+    )
     return F.struct(F.when(error.isNull(), a).alias("start_s"), F.when(error.isNull(), b).alias("end_s"), error.alias("error"))
 
 
-def resolve_windows(frames: DataFrame, frame_s: float) -> DataFrame:
-    """Fills missing starts: from a single known base frame by frame, else from 0. `in_order` is false where a frame starts before the one ahead. frames: session, seq, start_s."""
+def resolve_windows(frames: DataFrame, frame_s: float, default_index: int = 0) -> DataFrame:
+    """The window of every frame: the one that is listed for it; else, if the list has one entry only, that many frames after its start; else by place from `default_index` on.
+    `in_order` is false where a frame starts before the one ahead. frames: session, seq, window (text), listed (entries in the session's list)."""
     w = Window.partitionBy("session")
-    place = F.row_number().over(w.orderBy("seq")) - 1
-    rows = frames.withColumn("place", place).withColumn("known", F.count("start_s").over(w)).withColumn("base", F.max(F.when(F.col("place") == 0, F.col("start_s"))).over(w))
-    start = F.coalesce("start_s", F.when(F.col("known") == 1, F.col("base") + F.col("place") * frame_s), F.col("place") * frame_s)
-    rows = rows.withColumn("start_s", start).withColumn("end_s", F.col("start_s") + frame_s)
-    return rows.withColumn("in_order", F.coalesce(F.col("start_s") >= F.lag("start_s").over(w.orderBy("seq")), F.lit(True))).drop("place", "known", "base")
+    rows = frames.withColumn("place", F.row_number().over(w.orderBy("seq")) - 1).withColumn("w", frame_window(F.col("window"), F.lit(frame_s)))
+    rows = rows.withColumn("base", F.max(F.when(F.col("place") == 0, F.col("w.start_s"))).over(w))
+    single = (F.col("listed") == 1) & (F.col("place") > 0)
+    start = F.coalesce("w.start_s", F.when(single, F.col("base") + F.col("place") * frame_s), (F.col("place") + default_index) * F.lit(frame_s))
+    rows = rows.withColumn("start_s", F.when(F.col("w.error").isNull(), start)).withColumn("end_s", F.coalesce("w.end_s", F.col("start_s") + frame_s))
+    rows = rows.withColumn("in_order", F.coalesce(F.col("start_s") >= F.lag("start_s").over(w.orderBy("seq")), F.lit(True)))
+    return rows.withColumn("error", F.col("w.error")).drop("place", "base", "w")
 
 
 def wall_window(passes: DataFrame, most_s: float, now: Column) -> DataFrame:

@@ -130,7 +130,7 @@ QUERIES |= {
     "src_artifacts": _artifact_files,
     "sink_run_summary": _run_summary,
     "st_frame_window": lambda s, d: X.table(s, d, "events").select("event_id", W.frame_window(_window_text(), F.lit(2.0)).alias("w")).select("event_id", "w.*"),
-    "st_resolve_windows": lambda s, d: W.resolve_windows(_partial_windows(s, d), 2.0).select("session", "seq", "start_s", "end_s", "in_order"),
+    "st_resolve_windows": lambda s, d: W.resolve_windows(_partial_windows(s, d), 2.0, 5).select("session", "seq", "start_s", "end_s", "in_order"),
     "st_wall_window": lambda s, d: W.wall_window(X.table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("timestamp")).alias("started")), 3600.0, F.lit("1996-06-01 00:30:00").cast("timestamp")).select("o_orderkey", F.round("remaining_s", 3).alias("remaining_s"), "expired"),
     "jd_extract_json": lambda s, d: X.table(s, d, "events").select("event_id", F.get_json_object(J.extract_json(_answer()), "$.k").alias("k")),
     "jd_stage_input": lambda s, d: J.stage_input(X.grades(s, d).filter("dim = 'D4'").select("system", "task_id", F.col("grade").alias("judgment"), F.col("category").alias("task_spec")), "review_1", {"first": ["task_spec"], "review_1": ["judgment", "task_spec"]}).select("system", "task_id", F.sha2("document", 256).alias("document")),
@@ -139,13 +139,22 @@ QUERIES |= {
 
 
 def _window_text():
+    """Windows in every grammar: one number, two, equal bounds, free text around them, none, negative, too late, too long."""
     k = F.col("event_id")
-    return F.when(k % 5 == 0, F.concat((k % 100).cast("string"), F.lit(" seconds"))).when(k % 5 == 1, F.concat((k % 90).cast("string"), F.lit("-"), (k % 77).cast("string"), F.lit(" seconds"))).when(k % 5 == 2, "90000 seconds").when(k % 5 == 3, "-3 seconds")
+    a, b = (k % 90).cast("string"), (k % 77).cast("string")
+    return (
+        F.when(k % 8 == 0, F.concat((k % 100).cast("string"), F.lit(" seconds"))).when(k % 8 == 1, F.concat(a, F.lit("-"), b, F.lit(" seconds")))
+        .when(k % 8 == 2, F.concat(F.lit("<"), a, F.lit(".5 to "), a, F.lit(".5>"))).when(k % 8 == 3, "90000 seconds").when(k % 8 == 4, F.concat(F.lit("- "), a, F.lit(" seconds")))
+        .when(k % 8 == 5, "no time").when(k % 8 == 6, "10-4000 s")
+    )
 
 
 def _partial_windows(s, d):
+    """Sessions with a list that has gaps, with one entry, and without a list."""
     e = X.session_events(s, d)
-    return e.select("session", "seq", F.when(F.col("session") % 3 == 0, F.col("seq") * 2.0).when((F.col("session") % 3 == 1) & (F.col("seq") == 1), 7.0).alias("start_s"))
+    kind, at = F.col("session") % 3, (F.col("seq") * 2).cast("string")
+    window = F.when((kind == 0) & (F.col("seq") % 4 != 0), F.concat(at, F.lit("-"), at, F.lit(".5 seconds"))).when((kind == 1) & (F.col("seq") == 1), "7-9.5 seconds")
+    return e.select("session", "seq", window.alias("window"), F.when(kind == 0, 1000).when(kind == 1, 1).otherwise(0).alias("listed"))
 
 
 def _answer():
@@ -160,9 +169,11 @@ ORACLES |= {
     "src_capture_summary": "SELECT conv_id::VARCHAR AS task_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, turn AS t, sha256(text) AS text FROM conversations WHERE role = 'assistant'",
     "src_artifacts": "SELECT sum(length('n' || n_nationkey) + 1) AS bytes, true AS hashed FROM nation",
     "sink_run_summary": "SELECT o_orderkey, o_orderstatus, o_orderstatus AS again FROM orders",
-    "st_frame_window": """WITH e AS (SELECT event_id, event_id % 5 AS m, (event_id % 100)::DOUBLE AS a, (event_id % 90)::DOUBLE AS b, (event_id % 77)::DOUBLE AS c FROM events)
-SELECT event_id, CASE m WHEN 0 THEN a WHEN 1 THEN CASE WHEN c > b THEN b END END AS start_s, CASE m WHEN 0 THEN a + 2 WHEN 1 THEN CASE WHEN c > b THEN c END END AS end_s, CASE m WHEN 1 THEN CASE WHEN c <= b THEN 'reversed' END WHEN 2 THEN 'too_late' WHEN 3 THEN 'not_a_window' END AS error FROM e""",
-    "st_resolve_windows": oracle("events_", """, w AS (SELECT session, seq, CASE WHEN session % 3 = 0 THEN seq * 2.0 WHEN session % 3 = 1 THEN 7.0 + (seq - 1) * 2.0 ELSE (seq - 1) * 2.0 END::DOUBLE AS start_s FROM session_events) SELECT session, seq, start_s, start_s + 2.0 AS end_s, true AS in_order FROM w"""),
+    "st_frame_window": """WITH e AS (SELECT event_id, event_id % 8 AS m, (event_id % 100)::DOUBLE AS a, (event_id % 90)::DOUBLE AS b, (event_id % 77)::DOUBLE AS c FROM events)
+SELECT event_id, CASE m WHEN 0 THEN a WHEN 1 THEN CASE WHEN c >= b THEN b END WHEN 2 THEN b + 0.5 END AS start_s, CASE m WHEN 0 THEN a + 2 WHEN 1 THEN CASE WHEN c >= b THEN c END WHEN 2 THEN b + 0.5 END AS end_s,
+ CASE m WHEN 1 THEN CASE WHEN c < b THEN 'reversed' END WHEN 3 THEN 'too_late' WHEN 4 THEN 'negative' WHEN 6 THEN 'too_long' END AS error FROM e""",
+    "st_resolve_windows": oracle("events_", """, w AS (SELECT session, seq, CASE WHEN session % 3 = 0 AND seq % 4 <> 0 THEN seq * 2.0 WHEN session % 3 = 1 THEN 7.0 + (seq - 1) * 2.0 ELSE (seq + 4) * 2.0 END::DOUBLE AS start_s FROM session_events)
+SELECT session, seq, start_s, CASE WHEN session % 3 = 0 AND seq % 4 <> 0 THEN start_s + 0.5 WHEN session % 3 = 1 AND seq = 1 THEN 9.5 ELSE start_s + 2.0 END AS end_s, coalesce(start_s >= lag(start_s) OVER (PARTITION BY session ORDER BY seq), true) AS in_order FROM w"""),
     "st_wall_window": "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 AND o_orderdate <= TIMESTAMP '1996-06-01 00:30:00' THEN o_orderdate ELSE TIMESTAMP '1996-06-01 00:30:00' END AS st FROM orders) SELECT o_orderkey, round(greatest(0.0, 3600.0 - (epoch_us(TIMESTAMP '1996-06-01 00:30:00') - epoch_us(st)) / 1e6), 3) AS remaining_s, 3600.0 - (epoch_us(TIMESTAMP '1996-06-01 00:30:00') - epoch_us(st)) / 1e6 <= 0 AS expired FROM o",
     "jd_extract_json": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN json_extract_string(props, '$.k') END AS k FROM events",
     "aud_execution": oracle("recorded", """SELECT id, reason FROM (SELECT r.path AS id, unnest([CASE WHEN r.bytes % 3 = 0 THEN 'artifacts' END, CASE WHEN r.bytes % 5 = 0 THEN 'seal' END, CASE WHEN a.path IS NULL THEN 'no_ledger' WHEN a.doc_id % 4 = 0 THEN 'ledger' END]) AS reason FROM recorded r LEFT JOIN artifacts a ON a.path = r.path) WHERE reason IS NOT NULL"""),

@@ -28,16 +28,16 @@ _SESSIONS = """sessions AS (SELECT c_custkey AS session, CASE WHEN c_custkey % 3
 def _samples(spark, d):
     """A media clock that runs with the log and falls back now and then."""
     e = _ev(spark, d)
-    return e.select("session", "seq", "t_s", F.bround(F.col("t_s") % 20.0, 3).alias("media_s"), F.lit(20.0).alias("duration_s"), F.col("latency_ms").alias("value"), "kind")
+    return e.select("session", "seq", "t_s", F.bround(F.col("t_s") % 20.0, 3).alias("media_s"), F.lit(20.0).alias("duration_s"), F.col("latency_ms").alias("value"), "kind", F.floor(F.col("seq") / 3).alias("frame"), (F.col("session") % 50).cast("double").alias("removed_s"))
 
 
-_SAMPLES = ", samples AS (SELECT session, seq, t_s, round_even(t_s % 20.0, 3) AS media_s, latency_ms AS value, kind FROM session_events)"
+_SAMPLES = ", samples AS (SELECT session, seq, t_s, round_even(t_s % 20.0, 3) AS media_s, latency_ms AS value, kind, seq // 3 AS frame, (session % 50)::DOUBLE AS removed_s FROM session_events)"
 
 
 def _health(spark, d):
     e = _ev(spark, d)
     v = F.col("latency_ms")
-    return e.select("session", "seq", F.when(F.col("event_id") % 97 == 0, "failed").otherwise("connected").alias("state"), (F.col("event_id") % 41 == 0).alias("paused"), (F.col("event_id") % 6).alias("reconnects"), (v / 40).alias("unhealthy_s"), (v / 20).alias("media_stall_s"), (v / 30).alias("frame_stall_s"))
+    return e.select("session", "seq", F.when(F.col("event_id") % 97 == 0, "failed").otherwise("connected").alias("state"), (F.col("event_id") % 41 == 0).alias("paused"), (F.col("event_id") % 6).alias("closes"), F.when(F.col("event_id") % 5 == 0, v / 2).alias("disconnected_s"), (v / 60).alias("unhealthy_s"), (v / 40).alias("media_stall_s"), (v / 15).alias("frame_stall_s"), (F.col("event_id") % 3).alias("guard_pauses"))
 
 
 def _merged(spark, d):
@@ -57,6 +57,12 @@ def _r(df, *cols):
     return df.withColumns({c: F.round(c, 4) for c in cols})
 
 
+def _stalls(spark, d):
+    """Every sample's stalls, beside the longest of its session."""
+    rows = I.stalls(_samples(spark, d))
+    return _r(rows.join(I.longest_stalls(rows), "session").drop("t_s"), "stall_s", "frame_stall_s", "longest_stall_s", "longest_frame_stall_s")
+
+
 QUERIES = {
     "tl_rebase": lambda s, d: _r(L.rebase_clock(_ev(s, d).select("session", "seq", (F.col("t_s") * 1000).alias("t_ms")), _sessions(s, d)).select("session", "seq", "wall_s"), "wall_s"),
     "tl_queries": lambda s, d: _ev(s, d, "query").select("session", "seq", "t_s", "text"),
@@ -75,9 +81,9 @@ QUERIES = {
     "iv_merge": lambda s, d: _merged(s, d).select("session", "start_s", "end_s", F.array_join(F.array_sort("reasons"), ",").alias("reasons")),
     "iv_keep": lambda s, d: I.keep_segments(_trims(s, d), _merged(s, d)),
     "iv_totals": lambda s, d: I.interval_totals(_merged(s, d)),
-    "iv_value_runs": lambda s, d: _r(I.value_runs(_samples(s, d), 60.0, 2, 100.0).select("session", "n", "start_s", "end_s", "rise_s"), "start_s"),
+    "iv_value_runs": lambda s, d: _r(I.value_runs(_samples(s, d), 60.0, 0.1, 100.0), "start_s", "end_s", "rise_s", "offset_s"),
     "st_loop_unroll": lambda s, d: _r(I.unroll_loops(_samples(s, d)).select("session", "seq", "loops", "timeline_s"), "timeline_s"),
-    "st_stalls": lambda s, d: _r(I.stalls(_samples(s, d)).select("session", "seq", "stall_s"), "stall_s"),
+    "st_stalls": lambda s, d: _stalls(s, d),
     "st_interrupts": lambda s, d: I.interruptions(_health(s, d)),
     "st_downtime": lambda s, d: _r(I.downtime(_ev(s, d)), "down_s", "longest_s"),
     "st_segments": lambda s, d: I.segments(X.frames(s, d), 10.0),
@@ -119,17 +125,23 @@ gaps AS (SELECT session, coalesce(lag(nxt) OVER (PARTITION BY session ORDER BY b
 SELECT session, start_s, end_s FROM gaps WHERE end_s - start_s > 0.01"""),
     "iv_totals": oracle("intervals", _ISLANDS + "SELECT session, count(*) AS pieces, sum(end_s - start_s) AS total_s FROM merged GROUP BY 1"),
     "iv_value_runs": oracle("events_", _SAMPLES + """, a AS (SELECT *, t_s - lag(t_s) OVER w AS step FROM samples WINDOW w AS (PARTITION BY session ORDER BY seq)),
-m AS (SELECT session, median(step) AS usual FROM a GROUP BY 1), b AS (SELECT a.*, usual, value <= 60 AS low FROM a JOIN m ON m.session = a.session),
+m AS (SELECT session, coalesce(percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN step > 0 AND step < 1 THEN step END DESC), 0.04) AS usual, count(*) AS rows, max(removed_s) AS removed_s FROM a GROUP BY 1),
+b AS (SELECT a.*, usual, value <= 60 AS low FROM a JOIN m ON m.session = a.session),
 c AS (SELECT *, CASE WHEN low AND NOT coalesce(lag(low) OVER w AND step <= greatest(0.12, 2.5 * usual), false) THEN 1 ELSE 0 END AS starts FROM b WINDOW w AS (PARTITION BY session ORDER BY seq)),
 e AS (SELECT *, sum(starts) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM c),
-r AS (SELECT session, run, count(*) AS n, min(t_s) AS start_s, max(t_s) AS end_s, max(seq) AS end_seq FROM e WHERE low GROUP BY 1, 2 HAVING count(*) >= 2),
-l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY session ORDER BY run DESC) = 1)
-SELECT l.session, n, round(start_s, 4) AS start_s, end_s, arg_min(s.t_s, s.seq) AS rise_s FROM l LEFT JOIN (SELECT * FROM samples WHERE value >= 100) s ON s.session = l.session AND s.seq > end_seq GROUP BY 1, 2, 3, 4"""),
+r AS (SELECT session, run, count(*) AS n, min(t_s) AS start_s, max(t_s) AS end_s, max(seq) AS end_seq FROM e WHERE low GROUP BY 1, 2 HAVING max(t_s) - min(t_s) + max(usual) >= 0.1),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY session ORDER BY run DESC) = 1),
+h AS (SELECT l.session, n, start_s, end_s, arg_min(s.t_s, s.seq) AS rise_s FROM l LEFT JOIN (SELECT * FROM samples WHERE value >= 100) s ON s.session = l.session AND s.seq > end_seq GROUP BY 1, 2, 3, 4)
+SELECT m.session, n, round(start_s, 4) AS start_s, round(end_s, 4) AS end_s, round(rise_s, 4) AS rise_s, round(removed_s - rise_s, 4) AS offset_s, CASE WHEN rows < 2 THEN 'too_few' WHEN n IS NULL THEN 'no_marker' WHEN rise_s IS NULL THEN 'no_transition'
+ WHEN removed_s - rise_s < -0.25 OR removed_s - rise_s > 30 THEN 'implausible_offset' END AS error FROM m LEFT JOIN h ON h.session = m.session"""),
     "st_loop_unroll": oracle("events_", _SAMPLES + """, j AS (SELECT *, CASE WHEN lag(media_s) OVER (PARTITION BY session ORDER BY seq) - media_s > 0.25 THEN 1 ELSE 0 END AS back FROM samples),
 k AS (SELECT *, sum(back) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) AS loops FROM j) SELECT session, seq, loops, round(loops * 20.0 + media_s, 4) AS timeline_s FROM k"""),
-    "st_stalls": oracle("events_", _SAMPLES + """, j AS (SELECT *, max(media_s) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM samples),
-k AS (SELECT *, CASE WHEN most IS NULL OR media_s > most THEN t_s END AS moved FROM j) SELECT session, seq, round(t_s - last_value(moved IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING), 4) AS stall_s FROM k"""),
-    "st_interrupts": oracle("events_", """, h AS (SELECT session, seq, CASE WHEN event_id % 97 = 0 THEN 'hard_state' WHEN event_id % 41 = 0 THEN 'paused' WHEN event_id % 6 > 3 THEN 'reconnect_budget' WHEN latency_ms / 40 > 2 THEN 'unhealthy' WHEN latency_ms / 20 > 5 THEN 'media_stall' WHEN latency_ms / 30 > 5 THEN 'frame_stall' END AS reason FROM session_events)
+    "st_stalls": oracle("events_", _SAMPLES + """, w AS (SELECT session, seq, t_s, media_s AS progress, t_s AS moved, frame, t_s AS frame_at FROM samples WHERE seq = 1 UNION ALL
+SELECT s.session, s.seq, s.t_s, CASE WHEN s.media_s > w.progress + 0.03 OR s.media_s + 0.25 < w.progress THEN s.media_s ELSE w.progress END, CASE WHEN s.media_s > w.progress + 0.03 OR s.media_s + 0.25 < w.progress THEN s.t_s ELSE w.moved END,
+ greatest(s.frame, w.frame), CASE WHEN s.frame > w.frame THEN s.t_s ELSE w.frame_at END FROM w JOIN samples s ON s.session = w.session AND s.seq = w.seq + 1)
+SELECT session, seq, round(t_s - moved, 4) AS stall_s, round(t_s - frame_at, 4) AS frame_stall_s, round(max(t_s - moved) OVER (PARTITION BY session), 4) AS longest_stall_s, round(max(t_s - frame_at) OVER (PARTITION BY session), 4) AS longest_frame_stall_s FROM w""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "st_interrupts": oracle("events_", """, h AS (SELECT session, seq, CASE WHEN event_id % 97 = 0 THEN 'hard_state' WHEN event_id % 41 = 0 THEN 'paused' WHEN event_id % 5 = 0 AND event_id % 6 > 3 THEN 'reconnect_budget' WHEN event_id % 5 = 0 AND latency_ms / 2 > 30 THEN 'reconnect_timeout'
+ WHEN latency_ms / 60 > 2 THEN 'unhealthy' WHEN latency_ms / 40 > CASE WHEN event_id % 3 > 0 THEN 30 ELSE 2 END THEN 'media_stall' WHEN event_id % 5 <> 0 AND latency_ms / 15 > 5 THEN 'frame_stall' END AS reason FROM session_events)
 SELECT session, arg_min(reason, seq) AS reason, min(seq) AS seq FROM h WHERE reason IS NOT NULL GROUP BY 1"""),
     "st_downtime": oracle("events_", """, n AS (SELECT *, lead(kind) OVER w AS nk, lead(t_s) OVER w AS nt FROM session_events WHERE kind IN ('disconnect', 'resume') WINDOW w AS (PARTITION BY session ORDER BY seq))
 SELECT session, count(*) AS outages, round(sum(nt - t_s), 4) AS down_s, round(max(nt - t_s), 4) AS longest_s FROM n WHERE kind = 'disconnect' AND nk = 'resume' GROUP BY 1"""),
