@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset, as on one machine, a folder of our own."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local master may leave that unset and gets a folder of our own; executors of a cluster would not find it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         root = _own[0]

@@ -27,10 +27,10 @@ def _frames(s, d):
 
 
 def _chunks(s, d):
-    """Conversations as chunks in which control tokens open and close rounds."""
+    """Conversations as chunks in which control tokens open and close rounds; one poll a conversation."""
     c = X.table(s, d, "conversations")
-    text = F.when(F.col("role") == "user", F.concat(F.lit("<response>"), F.substring("text", 1, 20))).when(F.col("role") == "assistant", F.concat(F.substring("text", 1, 5), F.lit("</response>"))).otherwise(F.col("text"))
-    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), text.alias("text"))
+    text = F.when(F.col("role") == "user", F.concat(F.lit(S.START), "text")).when(F.col("role") == "assistant", F.concat(F.lit(S.ANSWER), "text", F.lit(S.END))).otherwise(F.col("text"))
+    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.lit(0).cast("long").alias("poll"), text.alias("text"))
 
 
 def _index_documents(s, d):
@@ -49,20 +49,36 @@ def _clock_policy(s, d):
 
 
 QUERIES = {
-    "iv_outages": lambda s, d: S.outages(_outage_events(s, d)),
+    "iv_outages": lambda s, d: S.outages(_outage_events(s, d)).select("session", "start_s", "end_s", "start_position_s", F.array_join("reasons", ",").alias("reasons")),
     "st_media_clock": lambda s, d: S.media_clock(_frames(s, d)),
-    "rsp_round_assembly": lambda s, d: S.assemble_rounds(_chunks(s, d)).select("session", "round", F.sha2("text", 256).alias("text")),
+    "rsp_round_assembly": lambda s, d: S.assemble_rounds(_chunks(s, d)).select("session", "poll", F.sha2("content", 256).alias("content")),
     "src_media_index": lambda s, d: files.media_index(_index_documents(s, d)),
     "tl_d3_clock": _clock_policy,
-    "sink_index": lambda s, d: s.createDataFrame([(files.content_hash(X.table(s, d, "orders")) == files.content_hash(X.table(s, d, "orders").orderBy("o_custkey")), X.table(s, d, "orders").count())], "same boolean, rows long"),
+    "sink_index": lambda s, d: _index_sink(s, d),
 }
 ORACLES = {
     "src_media_index": """WITH r AS (SELECT CASE WHEN page_id % 4 = 1 THEN 't' || (page_id - 1) WHEN page_id % 4 = 3 THEN 'm' || page_id ELSE 't' || page_id END AS id, CASE WHEN page_id % 4 = 1 THEN page_id || '.mov' WHEN page_id % 4 = 3 THEN 'x.mp4' ELSE page_id || '.mp4' END AS video FROM pages)
 SELECT id, min(video) AS video, count(*) AS times FROM r GROUP BY 1""",
     "tl_d3_clock": "SELECT c_custkey AS task_id, CASE WHEN c_custkey % 2 = 1 OR c_custkey % 3 = 0 THEN 'explicit_query_or_startup_model_latency' ELSE 'visual_event_end_to_end' END AS mode FROM customer",
-    "sink_index": "SELECT true AS same, count(*) AS rows FROM orders",
-    "rsp_round_assembly": """WITH c AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '<response>' || text[1:20] WHEN 'assistant' THEN text[1:5] || '</response>' ELSE text END, '' ORDER BY turn) AS t FROM conversations GROUP BY 1),
-p AS (SELECT conv_id, regexp_extract_all(t, '(?s)<response>(.*?)</response>', 1) AS r FROM c) SELECT conv_id AS session, i - 1 AS round, sha256(trim(r[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text FROM (SELECT conv_id, r, unnest(range(1, len(r) + 1)) AS i FROM p)""",
+    "sink_index": "SELECT true AS first, false AS again, true AS changed, o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 5 <> 0",
+    "st_media_clock": oracle("events_", """, f AS (SELECT session, seq, t_s * 1000 AS wall, latency_ms * 10 AS inbound, CASE WHEN kind = 'query' THEN t_s * 500 END AS q FROM session_events),
+w AS (SELECT session, seq, coalesce(q, inbound, 0) AS anchor, wall AS origin, coalesce(q, inbound, 0) AS media_ms FROM f WHERE seq = 1 UNION ALL
+SELECT f.session, f.seq, coalesce(f.q, w.anchor), CASE WHEN f.q IS NULL THEN w.origin ELSE f.wall END, CASE WHEN f.q IS NOT NULL THEN f.q ELSE greatest(w.anchor + greatest(0, f.wall - w.origin), coalesce(f.inbound, 0), w.media_ms + 1) END
+FROM w JOIN f ON f.session = w.session AND f.seq = w.seq + 1) SELECT session, seq, media_ms FROM w""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "iv_outages": oracle("events_", """, e AS (SELECT session, seq, t_s * 1000 AS t, kind IN ('output', 'stalled') AS late, kind IN ('output', 'stalled', 'disconnect') AS down, kind = 'query' AS progress, CASE WHEN kind <> 'disconnect' THEN latency_ms END AS p,
+ CASE kind WHEN 'output' THEN 'local_rtsp_relay_output_stalled' WHEN 'stalled' THEN 'local_rtsp_relay_failed' WHEN 'disconnect' THEN 'capture_stream_disconnected' ELSE 'local_rtsp_relay_resumed' END AS type FROM session_events),
+w AS (SELECT DISTINCT session, 0::BIGINT AS seq, NULL::DOUBLE AS beg, NULL::DOUBLE AS pos, []::VARCHAR[] AS why, NULL::DOUBLE AS seen, NULL::DOUBLE AS seen_p, NULL::DOUBLE AS c_s, NULL::DOUBLE AS c_e, NULL::DOUBLE AS c_p, []::VARCHAR[] AS c_why FROM e UNION ALL
+SELECT session, seq, CASE WHEN down THEN least(coalesce(beg, dated), dated) WHEN NOT closes THEN beg END, CASE WHEN down AND beg IS NULL THEN p WHEN NOT closes THEN pos END, CASE WHEN down AND NOT list_contains(why, type) THEN list_append(why, type) WHEN closes THEN [] ELSE why END,
+ CASE WHEN progress AND p IS NOT NULL THEN t ELSE seen END, CASE WHEN progress AND p IS NOT NULL THEN p ELSE seen_p END, CASE WHEN closes THEN beg / 1000 END, CASE WHEN closes THEN t / 1000 END, CASE WHEN closes THEN pos END, CASE WHEN closes THEN list_append(why, type) ELSE [] END
+FROM (SELECT e.*, beg, pos, why, seen, seen_p, CASE WHEN late AND seen IS NOT NULL AND p IS NOT NULL THEN least(t, seen + greatest(0, p - seen_p) * 1000) ELSE t END AS dated, coalesce(NOT down AND NOT progress AND t > beg, false) AS closes FROM w JOIN e ON e.session = w.session AND e.seq = w.seq + 1)),
+c AS (SELECT session, c_s, c_e, c_p, c_why, c_s > max(c_e) OVER (PARTITION BY session ORDER BY c_s, c_e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0.001 AS fresh FROM w WHERE c_e - c_s >= 0.001),
+i AS (SELECT *, sum(CASE WHEN coalesce(fresh, true) THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY c_s, c_e ROWS UNBOUNDED PRECEDING) AS island FROM c),
+r AS (SELECT session, island, min(c_s) AS start_s, max(c_e) AS end_s, list(c_p ORDER BY c_s, c_e)[1] AS start_position_s, flatten(list(c_why ORDER BY c_s, c_e)) AS a FROM i GROUP BY 1, 2)
+SELECT session, start_s, end_s, start_position_s, array_to_string(list_filter(a, lambda x, k: list_position(a, x) = k), ',') AS reasons FROM r""").replace("WITH ", "WITH RECURSIVE ", 1),
+    "rsp_round_assembly": """WITH c AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '<|round_start|>' || text WHEN 'assistant' THEN '<|response|>' || text || '<|round_end|>' ELSE text END, '' ORDER BY turn) AS t FROM conversations GROUP BY 1),
+p AS (SELECT conv_id, string_split(replace(t, '<|response|>', ''), '<|round_end|>') AS r FROM c),
+q AS (SELECT conv_id, trim(regexp_replace(replace(array_to_string(r[:-2], ' ') || ' ' || string_split(r[-1], '<|round_start|>')[1], '<|round_start|>', ' '), '\\s+', ' ', 'g')) AS x FROM p)
+SELECT conv_id AS session, 0 AS poll, sha256(CASE WHEN x = '' THEN '</silence>' ELSE '</response> ' || x END) AS content FROM q""",
 }
 
 
@@ -81,14 +97,14 @@ def _event_log(s, d):
 
 
 def _task_lines(s, d):
-    r = X.rounds(s, d).filter("rn = 1")
-    doc = F.to_json(F.struct(F.col("session").cast("string").alias("id"), F.lit("c").alias("category"), F.array(F.struct(F.lit("R1").alias("id"), F.col("text").alias("query"), F.col("turn").cast("double").alias("query_time_s"))).alias("queries")))
+    r = X.rounds(s, d)
+    doc = F.to_json(F.struct(F.concat_ws("-", "session", "rn").alias("id"), F.lit("c").alias("category"), F.array(F.struct(F.lit("R1").alias("id"), F.col("text").alias("query"), F.col("turn").cast("double").alias("query_time_s"))).alias("queries")))
     r.select(F.explode(F.array(F.lit("# note"), F.lit(""), doc)).alias("value")).write.text(path := new_path(s, "tasks"))
     return files.read_tasks_jsonl(s, path).select("id", F.sha2(F.get("queries", 0)["query"], 256).alias("query"), F.get("queries", 0)["query_time_s"].alias("at_s"))
 
 
 def _task_csv(s, d):
-    c = X.table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit('say "'), F.substring("text", 1, 9), F.lit('"\nend')).alias("query"))
+    c = X.table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit('say "'), "text", F.lit('"\nend')).alias("query"))
     c.unionByName(s.range(3).select(F.lit(" ").alias("id"), F.lit(None).cast("string").alias("query"))).write.csv(path := new_path(s, "csv"), header=True, quote='"', escape='"')
     return files.read_tasks_csv(s, path).select("id", F.sha2("query", 256).alias("query"))
 
@@ -109,10 +125,21 @@ def _summaries(s, d):
     return g.select(F.lit("s1").alias("system"), F.col("conv_id").cast("string").alias("task_id"), F.lit(1).alias("attempt"), turns("user", lambda x: F.struct(x["text"].alias("query"), x["turn"].alias("turn"))).alias("query_events"), turns("assistant", lambda x: F.struct(x["turn"].alias("t"), x["text"].alias("text"))).alias("vlm_responses"))
 
 
+def _index_sink(s, d):
+    """An index written, written again with its rows in another order, written changed, and read back beside what each write did."""
+    o, path = X.table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), new_path(s, "index")
+    done = [files.write_if_changed(x, path) for x in (o, o.repartition("o_custkey"), o.filter("o_orderkey % 5 != 0"))]
+    return s.read.schema(o.schema).json(path).select(*[F.lit(x).alias(n) for n, x in zip(("first", "again", "changed"), done)], "*")
+
+
 def _artifact_files(s, d):
-    X.table(s, d, "nation").repartition(3, "n_nationkey").sortWithinPartitions("n_nationkey").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("value")).write.text(path := new_path(s, "files"))
+    """Every document as the files of a text table, hashed as files: their bytes, and whether every file has a hash of its own rows."""
+    docs = X.table(s, d, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("value"), "doc_id")
+    docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path := new_path(s, "files"))
     a = files.read_artifacts(s, path).filter(F.col("path").contains("part-"))
-    return a.agg(F.sum("bytes").alias("bytes"), (F.count_if(F.length("sha256") == 64) == F.count(F.lit(1))).alias("hashed"))
+    own = s.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.sha2("value", 256).alias("own"))
+    same = a.join(own.hint("merge"), F.regexp_replace("path", "^file:/*", "/") == F.regexp_replace("p", "^file:/*", "/"), "left")
+    return same.agg(F.sum("bytes").alias("bytes"), F.bool_and(F.coalesce(F.col("own") == F.col("sha256"), F.lit(False))).alias("hashed"))
 
 
 def _run_summary(s, d):
@@ -164,10 +191,10 @@ def _answer():
 
 ORACLES |= {
     "src_event_log": oracle("events_", "SELECT session::VARCHAR AS session, count(*) AS n, max(seq) AS last_seq FROM session_events WHERE event_id % 50 <> 0 GROUP BY 1"),
-    "src_task_jsonl": oracle("rounds", "SELECT session::VARCHAR AS id, sha256(text) AS query, turn::DOUBLE AS at_s FROM rounds WHERE rn = 1"),
-    "src_task_csv": "SELECT conv_id || '-' || turn AS id, sha256('say \"' || text[1:9] || '\"' || chr(10) || 'end') AS query FROM conversations",
+    "src_task_jsonl": oracle("rounds", "SELECT session || '-' || rn AS id, sha256(text) AS query, turn::DOUBLE AS at_s FROM rounds"),
+    "src_task_csv": "SELECT conv_id || '-' || turn AS id, sha256('say \"' || text || '\"' || chr(10) || 'end') AS query FROM conversations",
     "src_capture_summary": "SELECT conv_id::VARCHAR AS task_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, turn AS t, sha256(text) AS text FROM conversations WHERE role = 'assistant'",
-    "src_artifacts": "SELECT sum(length('n' || n_nationkey) + 1) AS bytes, true AS hashed FROM nation",
+    "src_artifacts": "SELECT 65 * count(*) AS bytes, true AS hashed FROM documents",
     "sink_run_summary": "SELECT o_orderkey, o_orderstatus, o_orderstatus AS again FROM orders",
     "st_frame_window": """WITH e AS (SELECT event_id, event_id % 8 AS m, (event_id % 100)::DOUBLE AS a, (event_id % 90)::DOUBLE AS b, (event_id % 77)::DOUBLE AS c FROM events)
 SELECT event_id, CASE m WHEN 0 THEN a WHEN 1 THEN CASE WHEN c >= b THEN b END WHEN 2 THEN b + 0.5 END AS start_s, CASE m WHEN 0 THEN a + 2 WHEN 1 THEN CASE WHEN c >= b THEN c END WHEN 2 THEN b + 0.5 END AS end_s,

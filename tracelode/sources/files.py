@@ -5,6 +5,8 @@ Everything is read through Spark's readers, with schemas given, so that inputs m
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,10 +85,35 @@ def explode_summaries(summaries: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and sha256 of files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Files above this size are hashed in pieces by their task instead of as one cell of a row.
+WHOLE_BYTES = 1 << 28
+
+
+def read_artifacts(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """path, bytes and sha256 of files. Contents of files up to `whole_bytes` are hashed as rows; a larger one is streamed by a task through the file system that holds it."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = listed.filter(F.col("length") <= whole_bytes).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = listed.filter(F.col("length") > whole_bytes).select("path", F.col("length").alias("bytes"))
+    return small.unionByName(large.mapInArrow(_hashed, "path string, bytes long, sha256 string"))
+
+
+def _hashed(batches):
+    """The hash of each file, read in pieces of 8 MB."""
+    import hashlib
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for path in batch.column("path").to_pylist():
+            system, inside = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            digest = hashlib.sha256()
+            with system.open_input_stream(inside) as f:
+                while piece := f.read(1 << 23):
+                    digest.update(piece)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(out, pa.string())], names=["path", "bytes", "sha256"])
 
 
 def content_hash(df: DataFrame) -> str:

@@ -1,16 +1,20 @@
 """Stream forms of the session operators. The batch result over the same rows is what each must come to.
 
-Events carry `ts` (event time) besides session and seq. State lives per session and is dropped by watermark or timeout.
+Events carry `ts` (event time) besides session and seq. State lives per session and is removed when the watermark has passed its last event by `lateness`;
+events that come later than the watermark allows are in the table that `late_events` writes, not in a result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.intervals import merge_intervals, stall_step
+
 
 def dedupe_responses(stream: DataFrame, keys: list[str], lateness: str = "1 hour") -> DataFrame:
     """The first of equal keys within the watermark."""
@@ -41,51 +45,79 @@ def ack_match(requests: DataFrame, acks: DataFrame, within: str = "1 hour") -> D
     return r.join(a, on, "left_outer").select("session", "ts", "text", "ack_ts")
 
 
+def kept_state(stream: DataFrame, keys: list[str], step, result: str, state: str, empty: tuple, lateness: str, mode: str = "append"):
+    """A fold over the rows of each key in log order: step(state, rows) gives the new state and a result. The state ends with the latest event time, and is
+    removed once the watermark is `lateness` beyond it."""
+    wait_ms = int(pd.Timedelta(lateness).total_seconds() * 1000)
+    names = [x.strip().split(" ")[0] for x in result.split(",")]
+
+    def fold(key, batches: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        *now, latest = kept.get if kept.exists else (*empty, 0)
+        pdf = pd.concat(list(batches)).sort_values("seq")
+        now, out = step(key, tuple(now), pdf)
+        latest = max(latest, int(pdf["ts"].max().timestamp() * 1000))
+        kept.update((*now, latest))
+        kept.setTimeoutTimestamp(max(latest + wait_ms, kept.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    rows = stream.withWatermark("ts", lateness).groupBy(*keys)
+    return rows.applyInPandasWithState(fold, result, f"{state}, latest_ms long", mode, "EventTimeTimeout")
+
+
+def late_events(batch: DataFrame, newest_before: Column, lateness: str) -> DataFrame:
+    """Rows of a trigger that are older than the watermark before it, for a side table written in `foreachBatch`."""
+    return batch.filter(F.col("ts") < newest_before - F.expr(f"INTERVAL {lateness}"))
+
+
 BACKGROUND = "session long, task long, started_t double, finished_t double, status string"
 
 
-def background_tasks(stream: DataFrame) -> DataFrame:
-    """Folds started, ready and error events into the latest row of each background task (update mode). stream: session, task, t, status."""
+def background_tasks(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
+    """Folds started, ready and error events into the latest row of each background task (update mode). stream: session, task, seq, ts, t, status."""
 
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        started, finished, status, at = state.get if state.exists else (None, None, None, None)
-        for pdf in batches:
-            for t, s in zip(pdf["t"], pdf["status"]):
-                if s == "started":
-                    started = t if started is None else min(started, t)
-                else:
-                    finished = t if finished is None else max(finished, t)
-                if at is None or t >= at:
-                    status, at = s, t
-        state.update((started, finished, status, at))
-        yield pd.DataFrame({"session": [key[0]], "task": [key[1]], "started_t": [started], "finished_t": [finished], "status": [status]})
+    def step(key, state, pdf):
+        started, finished, status, at = state
+        for t, s in zip(pdf["t"], pdf["status"]):
+            if s == "started":
+                started = t if started is None else min(started, t)
+            else:
+                finished = t if finished is None else max(finished, t)
+            if at is None or t >= at:
+                status, at = s, t
+        return (started, finished, status, at), [(*key, started, finished, status)]
 
-    return stream.groupBy("session", "task").applyInPandasWithState(fold, BACKGROUND, "started double, finished double, status string, at double", "update", "NoTimeout")
+    return kept_state(stream, ["session", "task"], step, BACKGROUND, "started double, finished double, status string, at double", (None,) * 4, lateness, "update")
 
 
 #: Event types that open and close an outage.
 PROGRESS, STALLED = "local_rtsp_relay_progress", ("local_rtsp_relay_failed", "local_rtsp_relay_output_stalled")
 DISCONNECTED = "capture_stream_disconnected"
 RESUMED = ("local_rtsp_publisher_timeline_resumed", "local_rtsp_relay_resumed", "capture_stream_reconnect_ready")
-OUTAGE = "session long, start_s double, end_s double, reason string"
+OUTAGE = "session long, start_s double, end_s double, start_position_s double, reasons array<string>"
+_CLOSED = "session long, start_s double, end_s double, start_position_s double, reason string"
+#: State: open since, position of the source then, reasons; time and position of the last progress.
+_QUIET = (None, None, "", None, None)
 
 
 def outage_step(state: tuple, kind: str, t_ms: float, position_s: float | None) -> tuple[tuple, tuple | None]:
-    """One event: the new state (open since, reasons, time and position of the last progress) and an outage that it closes.
+    """One event: the new state and an outage that it closes.
 
     A stall is dated back to when the source had been delivered; an earlier start extends an open outage."""
-    start, reasons, seen_ms, seen_s = state
+    start, position, reasons, seen_ms, seen_s = state
     if kind == PROGRESS and position_s is not None:
-        return (start, reasons, t_ms, position_s), None
+        return (start, position, reasons, t_ms, position_s), None
     if kind in STALLED or kind == DISCONNECTED:
         begin = t_ms
         if kind in STALLED and seen_ms is not None and position_s is not None:
             begin = min(t_ms, seen_ms + max(0.0, position_s - seen_s) * 1000)
-        start = begin if start is None else min(start, begin)
-        return (start, reasons if kind in reasons.split(",") else f"{reasons},{kind}".strip(","), seen_ms, seen_s), None
+        start, position = (begin, position_s) if start is None else (min(start, begin), position)
+        return (start, position, reasons if kind in reasons.split(",") else f"{reasons},{kind}".strip(","), seen_ms, seen_s), None
     if kind in RESUMED and start is not None and t_ms > start:
         reasons = reasons if kind in reasons.split(",") else f"{reasons},{kind}".strip(",")
-        return (None, "", seen_ms, seen_s), (start / 1000, t_ms / 1000, reasons)
+        return (None, None, "", seen_ms, seen_s), (start / 1000, t_ms / 1000, position, reasons)
     return state, None
 
 
@@ -93,78 +125,178 @@ def _number(x) -> float | None:
     return None if x is None or x != x else float(x)
 
 
-def outages(events: DataFrame) -> DataFrame:
-    """Outages of finished sessions, one pass in log order over each session's own events. events: session, seq, t_ms, type, source_position_s."""
+def _outages(key, state, pdf):
+    out = []
+    for kind, t, p in pdf[["type", "t_ms", "source_position_s"]].itertuples(index=False):
+        if _number(t) is not None:
+            state, closed = outage_step(state, kind, float(t), _number(p))
+            out += [(key[0], *closed)] if closed else []
+    return state, out
+
+
+def closed_outages(events: DataFrame) -> DataFrame:
+    """Outages as their ends come in the log, one pass over each session's own events. events: session, seq, t_ms, type, source_position_s."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = (None, "", None, None), []
-        for kind, t, p in pdf.sort_values("seq")[["type", "t_ms", "source_position_s"]].itertuples(index=False):
-            if _number(t) is not None:
-                state, closed = outage_step(state, kind, float(t), _number(p))
-                out += [(key[0], *closed)] if closed else []
-        return pd.DataFrame(out, columns=["session", "start_s", "end_s", "reason"])
+        return pd.DataFrame(_outages(key, _QUIET, pdf.sort_values("seq"))[1], columns=["session", "start_s", "end_s", "start_position_s", "reason"])
 
-    return events.groupBy("session").applyInPandas(run, OUTAGE)
+    return events.groupBy("session").applyInPandas(run, _CLOSED)
 
 
-def outages_stream(stream: DataFrame) -> DataFrame:
-    """The same while sessions run: rows of one trigger are taken in log order, and the open outage is the state."""
+def merged_outages(closed: DataFrame) -> DataFrame:
+    """Outages that overlap, as one that was dated back can, become one with the reasons of all."""
+    return merge_intervals(closed.withColumn("reasons", F.split("reason", ",")).drop("reason")).select("session", "start_s", "end_s", "start_position_s", "reasons")
 
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now, out = state.get if state.exists else (None, "", None, None), []
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        for kind, t, p in pdf[["type", "t_ms", "source_position_s"]].itertuples(index=False):
-            if _number(t) is not None:
-                now, closed = outage_step(now, kind, float(t), _number(p))
-                out += [(key[0], *closed)] if closed else []
-        state.update(now)
-        yield pd.DataFrame(out, columns=["session", "start_s", "end_s", "reason"])
 
-    return stream.groupBy("session").applyInPandasWithState(fold, OUTAGE, "start double, reasons string, seen_ms double, seen_s double", "append", "NoTimeout")
+def outages(events: DataFrame) -> DataFrame:
+    """Outages of finished sessions."""
+    return merged_outages(closed_outages(events))
+
+
+def outages_stream(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
+    """`closed_outages` while sessions run: rows of one trigger are taken in log order, and the open outage is the state. `merged_outages` over what has come out makes them whole."""
+    return kept_state(stream, ["session"], _outages, _CLOSED, "start double, position double, reasons string, seen_ms double, seen_s double", _QUIET, lateness)
+
+
+STALL = "session long, seq long, stall_s double, frame_stall_s double"
+
+
+def stalls_stream(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
+    """`intervals.stalls` while sessions run. stream: session, seq, ts, t_s, media_s, frame."""
+
+    def step(key, state, pdf):
+        out = []
+        for seq, t, media, frame in pdf[["seq", "t_s", "media_s", "frame"]].itertuples(index=False):
+            state = stall_step(state, t, _number(media), _number(frame))
+            out.append((key[0], seq, None if state[0] is None else t - state[0], None if state[2] is None else t - state[2]))
+        return state, out
+
+    return kept_state(stream, ["session"], step, STALL, "at double, value double, frame_at double, frames double", (None,) * 4, lateness)
 
 
 CLOCK = "session long, seq long, media_ms double"
 
 
+def _clock(key, state, pdf):
+    """Anchor, wall time of the anchor, last value."""
+    anchor, origin, last = state
+    out = []
+    for seq, wall, inbound, query in pdf[["seq", "wall_ms", "inbound_ms", "query_ms"]].itertuples(index=False):
+        inbound, query = _number(inbound), _number(query)
+        if query is not None and query >= 0:
+            anchor, origin, last = query, wall, query
+        else:
+            if anchor is None:
+                anchor, origin = inbound or 0.0, wall
+            value = max(anchor + max(0.0, wall - origin), inbound or 0.0)
+            last = value if last is None else max(value, last + 1.0)
+        out.append((key[0], seq, last))
+    return (anchor, origin, last), out
+
+
 def media_clock(frames: DataFrame) -> DataFrame:
-    """An anchored clock that never runs back: a query's exact time sets the anchor; else anchor plus elapsed, at least the inbound time and the last value plus 1 ms.
+    """An anchored clock: a query's exact time is its value and sets the anchor; else it is anchor plus elapsed, at least the inbound time and the last value plus 1 ms.
     frames: session, seq, wall_ms, inbound_ms, query_ms (null without a query). Each value depends on the one before, so a session is one pass."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        anchor = origin = last = None
-        out = []
-        for seq, wall, inbound, query in pdf.sort_values("seq")[["seq", "wall_ms", "inbound_ms", "query_ms"]].itertuples(index=False):
-            inbound, query = _number(inbound), _number(query)
-            if query is not None:
-                anchor, origin, value = query, wall, query
-            else:
-                if anchor is None:
-                    anchor, origin = inbound or 0.0, wall
-                value = max(anchor + (wall - origin), inbound or 0.0)
-            if last is not None and value <= last:
-                value = last + 1.0
-            last = value
-            out.append((key[0], seq, value))
-        return pd.DataFrame(out, columns=["session", "seq", "media_ms"])
+        return pd.DataFrame(_clock(key, (None,) * 3, pdf.sort_values("seq"))[1], columns=["session", "seq", "media_ms"])
 
     return frames.groupBy("session").applyInPandas(run, CLOCK)
 
 
-ROUNDS = "session long, round long, text string"
+def media_clock_stream(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
+    """The same while sessions run. stream: session, seq, ts, wall_ms, inbound_ms, query_ms."""
+    return kept_state(stream, ["session"], _clock, CLOCK, "anchor double, origin double, last double", (None,) * 3, lateness)
+
 
+#: Control tokens of a model that speaks in rounds, and the forms that its output takes.
+START, END, ANSWER, QUIET = "<|round_start|>", "<|round_end|>", "<|response|>", "<|silence|>"
+SILENCE, RESPONSE = "</silence>", "</response>"
+_TOKEN = re.compile("|".join(map(re.escape, (START, END, ANSWER, QUIET))))
 
-def assemble_rounds(chunks: DataFrame, open_token: str = "<response>", close_token: str = "</response>") -> DataFrame:
-    """Complete responses out of chunks of text in which control tokens open and close rounds; a token may be cut by a chunk's border. chunks: session, seq, text."""
+
+def _line(text: str) -> str:
+    return " ".join(_TOKEN.sub("", text).split())
+
+
+def take_rounds(pending: str, chunk: str) -> tuple[str, list[str]]:
+    """What is still open once `chunk` has come after `pending`, and the texts that are complete; a silence is an empty text.
+
+    A round runs from its start to its end, or to a silence inside; text outside of rounds is complete when a round or a silence follows."""
+    pending, done = pending + chunk, []
+    while True:
+        start, quiet = pending.find(START), pending.find(QUIET)
+        if start >= 0 and (quiet < 0 or start < quiet):
+            if outside := _line(pending[:start]):
+                done.append(outside)
+            pending = pending[start:]
+            end, quiet = pending.find(END), pending.find(QUIET)
+            if end >= 0:
+                cut = end + len(END)
+            elif quiet >= 0:
+                cut = quiet + len(QUIET)
+            else:
+                return pending, done
+            done.append(_line(pending[:cut]))
+            pending = pending[cut:]
+        elif quiet >= 0:
+            if outside := _line(pending[:quiet]):
+                done.append(outside)
+            done.append("")
+            pending = pending[quiet + len(QUIET) :]
+        else:
+            return pending, done
+
+
+def _polled(done: list[str]) -> str:
+    """The answer to one poll: its texts in one line behind the marker, or silence."""
+    texts = [t.removeprefix(RESPONSE).strip() for t in done if t and t != SILENCE]
+    text = " ".join(t for t in texts if t)
+    return SILENCE if not texts or not text or text == SILENCE else text if text.startswith(RESPONSE) else f"{RESPONSE} {text}"
+
+
+ROUNDS = "session long, poll long, content string"
+
+
+def _rounds(key, state, pdf):
+    """State: the open text, and the poll whose answer has not been given with the texts complete in it."""
+    pending, poll, done = state[0], state[1], [] if state[2] is None else list(state[2])
+    out = []
+
+    def ended():
+        nonlocal pending, done
+        if START not in pending:
+            # Only an unfinished round waits for the next poll.
+            done, pending = [*done, *([x] if (x := _line(pending)) else [])], ""
+        out.append((key[0], poll, _polled(done)))
+        done = []
+
+    for at, text in pdf[["poll", "text"]].itertuples(index=False):
+        if poll is not None and at != poll:
+            ended()
+        poll = at
+        pending, new = take_rounds(pending, text or "")
+        done += new
+    return (pending, poll, done), (out, ended)
+
+
+def assemble_rounds(chunks: DataFrame) -> DataFrame:
+    """The answer to each poll out of chunks of text in which control tokens open and close rounds; a token may be cut by a chunk's border, and an open round is carried over
+    to the next poll. chunks: session, seq, poll, text."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        text = "".join(x for x in pdf.sort_values("seq")["text"] if x)
-        out, at = [], text.find(open_token)
-        while at >= 0:
-            end = text.find(close_token, at)
-            if end < 0:
-                break
-            out.append((key[0], len(out), text[at + len(open_token) : end].strip()))
-            at = text.find(open_token, end)
-        return pd.DataFrame(out, columns=["session", "round", "text"])
+        _, (out, ended) = _rounds(key, ("", None, None), pdf.sort_values("seq"))
+        ended()
+        return pd.DataFrame(out, columns=["session", "poll", "content"])
 
     return chunks.groupBy("session").applyInPandas(run, ROUNDS)
+
+
+def assemble_rounds_stream(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
+    """The same while sessions run: a poll is answered when the first chunk of the next one comes. stream: session, seq, ts, poll, text."""
+
+    def step(key, state, pdf):
+        now, (out, _) = _rounds(key, state, pdf)
+        return (now[0], int(now[1]), now[2]), out
+
+    return kept_state(stream, ["session"], step, ROUNDS, "pending string, poll long, done array<string>", ("", None, None), lateness)
