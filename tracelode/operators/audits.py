@@ -25,7 +25,7 @@ def verify_artifacts(recorded: DataFrame, actual: DataFrame) -> DataFrame:
 def scope_diff(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Keys on one side only."""
     e, a = expected.select(*keys).distinct().withColumn("e", F.lit(True)), actual.select(*keys).distinct().withColumn("a", F.lit(True))
-    both = e.join(a, keys, "full_outer").filter("e IS NULL OR a IS NULL")
+    both = e.join(a.hint("merge"), keys, "full_outer").filter("e IS NULL OR a IS NULL")
     return both.select(*keys, F.when(F.col("a").isNull(), "missing").otherwise("unexpected").alias("reason"))
 
 
@@ -44,50 +44,48 @@ def marker_join(texts: DataFrame, markers: DataFrame) -> DataFrame:
     inner = F.when(F.size(parts) > 2, longest(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))))
     m = markers.filter("text IS NOT NULL").select("marker_id", F.col("text").alias("marker"), inner.alias("key"), F.substring(longest(parts), 1, _GRAM).alias("gram"))
     words = texts.select("id", F.explode(F.array_distinct(F.filter(parts, lambda w: w != ""))).alias("key"))
-    pairs = words.join(m.filter("key IS NOT NULL"), "key").select("id", "marker_id", "marker")
+    pairs = words.join(m.filter("key IS NOT NULL").hint("merge"), "key").select("id", "marker_id", "marker")
     short = m.filter("key IS NULL")
     sizes = [r[0] for r in short.select(F.coalesce(F.length("gram"), F.lit(0))).distinct().collect()]
     if any(sizes):
         cut_up = lambda c, n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array())
         grams = F.transform(F.array(F.split("key", "")), lambda c: F.concat(*[cut_up(c, n) for n in sorted(sizes) if n]))[0]  # each word is cut into characters once
         held = words.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
-        pairs = pairs.unionByName(held.join(short, "gram").select("id", "marker_id", "marker"))
+        pairs = pairs.unionByName(held.join(short.hint("merge"), "gram").select("id", "marker_id", "marker"))
     if 0 in sizes:
         pairs = pairs.unionByName(texts.select("id", "text").join(short.filter("gram IS NULL"), F.col("text").contains(F.col("marker"))).select("id", "marker_id", "marker"))
-    return pairs.distinct().join(texts, "id").filter(F.col("text").contains(F.col("marker"))).select("id", "marker_id")
+    return pairs.distinct().join(texts.hint("merge"), "id").filter(F.col("text").contains(F.col("marker"))).select("id", "marker_id")
 
 
 def literal_ids(texts: DataFrame, ids: DataFrame, pattern: str) -> DataFrame:
     """Known ids, word-bounded, in texts. texts: id, text; ids: known."""
     found = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("known"))
-    return found.join(ids, "known", "left_semi")
+    return found.join(ids.hint("merge"), "known", "left_semi")
 
 
-def json_keys(docs: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, path, key, value) of every key at any level of JSON documents. Each level explodes the objects and arrays of the one before; `depth` is the deepest
-    level looked at, and a document that goes deeper gives a row with the key '…' so that it is not passed over in silence. docs: id, json."""
+def json_keys(docs: DataFrame) -> DataFrame:
+    """(id, path, key, value) of every key at any level of JSON documents. Each level explodes the objects and arrays of the one before, until none are left. docs: id, json."""
     level = docs.select("id", F.lit("$").alias("path"), F.try_parse_json("json").alias("v"))
     out = None
-    for k in range(depth + 1):
-        if k == depth:
-            last = level.filter(F.schema_of_variant("v").rlike("^(?:OBJECT|ARRAY)")).select("id", "path", F.lit("…").alias("key"), F.lit(None).cast("string").alias("value"))
-            return out.unionByName(last)
+    while True:
         nested = level.lateralJoin(docs.sparkSession.tvf.variant_explode_outer(F.col("v").outer())).filter("pos IS NOT NULL")
-        nested = nested.select("id", F.concat("path", F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))).alias("path"), "key", F.col("value").alias("v"))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        nested = cut(nested.select("id", F.concat("path", step).alias("path"), "key", F.col("value").alias("v"), F.schema_of_variant("value").rlike("^(?:OBJECT|ARRAY)").alias("deeper")))
         rows = nested.filter("key IS NOT NULL").select("id", "path", "key", F.col("v").cast("string").alias("value"))
         out = rows if out is None else out.unionByName(rows)
-        level = nested.select("id", "path", "v")
-    return out
+        level = nested.filter("deeper").select("id", "path", "v")
+        if level.isEmpty():
+            return out
 
 
-def forbidden_keys(docs: DataFrame, forbidden: list[str], mode: str = "exact", depth: int = 8) -> DataFrame:
-    """Forbidden keys with their paths. Modes: `exact`; `loose` compares lower-case letters and digits, a plural s aside."""
-    keys = json_keys(docs, depth)
+def forbidden_keys(docs: DataFrame, forbidden: list[str], mode: str = "exact") -> DataFrame:
+    """Forbidden keys with their paths, at any depth. Modes: `exact`; `loose` compares lower-case letters and digits, a plural s aside."""
+    keys = json_keys(docs)
     if mode == "exact":
-        return keys.filter(F.col("key").isin(*forbidden, "…")).select("id", "path", "key")
+        return keys.filter(F.col("key").isin(*forbidden)).select("id", "path", "key")
     plain = lambda s: re.sub(r"s$", "", re.sub(r"[^a-z0-9]", "", s.lower()))
     key = F.regexp_replace(F.regexp_replace(F.lower("key"), "[^a-z0-9]", ""), "s$", "")
-    return keys.filter(key.isin(*map(plain, forbidden)) | (F.col("key") == "…")).select("id", "path", "key")
+    return keys.filter(key.isin(*map(plain, forbidden))).select("id", "path", "key")
 
 
 def input_shape(docs: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
@@ -109,7 +107,7 @@ def candidate_lineage(inputs: DataFrame, predictions: DataFrame, stages: list[st
     c = inputs.select("id", F.posexplode("digests").alias("pos", "digest")).withColumn("stage", F.get(F.array(*map(F.lit, stages)), F.col("pos")))
     p = predictions.select("id", "stage", F.col("digest").alias("up"))
     reason = F.when(F.col("stage").isNull(), "too_many").when(F.col("up").isNull(), "no_prediction").when(F.col("up") != F.col("digest"), "digest")
-    return c.join(p, ["id", "stage"], "left").select("id", "pos", reason.alias("reason")).filter("reason IS NOT NULL")
+    return c.join(p.hint("merge"), ["id", "stage"], "left").select("id", "pos", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def one_version(rows: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
@@ -138,22 +136,27 @@ def frozen_fields(before: DataFrame, after: DataFrame, key: str, fields: list[st
     return before.join(b, key).select(key, F.explode(F.array_compact(F.array(*rules))).alias("field"))
 
 
-def fileset_hash(files: DataFrame, keys: list[str]) -> DataFrame:
-    """A hash of a group's files that does not depend on their order. A group is one stage or system, its files a bounded list. files: keys, path, sha256."""
+def fileset_hash(files: DataFrame, keys: list[str], digits: int = 2) -> DataFrame:
+    """A hash of a group's files that does not depend on their order. Files are listed in parts, by the first `digits` hex digits of the hash of their path, and the group's hash is
+    that of its parts in order; no task lists more than one part. files: keys, path, sha256."""
     entries = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda f: F.concat_ws("=", f["path"], f["sha256"]))
-    return files.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(entries, "\n"), 256).alias("hash"))
+    parts = files.groupBy(*keys, F.substring(F.sha2("path", 256), 1, digits).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(entries, "\n"), 256).alias("h"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n")
+    return parts.groupBy(*keys).agg(F.sum("n").alias("files"), F.sha2(whole, 256).alias("hash"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
-    """Nodes that roots reach over edges, with the least depth. edges: a, b; roots: node. Each round keeps only nodes not seen before."""
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes that roots reach over edges, with the least depth. edges: a, b; roots: node. Each round keeps only nodes not seen before, and the last one finds none;
+    what has been seen becomes one table every ten rounds."""
     seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen
-    for depth in range(1, most + 1):
+    front, depth = seen, 0
+    while True:
+        depth += 1
         new = cut(front.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
-            break
+            return seen
         seen, front = seen.unionByName(new), new
-    return seen
+        seen = cut(seen) if depth % 10 == 0 else seen
 
 
 def preflight_check(frames: DataFrame, actual: DataFrame) -> DataFrame:
@@ -184,7 +187,7 @@ def derived_pairs(originals: DataFrame, derived: DataFrame, suffix: str) -> Data
 
 def stage_inventory(expected: DataFrame, files: DataFrame) -> DataFrame:
     """Per stage: files that should be there and are, missing and extra ones, and whether it passes. Both: stage, task_id."""
-    both = expected.withColumn("e", F.lit(1)).join(files.distinct().withColumn("f", F.lit(1)), ["stage", "task_id"], "full_outer")
+    both = expected.withColumn("e", F.lit(1)).join(files.distinct().withColumn("f", F.lit(1)).hint("merge"), ["stage", "task_id"], "full_outer")
     out = both.groupBy("stage").agg(F.count(F.col("e") + F.col("f")).alias("present"), F.count_if(F.col("f").isNull()).alias("missing"), F.count_if(F.col("e").isNull()).alias("extra"))
     return out.withColumn("passes", (F.col("missing") == 0) & (F.col("extra") == 0))
 
@@ -200,12 +203,31 @@ def source_roles(refs: DataFrame) -> DataFrame:
     return refs.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), (F.count_distinct("sha256") == 1).alias("one_hash"))
 
 
-def execution_check(attestations: DataFrame, ledgers: DataFrame, required: list[str]) -> DataFrame:
-    """Attestations that lack a required artifact, whose seal is broken, or whose ledger is gone or did not end well. attestations: id, artifacts ARRAY<STRING>, seal_ok; ledgers: id, final_ok."""
-    rows = attestations.join(ledgers, "id", "left")
-    lacking = F.size(F.array_except(F.array(*map(F.lit, required)), F.col("artifacts"))) > 0
-    rules = [F.when(lacking, "artifacts"), F.when(~F.col("seal_ok"), "seal"), F.when(F.col("final_ok").isNull(), "no_ledger").when(~F.col("final_ok"), "ledger")]
-    return rows.select("id", F.explode(F.array_compact(F.array(*rules))).alias("reason"))
+def execution_check(attestations: DataFrame, stages: DataFrame, ledgers: DataFrame, required: list[str], fields: list[str]) -> DataFrame:
+    """What is wrong with the attestation of each execution, one row a rule.
+
+    attestations: task_id, stage, version, passed, seal_ok, own_task, identity, artifacts ARRAY<STRUCT<path, intact>>, prediction STRUCT<ok, task_id, judged_task and `fields`>,
+    spec_task, spec (of the input that was kept), ledger_path, ledger_identity, attempt_count, attempts_sha256;
+    stages: stage, identity, max_attempts and `fields` (what a prediction must say); ledgers: stage, task_id, path, identity, attempts, sha256, status, status_code (of the last attempt), spec (expected, or null)."""
+    a = attestations.select("task_id", F.col("stage").alias("stage"), F.struct(*[c for c in attestations.columns if c != "task_id"]).alias("a"))
+    w = stages.select("stage", F.struct(*[c for c in stages.columns if c != "stage"]).alias("w"))
+    g = ledgers.select("stage", "task_id", F.struct(*[c for c in ledgers.columns if c not in ("stage", "task_id")]).alias("g"))
+    rows = a.join(w.hint("merge"), "stage", "left").join(g.hint("merge"), ["stage", "task_id"], "left")
+    c, n = F.col, F.coalesce("g.attempts", F.lit(0))
+    no = lambda x: ~F.coalesce(x, F.lit(False))
+    paths = F.transform("a.artifacts", lambda x: x["path"])
+    broken = {
+        "seal": no(c("a.seal_ok")), "not_passed": no((c("a.version") == 1) & c("a.passed")), "stage": c("w").isNull(), "task": no(c("a.own_task") == c("task_id")),
+        "identity": no(c("a.identity") == c("w.identity")), "duplicate_artifacts": F.size(F.array_distinct(paths)) != F.size(paths),
+        "artifacts": no(F.size(F.array_except(F.array(*map(F.lit, required)), paths)) == 0), "changed_artifact": no(F.forall("a.artifacts", lambda x: F.coalesce(x["intact"], F.lit(False)))),
+        "prediction": no(c("a.prediction.ok")), "prediction_task": no((c("a.prediction.task_id") == c("task_id")) & (c("a.prediction.judged_task") == c("task_id"))),
+        **{f"prediction_{f}": ~c(f"a.prediction.{f}").eqNullSafe(c(f"w.{f}")) for f in fields},
+        "input": c("a.spec").isNull(), "input_task": no(c("a.spec_task") == c("task_id")), "input_spec": c("g.spec").isNotNull() & no(c("a.spec") == c("g.spec")),
+        "no_ledger": c("g").isNull(), "ledger_path": no(c("a.ledger_path") == c("g.path")), "ledger_identity": no(c("a.ledger_identity") == c("g.identity")),
+        "attempt_count": no(c("a.attempt_count") == n), "attempts": no(c("a.attempts_sha256") == c("g.sha256")), "attempt_range": no(n.between(1, c("w.max_attempts"))),
+        "final_attempt": no((c("g.status") == "response") & (c("g.status_code") == 200)),
+    }
+    return rows.select("task_id", "stage", F.explode(F.array_compact(F.array(*[F.when(cond, name) for name, cond in broken.items()]))).alias("reason"))
 
 
 def reusable(previous: DataFrame, actual: DataFrame) -> DataFrame:
@@ -224,7 +246,7 @@ def audit_report(findings: DataFrame) -> DataFrame:
 
 def recording_rows(results: DataFrame, summaries: DataFrame) -> DataFrame:
     """Accepted results with their summaries; an empty size is none. results: system, task_id, bytes; summaries: system, task_id, size."""
-    return results.join(summaries, ["system", "task_id"]).withColumn("bytes", F.coalesce(F.nullif("bytes", F.lit(0)), F.nullif("size", F.lit(0)))).drop("size")
+    return results.join(summaries.hint("merge"), ["system", "task_id"]).withColumn("bytes", F.coalesce(F.nullif("bytes", F.lit(0)), F.nullif("size", F.lit(0)))).drop("size")
 
 
 def pair_check(rows: DataFrame, systems: DataFrame) -> DataFrame:
@@ -240,10 +262,15 @@ def index_dense(rows: DataFrame, n: int) -> DataFrame:
     return rows.groupBy("system").agg(F.count(F.lit(1)).alias("rows"), ok.alias("dense"))
 
 
+#: Systems of a campaign that are broadcast; beyond, every task meets them by a shuffle.
+BROADCAST_SYSTEMS = 10_000
+
+
 def task_diff(records: DataFrame, specs: DataFrame) -> DataFrame:
-    """Tasks that a system lacks or has too many, against the specs. A campaign has few systems; they are broadcast."""
-    systems = records.select("system").distinct()
-    return scope_diff(specs.select("task_id").crossJoin(F.broadcast(systems)), records, ["system", "task_id"])
+    """Tasks that a system lacks or has too many, against the specs: every system should have every task."""
+    systems = cut(records.select("system").distinct())
+    systems = systems.hint("broadcast" if systems.count() <= BROADCAST_SYSTEMS else "shuffle_replicate_nl")
+    return scope_diff(specs.select("task_id").crossJoin(systems), records, ["system", "task_id"])
 
 
 def prompt_match(rounds: DataFrame, specs: DataFrame) -> DataFrame:
@@ -256,7 +283,7 @@ def prompt_match(rounds: DataFrame, specs: DataFrame) -> DataFrame:
 def build_manifest(records: DataFrame, specs: DataFrame, files: DataFrame) -> DataFrame:
     """Manifest rows: records with their spec and their verified file. records: system, task_id, path, bytes; specs: task_id, spec; files: path, bytes, sha256."""
     f = files.select("path", F.col("bytes").alias("f_bytes"), "sha256")
-    rows = records.join(specs, "task_id").join(f, "path").filter(F.col("bytes") == F.col("f_bytes"))
+    rows = records.join(specs.hint("merge"), "task_id").join(f.hint("merge"), "path").filter(F.col("bytes") == F.col("f_bytes"))
     return rows.select("system", "task_id", F.struct("path", "bytes", "sha256").alias("evidence"), "spec")
 
 
@@ -276,16 +303,15 @@ def order_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy().agg(F.count(F.lit(1)).alias("places"), F.bool_and(F.col("x").eqNullSafe(F.col("y"))).alias("equal"))
 
 
-#: Private paths, local or stream addresses, key-like tokens.
-SENSITIVE = r"(?i)/(?:home|root|users)/[^\s]+|(?:rtsp|rtsps)://|https?://(?:localhost|127\.0\.0\.1|0\.0\.0\.0)|\bsk-[a-z0-9_-]{8,}|\bAKIA[0-9A-Z]{12,}"
-
-
-def sensitive_cells(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    hits = F.array_compact(F.array(*[F.when(F.col(c).cast("string").rlike(SENSITIVE), c) for c in columns]))
-    return df.select(key, F.explode(hits).alias("column"))
+#: Stream addresses, private hosts, key-like tokens; keys of metadata that may tell who recorded what, where and when.
+SENSITIVE = r"(?i)(?:rtsp://|https?://(?:10\.|127\.0\.0\.1|localhost)|(?:sk|ark|pk)-[A-Za-z0-9_-]{12,})"
+SENSITIVE_KEYS = ("author", "comment", "copyright", "creationtime", "description", "did", "gps", "location", "lvmetainfo", "synopsis", "uid", "videoid")
 
 
-SENSITIVE_KEYS = ("location", "gps", "latitude", "longitude", "artist", "author", "copyright", "device", "serial", "make", "model", "owner")
+def sensitive_cells(df: DataFrame, key: str, columns: list[str], private_paths: tuple[str, ...] = ()) -> DataFrame:
+    """Cells with sensitive text, or with one of the paths that only the owner's machines have."""
+    found = lambda c: F.col(c).cast("string").rlike("|".join([SENSITIVE, *map(re.escape, private_paths)]))
+    return df.select(key, F.explode(F.array_compact(F.array(*[F.when(found(c), c) for c in columns]))).alias("column"))
 
 
 def sensitive_metadata(docs: DataFrame) -> DataFrame:

@@ -11,15 +11,51 @@ def rules(**conditions: Column) -> Column:
     return F.array_compact(F.array(*[F.when(cond, name) for name, cond in conditions.items()]))
 
 
-def verify_recordings(tasks: DataFrame, systems: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Every task of every system against its summary: the list of broken rules. systems is a campaign's few systems and is broadcast.
-    tasks: task_id, queries; systems: system; summaries: system, task_id, status, sent, bytes, duration_s, required_s, identity."""
-    every = tasks.crossJoin(F.broadcast(systems))
-    rows = every.join(summaries, ["system", "task_id"], "left")
-    gone = F.col("status").isNull()
+#: How the outcome of a recording's responses must be stated, and a scaffold's contract.
+POLICY, SEMANTICS, SCAFFOLD = "wait_then_keep_as_capability_result", "strict_protocol_non_deferred_non_echo_response_v4", "joyai-official-live-adapter"
+#: Systems of a campaign that are broadcast; beyond, every task meets them by a shuffle.
+BROADCAST_SYSTEMS = 10_000
+
+
+def query_rules(expected: DataFrame, actual: DataFrame, drift_s: float = 0.5) -> DataFrame:
+    """Per system and task how many queries there are and which rules some query breaks; queries meet by place, as far as both sides go.
+    expected: task_id, place, id, text, query_s; actual: system, task_id, place, id, text, query_s, actual_s, ready, acknowledged."""
+    e = expected.select("task_id", "place", F.col("id").alias("e_id"), F.col("text").alias("e_text"), F.col("query_s").alias("e_s"))
+    both = actual.join(e.hint("merge"), ["task_id", "place"], "left")
+    there = F.col("e_id").isNotNull()
+    same = (F.col("id") == F.col("e_id")) & (F.coalesce("text", F.lit("")) == F.coalesce("e_text", F.lit("")))
+    far = lambda c, most: ~F.coalesce(F.abs(F.col(c) - F.col("e_s")) <= most, F.lit(False))
+    broken = {"query_identity": ~F.coalesce(same, F.lit(False)), "query_time": far("query_s", 0.001), "query_drift": far("actual_s", drift_s), "query_before_ready": ~F.coalesce("ready", F.lit(False)), "query_not_acknowledged": ~F.coalesce("acknowledged", F.lit(False))}
+    return both.groupBy("system", "task_id").agg(F.count(F.lit(1)).alias("actual_queries"), *[F.bool_or(there & cond).alias(name) for name, cond in broken.items()])
+
+
+def verify_recordings(tasks: DataFrame, systems: DataFrame, recordings: DataFrame, queries: DataFrame, prompt_sha256: str, policy: str = POLICY, semantics: str = SEMANTICS) -> DataFrame:
+    """Every task of every system against its recording: the list of broken rules, in order.
+
+    tasks: task_id, queries, last_query_s, duration_s; systems: system, supervisor_prompt, request_id, transport, runner, protocol, query_mode; queries: what `query_rules` gives;
+    recordings: system, task_id and what supervisor (result_status), summary, validation, contract, audits, outcome, video file, probe and, if tried, full decode (decoded) say; null is unknown."""
+    systems = systems.select("system", F.struct(*[c for c in systems.columns if c != "system"]).alias("w"))
+    systems = systems.hint("broadcast" if systems.count() <= BROADCAST_SYSTEMS else "shuffle_replicate_nl")
+    every = tasks.crossJoin(systems)
+    rows = every.join(recordings.withColumnRenamed("duration_s", "probed_s").hint("merge"), ["system", "task_id"], "left").join(queries.hint("merge"), ["system", "task_id"], "left")
+    c = F.col
+    no = lambda x: ~F.coalesce(c(x) if isinstance(x, str) else x, F.lit(False))
+    zero = lambda x: F.coalesce(c(x), F.lit(0)) != 0
+    realtime = F.coalesce(c("w.transport") == "native-video-realtime", F.lit(False))
+    timed_out = (c("outcome_policy") == policy) & (c("outcome_semantics") == semantics) & (c("timeout_is_failure") == F.lit(False)) & c("outcome").isin("timeout", "partial_timeout")
+    shortest = F.coalesce(F.nullif("minimum_s", F.lit(0.0)), F.greatest(F.coalesce("duration_s", F.lit(0.0)), F.greatest(F.lit(0.0), F.coalesce("last_query_s", F.lit(0.0))) + 1))
+    there = F.coalesce(c("video_exists"), F.lit(False))
     broken = rules(
-        missing=gone, status=~gone & (F.col("status") != "ok"), queries=~gone & (F.coalesce("sent", F.lit(0)) != F.col("queries")), empty_video=~gone & (F.coalesce("bytes", F.lit(0)) <= 0),
-        too_short=F.col("duration_s") < F.col("required_s"), identity=~gone & ~F.coalesce("identity", F.lit("missing")).isin("verified", "disabled"),
+        supervisor_prompt=~c("w.supervisor_prompt").eqNullSafe(F.lit(prompt_sha256)), result=no(c("result_status") == "ok"), no_summary=no("has_summary"), no_validation=no("has_validation"), summary_status=no(c("summary_status") == "ok"),
+        task_identity=no((c("summary_task") == c("task_id")) & (c("validation_task") == c("task_id"))), model_identity=no(c("backend_ok") & c("identity_ok")), prompt=no(c("prompt_sha256") == prompt_sha256),
+        request_id=~c("request_id").eqNullSafe(c("w.request_id")), transport=~c("transport").eqNullSafe(c("w.transport")), scaffold=F.coalesce(c("w.runner") == "joyai_scaffold", F.lit(False)) & no(c("scaffold") == SCAFFOLD),
+        protocol=realtime & ~c("protocol").eqNullSafe(c("w.protocol")), query_mode=realtime & ~c("query_mode").eqNullSafe(c("w.query_mode")), realtime_audit=realtime & no("realtime_ok"), frame_audit=~realtime & no("frames_ok"),
+        barrier=no("barrier_ok"), model_not_ready=no("same_session_ready"), early_upload=no("uploaded_after_ready"), delivery=no("delivery_ok"), replay=~c("replays").eqNullSafe(F.lit(0)), cached=~c("cached_later").eqNullSafe(F.lit(False)),
+        query_count=F.coalesce("actual_queries", F.lit(0)) != c("queries"), query_identity=F.coalesce("query_identity", F.lit(False)), query_time=F.coalesce("query_time", F.lit(False)), query_drift=F.coalesce("query_drift", F.lit(False)),
+        query_before_ready=F.coalesce("query_before_ready", F.lit(False)), query_not_acknowledged=F.coalesce("query_not_acknowledged", F.lit(False)), upstream=no("upstream_ok"), provider_error=zero("provider_errors"),
+        outcome_semantics=~c("outcome_semantics").eqNullSafe(F.lit(semantics)), outcome=no(timed_out) & no(c("outcome").isin("complete", "not_required")), provider_failure=F.coalesce("provider_failure", F.lit(False)),
+        reconnect=zero("reconnects"), outage=zero("outages"), video=no(c("video_ok") & c("decode_ok")), video_name=no("video_name_ok"), no_video=~there, video_outside=there & no("video_inside"),
+        probe=there & no((c("probed_s") > 0) & (c("bytes") > 0) & (c("width") > 0) & (c("height") > 0)), too_short=there & (c("probed_s") + 1.5 < shortest), full_decode=c("decoded").eqNullSafe(F.lit(False)),
     )
     return rows.select("system", "task_id", broken.alias("errors")).withColumn("ok", F.size("errors") == 0)
 
@@ -92,12 +128,30 @@ def first_error(checked: DataFrame, priority: list[str]) -> DataFrame:
     return checked.withColumn("first_error", F.coalesce(*[F.when(F.array_contains("errors", p), p) for p in priority], F.get("errors", 0)))
 
 
-def attempt_audit(events: DataFrame, allowed: int) -> DataFrame:
-    """Attempts, failures and whether a task may go on. events: task, seq, kind (started, failed, succeeded, recovery), extra (attempts granted by a recovery)."""
+def attempt_audit(tasks: DataFrame, state: DataFrame, events: DataFrame, now: Column, retries: int = 5, recoveries: int = 1) -> DataFrame:
+    """Attempts, limits and history of every task, and whether it may go on. Attempts are the most that state or events know of.
+
+    tasks: task_id; state: task_id, status (ok, failed, running; null is pending), attempts, attempt_limit, recovery_batches (null: count the events), pass_started, wall_s;
+    events: task_id, seq, kind (failed, complete, exhausted, recovery), attempt, allowed (attempts that a recovery grants), message."""
     n = lambda k: F.count_if(F.col("kind") == k)
-    history = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "failed", F.struct("seq", "message")))), lambda f: f["message"])
-    per = events.groupBy("task").agg(n("started").alias("attempts"), n("failed").alias("failures"), n("recovery").alias("recoveries"), F.coalesce(F.sum(F.when(F.col("kind") == "recovery", F.col("extra"))), F.lit(0)).alias("granted"), (n("succeeded") > 0).alias("done"), history.alias("history"))
-    return per.withColumn("may_go_on", ~F.col("done") & (F.col("attempts") < allowed + F.col("granted")))
+    history = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "failed", F.struct("seq", F.coalesce("message", F.lit("")).alias("message"))))), lambda f: f["message"])
+    batches = F.array_sort(F.collect_list(F.when(F.col("kind") == "recovery", F.struct("seq", (F.coalesce("attempt", F.lit(0)) + 1).alias("first"), (F.coalesce("attempt", F.lit(0)) + F.coalesce("allowed", F.lit(0))).alias("last")))))
+    per = events.filter("task_id IS NOT NULL").groupBy("task_id").agg(
+        F.max(F.when(F.col("kind").isin("failed", "complete"), F.col("attempt"))).alias("seen"), n("failed").alias("failures"), n("complete").alias("completions"), n("exhausted").alias("exhausted"),
+        n("recovery").alias("recovered"), history.alias("history"), batches.alias("batches"),
+    )
+    rows = tasks.select("task_id").join(state.hint("merge"), "task_id", "left").join(per.hint("merge"), "task_id", "left")
+    attempts = F.greatest(F.lit(0), F.coalesce("attempts", F.lit(0)), F.coalesce("seen", F.lit(0)))
+    limit = F.coalesce(F.nullif("attempt_limit", F.lit(0)), F.greatest(F.lit(retries + 1), F.col("total")))
+    batch_count = F.coalesce("recovery_batches", "recovered", F.lit(0))
+    # A pass without a start or a limit has all the time.
+    in_time = F.coalesce(F.col("pass_started").isNull() | (F.coalesce("wall_s", F.lit(0.0)) <= 0) | (now < F.col("pass_started") + F.make_dt_interval(secs=F.coalesce("wall_s", F.lit(0.0)))), F.lit(True))
+    rows = rows.withColumn("total", attempts).withColumn("attempt_limit", limit).withColumn("recovery_batch_count", batch_count)
+    out = rows.select(
+        "task_id", F.coalesce("status", F.lit("pending")).alias("status"), F.col("total").alias("attempts"), "attempt_limit", "recovery_batch_count", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("failures", "completions", "exhausted")],
+        "history", "batches", ((F.col("attempt_limit") > F.col("total")) & in_time).alias("may_continue"), (F.col("recovery_batch_count") < recoveries).alias("may_recover"),
+    )
+    return out.withColumn("may_go_on", (F.col("status") == "failed") & (F.col("may_continue") | F.col("may_recover")))
 
 
 def run_summary(tasks: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -129,13 +183,21 @@ def contract_compat(before: DataFrame, after: DataFrame, defaults: dict[str, str
     return before.join(a, "id").select("id", same.alias("compatible"))
 
 
-def resume_valid(tasks: DataFrame, stored: DataFrame, files: DataFrame) -> DataFrame:
-    """Stored results that hold: ok, same task contract, and a file of the recorded hash; the rest is to be done again, with the reason.
-    tasks: task, contract; stored: task, status, contract, path, sha256; files: path, sha256."""
-    f = files.select("path", F.col("sha256").alias("now"))
-    s = stored.withColumnRenamed("contract", "old").join(f, "path", "left")
-    reason = F.when(F.col("status").isNull(), "no_result").when(F.col("status") != "ok", "status").when(F.col("old") != F.col("contract"), "contract").when(F.col("now").isNull(), "no_file").when(F.col("now") != F.col("sha256"), "file")
-    return tasks.join(s, "task", "left").select("task", reason.alias("reason"))
+def resume_valid(tasks: DataFrame, stored: DataFrame, files: DataFrame, semantics: str, prompt_sha256: str) -> DataFrame:
+    """Stored results that hold; the rest is to be done again, with the first reason why.
+
+    tasks: task, contract, source (signature of its video), realtime (whether its input needs the realtime audit); stored: task, status, own_task, contract, source, evaluation_ok (whether
+    `contract_compat` holds), semantics, backend_ok, prompt_sha256, identity_ok, realtime_ok, path, sha256; files: path, bytes, sha256."""
+    f = files.select("path", F.col("bytes").alias("now_bytes"), F.col("sha256").alias("now"))
+    s = stored.withColumnRenamed("contract", "old").withColumnRenamed("source", "old_source").join(f.hint("merge"), "path", "left")
+    no = lambda x: ~F.coalesce(x, F.lit(False))
+    reason = (
+        F.when(F.col("own_task").isNull() & F.col("status").isNull(), "no_result").when(no(F.col("status") == "ok"), "status").when(no(F.col("own_task") == F.col("task")), "task").when(no(F.col("old") == F.col("contract")), "contract")
+        .when(no(F.col("old_source") == F.col("source")), "source").when(no(F.col("evaluation_ok")), "evaluation").when(no(F.col("semantics") == semantics), "protocol").when(no(F.col("backend_ok")), "backend")
+        .when(no(F.col("prompt_sha256") == prompt_sha256), "prompt").when(no(F.col("identity_ok")), "identity").when(F.coalesce("realtime", F.lit(False)) & no(F.col("realtime_ok")), "realtime")
+        .when(F.col("now").isNull(), "no_file").when(no(F.col("now_bytes") > 0), "empty_video").when(no(F.col("now") == F.col("sha256")), "file")
+    )
+    return tasks.join(s.hint("merge"), "task", "left").select("task", reason.alias("reason"))
 
 
 def reusable_runs(results: DataFrame, fingerprint: str) -> DataFrame:

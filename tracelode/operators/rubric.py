@@ -116,12 +116,36 @@ def canonical_hash(*fields: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)
 
 
+#: What the contract of a rubric must say of its dimensions.
+DIMENSIONS = ("D1", "D2", "D3", "D4", "D5")
+D3_PHRASES, D4_NAME, D4_SCOPE = ("只对有效响应计时", "无有效响应记 0"), "响应内容正确性", "response_content_correctness"
+
+
+def contract_check(manifests: DataFrame, version: str, tasks: int, schema_version: int = 2) -> DataFrame:
+    """Rules that manifests as a whole break, one row each. manifests: manifest, schema_version, version, label_free, contract_sha256 (stated and, as contract_now, of the contract itself),
+    contract_version, dimensions ARRAY<STRING> in order, d3_definition, d4_name, d3_no_response_score, d4_scope, formal_ready, errors (open issues), workbook_sha256 and workbook_now, task_count, tasks."""
+    c = F.col
+    no = lambda x: ~F.coalesce(x, F.lit(False))
+    d3 = F.coalesce("d3_definition", F.lit(""))
+    rules = {
+        "schema_version": no(c("schema_version") == schema_version), "version": no(c("version") == version), "labels": no(c("label_free")), "no_contract": c("contract_now").isNull(),
+        "contract_hash": no(c("contract_sha256") == c("contract_now")), "contract_version": no(c("contract_version") == version), "dimensions": no(c("dimensions") == F.array(*map(F.lit, DIMENSIONS))),
+        "d3_definition": ~(d3.contains(D3_PHRASES[0]) & d3.contains(D3_PHRASES[1])), "d4_name": no(c("d4_name") == D4_NAME), "d3_no_response": no(c("d3_no_response_score") == 0.0), "d4_scope": no(c("d4_scope") == D4_SCOPE),
+        "open_errors": no(c("formal_ready")) | (F.coalesce("errors", F.lit(0)) > 0), "no_workbook": c("workbook_now").isNull() | c("workbook_sha256").isNull(),
+        "workbook_changed": c("workbook_now") != c("workbook_sha256"), "tasks": no(c("tasks") == tasks), "task_count": no(c("task_count") == c("tasks")),
+    }
+    return manifests.select("manifest", F.explode(F.array_compact(F.array(*[F.when(cond, name) for name, cond in rules.items()]))).alias("reason"))
+
+
 def manifest_check(manifest: DataFrame, tasks: DataFrame, version: str) -> DataFrame:
-    """One finding per rule and task that a manifest breaks. manifest: task_id, version, label_free, spec_sha256; tasks: task_id, spec_sha256."""
-    both = manifest.withColumnRenamed("spec_sha256", "own").join(tasks.withColumnRenamed("spec_sha256", "spec"), "task_id", "full_outer")
+    """One finding per rule and task that a manifest breaks. manifest: task_id, version, label_free, spec_sha256, contract_sha256 (of the task's own contract, and stated as contract),
+    dimensions ARRAY<STRING>; tasks: task_id, spec_sha256."""
+    both = manifest.withColumnRenamed("spec_sha256", "own").join(tasks.withColumnRenamed("spec_sha256", "spec").hint("merge"), "task_id", "full_outer")
     both = both.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("task_id")))
+    there = F.col("own").isNotNull()
     rules = [
-        F.when(F.col("own").isNull(), "missing_task"), F.when(F.col("spec").isNull(), "unknown_task"), F.when(F.col("version") != version, "version"),
-        F.when(~F.col("label_free"), "labels"), F.when(F.col("own") != F.col("spec"), "spec_hash"), F.when(F.col("times") > 1, "duplicate_task"),
+        F.when(~there, "missing_task"), F.when(F.col("spec").isNull(), "unknown_task"), F.when(there & (F.trim(F.coalesce("task_id", F.lit(""))) == ""), "no_id"), F.when(F.col("version") != version, "version"),
+        F.when(~F.col("label_free"), "labels"), F.when(F.col("own") != F.col("spec"), "spec_hash"), F.when(there & ~F.col("contract").eqNullSafe(F.col("contract_sha256")), "contract_hash"),
+        F.when(there & ~F.coalesce(F.col("dimensions") == F.array(*map(F.lit, DIMENSIONS)), F.lit(False)), "dimensions"), F.when(F.col("times") > 1, "duplicate_task"),
     ]
     return both.select("task_id", F.explode(F.array_compact(F.array(*rules))).alias("reason")).distinct()

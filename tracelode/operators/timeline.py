@@ -99,10 +99,18 @@ QUERY_CATEGORIES = ("App引导", "实时翻译")
 QUERY_MARKERS = ("query", "输入问题", "提问", "提交", "首次点评启动")
 
 
-def d3_clock_policy(specs: DataFrame) -> DataFrame:
+def d3_clock_policy(specs: DataFrame, timing: DataFrame | None = None) -> DataFrame:
     """Which clock is authoritative for a task's latency: the reported latency after an explicit query or start, else the time from the visual event to the output
-    on an aligned clock. specs: task_id, category, threshold (the D3 anchor)."""
+    on an aligned clock. With the former come its measurements, one for each query in order; the wall delay is for cross-checks only.
+    specs: task_id, category, threshold (the D3 anchor); timing: task_id and the columns of `first_output_after_query`."""
     explicit = F.coalesce(F.col("category").isin(*QUERY_CATEGORIES), F.lit(False))
     for marker in QUERY_MARKERS:
         explicit = explicit | F.coalesce(F.col("threshold").contains(marker), F.lit(False))
-    return specs.select("task_id", F.when(explicit, "explicit_query_or_startup_model_latency").otherwise("visual_event_end_to_end").alias("mode"))
+    out = specs.select("task_id", F.when(explicit, "explicit_query_or_startup_model_latency").otherwise("visual_event_end_to_end").alias("mode"), explicit.alias("explicit"))
+    kind = "array<struct<query_seq:bigint,query:string,model_reported_latency_ms:double,end_to_end_wall_delay_s:double>>"
+    if timing is None:
+        return out.select("task_id", "mode", F.array().cast(kind).alias("measurements"))
+    one = F.struct("query_seq", "query", F.col("latency_ms").alias("model_reported_latency_ms"), F.col("wall_delay_s").alias("end_to_end_wall_delay_s"))
+    found = timing.groupBy("task_id").agg(F.array_sort(F.collect_list(one)).cast(kind).alias("found"))
+    rows = out.join(found.hint("merge"), "task_id", "left")
+    return rows.select("task_id", "mode", F.coalesce(F.when(F.col("explicit"), F.col("found")), F.array().cast(kind)).alias("measurements"))

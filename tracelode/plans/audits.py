@@ -29,15 +29,22 @@ def _stage_expected(s, d):
 
 def _records(s, d):
     """Two systems' recordings of the documents, with places."""
-    r = X.artifacts(s, d).filter("doc_id < 100").withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    r = X.artifacts(s, d).withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
     r = r.filter((F.col("k") != 1) | (F.col("doc_id") % 7 != 0))
     return r.select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("system"), F.col("doc_id").alias("task_id"), (F.col("doc_id") + F.when(F.col("k") == 2, 2).otherwise(1)).alias("task_index"), "path", (F.col("bytes") + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)).alias("bytes"))
 
 
-_RECORDS = """, records AS (SELECT 's' || k AS system, doc_id AS task_id, doc_id + CASE WHEN k = 2 THEN 2 ELSE 1 END AS task_index, path, bytes + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS bytes FROM artifacts CROSS JOIN (SELECT unnest(range(3)) AS k) WHERE doc_id < 100 AND (k <> 1 OR doc_id % 7 <> 0))
+_RECORDS = """, records AS (SELECT 's' || k AS system, doc_id AS task_id, doc_id + CASE WHEN k = 2 THEN 2 ELSE 1 END AS task_index, path, bytes + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS bytes FROM artifacts CROSS JOIN (SELECT unnest(range(3)) AS k) WHERE k <> 1 OR doc_id % 7 <> 0)
 """
 
 
+def _cells(s, d):
+    """Documents beside notes that hit each rule, or nearly."""
+    docs = X.table(s, d, "documents")
+    notes = ["see RTSP://cam", "http://10.1.2.3/x", "https://localhost:80", "sk-abcdefgh1234", "ark-abc", "http://127.0.0.1", "in /mnt/own/data", "PK-ABCDEFGH_12-4"]
+    return docs.withColumn("note", F.coalesce(F.get(F.array(*map(F.lit, notes)), (F.col("doc_id") % 9).cast("int")), "text"))
+
+
 def _names(s, d):
     p = X.table(s, d, "pages")
     stem = F.regexp_extract("url", r"([^/?#]+)([?#].*)?$", 1)
@@ -58,7 +65,7 @@ _PROFILES = """WITH profiles AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 9
 
 
 def _json_docs(s, d):
-    e = X.table(s, d, "events").filter("event_id < 2000")
+    e = X.table(s, d, "events")
     k = F.col("event_id")
     doc = F.when(k % 3 == 0, F.concat(F.lit('{"a": {"Scores": '), k.cast("string"), F.lit('}, "list": [{"grade": 1}, {"x": 2}]}'))).when(k % 3 == 1, F.col("props")).otherwise("broken {")
     return e.select(k.alias("id"), doc.alias("json"))
@@ -122,13 +129,13 @@ QUERIES = {
     "aud_report": lambda s, d: A.audit_report(A.verify_artifacts(X.recorded(s, d), X.artifacts(s, d)).withColumn("stage", F.length("path") % 3)),
     "man_records": lambda s, d: A.recording_rows(_records(s, d).select("system", "task_id", F.when(F.col("task_id") % 3 == 0, 0).otherwise(F.col("bytes")).alias("bytes")), _records(s, d).select("system", "task_id", F.when(F.col("task_id") % 9 == 0, 0).otherwise(F.col("bytes") + 1).alias("size"))),
     "man_unique_pair": lambda s, d: A.pair_check(_records(s, d).select("system", (F.col("task_id") % 97).alias("task_id")), s.sql("SELECT concat('s', k) AS system FROM (SELECT explode(sequence(0, 3)) AS k)")),
-    "man_index_dense": lambda s, d: A.index_dense(_records(s, d), 100),
-    "man_task_diff": lambda s, d: A.task_diff(_records(s, d), X.artifacts(s, d).filter("doc_id < 105").select(F.col("doc_id").alias("task_id"))),
+    "man_index_dense": lambda s, d: A.index_dense(_records(s, d), X.artifacts(s, d).count()),
+    "man_task_diff": lambda s, d: A.task_diff(_records(s, d), X.artifacts(s, d).select(F.col("doc_id").alias("task_id"))),
     "man_prompt_match": lambda s, d: A.prompt_match(X.rounds(s, d).select(F.col("session").alias("task_id"), F.col("rn").alias("place"), F.col("text").alias("query")), X.rounds(s, d).groupBy(F.col("session").alias("task_id")).agg(F.concat(F.lit("R1： "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda r: r["text"]), "\n r2: "), F.when(F.col("task_id") % 3 == 0, "!").otherwise("")).alias("prompt"))),
     "man_build": lambda s, d: A.build_manifest(_records(s, d), X.artifacts(s, d).select(F.col("doc_id").alias("task_id"), F.col("sha256").alias("spec")), X.artifacts(s, d)).select("system", "task_id", "evidence.path", "evidence.bytes", "evidence.sha256", "spec"),
     "man_index": lambda s, d: A.fileset_hash(_records(s, d).select("system", "path", F.col("bytes").cast("string").alias("sha256")), ["system"]),
     "rel_media_check": lambda s, d: A.media_check(_names(s, d), _names(s, d).filter("id % 13 != 1").select("video")),
-    "rel_sensitive_scan": lambda s, d: A.sensitive_cells(X.table(s, d, "documents"), "doc_id", ["text", "source"]),
+    "rel_sensitive_scan": lambda s, d: A.sensitive_cells(_cells(s, d), "doc_id", ["text", "note", "source"], ("/mnt/own/",)),
     "rel_metadata_keys": lambda s, d: A.sensitive_metadata(_json_docs(s, d).withColumn("json", F.replace("json", F.lit("Scores"), F.lit("GPS")))),
     "rel_signature": lambda s, d: A.signature_equal(*_streams(s, d)),
     "rel_provenance": lambda s, d: A.provenance_cover(X.recorded(s, d).select("path", F.lit("own").alias("source"), F.when(F.col("bytes") % 5 != 0, "CC").otherwise(" ").alias("license")), X.artifacts(s, d).select("path")),
@@ -146,7 +153,7 @@ ORACLES = {
     "aud_marker_scan": "SELECT doc_id AS id, array_to_string(list_sort(list_filter(['password', 'AKIA', 'license', 'the of'], lambda m: contains(text, m))), ',') AS markers FROM documents WHERE contains(text, 'password') OR contains(text, 'AKIA') OR contains(text, 'license') OR contains(text, 'the of')",
     "aud_marker_join": "SELECT doc_id AS id, item_id AS marker_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "aud_task_literal": "SELECT known, id FROM (SELECT page_id AS id, unnest(list_distinct(regexp_extract_all(url, '\\b\\d{1,5}\\b'))) AS known FROM pages) WHERE known IN (SELECT o_orderkey::VARCHAR FROM orders)",
-    "aud_forbidden_key": "SELECT event_id AS id, '$.a.Scores' AS path, 'Scores' AS key FROM events WHERE event_id < 2000 AND event_id % 3 = 0 UNION ALL SELECT event_id, '$.list[0].grade', 'grade' FROM events WHERE event_id < 2000 AND event_id % 3 = 0",
+    "aud_forbidden_key": "SELECT event_id AS id, '$.a.Scores' AS path, 'Scores' AS key FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, '$.list[0].grade', 'grade' FROM events WHERE event_id % 3 = 0",
     "aud_input_shape": "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'first' ELSE 'review' END AS stage, CASE WHEN event_id % 5 = 1 THEN 'not_an_object' ELSE 'keys' END AS reason FROM events WHERE event_id % 5 = 1 OR (event_id % 2 = 0 AND event_id % 5 = 0) OR (event_id % 2 = 1 AND event_id % 5 <> 0)",
     "aud_spec_equal": oracle("recorded", "SELECT path, 'no_upstream' AS reason FROM recorded WHERE path NOT IN (SELECT path FROM artifacts)"),
     "aud_review_lineage": oracle("recorded", "SELECT r.path, CASE WHEN a.path IS NULL THEN 'no_upstream' ELSE 'bytes' END AS reason FROM recorded r LEFT JOIN artifacts a ON a.path = r.path WHERE a.path IS NULL OR a.bytes <> r.bytes"),
@@ -155,9 +162,9 @@ ORACLES = {
     "aud_identity": "WITH p AS (SELECT (o_orderkey % 3000) % 4 AS stage, o_orderstatus, o_orderpriority FROM orders) SELECT stage, 'o_orderstatus' AS field, count(*) AS n FROM p WHERE stage = 3 OR o_orderstatus <> CASE WHEN stage < 2 THEN 'O' ELSE 'F' END GROUP BY 1 UNION ALL SELECT stage, 'o_orderpriority', count(*) FROM p WHERE stage = 3 OR o_orderpriority <> CASE WHEN stage = 0 THEN '5-LOW' ELSE '1-URGENT' END GROUP BY 1",
     "aud_dependency_map": oracle("recorded", ", d AS (SELECT path, CASE WHEN length(path) % 2 = 0 THEN sha256 ELSE reverse(sha256) END AS h FROM recorded) SELECT coalesce(d.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'gone' WHEN d.path IS NULL THEN 'undeclared' ELSE 'changed' END AS reason FROM d FULL JOIN artifacts a ON a.path = d.path WHERE a.path IS NULL OR d.path IS NULL OR d.h <> a.sha256"),
     "aud_state_frozen": oracle("recorded", "SELECT r.path, 'bytes' AS field FROM recorded r JOIN artifacts a ON a.path = r.path WHERE r.bytes <> a.bytes UNION ALL SELECT r.path, 'sha256' FROM recorded r JOIN artifacts a ON a.path = r.path WHERE a.bytes % 3 = 0"),
-    "aud_fileset_hash": oracle("artifacts", _FILES + "SELECT stage, count(*) AS files, sha256(string_agg(task_id || '=' || sha256, chr(10) ORDER BY task_id::VARCHAR, sha256)) AS hash FROM files GROUP BY 1"),
+    "aud_fileset_hash": oracle("artifacts", _FILES + ", parts AS (SELECT stage, sha256(task_id::VARCHAR)[1:2] AS part, count(*) AS n, sha256(string_agg(task_id || '=' || sha256, chr(10) ORDER BY task_id::VARCHAR, sha256)) AS h FROM files GROUP BY 1, 2) SELECT stage, sum(n)::BIGINT AS files, sha256(string_agg(h, chr(10) ORDER BY part)) AS hash FROM parts GROUP BY 1"),
     "aud_import_closure": """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey * 3 + 1 AS b FROM part UNION ALL SELECT p_partkey, p_partkey + 7 FROM part WHERE p_partkey % 4 = 0),
-r AS (SELECT unnest([0, 5])::BIGINT AS node, 0 AS depth UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = r.node WHERE depth < 50) SELECT node, min(depth) AS depth FROM r GROUP BY 1""",
+r AS (SELECT unnest([0, 5])::BIGINT AS node, 0 AS depth UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = r.node) SELECT node, min(depth) AS depth FROM r GROUP BY 1""",
     "aud_preflight": oracle("artifacts", _FRAMESQL + """, p AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY "index", path) - 1 AS place FROM fr)
 SELECT task_id, "index", reason FROM (SELECT task_id, "index", unnest([CASE WHEN "index" <> place THEN 'index' END, CASE WHEN time_s IS NULL THEN 'time' END, CASE WHEN doc_id % 47 = 0 THEN 'gone' WHEN doc_id % 43 = 0 THEN 'changed' END]) AS reason FROM p) WHERE reason IS NOT NULL"""),
     "aud_source_roles": oracle("artifacts", _FILES + "SELECT task_id AS path, array_to_string(list_sort(list_distinct(list(stage))), ',') AS roles, count(DISTINCT sha256) = 1 AS one_hash FROM files GROUP BY 1"),
@@ -168,19 +175,21 @@ SELECT task_id, "index", reason FROM (SELECT task_id, "index", unnest([CASE WHEN
     "aud_report": oracle("recorded", f", f AS (SELECT *, length(path) % 3 AS stage FROM ({_VERIFY}) WHERE reason IS NOT NULL) SELECT stage, reason, count(*) AS findings FROM f GROUP BY GROUPING SETS ((stage), (reason), ())"),
     "man_records": oracle("artifacts", _RECORDS + "SELECT system, task_id, CASE WHEN task_id % 3 <> 0 AND bytes <> 0 THEN bytes WHEN task_id % 9 <> 0 THEN bytes + 1 END AS bytes FROM records"),
     "man_unique_pair": oracle("artifacts", _RECORDS + "SELECT system, task_id % 97 AS task_id, 'repeated' AS reason FROM records GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT 's3', NULL, 'missing'"),
-    "man_index_dense": oracle("artifacts", _RECORDS + "SELECT system, count(*) AS rows, count(*) = 100 AND count(DISTINCT task_id) = 100 AND count(DISTINCT task_index) = 100 AND min(task_index) = 1 AND max(task_index) = 100 AS dense FROM records GROUP BY 1"),
-    "man_task_diff": oracle("artifacts", _RECORDS + "SELECT s.system, a.doc_id AS task_id, 'missing' AS reason FROM artifacts a CROSS JOIN (SELECT DISTINCT system FROM records) s WHERE a.doc_id < 105 AND NOT EXISTS (SELECT 1 FROM records r WHERE r.system = s.system AND r.task_id = a.doc_id)"),
+    "man_index_dense": oracle("artifacts", _RECORDS + "SELECT system, count(*) AS rows, count(*) = any_value(n) AND count(DISTINCT task_id) = any_value(n) AND count(DISTINCT task_index) = any_value(n) AND min(task_index) = 1 AND max(task_index) = any_value(n) AS dense FROM records, (SELECT count(*) AS n FROM artifacts) GROUP BY 1"),
+    "man_task_diff": oracle("artifacts", _RECORDS + "SELECT s.system, a.doc_id AS task_id, 'missing' AS reason FROM artifacts a CROSS JOIN (SELECT DISTINCT system FROM records) s WHERE NOT EXISTS (SELECT 1 FROM records r WHERE r.system = s.system AND r.task_id = a.doc_id)"),
     "man_prompt_match": oracle("rounds", "SELECT session AS task_id, session % 3 <> 0 AS matches FROM rounds GROUP BY 1"),
     "man_build": oracle("artifacts", _RECORDS + "SELECT r.system, r.task_id, r.path, r.bytes, a.sha256, a.sha256 AS spec FROM records r JOIN artifacts a ON a.doc_id = r.task_id AND a.bytes = r.bytes"),
-    "man_index": oracle("artifacts", _RECORDS + "SELECT system, count(*) AS files, sha256(string_agg(path || '=' || bytes, chr(10) ORDER BY path, bytes::VARCHAR)) AS hash FROM records GROUP BY 1"),
+    "man_index": oracle("artifacts", _RECORDS + ", parts AS (SELECT system, sha256(path)[1:2] AS part, count(*) AS n, sha256(string_agg(path || '=' || bytes, chr(10) ORDER BY path, bytes::VARCHAR)) AS h FROM records GROUP BY 1, 2) SELECT system, sum(n)::BIGINT AS files, sha256(string_agg(h, chr(10) ORDER BY part)) AS hash FROM parts GROUP BY 1"),
     "rel_media_check": _NAMES + """, n AS (SELECT *, count(*) OVER (PARTITION BY id) AS c FROM names) SELECT id::VARCHAR AS item, CASE WHEN video LIKE '%/%' THEN 'not_a_name' ELSE 'repeated_id' END AS reason FROM n WHERE video LIKE '%/%' OR c > 1
 UNION ALL SELECT DISTINCT video, 'missing' FROM names WHERE video NOT IN (SELECT video FROM names WHERE id % 13 <> 1)""",
     "rel_order_equal": "SELECT count(*) AS places, count(*) FILTER (o_orderkey = 77 AND o_custkey <> -1) = 0 AS equal FROM orders",
     "rel_signature": "SELECT o_orderkey AS path, o_orderkey % 50 <> 0 AND o_orderkey % 6 <> 0 AND o_orderkey % 4 <> 0 AS equal FROM orders",
-    "rel_metadata_keys": "SELECT event_id AS id, '$.a.GPS' AS path, 'GPS' AS key FROM events WHERE event_id < 2000 AND event_id % 3 = 0",
+    "rel_metadata_keys": "SELECT event_id AS id, '$.a.GPS' AS path, 'GPS' AS key FROM events WHERE event_id % 3 = 0",
     "rel_provenance": oracle("recorded", "SELECT a.path, 'none' AS reason FROM artifacts a WHERE path NOT IN (SELECT path FROM recorded) UNION ALL SELECT path, CASE WHEN path NOT IN (SELECT path FROM artifacts) THEN 'no_file' ELSE 'incomplete' END FROM recorded WHERE path NOT IN (SELECT path FROM artifacts) OR bytes % 5 = 0"),
     "rel_redact": "SELECT page_id, 'https://[REDACTED]@h.example/x?token=[REDACTED]&page=1 {\"api_key\": \"[REDACTED]\", \"n\": 1} ' || url AS text FROM pages",
-    "rel_sensitive_scan": """SELECT doc_id, 'text' AS "column" FROM documents WHERE regexp_matches(text, '/(home|root|users)/[^\\s]+|(rtsp|rtsps)://|https?://(localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0)|\\bsk-[a-z0-9_-]{8,}|\\bAKIA[0-9A-Z]{12,}', 'i')""",
+    "rel_sensitive_scan": """WITH c AS (SELECT doc_id, text, CASE doc_id % 9 WHEN 0 THEN 'see RTSP://cam' WHEN 1 THEN 'http://10.1.2.3/x' WHEN 2 THEN 'https://localhost:80' WHEN 3 THEN 'sk-abcdefgh1234' WHEN 4 THEN 'ark-abc' WHEN 5 THEN 'http://127.0.0.1' WHEN 6 THEN 'in /mnt/own/data' WHEN 7 THEN 'PK-ABCDEFGH_12-4' ELSE text END AS note FROM documents),
+r AS (SELECT *, 'rtsp://|https?://(10\\.|127\\.0\\.0\\.1|localhost)|(sk|ark|pk)-[a-z0-9_-]{12,}|/mnt/own/' AS p FROM c)
+SELECT doc_id, 'text' AS "column" FROM r WHERE regexp_matches(text, p, 'i') UNION ALL SELECT doc_id, 'note' FROM r WHERE regexp_matches(note, p, 'i')""",
     "rel_index_rewrite": _NAMES + "SELECT id, 'videos/' || string_split(video, '/')[-1] AS video FROM names",
     "reg_validate": _PROFILES + "SELECT DISTINCT id, reason FROM (SELECT id, unnest([CASE WHEN id LIKE 'Bad%' THEN 'id' END, CASE base WHEN 'ftp' THEN 'base_url' WHEN 'cred' THEN 'credentials' END, CASE WHEN bad_transport THEN 'transport' END, CASE WHEN n > 1 THEN 'repeated' END]) AS reason FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM profiles)) WHERE reason IS NOT NULL",
     "reg_select": _PROFILES + "SELECT id, min(CASE WHEN id = 'p-12' THEN 0 WHEN tag = 'tag3' THEN 1 WHEN id = 'p-same' THEN 2 WHEN tag = 'tag1' THEN 3 END) AS place FROM profiles WHERE id IN ('p-12', 'p-same') OR tag IN ('tag1', 'tag3') GROUP BY 1",

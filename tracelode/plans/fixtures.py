@@ -16,14 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """system, task_id, dim, grade (null: missing), applicable, category."""
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5")
-    it = li.groupBy("l_linenumber", F.col("l_orderkey").alias("task_id")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("u"))
+    li = table(spark, sf_dir, "lineitem").withColumn("n", (F.col("l_linenumber") - 1) % 5 + 1)
+    it = li.groupBy("n", F.col("l_orderkey").alias("task_id")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("u"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.concat(F.lit("C"), (F.col("o_custkey") % 9).cast("string")).alias("category"))
     it = it.join(orders, "task_id").withColumn("k", F.explode(F.array(*map(F.lit, range(1, 6)))))
     m = (F.col("p") + F.col("u") * F.col("k")) % 13
     grade = F.when(m <= 5, "G").when(m <= 9, "S").when(m <= 11, "B")
     applicable = (F.col("k") == 4) | ((F.col("task_id") + F.col("k")) % 4 != 0)
-    return it.select(F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("system"), "task_id", F.concat(F.lit("D"), F.col("k").cast("string")).alias("dim"), grade.alias("grade"), applicable.alias("applicable"), "category")
+    return it.select(F.concat(F.lit("s"), F.col("n").cast("string")).alias("system"), "task_id", F.concat(F.lit("D"), F.col("k").cast("string")).alias("dim"), grade.alias("grade"), applicable.alias("applicable"), "category")
 
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +110,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same projections for the oracle, as common table expressions in order of need.
 SQL = {
-    "grades": """grades AS (SELECT 's' || l_linenumber AS system, it.l_orderkey AS task_id, 'D' || k AS dim,
+    "grades": """grades AS (SELECT 's' || n AS system, it.l_orderkey AS task_id, 'D' || k AS dim,
  CASE WHEN (p + u * k) % 13 <= 5 THEN 'G' WHEN (p + u * k) % 13 <= 9 THEN 'S' WHEN (p + u * k) % 13 <= 11 THEN 'B' END AS grade,
  (k = 4 OR (it.l_orderkey + k) % 4 <> 0) AS applicable, 'C' || (o_custkey % 9) AS category
- FROM (SELECT l_linenumber, l_orderkey, min(l_partkey) AS p, min(l_suppkey) AS u FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2) it
+ FROM (SELECT (l_linenumber - 1) % 5 + 1 AS n, l_orderkey, min(l_partkey) AS p, min(l_suppkey) AS u FROM lineitem GROUP BY 1, 2) it
  JOIN orders ON o_orderkey = it.l_orderkey CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k))""",
     "scored": """scored AS (SELECT *, CASE WHEN NOT applicable OR NOT bool_and(grade IS NOT NULL OR NOT applicable) OVER (PARTITION BY system, task_id) THEN NULL
  WHEN grade = 'G' THEN 1.0 WHEN grade = 'S' THEN 0.5 WHEN grade = 'B' THEN 0.0 END::DOUBLE AS score FROM grades)""",

@@ -14,26 +14,57 @@ def _systems(s):
     return s.sql("SELECT concat('s', k) AS system FROM (SELECT explode(sequence(0, 2)) AS k)")
 
 
+#: What recordings say, as expressions of k, the last order of a customer on a system, and of `task_id`; Spark and the oracle read the same text.
+_FIELDS = {
+    "result_status": "CASE WHEN k % 41 = 0 THEN 'error' ELSE 'ok' END", "has_summary": "k % 43 <> 0", "has_validation": "k % 47 <> 0", "summary_status": "CASE WHEN k % 53 <> 0 THEN 'ok' END",
+    "summary_task": "task_id", "validation_task": "CASE WHEN k % 59 = 0 THEN 0 ELSE task_id END", "backend_ok": "k % 61 <> 0", "identity_ok": "k % 67 <> 0", "prompt_sha256": "CASE WHEN k % 71 = 0 THEN 'q' ELSE 'p' END",
+    "request_id": "CASE WHEN k % 73 = 0 THEN 'r9' ELSE 'r' END", "transport": "CASE WHEN k % 3 = 0 THEN 'native-video-realtime' ELSE 'frames' END", "scaffold": "CASE WHEN k % 29 <> 0 THEN 'joyai-official-live-adapter' END",
+    "protocol": "CASE WHEN k % 31 = 0 THEN 'v0' ELSE 'v1' END", "query_mode": "CASE WHEN k % 37 <> 0 THEN 'inline' END", "realtime_ok": "k % 23 <> 0", "frames_ok": "k % 19 <> 0", "barrier_ok": "k % 79 <> 0", "same_session_ready": "k % 83 <> 0",
+    "uploaded_after_ready": "k % 89 <> 0", "delivery_ok": "k % 97 <> 0", "replays": "CASE WHEN k % 101 = 0 THEN 1 ELSE 0 END", "cached_later": "k % 103 = 0", "upstream_ok": "k % 107 <> 0", "provider_errors": "CASE WHEN k % 109 = 0 THEN 2 END",
+    "outcome": "CASE k % 13 WHEN 0 THEN 'failed' WHEN 1 THEN 'timeout' WHEN 2 THEN 'not_required' ELSE 'complete' END", "outcome_policy": "'wait_then_keep_as_capability_result'",
+    "outcome_semantics": "CASE WHEN k % 113 = 0 THEN 'v3' ELSE 'strict_protocol_non_deferred_non_echo_response_v4' END", "timeout_is_failure": "k % 2 = 0", "provider_failure": "k % 127 = 0", "reconnects": "CASE WHEN k % 131 = 0 THEN 1 ELSE 0 END",
+    "outages": "CASE WHEN k % 137 = 0 THEN 1 ELSE 0 END", "video_ok": "k % 139 <> 0", "decode_ok": "k % 149 <> 0", "video_name_ok": "k % 151 <> 0", "video_exists": "k % 17 <> 0", "video_inside": "k % 157 <> 0", "duration_s": "(k % 100) * 1.0",
+    "bytes": "k % 163", "width": "k % 167", "height": "720", "minimum_s": "CASE WHEN k % 4 = 0 THEN 0.0 WHEN k % 4 = 1 THEN 10.0 END", "decoded": "CASE WHEN k % 5 = 0 THEN k % 15 <> 0 END",
+}
+
+
 def _tasks(s, d):
-    return X.table(s, d, "customer").select(F.col("c_custkey").alias("task_id"), (F.col("c_custkey") % 3).alias("queries"))
+    return X.table(s, d, "customer").select(F.col("c_custkey").alias("task_id"), (F.col("c_custkey") % 3 + 1).alias("queries"), (F.col("c_custkey") % 3 * 5.0 + 5).alias("last_query_s"), (F.col("c_nationkey") * 1.0).alias("duration_s"))
 
 
-def _summaries(s, d):
+def _last(s, d):
     """Orders as recordings of customers on three systems; the last order of a pair counts."""
-    o = X.table(s, d, "orders")
     k = F.col("o_orderkey")
-    last = o.groupBy(F.concat(F.lit("s"), (k % 3).cast("string")).alias("system"), F.col("o_custkey").alias("task_id")).agg(F.max("o_orderkey").alias("k"))
-    k = F.col("k")
-    return last.select("system", "task_id", F.when(k % 7 == 0, "error").otherwise("ok").alias("status"), (k % 4).alias("sent"), (k % 10).alias("bytes"), (k % 100).cast("double").alias("duration_s"), F.lit(20.0).alias("required_s"), F.when(k % 11 == 0, "mismatch").when(k % 11 != 1, "verified").alias("identity"), k.alias("id"))
+    return X.table(s, d, "orders").groupBy(F.concat(F.lit("s"), (k % 3).cast("string")).alias("system"), F.col("o_custkey").alias("task_id")).agg(F.max("o_orderkey").alias("k"))
 
 
-_SUM = """last AS (SELECT 's' || (o_orderkey % 3) AS system, o_custkey AS task_id, max(o_orderkey) AS k FROM orders GROUP BY 1, 2),
-checked AS (SELECT s.system, t.task_id, k, list_filter([CASE WHEN k IS NULL THEN 'missing' END, CASE WHEN k % 7 = 0 THEN 'status' END, CASE WHEN k % 4 <> t.task_id % 3 THEN 'queries' END, CASE WHEN k % 10 = 0 THEN 'empty_video' END, CASE WHEN k % 100 < 20 THEN 'too_short' END, CASE WHEN k % 11 IN (0, 1) THEN 'identity' END], lambda x: x IS NOT NULL) AS errors
- FROM (SELECT c_custkey AS task_id FROM customer) t CROSS JOIN (SELECT 's' || unnest(range(3)) AS system) s LEFT JOIN last l ON l.system = s.system AND l.task_id = t.task_id)"""
+def _checked(s, d):
+    last = _last(s, d)
+    recordings = last.select("system", "task_id", *[F.expr(e).alias(n) for n, e in _FIELDS.items()])
+    n = _systems(s).select("system", F.substring("system", 2, 1).cast("int").alias("n"))
+    systems = n.select("system", F.when(F.col("n") == 2, "old").otherwise("p").alias("supervisor_prompt"), F.lit("r").alias("request_id"), F.when(F.col("n") == 0, "native-video-realtime").otherwise("frames").alias("transport"), F.when(F.col("n") == 1, "joyai_scaffold").otherwise("plain").alias("runner"), F.lit("v1").alias("protocol"), F.lit("inline").alias("query_mode"))
+    place = F.col("place")
+    expected = _tasks(s, d).select("task_id", F.explode(F.sequence(F.lit(1), F.col("queries").cast("int"))).alias("place")).select("task_id", "place", F.concat(F.lit("R"), place.cast("string")).alias("id"), F.concat(F.lit("q"), place.cast("string")).alias("text"), (place * 5.0).alias("query_s"))
+    rows = last.select("*", F.explode(F.sequence(F.lit(1), (F.col("k") % 4 + 1).cast("int"))).alias("place")).filter("place <= k % 4")
+    m = F.col("k") + place
+    actual = rows.select("system", "task_id", "place", F.concat(F.when(m % 13 == 0, "X").otherwise("R"), place.cast("string")).alias("id"), F.concat(F.lit("q"), place.cast("string")).alias("text"), (place * 5.0 + F.when(m % 17 == 0, 0.01).otherwise(0.0)).alias("query_s"), F.when(m % 29 != 0, place * 5.0 + m % 8 / 10.0).alias("actual_s"), (m % 19 != 0).alias("ready"), (m % 23 != 0).alias("acknowledged"))
+    return Q.verify_recordings(_tasks(s, d), systems, recordings, Q.query_rules(expected, actual), "p")
 
 
-def _checked(s, d):
-    return Q.verify_recordings(_tasks(s, d), _systems(s), _summaries(s, d))
+_SUM = """last AS (SELECT 's' || (o_orderkey % 3) AS system, o_custkey AS task_id, max(o_orderkey) AS k FROM orders GROUP BY 1, 2),
+rec AS (SELECT system AS r_system, task_id AS r_task, k, """ + ", ".join(f"{e} AS {n}" for n, e in _FIELDS.items()) + """ FROM last),
+acts AS (SELECT system, task_id, k, unnest(range(1, k % 4 + 1)) AS place FROM last),
+qr AS (SELECT system AS q_system, task_id AS q_task, count(*) AS n, bool_or(place <= task_id % 3 + 1 AND (k + place) % 13 = 0) AS q1, bool_or(place <= task_id % 3 + 1 AND (k + place) % 17 = 0) AS q2, bool_or(place <= task_id % 3 + 1 AND ((k + place) % 29 = 0 OR (k + place) % 8 > 5)) AS q3,
+ bool_or(place <= task_id % 3 + 1 AND (k + place) % 19 = 0) AS q4, bool_or(place <= task_id % 3 + 1 AND (k + place) % 23 = 0) AS q5 FROM acts GROUP BY 1, 2),
+base AS (SELECT *, CASE WHEN minimum_s > 0 THEN minimum_s ELSE greatest(c_nationkey, c_custkey % 3 * 5.0 + 6) END AS shortest FROM customer CROSS JOIN (SELECT unnest(range(3)) AS n_sys) LEFT JOIN rec ON r_system = 's' || n_sys AND r_task = c_custkey LEFT JOIN qr ON q_system = 's' || n_sys AND q_task = c_custkey),
+checked AS (SELECT 's' || n_sys AS system, c_custkey AS task_id, k, list_filter([CASE WHEN n_sys = 2 THEN 'supervisor_prompt' END, CASE WHEN k IS NULL OR k % 41 = 0 THEN 'result' END, CASE WHEN k IS NULL OR k % 43 = 0 THEN 'no_summary' END, CASE WHEN k IS NULL OR k % 47 = 0 THEN 'no_validation' END,
+ CASE WHEN k IS NULL OR k % 53 = 0 THEN 'summary_status' END, CASE WHEN k IS NULL OR k % 59 = 0 THEN 'task_identity' END, CASE WHEN k IS NULL OR k % 61 = 0 OR k % 67 = 0 THEN 'model_identity' END, CASE WHEN k IS NULL OR k % 71 = 0 THEN 'prompt' END, CASE WHEN k IS NULL OR k % 73 = 0 THEN 'request_id' END,
+ CASE WHEN k IS NULL THEN 'transport' END, CASE WHEN n_sys = 1 AND (k IS NULL OR k % 29 = 0) THEN 'scaffold' END, CASE WHEN n_sys = 0 AND (k IS NULL OR k % 31 = 0) THEN 'protocol' END, CASE WHEN n_sys = 0 AND (k IS NULL OR k % 37 = 0) THEN 'query_mode' END, CASE WHEN n_sys = 0 AND (k IS NULL OR k % 23 = 0) THEN 'realtime_audit' END,
+ CASE WHEN n_sys > 0 AND (k IS NULL OR k % 19 = 0) THEN 'frame_audit' END, CASE WHEN k IS NULL OR k % 79 = 0 THEN 'barrier' END, CASE WHEN k IS NULL OR k % 83 = 0 THEN 'model_not_ready' END, CASE WHEN k IS NULL OR k % 89 = 0 THEN 'early_upload' END, CASE WHEN k IS NULL OR k % 97 = 0 THEN 'delivery' END,
+ CASE WHEN k IS NULL OR k % 101 = 0 THEN 'replay' END, CASE WHEN k IS NULL OR k % 103 = 0 THEN 'cached' END, CASE WHEN coalesce(n, 0) <> c_custkey % 3 + 1 THEN 'query_count' END, CASE WHEN q1 THEN 'query_identity' END, CASE WHEN q2 THEN 'query_time' END, CASE WHEN q3 THEN 'query_drift' END, CASE WHEN q4 THEN 'query_before_ready' END,
+ CASE WHEN q5 THEN 'query_not_acknowledged' END, CASE WHEN k IS NULL OR k % 107 = 0 THEN 'upstream' END, CASE WHEN k % 109 = 0 THEN 'provider_error' END, CASE WHEN k IS NULL OR k % 113 = 0 THEN 'outcome_semantics' END, CASE WHEN k IS NULL OR k % 13 = 0 OR (k % 13 = 1 AND (k % 2 = 0 OR k % 113 = 0)) THEN 'outcome' END,
+ CASE WHEN k % 127 = 0 THEN 'provider_failure' END, CASE WHEN k % 131 = 0 THEN 'reconnect' END, CASE WHEN k % 137 = 0 THEN 'outage' END, CASE WHEN k IS NULL OR k % 139 = 0 OR k % 149 = 0 THEN 'video' END, CASE WHEN k IS NULL OR k % 151 = 0 THEN 'video_name' END, CASE WHEN k IS NULL OR k % 17 = 0 THEN 'no_video' END,
+ CASE WHEN k % 17 <> 0 AND k % 157 = 0 THEN 'video_outside' END, CASE WHEN k % 17 <> 0 AND (k % 100 = 0 OR k % 163 = 0 OR k % 167 = 0) THEN 'probe' END, CASE WHEN k % 17 <> 0 AND k % 100 + 1.5 < shortest THEN 'too_short' END, CASE WHEN k % 15 = 0 THEN 'full_decode' END], lambda x: x IS NOT NULL) AS errors FROM base)"""
 
 
 def _ev(s, d):
@@ -70,8 +101,23 @@ def _queries(s, d):
 
 def _attempt_events(s, d):
     e = X.table(s, d, "events")
-    kind = F.when(F.col("event_type") == "click", "started").when(F.col("event_type") == "view", "failed").when(F.col("event_type") == "purchase", "recovery").when(F.col("event_id") % 40 == 0, "succeeded").otherwise("note")
-    return e.select((F.col("event_id") % 1500).alias("task"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit(2).alias("extra"), F.col("props").alias("message"))
+    kind = F.when(F.col("event_type") == "view", "failed").when(F.col("event_type") == "purchase", "recovery").when(F.col("event_type") == "error", "exhausted").when(F.col("event_id") % 40 == 0, "complete").otherwise("note")
+    return e.select((F.col("event_id") % 1500).alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 9).alias("attempt"), F.lit(2).alias("allowed"), F.col("props").alias("message"))
+
+
+def _attempt_state(s, d):
+    """What the supervisor knows of tasks: of some nothing, of some a limit, a number of batches or when their pass began."""
+    c = X.table(s, d, "customer")
+    k = F.col("c_custkey")
+    started = F.when(k % 3 != 0, F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=k % 100))
+    return c.select(k.alias("task_id"), F.element_at(F.array(*map(F.lit, ["ok", "failed", "running", "failed"])), (k % 4 + 1).cast("int")).alias("status"), (k % 8).alias("attempts"), F.when(k % 5 == 0, k % 10).alias("attempt_limit"), F.when(k % 6 == 0, k % 4).alias("recovery_batches"), started.alias("pass_started"), F.when(k % 7 != 0, 3600.0).alias("wall_s"))
+
+
+def _audited(s, d):
+    tasks = X.table(s, d, "orders").select(F.col("o_orderkey").alias("task_id"))
+    out = Q.attempt_audit(tasks, _attempt_state(s, d), _attempt_events(s, d), F.lit("2024-01-01 01:30:00").cast("timestamp"), recoveries=2)
+    batches = F.array_join(F.transform("batches", lambda b: F.concat_ws("-", b["first"].cast("string"), b["last"].cast("string"))), ";")
+    return out.withColumns({"history": F.sha2(F.array_join("history", ";"), 256), "batches": batches})
 
 
 def _results(s, d):
@@ -83,9 +129,14 @@ _RES = ", res AS (SELECT task, 's' || (task % 400) AS system, CASE WHEN arg_max(
 
 def _stored(s, d):
     a = X.artifacts(s, d)
-    tasks = a.select(F.col("doc_id").alias("task"), F.lit("c1").alias("contract"))
-    stored = a.filter("doc_id % 10 != 0").select(F.col("doc_id").alias("task"), F.when(F.col("doc_id") % 9 == 0, "error").otherwise("ok").alias("status"), F.when(F.col("doc_id") % 8 == 0, "c0").otherwise("c1").alias("contract"), "path", F.when(F.col("doc_id") % 21 == 0, F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
-    return tasks, stored, a.filter("doc_id % 14 != 0").select("path", "sha256")
+    k = F.col("doc_id")
+    tasks = a.select(k.alias("task"), F.lit("c1").alias("contract"), F.lit("v").alias("source"), (k % 2 == 0).alias("realtime"))
+    unless = lambda n, good, bad=None: F.when(k % n == 0, bad).otherwise(good)
+    stored = a.filter("doc_id % 10 != 0").select(
+        k.alias("task"), unless(9, "ok", "error").alias("status"), unless(33, k, F.lit(-1)).alias("own_task"), unless(8, "c1", "c0").alias("contract"), unless(15, "v").alias("source"), (k % 16 != 1).alias("evaluation_ok"), unless(17, "s4", "s3").alias("semantics"), (k % 19 != 0).alias("backend_ok"),
+        unless(22, "p").alias("prompt_sha256"), (k % 23 != 0).alias("identity_ok"), (k % 6 != 2).alias("realtime_ok"), "path", unless(21, F.col("sha256"), F.reverse("sha256")).alias("sha256"),
+    )
+    return tasks, stored, a.filter("doc_id % 14 != 0").select("path", unless(13, F.col("bytes"), F.lit(0)).alias("bytes"), "sha256"), "s4", "p"
 
 
 def _outputs(s, d):
@@ -142,8 +193,8 @@ QUERIES = {
     "qa_hash_bag": lambda s, d: Q.bag_diff(X.rounds(s, d).select("session", "rn"), _sends(s, d)).groupBy("session", "rn", "side").agg(F.count(F.lit(1)).alias("n")),
     "qa_timeout_accept": lambda s, d: Q.timeout_accept(_ev(s, d).select("session", (F.col("event_id") % 40 != 0).alias("answered"), (F.col("event_id") % 80 == 0).alias("timeout_recorded"), (F.col("event_id") % 333 == 0).alias("provider_error"))),
     "qa_upstream": lambda s, d: Q.upstream_audit(_ev(s, d).select("session", F.when(F.col("kind") == "query", "request").when(F.col("kind") == "output", "response").alias("kind"), (F.col("event_id") % 25 != 0).alias("ok"), F.when(F.col("event_id") % 50 == 0, "model_latency_timeout").alias("failure_class")).filter("kind IS NOT NULL").withColumn("failure_class", F.when(F.col("kind") == "response", F.col("failure_class")))),
-    "qa_first_error": lambda s, d: Q.first_error(_checked(s, d), ["identity", "status"]).select("system", "task_id", "first_error"),
-    "qa_attempt_audit": lambda s, d: Q.attempt_audit(_attempt_events(s, d), 2).select("task", "attempts", "failures", "recoveries", "granted", "done", F.array_join("history", ";").alias("history"), "may_go_on"),
+    "qa_first_error": lambda s, d: Q.first_error(_checked(s, d), ["model_identity", "outcome"]).select("system", "task_id", "first_error"),
+    "qa_attempt_audit": _audited,
     "qa_run_summary": lambda s, d: Q.run_summary(X.table(s, d, "orders").select(F.col("o_orderkey").alias("task")), X.attempts(s, d).select("task", "attempt", F.when(F.col("status_code") == 200, "ok").otherwise("error").alias("status"))),
     "qa_system_state": lambda s, d: Q.system_state(_results(s, d), 5),
     "qa_matrix": lambda s, d: Q.matrix_summary(_results(s, d)),
@@ -182,15 +233,20 @@ FROM (SELECT * FROM n WHERE kind = 'query') q LEFT JOIN (SELECT * FROM n WHERE k
     "qa_timeout_accept": oracle("events_", "SELECT session, count(*) FILTER (event_id % 40 = 0) AS unanswered, bool_and(event_id % 40 <> 0 OR event_id % 80 = 0) AND NOT bool_or(event_id % 333 = 0) AS accepted FROM session_events GROUP BY 1"),
     "qa_upstream": oracle("events_", """, a AS (SELECT session, count(*) FILTER (kind = 'query') AS requests, count(*) FILTER (kind = 'output' AND event_id % 25 <> 0) AS ok, count(*) FILTER (kind = 'output' AND event_id % 25 = 0) AS failed, count(*) FILTER (kind = 'output' AND event_id % 50 = 0) AS timeouts FROM session_events WHERE kind IN ('query', 'output') GROUP BY 1)
 SELECT *, failed = timeouts AND ok + failed >= requests AS clean FROM a"""),
-    "qa_first_error": f"WITH {_SUM} SELECT system, task_id, CASE WHEN list_contains(errors, 'identity') THEN 'identity' WHEN list_contains(errors, 'status') THEN 'status' ELSE errors[1] END AS first_error FROM checked",
-    "qa_attempt_audit": """WITH e AS (SELECT event_id % 1500 AS task, event_id AS seq, CASE WHEN event_type = 'click' THEN 'started' WHEN event_type = 'view' THEN 'failed' WHEN event_type = 'purchase' THEN 'recovery' WHEN event_id % 40 = 0 THEN 'succeeded' ELSE 'note' END AS kind, props FROM events)
-SELECT task, count(*) FILTER (kind = 'started') AS attempts, count(*) FILTER (kind = 'failed') AS failures, count(*) FILTER (kind = 'recovery') AS recoveries, 2 * count(*) FILTER (kind = 'recovery') AS granted, count(*) FILTER (kind = 'succeeded') > 0 AS done, coalesce(string_agg(props, ';' ORDER BY seq) FILTER (kind = 'failed'), '') AS history,
- count(*) FILTER (kind = 'succeeded') = 0 AND count(*) FILTER (kind = 'started') < 2 + 2 * count(*) FILTER (kind = 'recovery') AS may_go_on FROM e GROUP BY 1""",
+    "qa_first_error": f"WITH {_SUM} SELECT system, task_id, CASE WHEN list_contains(errors, 'model_identity') THEN 'model_identity' WHEN list_contains(errors, 'outcome') THEN 'outcome' ELSE errors[1] END AS first_error FROM checked",
+    "qa_attempt_audit": """WITH e AS (SELECT event_id % 1500 AS task_id, event_id AS seq, CASE WHEN event_type = 'view' THEN 'failed' WHEN event_type = 'purchase' THEN 'recovery' WHEN event_type = 'error' THEN 'exhausted' WHEN event_id % 40 = 0 THEN 'complete' ELSE 'note' END AS kind, event_id % 9 AS attempt, props FROM events),
+p AS (SELECT task_id, max(attempt) FILTER (kind IN ('failed', 'complete')) AS seen, count(*) FILTER (kind = 'failed') AS failures, count(*) FILTER (kind = 'complete') AS completions, count(*) FILTER (kind = 'exhausted') AS exhausted, count(*) FILTER (kind = 'recovery') AS recovered,
+ coalesce(string_agg(props, ';' ORDER BY seq) FILTER (kind = 'failed'), '') AS history, coalesce(string_agg((attempt + 1) || '-' || (attempt + 2), ';' ORDER BY seq) FILTER (kind = 'recovery'), '') AS batches FROM e GROUP BY 1),
+r AS (SELECT o_orderkey AS task_id, c_custkey AS k, CASE WHEN k IS NULL THEN 'pending' ELSE ['ok', 'failed', 'running', 'failed'][k % 4 + 1] END AS status, greatest(0, coalesce(k % 8, 0), coalesce(seen, 0)) AS attempts, p.* EXCLUDE (task_id) FROM orders LEFT JOIN customer ON c_custkey = o_orderkey LEFT JOIN p ON p.task_id = o_orderkey),
+q AS (SELECT *, CASE WHEN k % 5 = 0 AND k % 10 <> 0 THEN k % 10 ELSE greatest(6, attempts) END AS attempt_limit, CASE WHEN k % 6 = 0 THEN k % 4 ELSE coalesce(recovered, 0) END AS recovery_batch_count, coalesce(k % 3 = 0 OR k % 7 = 0 OR k % 100 > 30, true) AS in_time FROM r)
+SELECT task_id, status, attempts, attempt_limit, recovery_batch_count, coalesce(failures, 0) AS failures, coalesce(completions, 0) AS completions, coalesce(exhausted, 0) AS exhausted, CASE WHEN failures IS NOT NULL THEN sha256(history) END AS history, batches,
+ attempt_limit > attempts AND in_time AS may_continue, recovery_batch_count < 2 AS may_recover, status = 'failed' AND (attempt_limit > attempts AND in_time OR recovery_batch_count < 2) AS may_go_on FROM q""",
     "qa_run_summary": oracle("attempts", ", p AS (SELECT task, count(*) AS n, min(attempt) FILTER (status_code = 200) AS f, max(attempt) AS l FROM attempts GROUP BY 1) SELECT o_orderkey AS task, coalesce(n, 0) AS attempts, coalesce(f, l) AS chosen, CASE WHEN f IS NOT NULL THEN 'ok' WHEN n IS NOT NULL THEN 'error' ELSE 'pending' END AS status FROM orders LEFT JOIN p ON task = o_orderkey"),
     "qa_system_state": oracle("attempts", _RES + "SELECT system, bool_and(status = 'ok') AS complete, bool_and(status = 'ok' OR attempts >= 5) AS terminal, bool_or(status <> 'ok' AND attempts < 5) AS resumable FROM res GROUP BY 1"),
     "qa_matrix": oracle("attempts", _RES + "SELECT system, count(*) AS tasks, count(*) FILTER (status = 'ok') AS ok, sum(attempts) AS attempts FROM res GROUP BY 1"),
     "qa_contract_compat": "SELECT o_orderkey AS id, (o_orderkey % 7 <> 0 OR o_orderstatus = 'F') AS compatible FROM orders",
-    "qa_resume_valid": oracle("artifacts", "SELECT doc_id AS task, CASE WHEN doc_id % 10 = 0 THEN 'no_result' WHEN doc_id % 9 = 0 THEN 'status' WHEN doc_id % 8 = 0 THEN 'contract' WHEN doc_id % 14 = 0 THEN 'no_file' WHEN doc_id % 21 = 0 THEN 'file' END AS reason FROM artifacts"),
+    "qa_resume_valid": oracle("artifacts", """SELECT doc_id AS task, CASE WHEN doc_id % 10 = 0 THEN 'no_result' WHEN doc_id % 9 = 0 THEN 'status' WHEN doc_id % 33 = 0 THEN 'task' WHEN doc_id % 8 = 0 THEN 'contract' WHEN doc_id % 15 = 0 THEN 'source' WHEN doc_id % 16 = 1 THEN 'evaluation' WHEN doc_id % 17 = 0 THEN 'protocol' WHEN doc_id % 19 = 0 THEN 'backend'
+ WHEN doc_id % 22 = 0 THEN 'prompt' WHEN doc_id % 23 = 0 THEN 'identity' WHEN doc_id % 6 = 2 THEN 'realtime' WHEN doc_id % 14 = 0 THEN 'no_file' WHEN doc_id % 13 = 0 OR bytes = 0 THEN 'empty_video' WHEN doc_id % 21 = 0 THEN 'file' END AS reason FROM artifacts"""),
     "qa_reusable_run": oracle("attempts", _RES + "SELECT system AS run, bool_and(status = 'ok') AS reusable FROM res GROUP BY 1"),
     "qa_state_merge": "SELECT c_custkey AS system, CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 5 = 0 THEN 'complete' WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE 'unknown' END AS status, c_custkey % 3 <> 0 AND c_custkey % 2 = 0 AND NOT (c_custkey % 4 <> 0 AND c_custkey % 5 = 0) AS live FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0",
     "qa_source_sig": "SELECT DISTINCT l_partkey AS path, p_size AS bytes, p_retailprice AS modified FROM lineitem LEFT JOIN part ON p_partkey = l_partkey",

@@ -45,7 +45,11 @@ def _index_documents(s, d):
 def _clock_policy(s, d):
     c = X.table(s, d, "customer")
     k = F.col("c_custkey")
-    return L.d3_clock_policy(c.select(k.alias("task_id"), F.element_at(F.array(*map(F.lit, ["实时问答", "App引导", "实时计数", "实时翻译"])), (k % 4 + 1).cast("int")).alias("category"), F.when(k % 3 == 0, "用户提问后 2 s").when(k % 3 == 1, "画面出现后 2 s").alias("threshold")))
+    e = X.session_events(s, d)
+    timing = L.first_output_after_query(e.filter("kind = 'query'"), e.filter("kind = 'output'")).withColumnRenamed("session", "task_id")
+    out = L.d3_clock_policy(c.select(k.alias("task_id"), F.element_at(F.array(*map(F.lit, ["实时问答", "App引导", "实时计数", "实时翻译"])), (k % 4 + 1).cast("int")).alias("category"), F.when(k % 3 == 0, "用户提问后 2 s").when(k % 3 == 1, "画面出现后 2 s").alias("threshold")), timing)
+    m = lambda f: F.aggregate("measurements", F.lit(0.0), lambda a, x: a + F.coalesce(x[f], F.lit(0.0)))
+    return out.select("task_id", "mode", F.size("measurements").alias("n"), F.round(m("model_reported_latency_ms"), 3).alias("latency_ms"), F.round(m("end_to_end_wall_delay_s"), 3).alias("wall_delay_s"))
 
 
 QUERIES = {
@@ -59,7 +63,10 @@ QUERIES = {
 ORACLES = {
     "src_media_index": """WITH r AS (SELECT CASE WHEN page_id % 4 = 1 THEN 't' || (page_id - 1) WHEN page_id % 4 = 3 THEN 'm' || page_id ELSE 't' || page_id END AS id, CASE WHEN page_id % 4 = 1 THEN page_id || '.mov' WHEN page_id % 4 = 3 THEN 'x.mp4' ELSE page_id || '.mp4' END AS video FROM pages)
 SELECT id, min(video) AS video, count(*) AS times FROM r GROUP BY 1""",
-    "tl_d3_clock": "SELECT c_custkey AS task_id, CASE WHEN c_custkey % 2 = 1 OR c_custkey % 3 = 0 THEN 'explicit_query_or_startup_model_latency' ELSE 'visual_event_end_to_end' END AS mode FROM customer",
+    "tl_d3_clock": oracle("events_", """, q AS (SELECT session, seq, t_s, lead(t_s) OVER (PARTITION BY session ORDER BY seq) AS nxt FROM session_events WHERE kind = 'query'),
+f AS (SELECT q.session, q.seq, arg_min(o.latency_ms, o.seq) AS latency_ms, round_even(arg_min(o.t_s, o.seq) - q.t_s, 3) AS wall FROM q LEFT JOIN (SELECT * FROM session_events WHERE kind = 'output') o ON o.session = q.session AND o.t_s >= q.t_s AND (q.nxt IS NULL OR o.t_s < q.nxt) GROUP BY q.session, q.seq, q.t_s),
+p AS (SELECT c_custkey, c_custkey % 2 = 1 OR c_custkey % 3 = 0 AS explicit FROM customer)
+SELECT c_custkey AS task_id, CASE WHEN explicit THEN 'explicit_query_or_startup_model_latency' ELSE 'visual_event_end_to_end' END AS mode, count(f.seq) AS n, coalesce(round(sum(latency_ms), 3), 0) AS latency_ms, coalesce(round(sum(wall), 3), 0) AS wall_delay_s FROM p LEFT JOIN f ON f.session = c_custkey AND explicit GROUP BY 1, 2"""),
     "sink_index": "SELECT true AS first, false AS again, true AS changed, o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 5 <> 0",
     "st_media_clock": oracle("events_", """, f AS (SELECT session, seq, t_s * 1000 AS wall, latency_ms * 10 AS inbound, CASE WHEN kind = 'query' THEN t_s * 500 END AS q FROM session_events),
 w AS (SELECT session, seq, coalesce(q, inbound, 0) AS anchor, wall AS origin, coalesce(q, inbound, 0) AS media_ms FROM f WHERE seq = 1 UNION ALL
@@ -161,10 +168,28 @@ QUERIES |= {
     "st_wall_window": lambda s, d: W.wall_window(X.table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("timestamp")).alias("started")), 3600.0, F.lit("1996-06-01 00:30:00").cast("timestamp")).select("o_orderkey", F.round("remaining_s", 3).alias("remaining_s"), "expired"),
     "jd_extract_json": lambda s, d: X.table(s, d, "events").select("event_id", F.get_json_object(J.extract_json(_answer()), "$.k").alias("k")),
     "jd_stage_input": lambda s, d: J.stage_input(X.grades(s, d).filter("dim = 'D4'").select("system", "task_id", F.col("grade").alias("judgment"), F.col("category").alias("task_spec")), "review_1", {"first": ["task_spec"], "review_1": ["judgment", "task_spec"]}).select("system", "task_id", F.sha2("document", 256).alias("document")),
-    "aud_execution": lambda s, d: A.execution_check(X.recorded(s, d).select(F.col("path").alias("id"), F.array_compact(F.array(F.lit("prediction"), F.when(F.col("bytes") % 3 != 0, "ledger"))).alias("artifacts"), (F.col("bytes") % 5 != 0).alias("seal_ok")), X.artifacts(s, d).select(F.col("path").alias("id"), (F.col("doc_id") % 4 != 0).alias("final_ok")), ["prediction", "ledger"]),
+    "aud_execution": lambda s, d: A.execution_check(*_executions(s, d), ["input", "prediction", "raw"], ["model", "prompt_sha256"]),
 }
 
 
+def _executions(s, d):
+    """Every document as an execution, with one fault after another; its stage, of which the last is unknown; and its ledger."""
+    k = F.col("doc_id")
+    unless = lambda n, good, bad=None: F.when(k % n == 0, bad).otherwise(good)
+    stage = F.concat(F.lit("st"), (k % 4).cast("string")).alias("stage")
+    files = lambda *names: F.array(*[F.struct(F.lit(n).alias("path"), (k % 17 != 0).alias("intact")) for n in names])
+    a = X.artifacts(s, d)
+    attestations = a.select(
+        k.alias("task_id"), stage, F.lit(1).alias("version"), (k % 12 != 0).alias("passed"), (k % 11 != 0).alias("seal_ok"), unless(13, k).alias("own_task"), unless(14, F.lit("i"), "j").alias("identity"),
+        F.when(k % 15 == 0, files("input", "input", "raw")).when(k % 16 == 0, files("input", "raw")).otherwise(files("raw", "prediction", "input")).alias("artifacts"),
+        F.struct((k % 18 != 0).alias("ok"), k.alias("task_id"), unless(19, k).alias("judged_task"), unless(20, F.lit("m")).alias("model"), F.lit("p").alias("prompt_sha256")).alias("prediction"),
+        unless(22, k).alias("spec_task"), F.when(k % 21 != 0, unless(23, F.col("sha256"), "x")).alias("spec"), unless(24, F.lit("l"), "m").alias("ledger_path"), unless(25, F.lit("li")).alias("ledger_identity"), (k % 7).alias("attempt_count"), unless(26, F.col("sha256"), "y").alias("attempts_sha256"),
+    )
+    stages = s.sql("SELECT concat('st', k) AS stage, 'i' AS identity, 5 AS max_attempts, 'm' AS model, 'p' AS prompt_sha256 FROM (SELECT explode(sequence(0, 2)) AS k)")
+    ledgers = a.filter("doc_id % 10 != 0").select(stage, k.alias("task_id"), F.lit("l").alias("path"), F.lit("li").alias("identity"), (k % 7).alias("attempts"), "sha256", unless(27, F.lit("response"), "exception").alias("status"), unless(28, 200, 500).alias("status_code"), F.when(k % 2 == 0, F.col("sha256")).alias("spec"))
+    return attestations, stages, ledgers
+
+
 def _window_text():
     """Windows in every grammar: one number, two, equal bounds, free text around them, none, negative, too late, too long."""
     k = F.col("event_id")
@@ -203,5 +228,8 @@ SELECT event_id, CASE m WHEN 0 THEN a WHEN 1 THEN CASE WHEN c >= b THEN b END WH
 SELECT session, seq, start_s, CASE WHEN session % 3 = 0 AND seq % 4 <> 0 THEN start_s + 0.5 WHEN session % 3 = 1 AND seq = 1 THEN 9.5 ELSE start_s + 2.0 END AS end_s, coalesce(start_s >= lag(start_s) OVER (PARTITION BY session ORDER BY seq), true) AS in_order FROM w"""),
     "st_wall_window": "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 AND o_orderdate <= TIMESTAMP '1996-06-01 00:30:00' THEN o_orderdate ELSE TIMESTAMP '1996-06-01 00:30:00' END AS st FROM orders) SELECT o_orderkey, round(greatest(0.0, 3600.0 - (epoch_us(TIMESTAMP '1996-06-01 00:30:00') - epoch_us(st)) / 1e6), 3) AS remaining_s, 3600.0 - (epoch_us(TIMESTAMP '1996-06-01 00:30:00') - epoch_us(st)) / 1e6 <= 0 AS expired FROM o",
     "jd_extract_json": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN json_extract_string(props, '$.k') END AS k FROM events",
-    "aud_execution": oracle("recorded", """SELECT id, reason FROM (SELECT r.path AS id, unnest([CASE WHEN r.bytes % 3 = 0 THEN 'artifacts' END, CASE WHEN r.bytes % 5 = 0 THEN 'seal' END, CASE WHEN a.path IS NULL THEN 'no_ledger' WHEN a.doc_id % 4 = 0 THEN 'ledger' END]) AS reason FROM recorded r LEFT JOIN artifacts a ON a.path = r.path) WHERE reason IS NOT NULL"""),
+    "aud_execution": oracle("artifacts", """SELECT doc_id AS task_id, 'st' || (doc_id % 4) AS stage, reason FROM (SELECT doc_id, unnest([CASE WHEN doc_id % 11 = 0 THEN 'seal' END, CASE WHEN doc_id % 12 = 0 THEN 'not_passed' END, CASE WHEN doc_id % 4 = 3 THEN 'stage' END, CASE WHEN doc_id % 13 = 0 THEN 'task' END, CASE WHEN doc_id % 4 = 3 OR doc_id % 14 = 0 THEN 'identity' END,
+ CASE WHEN doc_id % 15 = 0 THEN 'duplicate_artifacts' END, CASE WHEN doc_id % 16 = 0 OR doc_id % 15 = 0 THEN 'artifacts' END, CASE WHEN doc_id % 17 = 0 THEN 'changed_artifact' END, CASE WHEN doc_id % 18 = 0 THEN 'prediction' END, CASE WHEN doc_id % 19 = 0 THEN 'prediction_task' END, CASE WHEN doc_id % 4 = 3 OR doc_id % 20 = 0 THEN 'prediction_model' END, CASE WHEN doc_id % 4 = 3 THEN 'prediction_prompt_sha256' END,
+ CASE WHEN doc_id % 21 = 0 THEN 'input' END, CASE WHEN doc_id % 22 = 0 THEN 'input_task' END, CASE WHEN doc_id % 10 <> 0 AND doc_id % 2 = 0 AND (doc_id % 21 = 0 OR doc_id % 23 = 0) THEN 'input_spec' END, CASE WHEN doc_id % 10 = 0 THEN 'no_ledger' END, CASE WHEN doc_id % 10 = 0 OR doc_id % 24 = 0 THEN 'ledger_path' END, CASE WHEN doc_id % 10 = 0 OR doc_id % 25 = 0 THEN 'ledger_identity' END,
+ CASE WHEN CASE WHEN doc_id % 10 = 0 THEN 0 ELSE doc_id % 7 END <> doc_id % 7 THEN 'attempt_count' END, CASE WHEN doc_id % 10 = 0 OR doc_id % 26 = 0 THEN 'attempts' END, CASE WHEN doc_id % 10 = 0 OR doc_id % 4 = 3 OR doc_id % 7 NOT BETWEEN 1 AND 5 THEN 'attempt_range' END, CASE WHEN doc_id % 10 = 0 OR doc_id % 27 = 0 OR doc_id % 28 = 0 THEN 'final_attempt' END]) AS reason FROM artifacts) WHERE reason IS NOT NULL"""),
 }

@@ -70,7 +70,7 @@ def _report_tasks(s, d):
 
 
 def _rounds(s, d):
-    return X.rounds(s, d).select(F.col("session").alias("task_id"), (F.col("session") * 100 + F.col("turn")).alias("seq"), F.concat(F.substring("text", 1, 2), (F.col("turn") % 2).cast("string")).alias("query"))
+    return X.rounds(s, d).select(F.col("session").alias("task_id"), (F.col("session") * 100 + F.col("turn")).alias("seq"), F.when(F.col("session") % 3 == 0, F.concat(F.lit("again "), (F.col("turn") % 2).cast("string"))).otherwise(F.col("text")).alias("query"))
 
 
 def _audio(s, d):
@@ -97,10 +97,30 @@ def _durations(s, d):
 def _manifest(s, d):
     a, r = X.artifacts(s, d), X.recorded(s, d)
     spec = a.select(F.col("path").alias("task_id"), F.sha2(F.concat_ws("|", "path", "bytes"), 256).alias("spec_sha256"))
-    own = r.select(F.col("path").alias("task_id"), F.when(F.length("path") % 3 == 0, "v2").otherwise("v1").alias("version"), (F.col("bytes") % 11 != 0).alias("label_free"), F.sha2(F.concat_ws("|", "path", "bytes"), 256).alias("spec_sha256"))
+    n = F.col("bytes")
+    dims = F.when(n % 19 == 0, F.array(*map(F.lit, ("D2", "D1", "D3", "D4", "D5")))).when(n % 23 != 0, F.array(*map(F.lit, X.DIMS)))
+    own = r.select(F.col("path").alias("task_id"), F.when(F.length("path") % 3 == 0, "v2").otherwise("v1").alias("version"), (n % 11 != 0).alias("label_free"), F.sha2(F.concat_ws("|", "path", "bytes"), 256).alias("spec_sha256"), F.lit("c").alias("contract"), F.when(n % 17 != 0, "c").alias("contract_sha256"), dims.alias("dimensions"))
     return own, spec
 
 
+def _manifests(s, d):
+    """Every document as a manifest of its own."""
+    k = F.col("doc_id")
+    unless = lambda n, good, bad=None: F.when(k % n == 0, bad).otherwise(good)
+    dims = F.when(k % 29 == 0, F.array(*map(F.lit, ("D1", "D2", "D3", "D5", "D4")))).otherwise(F.array(*map(F.lit, X.DIMS)))
+    return X.artifacts(s, d).select(
+        k.alias("manifest"), unless(11, 2, 1).alias("schema_version"), unless(12, "v2").alias("version"), unless(13, True, False).alias("label_free"), unless(15, F.col("sha256"), F.lit("x")).alias("contract_sha256"), unless(14, F.col("sha256")).alias("contract_now"), unless(16, "v2", "v1").alias("contract_version"), dims.alias("dimensions"),
+        unless(17, "只对有效响应计时，无有效响应记 0。", "只对有效响应计时").alias("d3_definition"), unless(18, "响应内容正确性", "x").alias("d4_name"), unless(19, 0.0, 0.5).alias("d3_no_response_score"), unless(20, "response_content_correctness").alias("d4_scope"), unless(21, True).alias("formal_ready"), unless(22, 0, 3).alias("errors"),
+        unless(23, F.col("path")).alias("workbook_sha256"), unless(24, F.col("path"), F.lit("y")).alias("workbook_now"), unless(25, 75, 74).alias("task_count"), unless(50, 75, 70).alias("tasks"),
+    )
+
+
+def _manifest_findings(s, d):
+    """Findings of manifests as a whole (scope contract) and of their tasks."""
+    whole = U.contract_check(_manifests(s, d), "v2", 75).select(F.lit("contract").alias("scope"), F.col("manifest").cast("string").alias("task_id"), "reason")
+    return whole.unionByName(U.manifest_check(*_manifest(s, d), "v1").select(F.lit("task").alias("scope"), "task_id", "reason"))
+
+
 def _claims(s, d):
     """Claim and finish events: some finish twice, some were never claimed or never finish."""
     e = X.table(s, d, "events")
@@ -155,7 +175,7 @@ QUERIES = {
     "rub_count_mismatch": lambda s, d: U.applicable_counts(s.sql("SELECT concat('D', k) AS dim, k * 400 AS declared FROM (SELECT explode(sequence(1, 5)) AS k)"), _long(s, d)),
     "rub_ready": lambda s, d: U.formal_ready(U.issues(_long(s, d))),
     "rub_canonical_hash": lambda s, d: X.table(s, d, "region").select("r_regionkey", U.canonical_hash("r_name", "r_regionkey").alias("hash")),
-    "rub_manifest_check": lambda s, d: U.manifest_check(*_manifest(s, d), "v1"),
+    "rub_manifest_check": _manifest_findings,
     "lg_fold": lambda s, d: G.fold_attempts(_claims(s, d)),
     "lg_validate": lambda s, d: G.validate_ledger(X.attempts(s, d).withColumn("attempt", F.col("attempt") + F.when(F.col("task") % 70 == 3, 1).otherwise(0)), 5),
     "lg_final_ok": lambda s, d: G.final_ok(X.attempts(s, d), 5),
@@ -164,7 +184,7 @@ QUERIES = {
     "lg_seal": lambda s, d: G.check_seal(*_seals(s, d), ["p_name", "p_size"]),
     "lg_task_of_request": lambda s, d: G.task_of_request(_requests(s, d), "INPUT:"),
 }
-_ROUNDS = ", rr AS (SELECT session AS task_id, session * 100 + turn AS seq, text[1:2] || (turn % 2) AS query FROM rounds)\n"
+_ROUNDS = ", rr AS (SELECT session AS task_id, session * 100 + turn AS seq, CASE WHEN session % 3 = 0 THEN 'again ' || (turn % 2) ELSE text END AS query FROM rounds)\n"
 _FOUND = _MEDIA + """, t AS (SELECT page_id AS task_id, url, CASE WHEN page_id % 3 = 0 THEN nullif(lower(regexp_replace(stem, '[\\s_—–-]+', '', 'g')), '') END AS lk, CASE WHEN page_id % 3 = 1 THEN nullif(lower(regexp_replace(upper(stem), '[\\s_—–-]+', '', 'g')), '') END AS sk FROM st),
 found AS (SELECT task_id, coalesce(CASE WHEN task_id % 10 = 0 THEN url END, a.path, b.path, c.path) AS path, CASE WHEN task_id % 10 = 0 THEN 'map' WHEN a.path IS NOT NULL THEN 'label' WHEN b.path IS NOT NULL THEN 'scene' WHEN c.path IS NOT NULL THEN 'id' END AS found_by
  FROM t LEFT JOIN ix a ON a.key = lk LEFT JOIN ix b ON b.key = sk LEFT JOIN ix c ON c.key = task_id::VARCHAR)
@@ -211,9 +231,13 @@ SELECT k AS task_id, deadline, array_to_string(fields, ',') AS fields FROM o WHE
     "rub_ready": oracle("rubric", """, e AS (SELECT count(*) AS n FROM rubric r WHERE (applicable AND threshold = '-')), m AS (SELECT count(*) AS n FROM rubric r WHERE applicable AND weight IS NULL AND EXISTS (SELECT 1 FROM rubric x WHERE x.task_id = r.task_id AND x.applicable AND x.weight IS NOT NULL)),
 w AS (SELECT count(*) AS n FROM rubric WHERE NOT applicable AND (weight IS NOT NULL OR threshold <> '-')), t AS (SELECT count(*) AS n FROM (SELECT task_id FROM rubric WHERE applicable GROUP BY 1 HAVING sum(weight) IS NOT NULL AND abs(sum(weight) - 1) > 1e-9))
 SELECT e.n + m.n AS errors, w.n + t.n AS warnings, e.n + m.n = 0 AS ready FROM e, m, w, t"""),
-    "rub_manifest_check": oracle("recorded", """, own AS (SELECT path AS task_id, CASE WHEN length(path) % 3 = 0 THEN 'v2' ELSE 'v1' END AS version, bytes % 11 <> 0 AS label_free, path || '|' || bytes AS h FROM recorded), spec AS (SELECT path AS task_id, path || '|' || bytes AS h FROM artifacts),
-b AS (SELECT coalesce(own.task_id, spec.task_id) AS task_id, version, label_free, own.h AS oh, spec.h AS sh, count(*) OVER (PARTITION BY coalesce(own.task_id, spec.task_id)) AS n FROM own FULL JOIN spec ON own.task_id = spec.task_id)
-SELECT DISTINCT task_id, reason FROM (SELECT task_id, unnest([CASE WHEN oh IS NULL THEN 'missing_task' END, CASE WHEN sh IS NULL THEN 'unknown_task' END, CASE WHEN version <> 'v1' THEN 'version' END, CASE WHEN NOT label_free THEN 'labels' END, CASE WHEN oh <> sh THEN 'spec_hash' END, CASE WHEN n > 1 THEN 'duplicate_task' END]) AS reason FROM b) WHERE reason IS NOT NULL"""),
+    "rub_manifest_check": oracle("recorded", """, own AS (SELECT path AS task_id, CASE WHEN length(path) % 3 = 0 THEN 'v2' ELSE 'v1' END AS version, bytes, path || '|' || bytes AS h FROM recorded), spec AS (SELECT path AS task_id, path || '|' || bytes AS h FROM artifacts),
+b AS (SELECT coalesce(own.task_id, spec.task_id) AS task_id, version, bytes, own.h AS oh, spec.h AS sh, count(*) OVER (PARTITION BY coalesce(own.task_id, spec.task_id)) AS n FROM own FULL JOIN spec ON own.task_id = spec.task_id)
+SELECT DISTINCT 'task' AS scope, task_id, reason FROM (SELECT task_id, unnest([CASE WHEN oh IS NULL THEN 'missing_task' END, CASE WHEN sh IS NULL THEN 'unknown_task' END, CASE WHEN version <> 'v1' THEN 'version' END, CASE WHEN bytes % 11 = 0 THEN 'labels' END, CASE WHEN oh <> sh THEN 'spec_hash' END, CASE WHEN bytes % 17 = 0 THEN 'contract_hash' END,
+ CASE WHEN bytes % 19 = 0 OR bytes % 23 = 0 THEN 'dimensions' END, CASE WHEN n > 1 THEN 'duplicate_task' END]) AS reason FROM b) WHERE reason IS NOT NULL
+UNION ALL SELECT 'contract', doc_id::VARCHAR, reason FROM (SELECT doc_id, unnest([CASE WHEN doc_id % 11 = 0 THEN 'schema_version' END, CASE WHEN doc_id % 12 = 0 THEN 'version' END, CASE WHEN doc_id % 13 = 0 THEN 'labels' END, CASE WHEN doc_id % 14 = 0 THEN 'no_contract' END, CASE WHEN doc_id % 14 = 0 OR doc_id % 15 = 0 THEN 'contract_hash' END,
+ CASE WHEN doc_id % 16 = 0 THEN 'contract_version' END, CASE WHEN doc_id % 29 = 0 THEN 'dimensions' END, CASE WHEN doc_id % 17 = 0 THEN 'd3_definition' END, CASE WHEN doc_id % 18 = 0 THEN 'd4_name' END, CASE WHEN doc_id % 19 = 0 THEN 'd3_no_response' END, CASE WHEN doc_id % 20 = 0 THEN 'd4_scope' END, CASE WHEN doc_id % 21 = 0 OR doc_id % 22 = 0 THEN 'open_errors' END,
+ CASE WHEN doc_id % 23 = 0 THEN 'no_workbook' END, CASE WHEN doc_id % 23 <> 0 AND doc_id % 24 = 0 THEN 'workbook_changed' END, CASE WHEN doc_id % 50 = 0 THEN 'tasks' END, CASE WHEN doc_id % 25 = 0 THEN 'task_count' END]) AS reason FROM artifacts) WHERE reason IS NOT NULL"""),
     "lg_fold": """WITH e AS (SELECT user_id AS task, event_id % 11 AS request, event_type IN ('click', 'view') AS claim, event_id AS seq, CASE WHEN event_type = 'error' THEN 'exception' ELSE 'response' END AS status FROM events),
 p AS (SELECT task, request, min(seq) FILTER (claim) AS c, count(*) FILTER (NOT claim) AS f, arg_max(status, seq) FILTER (NOT claim) AS s FROM e GROUP BY 1, 2)
 SELECT task, request, row_number() OVER (PARTITION BY task ORDER BY c NULLS LAST, request) AS attempt, coalesce(s, 'claimed') AS status, CASE WHEN c IS NULL THEN 'finish_without_claim' WHEN f > 1 THEN 'finished_twice' END AS error FROM p""",
