@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelode.functions.text import name_key, nfkc
-from tracelode.operators import audits, intervals, judgments, ledger, quality, responses, rubric, sampling, tasks, timeline
+from tracelode.operators import audits, intervals, judgments, ledger, quality, responses, rubric, sampling, tasks, timeline, windows
 
 
 def col(spark, values, f):
@@ -97,10 +97,110 @@ def test_markers_inside_longer_words(spark):
 
 
 def test_forbidden_keys_at_any_depth(spark):
-    docs = spark.createDataFrame([(1, '{"a": [{"Scores": 1}, {"b": {"score": 2}}]}'), (2, "no"), (3, None)], "id int, json string")
-    assert sorted(r.path for r in audits.forbidden_keys(docs, ["score"], "loose").collect()) == ["$.a[0].Scores", "$.a[1].b.score"]
-    assert [r.path for r in audits.forbidden_keys(docs, ["score"]).collect()] == ["$.a[1].b.score"]
-    assert "…" in {r.key for r in audits.forbidden_keys(docs, ["score"], depth=1).collect()}
+    deep = '{"k": [' * 30 + '{"score": 1}' + "]}" * 30
+    docs = spark.createDataFrame([(1, '{"a": [{"Scores": 1}, {"b": {"score": 2}}]}'), (2, "no"), (3, None), (4, deep)], "id int, json string")
+    assert sorted(r.path for r in audits.forbidden_keys(docs, ["score"], "loose").collect()) == sorted(["$.a[0].Scores", "$.a[1].b.score", "$" + ".k[0]" * 30 + ".score"])
+    assert sorted(r.id for r in audits.forbidden_keys(docs, ["score"]).collect()) == [1, 4]
+
+
+def test_reachable_follows_chains_to_their_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(80)] + [(80, 3), (200, 201)], "a long, b long")
+    got = audits.reachable(edges, spark.createDataFrame([(0,), (79,)], "node long")).collect()
+    assert {r.node: r.depth for r in got} == {i: min(i, {79: 0, 80: 1}.get(i, 99), 2 + i - 3 if i >= 3 else 99) for i in range(81)}
+
+
+def test_fileset_hash_does_not_depend_on_order(spark):
+    rows = [("g", f"p{i}", f"h{i}") for i in range(600)]
+    make = lambda r: audits.fileset_hash(spark.createDataFrame(r, "g string, path string, sha256 string"), ["g"]).first()
+    assert make(rows) == make(rows[::-1]) and make(rows).files == 600
+    assert make(rows).hash != make([*rows[:-1], ("g", "p599", "other")]).hash
+
+
+def test_sensitive_values(spark):
+    cells = ["RTSP://x", "http://10.0.0.1", "https://127.0.0.1/a", "http://localhost", "sk-abcdefghijkl", "ark-ABCDEFGH_1-2", "pk-123456789012", "sk-short", "http://110.0.0.1", "/mnt/own/x", None]
+    df = spark.createDataFrame(list(enumerate(cells)), "id int, c string")
+    assert sorted(r.id for r in audits.sensitive_cells(df, "id", ["c"]).collect()) == [0, 1, 2, 3, 4, 5, 6]
+    assert 9 in {r.id for r in audits.sensitive_cells(df, "id", ["c"], ("/mnt/own/",)).collect()}
+    docs = spark.createDataFrame([(i, f'{{"{k}": 1}}') for i, k in enumerate(["Creation_Time", "video id", "UID", "format", "LVMetaInfo"])], "id int, json string")
+    assert sorted(r.id for r in audits.sensitive_metadata(docs).collect()) == [0, 1, 2, 4]
+
+
+def test_responses_are_read_in_normal_form(spark):
+    cases = {
+        "</silence>\n": "silence", "\n\t": "empty_output", "\n</response> hi": "substantive_response", "＜／ｓｉｌｅｎｃｅ＞": "silence", "\u3000</response>\u00a0ok\ufeff": "substantive_response", "</response>\r\n": "empty_response",
+        "</response> a\rUser : b": "role_transcript_continuation", "</response>\n<silence>\n": "malformed_silence", "</response>\u2028<12s ~ 13.5 s>": "timestamp_only_response", "</response> a </response> b": "unexpected_response_closer",
+    }
+    assert col(spark, list(cases), responses.classify_response) == list(cases.values())
+    assert col(spark, ["</response>ＡＢＣ", "</response> A\u3000BC\n"], lambda c: responses.is_query_echo(c, F.lit("ABC"))) == [True, True]
+    assert col(spark, ["\n</response>\n好的，已收到，我会提醒你", "\n已经收到了"], responses.is_deferred) == [True, False]
+
+
+def test_marked_forms_of_each_variant(spark):
+    texts = ["None", "null", " ", "< / Silence >", "</silence>", "<response> hi\n", "<RESPONSE>", "a\n b", "</response> x  y"]
+    form = lambda v: col(spark, texts, lambda c: responses.to_marker(c, v))
+    assert form("session") == ["</response> None", "</response> null", "</silence>", "</silence>", "</silence>", "</response> hi", "</silence>", "</response> a\n b", "</response> x  y"]
+    assert form("native") == ["</response> None", "</response> null", "</silence>", "</response> < / Silence >", "</silence>", "<response> hi", "<RESPONSE>", "</response> a\n b", "</response> x  y"]
+    assert form("streaming") == ["</response> None", "</response> null", "</silence>", "</response> < / Silence >", "</silence>", "</response> <response> hi", "</response> <RESPONSE>", "</response> a b", "</response> x y"]
+
+
+def test_failure_classes_of_a_session(spark):
+    rows = [(500, False, "x"), (429, False, "x"), (None, False, "x"), (0, False, None), (500, False, "smart_resize: x"), (500, False, "Timed out"), (200, True, "")]
+    df = spark.createDataFrame(rows, "s int, d boolean, m string")
+    got = [tuple(r.f) for r in df.select(responses.session_failure_class(F.col("s"), F.col("d"), F.col("m")).alias("f")).collect()]
+    assert got == [("provider_http_error", True), ("provider_rate_limit", True), ("provider_transport_error", True), ("provider_transport_error", True), ("provider_frame_preprocessing_error", True), ("model_latency_timeout", False), ("model_latency_timeout", False)]
+
+
+def test_a_loop_is_an_advance(spark):
+    media = [0.0, 1.0, 2.0, 3.0, 0.0, 1.0, 2.0, 3.0, 3.02, 3.02, 3.04, 2.9, None]
+    df = spark.createDataFrame([(1, i, float(i), m, float(min(i, 5))) for i, m in enumerate(media)], "session long, seq long, t_s double, media_s double, frame double")
+    out = intervals.stalls(df).orderBy("seq").collect()
+    assert [r.stall_s for r in out] == [0, 0, 0, 0, 0, 0, 0, 0, 1, 2, 0, 1, 2]
+    assert intervals.longest_stalls(intervals.stalls(df)).first()[1:] == (2.0, 7.0) and [r.frame_stall_s for r in out][-1] == 7.0
+
+
+def test_interruptions_take_the_first_reason(spark):
+    base = {"session": 0, "seq": 1, "state": "ok", "paused": False, "closes": 0, "disconnected_s": None, "unhealthy_s": 0.0, "media_stall_s": 0.0, "frame_stall_s": 0.0, "guard_pauses": 0}
+    cases = [({"state": "failed"}, "hard_state"), ({"paused": True}, "paused"), ({"closes": 4, "disconnected_s": 1.0}, "reconnect_budget"), ({"closes": 4}, None), ({"disconnected_s": 31.0}, "reconnect_timeout"), ({"unhealthy_s": 2.5}, "unhealthy"), ({"media_stall_s": 2.5}, "media_stall"),
+             ({"media_stall_s": 20.0, "guard_pauses": 1}, None), ({"frame_stall_s": 6.0}, "frame_stall"), ({"frame_stall_s": 6.0, "disconnected_s": 1.0}, None)]
+    schema = "session int, seq int, state string, paused boolean, closes int, disconnected_s double, unhealthy_s double, media_stall_s double, frame_stall_s double, guard_pauses int"
+    rows = [tuple((base | change | {"session": i}).values()) for i, (change, _) in enumerate(cases)]
+    got = {r.session: r.reason for r in intervals.interruptions(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases) if want}
+
+
+def test_marker_runs_by_duration_and_clock_offset(spark):
+    def run(values, removed, step=0.04, least=0.19):
+        df = spark.createDataFrame([(1, i, i * step, float(v), removed) for i, v in enumerate(values)], "session long, seq long, t_s double, value double, removed_s double")
+        return intervals.value_runs(df, 20.0, least, 100.0).first()
+
+    out = run([120] * 5 + [10] * 5 + [120] * 3 + [10] * 3 + [60, 120], 1.0)
+    assert out.n == 5 and round(out.rise_s, 3) == 0.4 and round(out.offset_s, 3) == 0.6 and out.error is None
+    assert run([120, 10, 10, 120], 1.0).error == "no_marker" and run([10] * 6, 1.0).error == "no_transition" and run([10] * 6 + [120], 99.0).error == "implausible_offset" and run([10], 1.0).error == "too_few"
+
+
+def test_frame_windows(spark):
+    w = lambda texts: [tuple(x) for x in col(spark, texts, lambda c: windows.frame_window(c, F.lit(1.0)))]
+    assert w(["5 seconds", "5-5 seconds", "<3.5 to 4>", "no time", "", None]) == [(5.0, 6.0, None), (5.0, 5.0, None), (3.5, 4.0, None), (None, None, None), (None, None, None), (None, None, None)]
+    assert [x[2] for x in w(["- 3 s", "1 - -2", "9-8", "86400-86401", "0-3601", "9" * 400])] == ["negative", "negative", "reversed", "too_late", "too_long", "not_finite"]
+    df = spark.createDataFrame([(1, 1, "7-9.5 s", 1), (1, 2, None, 1), (2, 1, None, 0), (2, 2, None, 0), (3, 1, "4-4.5", 3), (3, 2, None, 3), (3, 3, "2", 3)], "session int, seq int, window string, listed int")
+    got = [(r.session, r.start_s, r.end_s, r.in_order) for r in windows.resolve_windows(df, 2.0, 1).orderBy("session", "seq").collect()]
+    assert got == [(1, 7.0, 9.5, True), (1, 9.0, 11.0, True), (2, 2.0, 4.0, True), (2, 4.0, 6.0, True), (3, 4.0, 4.5, True), (3, 4.0, 6.0, True), (3, 2.0, 4.0, False)]
+
+
+def test_late_frames_and_the_flush(spark):
+    rows = [(0, 1.0, 2.0), (1, 9.0, 11.0), (2, 8.0, 10.5), (3, 3.0, 4.0), (4, 19.5, 20.0), (5, 45.0, 46.0)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "session long, position long, start_s double, end_s double")
+    got = lambda end: [(r.segment, r.frames) for r in intervals.segments(df, 10.0, end).orderBy("segment").collect()]
+    assert got(False) == [(0, 2), (1, 2)]  # frame 2 still overlaps segment 1, frame 3 is lost
+    assert got(True) == [(0, 2), (1, 2), (4, 1)]
+
+
+def test_resume_reasons_in_order(spark):
+    tasks = spark.createDataFrame([(i, "c", "v", True) for i in range(4)], "task int, contract string, source string, realtime boolean")
+    good = (0, "ok", 0, "c", "v", True, "s", True, "p", True, True, "f", "h")
+    stored = spark.createDataFrame([good, (1, *good[1:2], 1, *good[3:10], False, "f", "h"), (2, "ok", 2, *good[3:11], "g", "h")], "task int, status string, own_task int, contract string, source string, evaluation_ok boolean, semantics string, backend_ok boolean, prompt_sha256 string, identity_ok boolean, realtime_ok boolean, path string, sha256 string")
+    files = spark.createDataFrame([("f", 1, "h"), ("g", 0, "h")], "path string, bytes int, sha256 string")
+    assert {r.task: r.reason for r in quality.resume_valid(tasks, stored, files, "s", "p").collect()} == {0: None, 1: "realtime", 2: "empty_video", 3: "no_result"}
 
 
 def test_ledger_rules(spark):

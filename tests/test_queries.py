@@ -22,7 +22,8 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows and any(any(x not in (None, 0, "", False) for x in r) for r in rows)
 
 
 def test_oracles_name_queries():

@@ -90,8 +90,21 @@ def test_streams_come_to_the_batch_result(spark, tmp_path):
     stream = stream_of(spark, batch, str(tmp_path / "in"))
     pairs = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
     got = finished(spark, sessions.outages_stream(stream), "outages", "append", tmp_path)
-    want = sessions.outages(batch)
+    want = sessions.closed_outages(batch)
     assert pairs(got, "session", "start_s", "end_s", "reason") == pairs(want, "session", "start_s", "end_s", "reason") != []
+    assert pairs(sessions.merged_outages(got), "session", "start_s", "end_s") == pairs(sessions.outages(batch), "session", "start_s", "end_s")
+    numbers = lambda df: df.select("session", "seq", "ts", F.col("t_ms").alias("wall_ms"), (F.col("source_position_s") * 900).alias("inbound_ms"), F.when(F.col("seq") % 7 == 0, F.col("t_ms") / 2).alias("query_ms"), (F.col("t_ms") / 1000).alias("t_s"), F.col("source_position_s").alias("media_s"), (F.col("seq") % 50).cast("double").alias("frame"))
+    got = finished(spark, sessions.media_clock_stream(numbers(stream)), "clock", "append", tmp_path)
+    assert pairs(got, "session", "seq", "media_ms") == pairs(sessions.media_clock(numbers(batch)), "session", "seq", "media_ms")
+    got = finished(spark, sessions.stalls_stream(numbers(stream)), "stalls", "append", tmp_path)
+    assert pairs(got, "session", "seq", "stall_s", "frame_stall_s") == pairs(intervals.stalls(numbers(batch)), "session", "seq", "stall_s", "frame_stall_s")
+    said = F.element_at(F.array(*map(F.lit, [sessions.START + "a", " b" + sessions.END, "c", sessions.QUIET, sessions.START + " d"])), (F.col("seq") % 5 + 1).cast("int"))
+    chunks = lambda df: df.select("session", "seq", "ts", F.floor(F.col("seq") / 90).alias("poll"), said.alias("text"))
+    got = finished(spark, sessions.assemble_rounds_stream(chunks(stream)), "rounds", "append", tmp_path)
+    want = sessions.assemble_rounds(chunks(batch))
+    last = want.groupBy("session").agg(F.max("poll").alias("last"))
+    want = want.join(last, "session").filter("poll < last")  # the last poll of each session is still open
+    assert pairs(got, "session", "poll", "content") == pairs(want, "session", "poll", "content") != []
     got = finished(spark, sessions.background_tasks(stream), "bg", "update", tmp_path)
     last = got.groupBy("session", "task").agg(F.max_by(F.struct("started_t", "finished_t", "status"), F.coalesce(F.greatest("started_t", "finished_t"), "started_t", "finished_t")).alias("x")).select("session", "task", "x.status")
     want = responses.background_tasks(batch.select("session", "task", "t", "status"))
@@ -113,14 +126,48 @@ def test_outage_is_dated_back_and_extended(spark):
     ev = [(1, 1, 1000.0, sessions.PROGRESS, 1.0), (1, 2, 5000.0, sessions.STALLED[0], 2.0), (1, 3, 6000.0, sessions.DISCONNECTED, None), (1, 4, 8000.0, sessions.RESUMED[1], None), (1, 5, 9000.0, sessions.DISCONNECTED, None)]
     df = spark.createDataFrame(ev, "session long, seq long, t_ms double, type string, source_position_s double")
     out = sessions.outages(df).collect()
-    assert [(r.start_s, r.end_s) for r in out] == [(2.0, 8.0)] and out[0].reason.split(",") == [sessions.STALLED[0], sessions.DISCONNECTED, sessions.RESUMED[1]]
+    assert [(r.start_s, r.end_s) for r in out] == [(2.0, 8.0)] and out[0].reasons == [sessions.STALLED[0], sessions.DISCONNECTED, sessions.RESUMED[1]]
 
 
-def test_media_clock_never_runs_back(spark):
-    df = spark.createDataFrame([(1, 1, 0.0, 10.0, None), (1, 2, 5.0, 3.0, None), (1, 3, 6.0, 0.0, 4.0), (1, 4, 9.0, 100.0, None)], "session long, seq long, wall_ms double, inbound_ms double, query_ms double")
-    assert [r.media_ms for r in sessions.media_clock(df).orderBy("seq").collect()] == [10.0, 15.0, 16.0, 100.0]
+def test_overlapping_outages_are_one(spark):
+    ev = [(1, 1, 1000.0, sessions.PROGRESS, 1.0), (1, 2, 5000.0, sessions.DISCONNECTED, None), (1, 3, 9000.0, sessions.RESUMED[1], None), (1, 4, 11000.0, sessions.STALLED[0], 6.0), (1, 5, 12000.0, sessions.RESUMED[2], None)]
+    df = spark.createDataFrame(ev, "session long, seq long, t_ms double, type string, source_position_s double")
+    assert [(r.start_s, r.end_s) for r in sessions.closed_outages(df).collect()] == [(5.0, 9.0), (6.0, 12.0)]
+    out = sessions.outages(df).collect()
+    assert [(r.start_s, r.end_s, r.start_position_s, r.reasons) for r in out] == [(5.0, 12.0, None, [sessions.DISCONNECTED, sessions.RESUMED[1], sessions.STALLED[0], sessions.RESUMED[2]])]
+
+
+def test_media_clock_follows_its_anchor(spark):
+    df = spark.createDataFrame([(1, 1, 0.0, 10.0, None), (1, 2, 5.0, 3.0, None), (1, 3, 6.0, 0.0, 4.0), (1, 4, 6.0, None, None), (1, 5, 9.0, 100.0, None), (1, 6, 8.0, None, None)], "session long, seq long, wall_ms double, inbound_ms double, query_ms double")
+    # An exact query time is the value, even if the clock had gone further; after it the clock moves by 1 ms at least.
+    assert [r.media_ms for r in sessions.media_clock(df).orderBy("seq").collect()] == [10.0, 15.0, 4.0, 5.0, 100.0, 101.0]
 
 
 def test_rounds_cut_by_chunk_borders(spark):
-    df = spark.createDataFrame([(1, 1, "<respo"), (1, 2, "nse> a b</resp"), (1, 3, "onse><response>open"), (2, 1, None)], "session long, seq long, text string")
-    assert [(r.round, r.text) for r in sessions.assemble_rounds(df).collect()] == [(0, "a b")]
+    chunks = [
+        (1, 1, 1, "<|round_sta"), (1, 2, 1, "rt|><|response|> a  b<|rou"), (1, 3, 1, "nd_end|>tail<|round_start|>open"), (1, 4, 2, " more<|round_end|>"), (1, 5, 3, "<|silence|>"), (1, 6, 4, "plain\n text"),
+        (1, 7, 5, "<|round_start|>x<|silence|>y<|round_start|><|round_end|>"), (2, 1, 1, None),
+    ]
+    df = spark.createDataFrame(chunks, "session long, seq long, poll long, text string")
+    got = {(r.session, r.poll): r.content for r in sessions.assemble_rounds(df).collect()}
+    assert got == {(1, 1): "</response> a b tail", (1, 2): "</response> open more", (1, 3): "</silence>", (1, 4): "</response> plain text", (1, 5): "</response> xy", (2, 1): "</silence>"}
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "large").write_bytes(bytes(range(256)) * 80_000)
+    (tmp_path / "small").write_bytes(b"x")
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in files.read_artifacts(spark, str(tmp_path), whole_bytes=1000).collect()}
+    assert got == {n: ((tmp_path / n).stat().st_size, hashlib.sha256((tmp_path / n).read_bytes()).hexdigest()) for n in ("large", "small")}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tracelode.functions import cluster
+
+    spark = lambda master, at: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: at), sparkContext=SimpleNamespace(master=master))
+    assert cluster.shared_dir(spark("spark://x:7077", "s3a://b/c/")) == "s3a://b/c" and cluster.shared_dir(spark("local[2]", None)).startswith("file:")
+    with pytest.raises(ValueError, match="checkpoint"):
+        cluster.shared_dir(spark("spark://x:7077", None))
