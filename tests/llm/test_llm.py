@@ -450,7 +450,7 @@ def long_dir(spark, tmp_path_factory):
     """Texts of two megabytes: prose, one line, one word, blanks, and copies of them, beside short ones."""
     rng, d = random.Random(6), str(tmp_path_factory.mktemp("long"))
     prose = phrase(rng, 240_000)
-    rows = [(0, prose), (1, prose + " end"), (2, prose.replace(" ", "\n")), (3, "x" * 2_000_000), (4, " \n" * 1_000_000), (5, "short text of a few words"), (6, prose), (7, "token = " + "a" * 1_500_000)]
+    rows = [(0, prose), (1, prose + " end"), (2, prose.replace(" ", "\n")), (3, "x" * 200_000), (4, " \n" * 1_000_000), (5, "short text of a few words"), (6, prose), (7, "token = " + "a" * 200_000)]
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(0, 1, 0), (5, 0, 0), (3, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d, rows
