@@ -226,6 +226,22 @@ def test_priority_order_keeps_every_item(spark):
     assert {r.place for r in out[:24]} >= {i for i, (_, _, v) in enumerate(rows) if v != "full_ui"}
 
 
+def test_frame_times_are_chosen_greedily(spark):
+    sessions_ = [(1, 30.0), (2, 0.02), (3, 4.0)]
+    events = [(1, 5, 3.0), (1, 2, 3.1), (1, 9, 29.9), (3, 1, 0.1), (3, 2, None)]
+    got = {r.session: r.times for r in sampling.frame_times(spark.createDataFrame(sessions_, "session long, duration_s double"), spark.createDataFrame(events, "session long, seq long, t_s double"), 40).collect()}
+    for s, duration in sessions_:
+        d = max(duration, 0.1)
+        end = max(0.05, d - min(0.5, max(0.05, d * 0.1)))
+        around = [t + x for _, t in sorted((q, t) for k, q, t in events if k == s and t is not None) for x in (-0.6, 0.0, 0.8)]
+        kept = []
+        for t in around + [0.5 + i * (end - 0.5) / 12 for i in range(13)]:
+            t = round(min(end, max(0.0, t)), 3)
+            if len(kept) < 40 and all(abs(t - k) >= 0.18 for k in kept):
+                kept.append(t)
+        assert got[s] == sorted(kept)
+
+
 def test_bag_difference_counts(spark):
     a = spark.createDataFrame([("x",), ("x",), ("y",)], "h string")
     b = spark.createDataFrame([("x",), ("z",)], "h string")

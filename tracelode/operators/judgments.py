@@ -124,13 +124,13 @@ def candidates(predictions: DataFrame, stages: tuple[str, ...] = ("review_1", "f
 
 def stage_status(expected: DataFrame, predictions: DataFrame) -> DataFrame:
     """Per stage: ok, failed and missing tasks, and how many remain. expected: stage, task_id; predictions: stage, task_id, status."""
-    joined = expected.join(predictions.select("stage", "task_id", F.coalesce("status", F.lit("failed")).alias("status")), ["stage", "task_id"], "left")
+    joined = expected.join(predictions.select("stage", "task_id", F.coalesce("status", F.lit("failed")).alias("status")).hint("merge"), ["stage", "task_id"], "left")
     n = lambda cond: F.count(F.when(cond, 1))
     return joined.groupBy("stage").agg(n(F.col("status") == "ok").alias("ok"), n(F.col("status") != "ok").alias("failed"), n(F.col("status").isNull()).alias("missing")).withColumn("remaining", F.col("failed") + F.col("missing"))
 
 
 def remaining_tasks(expected: DataFrame, predictions: DataFrame) -> DataFrame:
-    return expected.join(predictions.filter("status = 'ok'"), ["stage", "task_id"], "left_anti")
+    return expected.join(predictions.filter("status = 'ok'").hint("merge"), ["stage", "task_id"], "left_anti")
 
 
 def system_progress(predictions: DataFrame, stages: list[str], expected: int) -> DataFrame:

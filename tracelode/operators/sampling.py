@@ -34,7 +34,7 @@ def crop_times(outputs: DataFrame, full: DataFrame, budget: int) -> DataFrame:
     c = outputs.filter("t_s IS NOT NULL").select("session", "seq", F.posexplode(F.array(F.col("t_s") - 0.6, F.col("t_s"), F.col("t_s") + 0.8)).alias("part", "c_s"))
     c = evenly_sample(c, ["session"], ["seq", "part"], budget)
     f = full.select(F.col("session").alias("f_session"), F.col("t_s").alias("full_s"))
-    near = c.join(f, F.col("session") == F.col("f_session")).groupBy("session", "seq", "part").agg(F.min(F.struct(F.abs(F.col("full_s") - F.col("c_s")).alias("gap"), "full_s")).alias("n"))
+    near = c.join(f.hint("merge"), F.col("session") == F.col("f_session")).groupBy("session", "seq", "part").agg(F.min(F.struct(F.abs(F.col("full_s") - F.col("c_s")).alias("gap"), "full_s")).alias("n"))
     return near.select("session", F.col("n.full_s").alias("t_s")).distinct()
 
 

@@ -66,7 +66,9 @@ def query_rounds(tasks: DataFrame, default_s: float = 0.0) -> DataFrame:
     Query parts and time parts meet by label (the last time of a label counts), else by position, else the time of the whole cell holds. Without query parts
     every time part is a round with the whole query; without either there is one round."""
     t = tasks.select("task_id", F.coalesce(clean_cell(F.col("query")), F.lit("")).alias("query"), clean_cell(F.col("query_time")).alias("time"))
-    t = t.withColumn("parts", split_labels(F.col("query"), True)).withColumn("times", split_labels(F.col("time")))
+    # One row out of a generator: both lists are computed once and not again in every branch that reads them.
+    once = F.explode(F.array(F.struct(split_labels(F.col("query"), True).alias("parts"), split_labels(F.col("time")).alias("times"))))
+    t = t.select("*", once.alias("s")).select("task_id", "query", "time", "s.parts", "s.times")
     seconds = lambda x: F.coalesce(parse_seconds(x), F.lit(default_s))
     by_label = lambda label: F.element_at(F.reverse(F.filter("times", lambda x: x["label"] == label)), 1)["text"]
     whole = seconds(F.col("time"))
@@ -112,9 +114,9 @@ def media_key_index(files: DataFrame) -> DataFrame:
 
 def resolve_media(tasks: DataFrame, explicit: DataFrame, index: DataFrame) -> DataFrame:
     """The explicit file of a task if it has one, else the first of its label, scene and id that names a file. tasks: task_id, label, scene; explicit: task_id, path; index: key, path."""
-    out = tasks.join(explicit.select("task_id", F.col("path").alias("p0")), "task_id", "left")
+    out = tasks.join(explicit.select("task_id", F.col("path").alias("p0")).hint("merge"), "task_id", "left")
     for k, column in enumerate(("label", "scene", "task_id"), 1):
-        side = index.select(F.col("key").alias(f"k{k}"), F.col("path").alias(f"p{k}"))
+        side = index.select(F.col("key").alias(f"k{k}"), F.col("path").alias(f"p{k}")).hint("merge")
         out = out.join(side, F.nullif(name_key(F.col(column).cast("string")), F.lit("")) == F.col(f"k{k}"), "left")
     return out.select("task_id", F.coalesce("p0", "p1", "p2", "p3").alias("path"), F.when(F.col("p0").isNotNull(), "map").when(F.col("p1").isNotNull(), "label").when(F.col("p2").isNotNull(), "scene").when(F.col("p3").isNotNull(), "id").alias("found_by"))
 

@@ -192,5 +192,9 @@ r AS (SELECT *, 'rtsp://|https?://(10\\.|127\\.0\\.0\\.1|localhost)|(sk|ark|pk)-
 SELECT doc_id, 'text' AS "column" FROM r WHERE regexp_matches(text, p, 'i') UNION ALL SELECT doc_id, 'note' FROM r WHERE regexp_matches(note, p, 'i')""",
     "rel_index_rewrite": _NAMES + "SELECT id, 'videos/' || string_split(video, '/')[-1] AS video FROM names",
     "reg_validate": _PROFILES + "SELECT DISTINCT id, reason FROM (SELECT id, unnest([CASE WHEN id LIKE 'Bad%' THEN 'id' END, CASE base WHEN 'ftp' THEN 'base_url' WHEN 'cred' THEN 'credentials' END, CASE WHEN bad_transport THEN 'transport' END, CASE WHEN n > 1 THEN 'repeated' END]) AS reason FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM profiles)) WHERE reason IS NOT NULL",
+    "reg_fingerprint": """SELECT CASE WHEN s_suppkey % 9 = 0 THEN 'Bad ' || s_suppkey WHEN s_suppkey % 10 = 1 THEN 'p-same' ELSE 'p-' || s_suppkey END AS id, sha256('{"base_url":"' || CASE WHEN s_suppkey % 8 = 0 THEN 'ftp://x' WHEN s_suppkey % 8 = 1 THEN 'https://u:p@host/v1' ELSE 'https://host' || s_suppkey || '/v1' END
+ || '","transport":"' || CASE WHEN s_suppkey % 6 = 0 THEN 'pigeon' ELSE 'http' END || '","aliases":["a' || (s_suppkey % 5) || '","b' || (s_suppkey % 3) || '"]}') AS fingerprint FROM supplier""",
+    "aud_frames_equal": oracle("artifacts", _FRAMESQL + """, a AS (SELECT task_id, "index" AS i, time_s, path, CASE WHEN doc_id % 43 = 0 THEN reverse(sha256) ELSE sha256 END AS h FROM fr WHERE path <> 'doc/7'), b AS (SELECT task_id, "index" AS i, time_s, path, CASE WHEN doc_id % 43 = 1 THEN reverse(sha256) ELSE sha256 END AS h FROM fr)
+SELECT task_id, count(*) AS frames, bool_and(coalesce(pa = pb AND ha = hb AND ta IS NOT DISTINCT FROM tb, false)) AS equal FROM (SELECT coalesce(a.task_id, b.task_id) AS task_id, a.path AS pa, b.path AS pb, a.h AS ha, b.h AS hb, a.time_s AS ta, b.time_s AS tb FROM a FULL JOIN b ON a.task_id = b.task_id AND a.i = b.i) GROUP BY 1"""),
     "reg_select": _PROFILES + "SELECT id, min(CASE WHEN id = 'p-12' THEN 0 WHEN tag = 'tag3' THEN 1 WHEN id = 'p-same' THEN 2 WHEN tag = 'tag1' THEN 3 END) AS place FROM profiles WHERE id IN ('p-12', 'p-same') OR tag IN ('tag1', 'tag3') GROUP BY 1",
 }

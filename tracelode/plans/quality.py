@@ -251,6 +251,9 @@ SELECT task_id, status, attempts, attempt_limit, recovery_batch_count, coalesce(
     "qa_state_merge": "SELECT c_custkey AS system, CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 5 = 0 THEN 'complete' WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE 'unknown' END AS status, c_custkey % 3 <> 0 AND c_custkey % 2 = 0 AND NOT (c_custkey % 4 <> 0 AND c_custkey % 5 = 0) AS live FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0",
     "qa_source_sig": "SELECT DISTINCT l_partkey AS path, p_size AS bytes, p_retailprice AS modified FROM lineitem LEFT JOIN part ON p_partkey = l_partkey",
     "qa_pipeline_state": "SELECT c_custkey AS run, CASE WHEN c_custkey % 5 = 0 THEN 'no_recording' WHEN c_custkey % 2 <> 0 THEN 'recording:running' WHEN c_custkey % 3 = 0 THEN 'waiting_for_judge' WHEN c_custkey % 7 = 0 THEN 'judging:failed' ELSE 'complete' END AS status FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 3 <> 0",
+    "ev_variants": oracle("events_", _CATALOG + f""", ns AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY place) - 1 AS p, count(*) OVER (PARTITION BY session) AS n FROM cat WHERE view NOT LIKE 'temporal_sheet%'),
+v AS (SELECT session, 'complete' AS variant, place FROM cat UNION ALL SELECT session, 'priority', place FROM cat WHERE place < 24 UNION ALL SELECT session, 'individual', place FROM ns UNION ALL SELECT session, 'sparse', place FROM ns WHERE {_even('12', 'n', 'p')})
+SELECT session, variant, count(*) AS n, sum(place)::BIGINT AS places FROM v GROUP BY 1, 2"""),
     "ev_even_sample": oracle("events_", f"SELECT session, seq FROM {_EV_O} WHERE {_even('5', 'n', 'p')}"),
     "ev_even_indices": oracle("events_", f"SELECT session, seq FROM {_EV_O} WHERE n <= 1 OR p = n // 2"),
     "ev_crop_times": oracle("events_", f""", c AS (SELECT o.session, seq * 3 + part AS g, o.t_s + [-0.6, 0.0, 0.8][part + 1] AS c_s FROM {_EV_O} o CROSS JOIN (SELECT unnest([0, 1, 2]) AS part)), e AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY g) - 1 AS p, count(*) OVER (PARTITION BY session) AS n FROM c),

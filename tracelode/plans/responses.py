@@ -10,6 +10,18 @@ from . import fixtures as X
 from .fixtures import oracle
 
 
+#: Answers beside whole texts, and whether they only promise one.
+_PROMISES = {
+    "</response>这个问题需要调用后台模型": True, "我会继续观察": True, "火灾警报已设定。": True, "如果看到火，我会立即提醒": True, "\n</response> 好的！已收到，我会留意": True, "我将提醒您": True, "等小狗出现之后确认": True, "Let me keep watching": True, "I'll alert you": True,
+    "Once it starts, we will tell you": True, "ＬＥＴ ＭＥ ｋｅｅｐ ｌｏｏｋｉｎｇ": True, "A dog has appeared": False, "已经看到火了": False, "收到了一封信": False, "</delegation>": True, "</response>": False,
+}
+
+
+def _promises():
+    n = (F.col("conv_id") * 5 + F.col("turn")) % 19
+    return F.coalesce(F.get(F.array(*map(F.lit, _PROMISES)), n.cast("int")), "text")
+
+
 def _flags(s, d):
     return R.flags(X.responses(s, d), X.rounds(s, d))
 
@@ -87,7 +99,7 @@ def _messages(s, d):
 
 QUERIES = {
     "rsp_classify": lambda s, d: X.responses(s, d).select("session", "turn", R.classify_response(F.col("text")).alias("class")),
-    "rsp_deferred": lambda s, d: X.table(s, d, "conversations").select("conv_id", "turn", R.is_deferred(F.col("text")).alias("deferred")),
+    "rsp_deferred": lambda s, d: X.table(s, d, "conversations").select("conv_id", "turn", R.is_deferred(_promises()).alias("deferred")),
     "rsp_echo": lambda s, d: X.rounds(s, d).alias("q").join(X.responses(s, d).select("session", F.col("turn").alias("t"), F.col("text").alias("said")), "session").select("session", "rn", "t", R.is_query_echo(F.col("said"), F.col("text")).alias("echo")),
     "rsp_dedupe": lambda s, d: R.dedupe_responses(_flow(s, d), ["text"]).select("session", "t"),
     "rsp_violations": lambda s, d: R.violations(_flow(s, d)),
@@ -133,6 +145,7 @@ expd AS (SELECT q.session, q.rn, CASE WHEN max(k.t) IS NULL THEN q.turn::DOUBLE
 """
 ORACLES = {
     "rsp_classify": oracle("responses", f"SELECT session, turn, {_CLASS} AS class FROM responses"),
+    "rsp_deferred": f"SELECT conv_id, turn, coalesce([{', '.join(map(str, _PROMISES.values()))}][(conv_id * 5 + turn) % 19 + 1], false) AS deferred FROM conversations",
     "rsp_echo": oracle("rounds responses", f"SELECT q.session, rn, r.turn AS t, ({_SQ.format('r.text')} <> '' AND {_SQ.format('r.text')} = regexp_replace(q.text, '\\s+', '', 'g')) AS echo FROM rounds q JOIN responses r ON r.session = q.session"),
     "rsp_dedupe": oracle("responses", "SELECT session, min(turn) AS t FROM responses GROUP BY session, text"),
     "rsp_violations": oracle("responses", f'SELECT session, i AS "index", class AS violation, sha256(text) AS text_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) - 1 AS i, {_CLASS} AS class FROM responses) WHERE class NOT IN (\'silence\', \'substantive_response\')'),

@@ -219,6 +219,8 @@ ORACLES |= {
     "src_task_jsonl": oracle("rounds", "SELECT session || '-' || rn AS id, sha256(text) AS query, turn::DOUBLE AS at_s FROM rounds"),
     "src_task_csv": "SELECT conv_id || '-' || turn AS id, sha256('say \"' || text || '\"' || chr(10) || 'end') AS query FROM conversations",
     "src_capture_summary": "SELECT conv_id::VARCHAR AS task_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, turn AS t, sha256(text) AS text FROM conversations WHERE role = 'assistant'",
+    "src_result_tree": oracle("grades", "SELECT dim AS stage, system || '-t' || task_id AS task_id, grade, applicable FROM grades"),
+    "jd_stage_input": oracle("grades", """SELECT system, task_id, sha256('{"judgment":' || coalesce('"' || grade || '"', 'null') || ',"task_spec":"' || category || '"}') AS document FROM grades WHERE dim = 'D4'"""),
     "src_artifacts": "SELECT 65 * count(*) AS bytes, true AS hashed FROM documents",
     "sink_run_summary": "SELECT o_orderkey, o_orderstatus, o_orderstatus AS again FROM orders",
     "st_frame_window": """WITH e AS (SELECT event_id, event_id % 8 AS m, (event_id % 100)::DOUBLE AS a, (event_id % 90)::DOUBLE AS b, (event_id % 77)::DOUBLE AS c FROM events)

@@ -165,7 +165,7 @@ QUERIES = {
     "rub_unpivot": lambda s, d: _long(s, d),
     "rub_threshold_alias": lambda s, d: X.table(s, d, "part").select("p_partkey", U.normalize_threshold(F.concat(F.lit("F: "), F.col("p_name"), F.lit(" P≥"), F.col("p_size").cast("string"))).alias("threshold")),
     "rub_dimensions": lambda s, d: U.rubric_dimensions(_cells(s, d)),
-    "rub_headerless": lambda s, d: U.headerless_cells(X.table(s, d, "nation").select(F.col("n_nationkey").alias("row"), F.array(F.lit("id"), F.lit(" "), F.lit(None).cast("string")).alias("headers"), F.array(F.lit("x"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")), F.when(F.col("n_nationkey") % 3 == 0, F.lit("  ")).otherwise("y")).alias("cells"))),
+    "rub_headerless": lambda s, d: U.headerless_cells(X.table(s, d, "part").select(F.col("p_partkey").alias("row"), F.array(F.lit("id"), F.lit(" "), F.lit(None).cast("string")).alias("headers"), F.array(F.lit("x"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")), F.when(F.col("p_partkey") % 3 == 0, F.lit("  ")).otherwise("y")).alias("cells"))),
     "rub_missing_fields": lambda s, d: U.missing_fields(_durations(s, d), ["user_prompt", "scene", "expected_key_information", "d5_threshold"]),
     "rub_missing_rule": lambda s, d: U.missing_rule(_long(s, d)),
     "rub_missing_weight": lambda s, d: U.missing_weight(_long(s, d)),
@@ -174,7 +174,7 @@ QUERIES = {
     "rub_duration_conflict": lambda s, d: U.duration_conflict(_durations(s, d)).select("task_id", "deadline", F.array_join(F.array_sort(F.map_keys("conflicts")), ",").alias("fields")),
     "rub_count_mismatch": lambda s, d: U.applicable_counts(s.sql("SELECT concat('D', k) AS dim, k * 400 AS declared FROM (SELECT explode(sequence(1, 5)) AS k)"), _long(s, d)),
     "rub_ready": lambda s, d: U.formal_ready(U.issues(_long(s, d))),
-    "rub_canonical_hash": lambda s, d: X.table(s, d, "region").select("r_regionkey", U.canonical_hash("r_name", "r_regionkey").alias("hash")),
+    "rub_canonical_hash": lambda s, d: X.table(s, d, "part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("weight")).select("p_partkey", U.canonical_hash("weight", "p_name", "p_partkey").alias("hash")),
     "rub_manifest_check": _manifest_findings,
     "lg_fold": lambda s, d: G.fold_attempts(_claims(s, d)),
     "lg_validate": lambda s, d: G.validate_ledger(X.attempts(s, d).withColumn("attempt", F.col("attempt") + F.when(F.col("task") % 70 == 3, 1).otherwise(0)), 5),
@@ -219,7 +219,9 @@ SELECT coalesce(q.query_sha256, e.query_sha256) AS query_sha256, CASE WHEN e.que
     "rub_unpivot": oracle("rubric", "SELECT task_id, dim, applicable, threshold, weight FROM rubric"),
     "rub_dimensions": """WITH r AS (SELECT s_suppkey AS row, 'D' || (s_suppkey % 4 + 1) AS dim, 'Name ' || s_name AS name, s_nationkey AS declared FROM supplier WHERE s_suppkey % 4 <> 3), g AS (SELECT dim, arg_min(name, row) AS name, arg_min(declared, row) AS declared, count(*) AS n FROM r GROUP BY 1)
 SELECT 'D' || k AS dim, name, declared, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' ELSE 'ok' END AS status FROM (SELECT unnest([1, 2, 3, 4, 5]) AS k) LEFT JOIN g ON dim = 'D' || k""",
-    "rub_headerless": "SELECT n_nationkey AS row, 1 AS \"column\", n_name AS value FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 2, 'y' FROM nation WHERE n_nationkey % 3 <> 0",
+    "rub_headerless": "SELECT p_partkey AS row, 1 AS \"column\", p_name AS value FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 2, 'y' FROM part WHERE p_partkey % 3 <> 0",
+    "rub_canonical_hash": """SELECT p_partkey, sha256('{"p_name":' || to_json(p_name) || ',"p_partkey":' || p_partkey || ',"weight":' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE p_size::VARCHAR END || '}') AS hash FROM part""",
+    "rub_threshold_alias": "SELECT p_partkey, 'S: ' || p_name || ' B≥' || p_size AS threshold FROM part",
     "rub_missing_fields": "SELECT o_orderkey AS task_id, 'user_prompt' AS field FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'expected_key_information' FROM orders WHERE o_orderkey % 2 <> 0 UNION ALL SELECT o_orderkey, 'd5_threshold' FROM orders",
     "rub_missing_rule": oracle("rubric", "SELECT task_id, dim FROM rubric WHERE applicable AND threshold = '-'"),
     "rub_missing_weight": oracle("rubric", "SELECT task_id, dim FROM rubric r WHERE applicable AND weight IS NULL AND EXISTS (SELECT 1 FROM rubric x WHERE x.task_id = r.task_id AND x.applicable AND x.weight IS NOT NULL)"),
