@@ -33,6 +33,8 @@ BLOCK, CHUNK = 16_384, 65_536
 #: Pieces that a worker remembers; longer pieces are not kept.
 REMEMBER, REMEMBER_CHARS = 900_000, 64
 MARKS = ".,!?;:"
+#: Words that go through the tokenizer together, the special token between them, and characters of texts that are looked up together.
+TOGETHER, SEPARATOR, LOOKED_UP = 1000, "<|startoftext|>", 1 << 20
 PLANES = 4
 #: What a tokenizer file must say for texts to be cut at blanks and before marks without changing an id.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -58,45 +60,72 @@ def cuts_at_blanks(path: str) -> bool:
     return cut and added and bytes_only and (said.get("normalizer") or {}).get("normalizers") == NORMALIZERS and not said.get("post_processor")
 
 
-def encoder(path: str):
-    """A function: text to the bytes of its ids."""
+def core(piece: str) -> tuple[str, str]:
+    """A piece as the word it stands for and the marks behind it, where cutting there changes no id: behind a letter or digit
+    the tokenizer always cuts before such a mark, and it lower-cases ASCII letters as Python does."""
+    word = piece.rstrip(MARKS)
+    if not word or word == piece and not piece.isascii() or "<|" in piece or not word[-1].isalnum() or not word[-1].isascii():
+        return piece, ""
+    return word.lower() if word.isascii() else word, piece[len(word) :]
+
+
+def words_encoded(tokenizer, words: list[str]) -> list[bytes]:
+    """The bytes of the ids of each word. Many words go through the tokenizer as one text with a special token between them, which cuts before anything else;
+    words that might hold a special token themselves go alone."""
+    out = {w: array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in words if "<|" in w}
+    plain = [w for w in words if w not in out]
+    for a in range(0, len(plain), TOGETHER):
+        some = plain[a : a + TOGETHER]
+        ids = np.array(tokenizer.encode_batch_fast([SEPARATOR.join(some)], add_special_tokens=False)[0].ids, "<u4")
+        at = (np.flatnonzero(ids == tokenizer.token_to_id(SEPARATOR)) * 4).tolist()
+        raw = ids.tobytes()
+        out.update(zip(some, [raw[x:y] for x, y in zip([0, *[e + 4 for e in at]], [*at, len(raw)])]))
+    return [out[w] for w in words]
+
+
+def batch_encoder(path: str):
+    """A function: texts to the bytes of their ids."""
     if path not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = Tokenizer.from_file(path), {"": b""}, cuts_at_blanks(path)
+        tokenizer = Tokenizer.from_file(path)
+        _known[path] = tokenizer, {"": b""}, cuts_at_blanks(path) and tokenizer.token_to_id(SEPARATOR) is not None
     tokenizer, known, apart = _known[path]
     if not apart:
-        return lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def core(piece: str) -> tuple[str, str]:
-        """A piece as the word it stands for and the marks behind it, where cutting there changes no id: behind a letter or digit
-        the tokenizer always cuts before such a mark, and it lower-cases ASCII letters as Python does."""
-        word = piece.rstrip(MARKS)
-        if not word or word == piece and not piece.isascii() or "<|" in piece or not word[-1].isalnum() or not word[-1].isascii():
-            return piece, ""
-        return word.lower() if word.isascii() else word, piece[len(word) :]
-
-    def encode(text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            cores = {p: core(p) for p in dict.fromkeys(pieces) if p not in known}
-            new = [w for w in dict.fromkeys(x for c in cores.values() for x in c) if w not in known]
-            ids = {w: array("I", e.ids).tobytes() for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False))}
-            of = lambda w: ids[w] if w in ids else known[w]
-            ids |= {p: of(w) + of(marks) for p, (w, marks) in cores.items()}
-            out = b"".join([of(p) for p in pieces])
-            if len(known) + len(ids) > REMEMBER:
-                known.clear()
-                known[""] = b""
-            known.update((p, x) for p, x in ids.items() if len(p) <= REMEMBER_CHARS)
+        return lambda texts: [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        missing = set().union(*pieces).difference(known)
+        if len(known) + len(missing) > REMEMBER:
+            known.clear()
+            known[""] = b""
+            missing = set().union(*pieces).difference(known)
+        if missing:
+            asked, words, marks = list(missing), [], []
+            for p in asked:
+                word, mark = core(p)
+                words.append(word)
+                marks.append(mark)
+            new = list({*words, *marks}.difference(known))
+            known.update(zip(new, words_encoded(tokenizer, new)))
+            known.update({p: known[w] + known[m] if m else known[w] for p, w, m in zip(asked, words, marks)})
+            out = [b"".join(map(known.__getitem__, p)) for p in pieces]
+            for x in [x for x in (*missing, *new) if len(x) > REMEMBER_CHARS]:
+                known.pop(x, None)
             return out
+        return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
     return encode
 
 
+def encoder(path: str):
+    """A function: text to the bytes of its ids."""
+    encode = batch_encoder(path)
+    return lambda text: encode([text])[0]
+
+
 def shuffle_planes(ids: np.ndarray) -> list[bytes]:
     """The compressed byte planes of each block, block by block."""
     pack = zstandard.ZstdCompressor(level=1).compress
@@ -123,7 +152,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocab: str, end_id: i
     def shard(batches):
         from pyspark import TaskContext
 
-        encode, number = encoder(vocab), TaskContext.get().partitionId()
+        encode, number = batch_encoder(vocab), TaskContext.get().partitionId()
         chunk, offset, ids, texts, size = 0, 0, [], [], 0
 
         def row():
@@ -132,15 +161,25 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocab: str, end_id: i
             cols = zip((number, chunk, offset, ids, lengths, planes), (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in cols], names=["shard", "chunk", "offset", "doc_ids", "lengths", "planes"])
 
-        for batch in batches:
-            doc_ids, values = batch.column("doc_id").to_pylist(), batch.column("text")
-            for k, doc_id in enumerate(doc_ids):
-                ids.append(doc_id)
-                texts.append(encode(values[k].as_py()) + end)
-                size += len(texts[-1]) // 4
-                if size >= CHUNK:
-                    yield row()
-                    chunk, offset, ids, texts, size = chunk + 1, offset + size, [], [], 0
+        def encoded():
+            held, doc_ids, chars = [], [], 0
+            for batch in batches:
+                for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                    held.append(text.as_py())
+                    doc_ids.append(doc_id.as_py())
+                    chars += len(held[-1])
+                    if chars >= LOOKED_UP:
+                        yield from zip(doc_ids, encode(held))
+                        held, doc_ids, chars = [], [], 0
+            yield from zip(doc_ids, encode(held))
+
+        for doc_id, found in encoded():
+            ids.append(doc_id)
+            texts.append(found + end)
+            size += len(texts[-1]) // 4
+            if size >= CHUNK:
+                yield row()
+                chunk, offset, ids, texts, size = chunk + 1, offset + size, [], [], 0
         if ids:
             yield row()
 
