@@ -71,17 +71,22 @@ def stall_step(state: tuple, t: float, media: float | None, frame: float | None)
 def stalls(samples: DataFrame) -> DataFrame:
     """Time since the media clock and the frame counter last advanced; a clock that has fallen back has looped, which is an advance too. samples: session, seq, t_s, media_s, frame.
 
-    What counts as an advance depends on the last one, so a session, a recording of an hour or so, is one pass."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = (None,) * 4, []
-        none = lambda x: None if x is None or x != x else float(x)
-        for seq, t, media, frame in pdf.sort_values("seq")[["seq", "t_s", "media_s", "frame"]].itertuples(index=False):
-            state = stall_step(state, t, none(media), none(frame))
-            out.append((key[0], seq, t, None if state[0] is None else t - state[0], None if state[2] is None else t - state[2]))
-        return pd.DataFrame(out, columns=["session", "seq", "t_s", "stall_s", "frame_stall_s"])
-
-    return samples.groupBy("session").applyInPandas(run, "session long, seq long, t_s double, stall_s double, frame_stall_s double")
+    What counts as an advance depends on the last one, so rows are streamed in the order of their session's log, and a session's state is all that is held."""
+    none = lambda x: None if x is None or x != x else float(x)
+
+    def run(batches):
+        current, state = object(), None
+        for pdf in batches:
+            out = []
+            for session, seq, t, media, frame in pdf.itertuples(index=False):
+                if session != current:
+                    current, state = session, (None,) * 4
+                state = stall_step(state, t, none(media), none(frame))
+                out.append((session, seq, t, None if state[0] is None else t - state[0], None if state[2] is None else t - state[2]))
+            yield pd.DataFrame(out, columns=["session", "seq", "t_s", "stall_s", "frame_stall_s"])
+
+    rows = samples.select("session", "seq", "t_s", "media_s", "frame").repartition("session").sortWithinPartitions("session", "seq")
+    return rows.mapInPandas(run, "session long, seq long, t_s double, stall_s double, frame_stall_s double")
 
 
 def longest_stalls(stalled: DataFrame) -> DataFrame:

@@ -131,9 +131,12 @@ def flags(responses: DataFrame, rounds: DataFrame) -> DataFrame:
     r = responses.select(F.col("session").alias("r_session"), F.col("turn").alias("t"), "text")
     inside = (F.col("session") == F.col("r_session")) & (F.col("t") >= F.col("turn")) & (F.col("next_turn").isNull() | (F.col("t") < F.col("next_turn")))
     rows = q.join(r, inside, "left").drop("r_session")
-    kind = classify_response(F.col("text"))
-    rows = rows.withColumn("kind", F.when(F.col("t").isNotNull(), kind)).withColumn("substantive", F.coalesce(F.col("kind") == "substantive_response", F.lit(False)))
-    rows = rows.withColumn("deferred", F.coalesce(F.col("substantive") & is_deferred(F.col("text")), F.lit(False))).withColumn("echo", F.coalesce(F.col("substantive") & is_query_echo(F.col("text"), F.col("query")), F.lit(False)))
+    # One row out of a generator: each is computed once and not again in every column that reads it.
+    kind = F.when(F.col("t").isNotNull(), classify_response(F.col("text")))
+    rows = rows.select("*", F.explode(F.array(kind)).alias("kind")).withColumn("substantive", F.coalesce(F.col("kind") == "substantive_response", F.lit(False)))
+    said = F.when(F.col("substantive"), F.col("text"))
+    more = F.struct(F.coalesce(is_deferred(said), F.lit(False)).alias("deferred"), F.coalesce(is_query_echo(said, F.col("query")), F.lit(False)).alias("echo"))
+    rows = rows.select("*", F.explode(F.array(more)).alias("m")).select("*", "m.deferred", "m.echo").drop("m")
     return rows.withColumn("completes", F.col("substantive") & ~F.col("deferred") & ~F.col("echo"))
 
 
@@ -146,9 +149,11 @@ def query_counts(flagged: DataFrame) -> DataFrame:
 def query_outcome(flagged: DataFrame, background: DataFrame) -> DataFrame:
     """Per query: background error, else background answer, else direct answer, else pending. background: session, rn, status (error, ready), t."""
     bg = background.withColumn("priority", F.when(F.col("status") == "error", 1).when(F.col("status") == "ready", 2)).filter("priority IS NOT NULL")
-    direct = flagged.filter("completes").select("session", "rn", F.lit("answered").alias("status"), "t", F.lit(3).alias("priority"))
-    every = flagged.select("session", "rn", F.lit("pending").alias("status"), F.lit(None).cast("long").alias("t"), F.lit(4).alias("priority")).distinct()
-    rows = bg.select("session", "rn", "status", F.col("t").cast("long").alias("t"), "priority").unionByName(direct.withColumn("t", F.col("t").cast("long"))).unionByName(every)
+    # The flags are read once: an answer and the fallback come out of the same aggregate.
+    own = flagged.groupBy("session", "rn").agg(F.min(F.when(F.col("completes"), F.col("t"))).cast("long").alias("t"))
+    answered = F.col("t").isNotNull()
+    own = own.select("session", "rn", F.when(answered, "answered").otherwise("pending").alias("status"), "t", F.when(answered, 3).otherwise(4).alias("priority"))
+    rows = bg.select("session", "rn", "status", F.col("t").cast("long").alias("t"), "priority").unionByName(own)
     best = rows.groupBy("session", "rn").agg(F.min(F.struct("priority", "t", "status")).alias("b"))
     return best.select("session", "rn", F.col("b.status").alias("outcome"), F.col("b.t").alias("t"))
 

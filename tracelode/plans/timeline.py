@@ -60,7 +60,7 @@ def _r(df, *cols):
 def _stalls(spark, d):
     """Every sample's stalls, beside the longest of its session."""
     rows = I.stalls(_samples(spark, d))
-    return _r(rows.join(I.longest_stalls(rows), "session").drop("t_s"), "stall_s", "frame_stall_s", "longest_stall_s", "longest_frame_stall_s")
+    return _r(rows.join(I.longest_stalls(rows).hint("merge"), "session").drop("t_s"), "stall_s", "frame_stall_s", "longest_stall_s", "longest_frame_stall_s")
 
 
 QUERIES = {
