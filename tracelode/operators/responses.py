@@ -73,11 +73,14 @@ def classify_response(text: Column, raw: Column | None = None, provider_error: C
 
 
 def is_deferred(text: Column) -> Column:
-    t = F.lower(body(text))
-    hit = F.lit(False)
-    for marker in DEFERRED_MARKERS:
-        hit = hit | t.contains(marker)
-    return hit | t.rlike("|".join(f"(?:{p})" for p in DEFERRED_PATTERNS))
+    def promises(t):
+        hit = t.rlike("|".join(f"(?:{p})" for p in DEFERRED_PATTERNS))
+        for marker in DEFERRED_MARKERS:
+            hit = hit | t.contains(marker)
+        return hit
+
+    # A lambda over one element: the body is computed once, not in every term.
+    return F.get(F.transform(F.array(F.lower(body(text))), promises), 0)
 
 
 def normalized_question(text: Column) -> Column:
