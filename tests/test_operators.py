@@ -135,6 +135,14 @@ def test_responses_are_read_in_normal_form(spark):
     assert col(spark, ["\n</response>\n好的，已收到，我会提醒你", "\n已经收到了"], responses.is_deferred) == [True, False]
 
 
+def test_answers_lose_one_tag_and_every_outer_white_space(spark):
+    texts = ["\n\t\u3000</response> hi</response>\r\n", "\x1c <response>\x85a\u2003", "</response></response> b", "c \n\n", "null\x1f", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i")
+    got = rows.select(timeline.clean_response(F.col("text")).alias("t"), timeline.is_silence(F.col("text")).alias("s")).collect()
+    assert [r.t for r in got] == ["hi</response>", "a", "</response> b", "c", "null", ""]
+    assert [r.s for r in got] == [False, False, False, False, True, True]
+
+
 def test_marked_forms_of_each_variant(spark):
     texts = ["None", "null", " ", "< / Silence >", "</silence>", "<response> hi\n", "<RESPONSE>", "a\n b", "</response> x  y"]
     form = lambda v: col(spark, texts, lambda c: responses.to_marker(c, v))

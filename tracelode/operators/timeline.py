@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 SILENCE = ("", "</silence>", "<silence>", "silence", "null", "none")
 
 
+#: White space of timeline texts: the Unicode spaces and the four ASCII separators.
+_SPACE = r"[\s\x1C-\x1F]"
+
+
 def squeezed(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"(?U){_SPACE}+", "")
 
 
 def is_silence(text: Column) -> Column:
@@ -23,7 +27,8 @@ def is_silence(text: Column) -> Column:
 
 def clean_response(text: Column) -> Column:
     """Without one leading response tag and outer white space."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s*</?response>\s*", ""), r"(?U)^\s+|\s+$", "")
+    untagged = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?U)^{_SPACE}*</?response>{_SPACE}*", "")
+    return F.regexp_replace(untagged, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
 
 
 def frame_time(text: Column) -> Column:

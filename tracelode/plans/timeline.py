@@ -63,6 +63,9 @@ def _stalls(spark, d):
     return _r(rows.join(I.longest_stalls(rows).hint("merge"), "session").drop("t_s"), "stall_s", "frame_stall_s", "longest_stall_s", "longest_frame_stall_s")
 
 
+#: Every Unicode space, line separator and ASCII separator, as a class of DuckDB's patterns.
+_SPACE = r"[\t-\r\x1C-\x1F\x85\p{Z}]"
+
 QUERIES = {
     "tl_rebase": lambda s, d: _r(L.rebase_clock(_ev(s, d).select("session", "seq", (F.col("t_s") * 1000).alias("t_ms")), _sessions(s, d)).select("session", "seq", "wall_s"), "wall_s"),
     "tl_queries": lambda s, d: _ev(s, d, "query").select("session", "seq", "t_s", "text"),
@@ -106,8 +109,8 @@ ORACLES = {
     "tl_rebase": oracle("events_", f", {_SESSIONS} SELECT e.session, seq, round(round_even(t_s * 1000 / 1000 - coalesce(video_start_s, stream_ready_s), 3), 4) AS wall_s FROM session_events e LEFT JOIN sessions s ON s.session = e.session"),
     "tl_queries": oracle("events_", "SELECT session, seq, t_s, text FROM session_events WHERE kind = 'query'"),
     "tl_outputs": oracle("events_", "SELECT session, seq, t_s, latency_ms, text FROM session_events WHERE kind = 'output' AND text IS NOT NULL AND text NOT IN ('', 'none')"),
-    "tl_silence": oracle("responses", "SELECT session, count(*) AS responses, count(*) FILTER (lower(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) IN ('', '</silence>', '<silence>', 'silence', 'null', 'none')) AS silent FROM responses GROUP BY 1"),
-    "tl_clean_response": oracle("responses", "SELECT session, turn, sha256(trim(regexp_replace(coalesce(text, ''), '^\\s*</?response>\\s*', ''), ' ' || chr(9) || chr(10) || chr(13))) AS answer FROM responses"),
+    "tl_silence": oracle("responses", f"SELECT session, count(*) AS responses, count(*) FILTER (lower(regexp_replace(coalesce(text, ''), '{_SPACE}+', '', 'g')) IN ('', '</silence>', '<silence>', 'silence', 'null', 'none')) AS silent FROM responses GROUP BY 1"),
+    "tl_clean_response": oracle("responses", f"SELECT session, turn, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '^{_SPACE}*</?response>{_SPACE}*', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS answer FROM responses"),
     "tl_dedupe": oracle("events_", "SELECT session, min(seq) AS seq FROM (SELECT *, floor(t_s / 40) AS f FROM session_events) GROUP BY session, kind, text, CASE WHEN f = 0 THEN -1 ELSE f END"),
     "tl_wall_intervals": oracle("events_", f"SELECT session, seq, round(i, 4) AS interval_s FROM (SELECT session, seq, t_s - lag(t_s) OVER (PARTITION BY session ORDER BY seq) AS i FROM ({_O})) WHERE i IS NOT NULL"),
     "tl_frame_intervals": oracle("events_", f"SELECT session, seq, round(i, 4) AS interval_s FROM (SELECT session, seq, text::DOUBLE - lag(text::DOUBLE) OVER (PARTITION BY session ORDER BY seq) AS i FROM ({_O})) WHERE i IS NOT NULL"),
