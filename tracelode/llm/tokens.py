@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 
@@ -39,6 +40,11 @@ PLANES = 4
 #: What a tokenizer file must say for texts to be cut at blanks and before marks without changing an id.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters that lower-case one by one, alike in Python and in the tokenizer, and that no normal form changes.
+LETTERS, LOWER_LETTERS = (re.compile(p).fullmatch for p in ("[A-Za-zÀ-ÖØ-öø-ÿ]+", "[a-zß-öø-ÿ]+"))
+#: Byte-level tokenizers give the bytes outside these ranges, in order, the code points from 256 on.
+BYTES_AS_THEY_ARE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_POINTS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in BYTES_AS_THEY_ARE)}
 CHUNK_SCHEMA = "shard int, chunk int, offset long, doc_ids array<long>, lengths array<int>, planes array<binary>"
 _known: dict[str, tuple[object, dict[str, bytes], bool]] = {}
 
@@ -56,23 +62,28 @@ def cuts_at_blanks(path: str) -> bool:
     first, *later = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     cut = first.get("type") == "Split" and first.get("pattern") == {"Regex": PIECES} and first.get("behavior") == "Removed" and first.get("invert") is True
     added = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in said.get("added_tokens", ()))
-    bytes_only = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex", True) for x in later)
+    bytes_only = len(later) == 1 and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex", True) for x in later)
     return cut and added and bytes_only and (said.get("normalizer") or {}).get("normalizers") == NORMALIZERS and not said.get("post_processor")
 
 
 def core(piece: str) -> tuple[str, str]:
     """A piece as the word it stands for and the marks behind it, where cutting there changes no id: behind a letter or digit
-    the tokenizer always cuts before such a mark, and it lower-cases ASCII letters as Python does."""
+    the tokenizer always cuts before such a mark, and it lower-cases ASCII letters and `LETTERS` as Python does."""
     word = piece.rstrip(MARKS)
+    if LETTERS(word):
+        return word.lower(), piece[len(word) :]
     if not word or word == piece and not piece.isascii() or "<|" in piece or not word[-1].isalnum() or not word[-1].isascii():
         return piece, ""
     return word.lower() if word.isascii() else word, piece[len(word) :]
 
 
 def words_encoded(tokenizer, words: list[str]) -> list[bytes]:
-    """The bytes of the ids of each word. Many words go through the tokenizer as one text with a special token between them, which cuts before anything else;
+    """The bytes of the ids of each word. A word of lower-case letters alone is one piece in normal form and goes to the tokenizer's model at once.
+    Of the others many go through the tokenizer as one text with a special token between them, which cuts before anything else;
     words that might hold a special token themselves go alone."""
-    out = {w: array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in words if "<|" in w}
+    model = tokenizer.model.tokenize
+    out = {w: array("I", [x.id for x in model(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_POINTS))]).tobytes() for w in words if LOWER_LETTERS(w)}
+    out.update({w: array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in words if "<|" in w})
     plain = [w for w in words if w not in out]
     for a in range(0, len(plain), TOGETHER):
         some = plain[a : a + TOGETHER]
