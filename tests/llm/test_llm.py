@@ -141,7 +141,7 @@ def test_token_store_round_trip(spark, sf_dir):
     assert (tokens.unshuffle_planes(tokens.shuffle_planes(ids)) == ids).all() and len(tokens.unshuffle_planes([])) == 0
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|>, a<|startoftext|>b", "a\x1cb c d", "é, é;", "ΑΣ ΣΑΣ.", "I'LL can't 3.5, x--y... '", "İ, ǅ:", "\r\n\x0b a!!"])
+@pytest.mark.parametrize("text", ["<|endoftext|>, a<|startoftext|>b", "a\x1cb c d", "é, é;", "ΑΣ ΣΑΣ.", "I'LL can't 3.5, x--y... '", "İ, ǅ:", "\r\n\x0b a!!", "Été ÀÉÎ, ß; Øre. São e\u0301te e\u0301, ÷x× ºª µm ÿ!", "naïve's d'Été 1é é1 ſt ŒUVRE,"])
 def test_token_pieces_keep_the_ids(text):
     from tokenizers import Tokenizer
 
