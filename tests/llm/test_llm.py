@@ -544,6 +544,24 @@ def test_sampled_segmentations_follow_their_law(text):
             assert abs(second[ids] / total - p) < 5 * math.sqrt(p * (1 - p) / total) + 0.01
 
 
+@pytest.mark.parametrize("theta", [0.15, 1.0])
+def test_best_segmentation_is_the_likeliest_of_all(theta):
+    v, texts = lattice.Vocabulary(segmentation.model(), theta=theta), ["the of", "is\n漢 it", "é", "", "  a  b\n", "the of"]
+    for text, (ids, log_p) in zip(texts, lattice.best(v, texts)):
+        law = _all_paths(v, text) if text else {(): 1.0}
+        top = max(law.values())
+        assert abs(law[tuple(ids.tolist())] - top) < 1e-9 and abs(math.exp(log_p) - top) < 1e-9
+    assert lattice.best(v, []) == []
+
+
+def test_best_segmentations_of_a_table(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    rows = segmentation.best_encoded(docs, segmentation.model()).withColumn("back", segmentation.decoder(segmentation.model())("ids")).collect()
+    want = collections.Counter((r.doc_id, (r.text or "").replace(lattice.SPACE, " ")) for r in docs.select(F.col("doc_id").cast("long"), "text").collect())
+    assert collections.Counter((r.doc_id, r.back) for r in rows) == want
+    assert all(r.n_tokens == len(r.ids) and r.log_prob <= 0 for r in rows)
+
+
 def _full_law(v, text):
     """All segmentations over every piece of the model, without units."""
     import sentencepiece

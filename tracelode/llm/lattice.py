@@ -160,6 +160,7 @@ class Lattices:
             top = np.maximum.reduceat(value, group)
             counts = np.diff(np.append(group, len(s)))
             z[s[group]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), group))
+        self.by, self.bounds = by, bounds
         self.log_q = w + z[self.dst] - z[self.src]
         q = np.exp(self.log_q)
         self.q = q
@@ -174,6 +175,20 @@ class Lattices:
             self.log_rest = np.where(only, -np.inf, np.log(np.maximum(1 - q, 1e-15)))
         self.end = self.ptr[1:] == self.ptr[:-1]
 
+    def likeliest(self) -> np.ndarray:
+        """The first edge of the likeliest way on from each node; of ties the longest."""
+        value, edge = np.zeros(len(self.end)), np.zeros(len(self.end), np.int64)
+        for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
+            if a < b:
+                e = self.by[a:b]
+                s, way = self.src[e], self.log_q[e] + value[self.dst[e]]
+                group = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                top = np.maximum.reduceat(way, group)
+                hits = np.flatnonzero(way == np.repeat(top, np.diff(np.append(group, len(s)))))[::-1]
+                value[s[group]] = top
+                edge[s[hits]] = e[hits]
+        return edge
+
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to the end of its string: edges, one walk after the other, and the number of each."""
         who = np.flatnonzero(~self.end[nodes])
@@ -245,6 +260,22 @@ class _Numbers(dict):
         return n
 
 
+def best(v: Vocabulary, texts: list[str]) -> list[tuple[np.ndarray, float]]:
+    """The likeliest segmentation of each text: ids and log probability."""
+    number = _Numbers()
+    rows = [list(map(number.__getitem__, _UNITS.findall(SPACE + t.replace(" ", SPACE)))) if t else [] for t in texts]
+    lat = Lattices(v, list(number))
+    edge, found = lat.likeliest(), []
+    for node in lat.start.tolist():
+        path = []
+        while not lat.end[node]:
+            path.append(int(edge[node]))
+            node = int(lat.dst[path[-1]])
+        found.append((lat.ids[path], float(lat.log_q[path].sum())))
+    none = [np.zeros(0, np.int64)]
+    return [(spelled(v, np.concatenate(none + [found[u][0] for u in r])).astype(np.int32), sum(found[u][1] for u in r)) for r in rows]
+
+
 def sample(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text up to k distinct segmentations in drawn order: ids, log probability, log inclusion score.
 

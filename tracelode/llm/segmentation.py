@@ -84,6 +84,23 @@ def encoded(docs: DataFrame, path: str, k: int = SAMPLES, theta: float = THETA,
     return keyed.mapInArrow(run, _DIGEST if digest else _DRAWN)
 
 
+def best_encoded(docs: DataFrame, path: str, theta: float = THETA) -> DataFrame:
+    """A row for each document: the ids of its likeliest segmentation and their log probability. Cases are defined as for samples."""
+
+    def run(batches):
+        v = vocabulary(path, theta)
+        for batch in batches:
+            column = batch.column("text")
+            for a, b in _groups(pc.binary_length(column).to_pylist()):
+                found = lattice.best(v, column.slice(a, b - a).to_pylist())
+                ids = pa.array([x[0] for x in found], pa.list_(pa.int32()))
+                out = [batch.column("doc_id").slice(a, b - a), pc.list_value_length(ids).cast(pa.int64()), ids, pa.array([x[1] for x in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids", "log_prob"])
+
+    keyed = common.keyed(docs).select(F.col("doc_id").cast("long"), "text")
+    return keyed.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, log_prob double")
+
+
 def decoder(path: str, theta: float = THETA):
     """A Column function: array of ids to text."""
 
