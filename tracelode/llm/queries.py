@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdups, lines, mixing, neardups, quality, secrets, segmentation, sharding, spelling, tokens, vectors
+from . import exactdups, lines, mixing, neardups, quality, repeats, secrets, segmentation, sharding, spelling, tokens, vectors
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_kd_sharding": sharding.query,
     "op10_sampled_segmentation": segmentation.query,
     "op12_spelling_variants": spelling.query,
+    "op13_substring_dedup": repeats.query,
 }
 ORACLES = {
     "op2_line_dedup": lines.ORACLE,
     "op4_exact_dedup": exactdups.ORACLE,
     "op5_topk_search": vectors.ORACLE,
     "op12_spelling_variants": spelling.ORACLE,
+    "op13_substring_dedup": repeats.ORACLE,
 }
