@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdups, lines, mixing, neardups, quality, repeats, secrets, segmentation, sharding, spelling, tokens, vectors
+from . import exactdups, lines, mixing, neardups, prefixes, quality, repeats, secrets, segmentation, sharding, spelling, tokens, vectors
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": neardups.query,
     "op9_kd_sharding": sharding.query,
     "op10_sampled_segmentation": segmentation.query,
+    "op11_prefix_trie": prefixes.query,
     "op12_spelling_variants": spelling.query,
     "op13_substring_dedup": repeats.query,
 }
@@ -22,6 +23,7 @@ ORACLES = {
     "op2_line_dedup": lines.ORACLE,
     "op4_exact_dedup": exactdups.ORACLE,
     "op5_topk_search": vectors.ORACLE,
+    "op11_prefix_trie": prefixes.ORACLE,
     "op12_spelling_variants": spelling.ORACLE,
     "op13_substring_dedup": repeats.ORACLE,
 }
