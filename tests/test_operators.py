@@ -167,13 +167,16 @@ def test_a_loop_is_an_advance(spark):
 
 
 def test_interruptions_take_the_first_reason(spark):
-    base = {"session": 0, "seq": 1, "state": "ok", "paused": False, "closes": 0, "disconnected_s": None, "unhealthy_s": 0.0, "media_stall_s": 0.0, "frame_stall_s": 0.0, "guard_pauses": 0}
-    cases = [({"state": "failed"}, "hard_state"), ({"paused": True}, "paused"), ({"closes": 4, "disconnected_s": 1.0}, "reconnect_budget"), ({"closes": 4}, None), ({"disconnected_s": 31.0}, "reconnect_timeout"), ({"unhealthy_s": 2.5}, "unhealthy"), ({"media_stall_s": 2.5}, "media_stall"),
+    base = {"session": 0, "seq": 1, "t_s": 0.0, "source": "upload", "lifecycle": "running", "analysis": True, "looping": True, "ended": False, "paused": False, "ready_state": 4, "closes": 0, "disconnected_s": None, "media_stall_s": 0.0, "frame_stall_s": 0.0, "guard_pauses": 0}
+    cases = [({"source": "camera"}, "hard_state"), ({"lifecycle": "failed"}, "hard_state"), ({"lifecycle": None}, "hard_state"), ({"analysis": False}, "hard_state"), ({"looping": False}, "hard_state"), ({"ended": True, "paused": True}, "hard_state"), ({"paused": True}, "paused"),
+             ({"closes": 4, "disconnected_s": 1.0}, "reconnect_budget"), ({"closes": 4}, None), ({"disconnected_s": 31.0}, "reconnect_timeout"), ({"media_stall_s": 2.5}, "media_stall"), ({"ready_state": 1}, None),
              ({"media_stall_s": 20.0, "guard_pauses": 1}, None), ({"frame_stall_s": 6.0}, "frame_stall"), ({"frame_stall_s": 6.0, "disconnected_s": 1.0}, None)]
-    schema = "session int, seq int, state string, paused boolean, closes int, disconnected_s double, unhealthy_s double, media_stall_s double, frame_stall_s double, guard_pauses int"
+    schema = "session int, seq int, t_s double, source string, lifecycle string, analysis boolean, looping boolean, ended boolean, paused boolean, ready_state int, closes int, disconnected_s double, media_stall_s double, frame_stall_s double, guard_pauses int"
     rows = [tuple((base | change | {"session": i}).values()) for i, (change, _) in enumerate(cases)]
-    got = {r.session: r.reason for r in intervals.interruptions(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {i: want for i, (_, want) in enumerate(cases) if want}
+    # Not ready for more than two seconds, and not ready twice with a healthy sample between.
+    rows += [tuple((base | {"session": 90 + s, "seq": k, "t_s": t, "ready_state": r}).values()) for s, ts in enumerate([[(0.0, 1), (2.0, 1), (2.1, 1)], [(0.0, 1), (1.0, 4), (2.0, 1), (3.9, 1)]]) for k, (t, r) in enumerate(ts)]
+    got = {r.session: (r.reason, r.seq) for r in intervals.interruptions(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {i: (want, 1) for i, (_, want) in enumerate(cases) if want} | {90: ("unhealthy", 2)}
 
 
 def test_marker_runs_by_duration_and_clock_offset(spark):
@@ -254,3 +257,58 @@ def test_bag_difference_counts(spark):
     a = spark.createDataFrame([("x",), ("x",), ("y",)], "h string")
     b = spark.createDataFrame([("x",), ("z",)], "h string")
     assert sorted((r.h, r.side) for r in quality.bag_diff(a, b).collect()) == [("x", "undelivered"), ("y", "undelivered"), ("z", "unexpected")]
+
+
+def test_refused_credentials(spark):
+    cases = {"HTTP 401 from x": True, "code: Unauthenticated": True, "API KEY无效": True, "Invalid API Key": True, "the api key invalid": True, "401": False, "http 403": False, "unauthorized": False, "authentication failed": False, None: False, "": False}
+    assert col(spark, list(cases), ledger.auth_failed) == list(cases.values())
+
+
+def test_json_of_an_answer_is_strict(spark):
+    cases = {
+        ' {"a": 1} \n': '{"a": 1}', 'x {"a":1} y {"b":2} z': None, 'pre {"a":1} post }': None, 'say {"a": {"b": 2}} end': '{"a": {"b": 2}}', "```json\n{\"a\": 1}\n```": '{"a": 1}', "a ```{\"a\": 1}``` b ```{\"c\": 2}``` c": None,
+        "[1, 2]": "[1, 2]", "3": "3", "null": None, "{'a': 1}": None, '{"a":1}]': '{"a":1}', '1], [2': None, '1,"x"': None, "": None, None: None, "no { json": None, '{"a": "}"} {': '{"a": "}"}',
+    }
+    assert col(spark, list(cases), judgments.extract_json) == list(cases.values())
+
+
+def test_predictions_are_held_against_the_spec(spark):
+    p = spark.createDataFrame([("s", "t1", "t1", "ok"), ("s", "t2", "t1", "ok"), ("s", "t3", None, None), ("s", "t4", "t4", "ok")], "system string, task_id string, own_task_id string, status string")
+    g = spark.createDataFrame([("s", "t1", "D1", "G"), ("s", "t1", "D2", "not_applicable"), ("s", "t1", "D9", "?"), ("s", "t2", "D1", "X"), ("s", "t2", "D2", "B")], "system string, task_id string, dim string, grade string")
+    spec = spark.createDataFrame([(t, d, d == "D1") for t in ("t1", "t2", "t3") for d in ("D1", "D2")], "task_id string, dim string, applicable boolean")
+    got = {r.task_id: r.errors for r in judgments.validate_prediction(p, g, spec).collect()}
+    assert got == {"t1": [], "t2": ["task_id", "D1:unknown", "D2:not_applicable"], "t3": ["task_id", "status", "D1:missing", "D2:not_applicable"], "t4": []}
+
+
+def test_secrets_of_a_log_line(spark):
+    cases = {
+        r'{"api-key":"a\"b","x":1}': '{"api-key":"[REDACTED]","x":1}', '{"Access_Token" : "t"}': '{"Access_Token" : "[REDACTED]"}', '{"apikey": ""}': '{"apikey": ""}', '{"secret":null,"password":0}': '{"secret":"","password":""}', '{"password":12.5}': '{"password":"[REDACTED]"}',
+        '{"secret":{"a":["]",{"b":"}"}]},"token":"t"}': '{"secret":"[REDACTED]","token":"t"}', '{"authorization":["a"]}': '{"authorization":"[REDACTED]"}', "https://u@h/x?Authorization=1&a=2&token=t#f": "https://[REDACTED]@h/x?Authorization=[REDACTED]&a=2&token=[REDACTED]#f",
+        "http://u:p@h/": "http://[REDACTED]@h/", "see API_KEY=abc now": "see API_KEY=[REDACTED] now", "wss://h/?key=k&signature=s": "wss://h/?key=k&signature=s", None: None,
+    }
+    assert col(spark, list(cases), audits.redact) == list(cases.values())
+
+
+def test_promises_right_after_chinese_text(spark):
+    cases = {"好的I'll keep watching": True, "好的let me keep looking": True, "I'll keep watching": True, "xI'll keep watching": False, "We will keep watchingx": False, "if it rains, I will notify you": True, "the cat": False, None: False}
+    assert col(spark, list(cases), responses.is_deferred) == list(cases.values())
+
+
+def test_which_queries_need_a_tail(spark):
+    q = spark.createDataFrame([("s", 1, 0, "a", responses.DELEGATION), ("s", 2, 1, "in the background, async", "x"), ("s", 3, 2, "在后台做", None), ("s", 4, 3, "Own  task", None), ("s", 5, 4, "promised", None), ("s", 6, 9, "late", None), ("s", 7, 5, "early task", None)], "session string, rn long, turn long, text string, category string")
+    tasks = spark.createDataFrame([("s", 1, "own task", None), ("s", 2, "Own task", None), ("s", 3, "early task", 4)], "session string, task long, question string, started_t long")
+    flagged = spark.createDataFrame([("s", 5, True), ("s", 2, False)], "session string, rn long, deferred boolean")
+    got = {r.rn: (r.is_async, r.tail) for r in responses.needs_async(q, flagged, responses.match_background(tasks, q), 9).collect()}
+    assert got == {1: (True, True), 2: (False, False), 3: (True, True), 4: (True, True), 5: (True, True), 6: (False, True), 7: (False, False)}
+
+
+def test_keys_of_human_labels(spark):
+    docs = spark.createDataFrame([(1, '{"Human-Score": 1, "human": 2, "a": [{"专家 评分": 3}], "contains_human_labels": true, "goldRatings": 1, "人工": 1, "score": 5}'), (2, '{"scoress": 1, "Gradess": 2, "scored": 3}')], "id int, json string")
+    assert {(r.id, r.key) for r in audits.forbidden_keys(docs, ["score"], "labels").collect()} == {(1, "Human-Score"), (1, "专家 评分"), (1, "goldRatings"), (1, "score")}
+    assert {r.key for r in audits.forbidden_keys(docs.filter("id = 2"), ["score", "grade"], "loose").collect()} == {"scoress", "Gradess"}
+
+
+def test_profile_rules(spark):
+    rows = [("Up.Case-1", "m", "HTTPS://h/v1", "direct", "http"), ("a b", "m", "http://h", "direct", "http"), ("x", " ", "ftp://h", "other", "pigeon"), ("y", None, "http://u:p@h", None, "http"), ("z", "m", "http://h", "direct", "http"), ("z", "m", "http://h", "direct", "http")]
+    got = sorted(tuple(r) for r in audits.validate_profiles(spark.createDataFrame(rows, "id string, model string, base_url string, route string, transport string"), ["direct"], ["http"]).collect())
+    assert got == [("a b", "id"), ("x", "base_url"), ("x", "model"), ("x", "route"), ("x", "transport"), ("y", "credentials"), ("y", "model"), ("y", "route"), ("z", "repeated")]

@@ -78,14 +78,28 @@ def json_keys(docs: DataFrame) -> DataFrame:
             return out
 
 
+#: Parts of the names of human labels, and the one name that only says whether there are any.
+SUBJECTS, MEASURES = ("expert", "human", "gold", "groundtruth", "reference"), ("label", "score", "rating", "grade", "annotation")
+SUBJECTS_ZH, MEASURES_ZH = ("人工", "专家", "金标准"), ("标签", "打分", "评分", "得分")
+NO_LABEL = "containshumanlabels"
+
+
 def forbidden_keys(docs: DataFrame, forbidden: list[str], mode: str = "exact") -> DataFrame:
-    """Forbidden keys with their paths, at any depth. Modes: `exact`; `loose` compares lower-case letters and digits, a plural s aside."""
+    """Forbidden keys with their paths, at any depth. Modes: `exact`; `loose` compares lower-case letters and digits, with and without all s at the end; `labels` finds keys that name a
+    human judge and a measure, in English or Chinese, besides the forbidden ones."""
     keys = json_keys(docs)
     if mode == "exact":
-        return keys.filter(F.col("key").isin(*forbidden)).select("id", "path", "key")
-    plain = lambda s: re.sub(r"s$", "", re.sub(r"[^a-z0-9]", "", s.lower()))
-    key = F.regexp_replace(F.regexp_replace(F.lower("key"), "[^a-z0-9]", ""), "s$", "")
-    return keys.filter(key.isin(*map(plain, forbidden))).select("id", "path", "key")
+        hit = F.col("key").isin(*forbidden)
+    elif mode == "loose":
+        names = [re.sub(r"[^a-z0-9]", "", x.strip().lower()) for x in forbidden]
+        key = F.regexp_replace(F.lower("key"), "[^a-z0-9]", "")
+        hit = key.isin(*names) | F.regexp_replace(key, "s+$", "").isin(*names)
+    else:
+        key = F.regexp_replace(F.lower("key"), r"[^0-9a-z\x{4e00}-\x{9fff}]+", "")
+        english = key.rlike("|".join(SUBJECTS)) & key.rlike("|".join(MEASURES))
+        chinese = key.rlike("|".join(SUBJECTS_ZH)) & key.rlike("|".join(MEASURES_ZH))
+        hit = (key.isin(*forbidden) | english | chinese) & (key != NO_LABEL)
+    return keys.filter(hit).select("id", "path", "key")
 
 
 def input_shape(docs: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
@@ -333,11 +347,24 @@ def provenance_cover(rows: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("path", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
+#: Names of what a log must not show.
+SECRET_KEY = "api[_-]?key|authorization|password|secret|access[_-]?token"
+_TEXT = r'"(?:[^"\\]|\\.)*+"'
+
+
 def redact(text: Column) -> Column:
-    """Credentials in addresses, secret parameters and secret JSON values become [REDACTED]."""
-    out = F.regexp_replace(text, r"(?i)(\b[a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED]@")
-    out = F.regexp_replace(out, r"(?i)([?&](?:token|key|api_?key|secret|password|signature|access_token)=)[^&#\s\"]+", "$1[REDACTED]")
-    return F.regexp_replace(out, r"(?i)(\"(?:authorization|api_?key|token|secret|password)\"\s*:\s*\")[^\"]*(\")", "$1[REDACTED]$2")
+    """Users and passwords in addresses, secret parameters and secret JSON values become [REDACTED]; a secret JSON value that is empty, null, false or zero becomes "".
+
+    A value may be a string with escapes, a number, or a list or object (up to three levels deep)."""
+    out = F.regexp_replace(text, r"(?i)(\b[a-z][a-z0-9+.-]*://)[^/?#\s@\"]+@", "$1[REDACTED]@")
+    out = F.regexp_replace(out, rf"(?i)([?&](?:{SECRET_KEY}|token)=)[^&#\s\"]+", "$1[REDACTED]")
+    out = F.regexp_replace(out, r"(?i)(api[_-]?key=)(?!\[REDACTED\])[^&\s\"]+", "$1[REDACTED]")
+    name = rf'(?i)("(?:{SECRET_KEY})"\s*:\s*)'
+    out = F.regexp_replace(out, name + r"(?:null|false|-?0(?:\.0+)?|\"\")(?=\s*[,}])", '$1""')
+    inner = _TEXT
+    for _ in range(3):
+        inner = rf"(?:{_TEXT}|\{{(?:[^{{}}\[\]\"]|{inner})*+\}}|\[(?:[^{{}}\[\]\"]|{inner})*+\])"
+    return F.regexp_replace(out, name + rf"(?!\"\")(?:{inner}|[^\"{{}}\[\],\s]+)", '$1"[REDACTED]"')
 
 
 def released_index(index: DataFrame, folder: str) -> DataFrame:
@@ -353,10 +380,18 @@ def profile_fingerprint(profiles: DataFrame, fields: list[str]) -> DataFrame:
     return profiles.select("id", F.sha2(doc, 256).alias("fingerprint"))
 
 
-def validate_profiles(profiles: DataFrame, transports: list[str]) -> DataFrame:
-    """One row per broken rule: safe id, http(s) base without credentials, known transport, unique id. profiles: id, base_url, transport."""
+def validate_profiles(profiles: DataFrame, routes: list[str], transports: list[str]) -> DataFrame:
+    """One row per broken rule: safe id, a model, http(s) base without credentials, known route and transport, unique id. profiles: id, model, base_url, route, transport."""
     times = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    rules = [F.when(~F.col("id").rlike(r"^[a-z0-9][a-z0-9._-]*$"), "id"), F.when(~F.col("base_url").rlike(r"^https?://[^/\s@]+"), "base_url").when(F.col("base_url").rlike(r"^https?://[^/\s]*@"), "credentials"), F.when(~F.col("transport").isin(*transports), "transport"), F.when(F.col("times") > 1, "repeated")]
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rules = [
+        F.when(~F.coalesce(F.col("id").rlike(r"^[a-zA-Z0-9][a-zA-Z0-9_.-]*\z"), F.lit(False)), "id"),
+        F.when(blank("model"), "model"),
+        F.when(~F.coalesce(F.col("base_url").rlike(r"(?i)^https?://[^/\s@]+"), F.lit(False)), "base_url").when(F.col("base_url").rlike(r"(?i)^https?://[^/\s]*@"), "credentials"),
+        F.when(~F.coalesce(F.col("route").isin(*routes), F.lit(False)), "route"),
+        F.when(~F.col("transport").isin(*transports), "transport"),
+        F.when(F.col("times") > 1, "repeated"),
+    ]
     return profiles.withColumn("times", times).select("id", F.explode(F.array_compact(F.array(*rules))).alias("reason")).distinct()
 
 

@@ -103,11 +103,21 @@ def downtime(events: DataFrame) -> DataFrame:
 
 
 def interruptions(samples: DataFrame, reconnects: int = 3, reconnect_timeout_s: float = 30.0) -> DataFrame:
-    """The first reason of each session why playback must be interrupted. samples: session, seq, state, paused, closes (of the control connection), disconnected_s
-    (null while it is open), unhealthy_s, media_stall_s, frame_stall_s, guard_pauses. A continuity guard that has paused playback allows a stall as long as a reconnect."""
+    """The first reason of each session why playback must be interrupted. samples: session, seq, t_s, source, lifecycle, analysis (running), looping, ended, paused, ready_state, closes (of the
+    control connection), disconnected_s (null while it is open), media_stall_s, frame_stall_s, guard_pauses.
+
+    Playback is in a hard state unless it is an upload that runs, is analysed, loops and has not ended. It is unhealthy since the first of successive samples that are in a hard state, paused or not ready.
+    A continuity guard that has paused playback allows a stall as long as a reconnect."""
     down = F.col("disconnected_s").isNotNull()
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    hard = ~(yes(F.col("source") == "upload") & yes(F.col("lifecycle") == "running") & yes(F.col("analysis")) & yes(F.col("looping")) & ~yes(F.col("ended")))
+    order = Window.partitionBy("session").orderBy("seq")
+    samples = samples.withColumn("__hard", hard).withColumn("__bad", hard | yes(F.col("paused")) | yes(F.col("ready_state") < 2))
+    samples = samples.withColumn("__healthy", F.count(F.when(~F.col("__bad"), 1)).over(order))
+    since = F.min(F.when(F.col("__bad"), F.col("t_s"))).over(Window.partitionBy("session", "__healthy"))
+    samples = samples.withColumn("unhealthy_s", F.when(F.col("__bad"), F.col("t_s") - since))
     reason = (
-        F.when(F.col("state").isin("failed", "closed"), "hard_state").when(F.col("paused"), "paused").when(down & (F.col("closes") > reconnects), "reconnect_budget")
+        F.when(F.col("__hard"), "hard_state").when(F.col("paused"), "paused").when(down & (F.col("closes") > reconnects), "reconnect_budget")
         .when(F.col("disconnected_s") > reconnect_timeout_s, "reconnect_timeout").when(F.col("unhealthy_s") > 2, "unhealthy")
         .when(F.col("media_stall_s") > F.when(F.col("guard_pauses") > 0, reconnect_timeout_s).otherwise(2.0), "media_stall").when(~down & (F.col("frame_stall_s") > 5), "frame_stall")
     )

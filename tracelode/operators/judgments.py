@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 LEVELS = ("G", "S", "B")
 ITEM = ("system", "task_id")
 
@@ -98,15 +100,23 @@ def alignment(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def validate_prediction(predictions: DataFrame, grades: DataFrame) -> DataFrame:
-    """Per item the ordered list of what is wrong with a prediction: status, and grades that are missing, unknown or given where nothing applies.
+def validate_prediction(predictions: DataFrame, grades: DataFrame, spec: DataFrame) -> DataFrame:
+    """Per item the ordered list of what is wrong with a prediction: its own task id, its status, and each dimension of the spec whose grade is missing, unknown or given where
+    nothing applies. Grades of dimensions that the spec does not have are not looked at.
 
-    predictions: system, task_id, status; grades: as above, of the same predictions."""
-    known = F.col("grade").isin(*LEVELS)
-    wrong = F.when(F.col("applicable") & F.col("grade").isNull(), F.concat(F.col("dim"), F.lit(":missing"))).when(F.col("applicable") & ~known, F.concat(F.col("dim"), F.lit(":unknown"))).when(~F.col("applicable") & F.col("grade").isNotNull(), F.concat(F.col("dim"), F.lit(":not_applicable")))
-    per = grades.groupBy(*ITEM).agg(F.array_sort(F.collect_list(wrong)).alias("errors"))
-    status = F.when(F.coalesce(F.col("status"), F.lit("")) != "ok", F.array(F.lit("status"))).otherwise(F.array().cast("array<string>"))
-    return predictions.join(per, list(ITEM), "left").select(*ITEM, F.concat(status, F.coalesce("errors", F.array().cast("array<string>"))).alias("errors"))
+    predictions: system, task_id, own_task_id (as the prediction names it), status; grades: system, task_id, dim, grade; spec: task_id, dim, applicable."""
+    asked = predictions.select(*ITEM).join(spec.select("task_id", "dim", "applicable").hint("merge"), "task_id")
+    rows = asked.join(grades.select(*ITEM, "dim", "grade").hint("merge"), [*ITEM, "dim"], "left")
+    fault = (
+        F.when(F.col("applicable") & F.col("grade").isNull(), "missing")
+        .when(F.col("applicable") & ~F.col("grade").isin(*LEVELS), "unknown")
+        .when(~F.col("applicable") & ~F.col("grade").eqNullSafe(F.lit("not_applicable")), "not_applicable")
+    )
+    per = rows.groupBy(*ITEM).agg(F.array_sort(F.collect_list(F.when(fault.isNotNull(), F.concat_ws(":", "dim", fault)))).alias("errors"))
+    own = F.when(~F.col("own_task_id").eqNullSafe(F.col("task_id")), "task_id")
+    status = F.when(~F.col("status").eqNullSafe(F.lit("ok")), "status")
+    none = F.array().cast("array<string>")
+    return predictions.join(per.hint("merge"), list(ITEM), "left").select(*ITEM, F.concat(F.array_compact(F.array(own, status)), F.coalesce("errors", none)).alias("errors"))
 
 
 def fill_na(grades: DataFrame) -> DataFrame:
@@ -155,11 +165,19 @@ def batch_summary(predictions: DataFrame) -> DataFrame:
 
 
 def extract_json(text: Column) -> Column:
-    """The JSON object in a text as a string: the whole text, a fenced block, or what stands between the outermost braces; else null."""
-    ok = lambda t: F.when(F.json_object_keys(t).isNotNull(), t)
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    """The JSON in a text as a string: the whole text, else a fenced object, else what stands between the outermost braces; else null, as for the JSON null.
+
+    Strict: nothing may follow the value, names and strings are in double quotes. An object that names a key twice counts as no JSON."""
+
+    def ok(t):
+        # The parser stops where a value ends. So the value stands in an array before a digest of itself: the digest comes second only if the text is one whole value.
+        whole = F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), F.md5(t), F.lit('"]')))
+        return F.when(F.try_variant_get(whole, "$[1]", "string") == F.md5(t), t)
+
+    text = trimmed(text)
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
     braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(ok(F.trim(text)), ok(fenced), ok(braces))
+    return F.nullif(F.coalesce(ok(text), ok(fenced), ok(braces)), F.lit("null"))
 
 
 def stage_input(rows: DataFrame, stage: str, keys: dict[str, list[str]]) -> DataFrame:

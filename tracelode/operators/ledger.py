@@ -41,11 +41,16 @@ def exhausted(attempts: DataFrame, budget: int) -> DataFrame:
     return final_ok(attempts, budget).filter(~F.col("ok") & (F.col("attempts") >= budget)).select("stage", "task", "attempts")
 
 
-AUTH = r"(?i)unauthori[sz]ed|invalid api key|authentication|\b401\b|\b403\b"
+#: What an error says, in lower case, if the credentials were refused.
+AUTH_MARKERS = ("http 401", "unauthenticated", "api key无效", "invalid api key", "api key invalid")
 
 
 def auth_failed(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(AUTH)
+    """Whether an error holds one of the markers, in any case."""
+    hit = F.lit(False)
+    for marker in AUTH_MARKERS:
+        hit = hit | F.lower(F.coalesce(text, F.lit(""))).contains(marker)
+    return hit
 
 
 def check_seal(headers: DataFrame, seals: DataFrame, fields: list[str]) -> DataFrame:

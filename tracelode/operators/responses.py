@@ -72,9 +72,13 @@ def classify_response(text: Column, raw: Column | None = None, provider_error: C
     )
 
 
+#: A word border as the patterns mean it: only these letters make words, so a word may follow a Chinese one at once.
+_BORDER = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def is_deferred(text: Column) -> Column:
     def promises(t):
-        hit = t.rlike("|".join(f"(?:{p})" for p in DEFERRED_PATTERNS))
+        hit = t.rlike("|".join(f"(?:{p})" for p in DEFERRED_PATTERNS).replace("\\b", _BORDER))
         for marker in DEFERRED_MARKERS:
             hit = hit | t.contains(marker)
         return hit
@@ -168,10 +172,10 @@ def background_tasks(events: DataFrame) -> DataFrame:
 
 
 def match_background(tasks: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Background tasks of a query: the same question, started no earlier than it. tasks: session, task, question, started_t."""
+    """Background tasks of a query: the same question, started no earlier than it or at an unknown time. tasks: session, task, question, started_t."""
     a = tasks.withColumn("key", normalized_question(F.col("question")))
     b = rounds.select(F.col("session").alias("q_session"), "rn", "turn", normalized_question(F.col("text")).alias("q_key"))
-    return a.join(b, (F.col("session") == F.col("q_session")) & (F.col("key") == F.col("q_key")) & (F.col("started_t") >= F.col("turn"))).select("session", "task", "rn")
+    return a.join(b, (F.col("session") == F.col("q_session")) & (F.col("key") == F.col("q_key")) & (F.col("started_t").isNull() | (F.col("started_t") >= F.col("turn")))).select("session", "task", "rn")
 
 
 def final_wait(outcomes: DataFrame, timeout: float) -> DataFrame:
@@ -275,9 +279,15 @@ def message_parts(messages: DataFrame) -> DataFrame:
     return messages.select("id", F.array_join(texts, "\n").alias("user_text"), F.size(F.filter(user, lambda p: p["kind"] == "image")).alias("images"))
 
 
-def needs_async(rounds: DataFrame, flagged: DataFrame, end_turn: int) -> DataFrame:
-    """Queries that need a tail: asked for background work, deferred by the reply, or sent at or after the end."""
-    deferred = flagged.filter("deferred").select("session", "rn").distinct().withColumn("deferred", F.lit(True))
-    asked = F.col("text").rlike("后台|异步|background|async")
-    out = rounds.join(deferred, ["session", "rn"], "left").withColumn("is_async", asked | F.coalesce("deferred", F.lit(False)))
+#: The category of tasks that are delegated, and what a query says that asks for background work.
+DELEGATION, ASKS_BACKGROUND = "智能体委托", "后台|异步"
+
+
+def needs_async(rounds: DataFrame, flagged: DataFrame, matched: DataFrame, end_turn: int) -> DataFrame:
+    """Queries that need a tail: of a delegation task, asking for background work, with a background task of their own, deferred by the reply, or sent at or after the end.
+
+    rounds: session, rn, turn, text, category; flagged: of `flags`; matched: of `match_background`."""
+    known = flagged.filter("deferred").select("session", "rn").unionByName(matched.select("session", "rn")).distinct().withColumn("known", F.lit(True))
+    asked = F.coalesce((F.col("category") == DELEGATION) | F.col("text").rlike(ASKS_BACKGROUND), F.col("category") == DELEGATION, F.col("text").rlike(ASKS_BACKGROUND), F.lit(False))
+    out = rounds.join(known.hint("merge"), ["session", "rn"], "left").withColumn("is_async", asked | F.coalesce("known", F.lit(False)))
     return out.select("session", "rn", "is_async", (F.col("is_async") | (F.col("turn") >= end_turn)).alias("tail"))

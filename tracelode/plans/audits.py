@@ -57,10 +57,10 @@ _NAMES = "WITH names AS (SELECT page_id % 240 AS id, CASE WHEN page_id % 20 = 0
 def _profiles(s, d):
     c = X.table(s, d, "supplier")
     k = F.col("s_suppkey")
-    return c.select(F.when(k % 9 == 0, F.concat(F.lit("Bad "), k.cast("string"))).when(k % 10 == 1, "p-same").otherwise(F.concat(F.lit("p-"), k.cast("string"))).alias("id"), F.when(k % 8 == 0, "ftp://x").when(k % 8 == 1, "https://u:p@host/v1").otherwise(F.concat(F.lit("https://host"), k.cast("string"), F.lit("/v1"))).alias("base_url"), F.when(k % 6 == 0, "pigeon").otherwise("http").alias("transport"), F.array(F.concat(F.lit("b"), (k % 3).cast("string")), F.concat(F.lit("a"), (k % 5).cast("string"))).alias("aliases"), F.array(F.concat(F.lit("tag"), (k % 4).cast("string"))).alias("tags"), (k % 2 == 0).alias("enabled"))
+    return c.select(F.when(k % 9 == 0, F.concat(F.lit("Bad "), k.cast("string"))).when(k % 10 == 1, "p-same").when(k % 4 == 2, F.concat(F.lit("P."), k.cast("string"))).otherwise(F.concat(F.lit("p-"), k.cast("string"))).alias("id"), F.when(k % 8 == 0, "ftp://x").when(k % 8 == 1, "https://u:p@host/v1").otherwise(F.concat(F.lit("https://host"), k.cast("string"), F.lit("/v1"))).alias("base_url"), F.when(k % 6 == 0, "pigeon").otherwise("http").alias("transport"), F.when(k % 14 == 0, " ").when(k % 15 != 0, "m").alias("model"), F.when(k % 16 == 0, "other").when(k % 2 == 0, "direct").otherwise("adapter").alias("route"), F.array(F.concat(F.lit("b"), (k % 3).cast("string")), F.concat(F.lit("a"), (k % 5).cast("string"))).alias("aliases"), F.array(F.concat(F.lit("tag"), (k % 4).cast("string"))).alias("tags"), (k % 2 == 0).alias("enabled"))
 
 
-_PROFILES = """WITH profiles AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 9 = 0 THEN 'Bad ' || s_suppkey WHEN s_suppkey % 10 = 1 THEN 'p-same' ELSE 'p-' || s_suppkey END AS id, CASE WHEN s_suppkey % 8 = 0 THEN 'ftp' WHEN s_suppkey % 8 = 1 THEN 'cred' ELSE 'ok' END AS base, s_suppkey % 6 = 0 AS bad_transport, 'tag' || (s_suppkey % 4) AS tag FROM supplier)
+_PROFILES = """WITH profiles AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 9 = 0 THEN 'Bad ' || s_suppkey WHEN s_suppkey % 10 = 1 THEN 'p-same' WHEN s_suppkey % 4 = 2 THEN 'P.' || s_suppkey ELSE 'p-' || s_suppkey END AS id, CASE WHEN s_suppkey % 8 = 0 THEN 'ftp' WHEN s_suppkey % 8 = 1 THEN 'cred' ELSE 'ok' END AS base, s_suppkey % 6 = 0 AS bad_transport, 'tag' || (s_suppkey % 4) AS tag FROM supplier)
 """
 
 
@@ -139,10 +139,10 @@ QUERIES = {
     "rel_metadata_keys": lambda s, d: A.sensitive_metadata(_json_docs(s, d).withColumn("json", F.replace("json", F.lit("Scores"), F.lit("GPS")))),
     "rel_signature": lambda s, d: A.signature_equal(*_streams(s, d)),
     "rel_provenance": lambda s, d: A.provenance_cover(X.recorded(s, d).select("path", F.lit("own").alias("source"), F.when(F.col("bytes") % 5 != 0, "CC").otherwise(" ").alias("license")), X.artifacts(s, d).select("path")),
-    "rel_redact": lambda s, d: X.table(s, d, "pages").select("page_id", A.redact(F.concat(F.lit("https://user:pw@h.example/x?token=abc&page=1 "), F.lit('{"api_key": "v", "n": 1} '), F.col("url"))).alias("text")),
+    "rel_redact": lambda s, d: X.table(s, d, "pages").select("page_id", A.redact(F.concat(F.lit("https://user:pw@h.example/x?token=abc&page=1 "), F.lit('{"api-key": "v\\"w", "Access_Token": 12, "secret": null, "password": {"a": [1, "]"]}, "key": "k", "n": 1} x?authorization=q&signature=s ftp://me@h '), F.col("url"))).alias("text")),
     "rel_index_rewrite": lambda s, d: A.released_index(_names(s, d), "videos/"),
     "reg_fingerprint": lambda s, d: A.profile_fingerprint(_profiles(s, d), ["base_url", "transport"]),
-    "reg_validate": lambda s, d: A.validate_profiles(_profiles(s, d), ["http", "ws"]),
+    "reg_validate": lambda s, d: A.validate_profiles(_profiles(s, d), ["adapter", "direct"], ["http", "ws"]),
     "reg_select": lambda s, d: A.select_profiles(_profiles(s, d), "p-12, tag:tag3, p-same, tag:tag1"),
 }
 QUERIES["rel_order_equal"] = lambda s, d: A.order_equal(X.table(s, d, "orders").select(F.col("o_orderkey").alias("place"), F.col("o_custkey").alias("id")), X.table(s, d, "orders").select(F.col("o_orderkey").alias("place"), F.when(F.col("o_orderkey") == 77, -1).otherwise(F.col("o_custkey")).alias("id")))
@@ -186,13 +186,13 @@ UNION ALL SELECT DISTINCT video, 'missing' FROM names WHERE video NOT IN (SELECT
     "rel_signature": "SELECT o_orderkey AS path, o_orderkey % 50 <> 0 AND o_orderkey % 6 <> 0 AND o_orderkey % 4 <> 0 AS equal FROM orders",
     "rel_metadata_keys": "SELECT event_id AS id, '$.a.GPS' AS path, 'GPS' AS key FROM events WHERE event_id % 3 = 0",
     "rel_provenance": oracle("recorded", "SELECT a.path, 'none' AS reason FROM artifacts a WHERE path NOT IN (SELECT path FROM recorded) UNION ALL SELECT path, CASE WHEN path NOT IN (SELECT path FROM artifacts) THEN 'no_file' ELSE 'incomplete' END FROM recorded WHERE path NOT IN (SELECT path FROM artifacts) OR bytes % 5 = 0"),
-    "rel_redact": "SELECT page_id, 'https://[REDACTED]@h.example/x?token=[REDACTED]&page=1 {\"api_key\": \"[REDACTED]\", \"n\": 1} ' || url AS text FROM pages",
+    "rel_redact": "SELECT page_id, 'https://[REDACTED]@h.example/x?token=[REDACTED]&page=1 {\"api-key\": \"[REDACTED]\", \"Access_Token\": \"[REDACTED]\", \"secret\": \"\", \"password\": \"[REDACTED]\", \"key\": \"k\", \"n\": 1} x?authorization=[REDACTED]&signature=s ftp://[REDACTED]@h ' || url AS text FROM pages",
     "rel_sensitive_scan": """WITH c AS (SELECT doc_id, text, CASE doc_id % 9 WHEN 0 THEN 'see RTSP://cam' WHEN 1 THEN 'http://10.1.2.3/x' WHEN 2 THEN 'https://localhost:80' WHEN 3 THEN 'sk-abcdefgh1234' WHEN 4 THEN 'ark-abc' WHEN 5 THEN 'http://127.0.0.1' WHEN 6 THEN 'in /mnt/own/data' WHEN 7 THEN 'PK-ABCDEFGH_12-4' ELSE text END AS note FROM documents),
 r AS (SELECT *, 'rtsp://|https?://(10\\.|127\\.0\\.0\\.1|localhost)|(sk|ark|pk)-[a-z0-9_-]{12,}|/mnt/own/' AS p FROM c)
 SELECT doc_id, 'text' AS "column" FROM r WHERE regexp_matches(text, p, 'i') UNION ALL SELECT doc_id, 'note' FROM r WHERE regexp_matches(note, p, 'i')""",
     "rel_index_rewrite": _NAMES + "SELECT id, 'videos/' || string_split(video, '/')[-1] AS video FROM names",
-    "reg_validate": _PROFILES + "SELECT DISTINCT id, reason FROM (SELECT id, unnest([CASE WHEN id LIKE 'Bad%' THEN 'id' END, CASE base WHEN 'ftp' THEN 'base_url' WHEN 'cred' THEN 'credentials' END, CASE WHEN bad_transport THEN 'transport' END, CASE WHEN n > 1 THEN 'repeated' END]) AS reason FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM profiles)) WHERE reason IS NOT NULL",
-    "reg_fingerprint": """SELECT CASE WHEN s_suppkey % 9 = 0 THEN 'Bad ' || s_suppkey WHEN s_suppkey % 10 = 1 THEN 'p-same' ELSE 'p-' || s_suppkey END AS id, sha256('{"base_url":"' || CASE WHEN s_suppkey % 8 = 0 THEN 'ftp://x' WHEN s_suppkey % 8 = 1 THEN 'https://u:p@host/v1' ELSE 'https://host' || s_suppkey || '/v1' END
+    "reg_validate": _PROFILES + "SELECT DISTINCT id, reason FROM (SELECT id, unnest([CASE WHEN id LIKE 'Bad%' THEN 'id' END, CASE base WHEN 'ftp' THEN 'base_url' WHEN 'cred' THEN 'credentials' END, CASE WHEN k % 14 = 0 OR k % 15 = 0 THEN 'model' END, CASE WHEN k % 16 = 0 THEN 'route' END, CASE WHEN bad_transport THEN 'transport' END, CASE WHEN n > 1 THEN 'repeated' END]) AS reason FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM profiles)) WHERE reason IS NOT NULL",
+    "reg_fingerprint": """SELECT CASE WHEN s_suppkey % 9 = 0 THEN 'Bad ' || s_suppkey WHEN s_suppkey % 10 = 1 THEN 'p-same' WHEN s_suppkey % 4 = 2 THEN 'P.' || s_suppkey ELSE 'p-' || s_suppkey END AS id, sha256('{"base_url":"' || CASE WHEN s_suppkey % 8 = 0 THEN 'ftp://x' WHEN s_suppkey % 8 = 1 THEN 'https://u:p@host/v1' ELSE 'https://host' || s_suppkey || '/v1' END
  || '","transport":"' || CASE WHEN s_suppkey % 6 = 0 THEN 'pigeon' ELSE 'http' END || '","aliases":["a' || (s_suppkey % 5) || '","b' || (s_suppkey % 3) || '"]}') AS fingerprint FROM supplier""",
     "aud_frames_equal": oracle("artifacts", _FRAMESQL + """, a AS (SELECT task_id, "index" AS i, time_s, path, CASE WHEN doc_id % 43 = 0 THEN reverse(sha256) ELSE sha256 END AS h FROM fr WHERE path <> 'doc/7'), b AS (SELECT task_id, "index" AS i, time_s, path, CASE WHEN doc_id % 43 = 1 THEN reverse(sha256) ELSE sha256 END AS h FROM fr)
 SELECT task_id, count(*) AS frames, bool_and(coalesce(pa = pb AND ha = hb AND ta IS NOT DISTINCT FROM tb, false)) AS equal FROM (SELECT coalesce(a.task_id, b.task_id) AS task_id, a.path AS pa, b.path AS pb, a.h AS ha, b.h AS hb, a.time_s AS ta, b.time_s AS tb FROM a FULL JOIN b ON a.task_id = b.task_id AND a.i = b.i) GROUP BY 1"""),

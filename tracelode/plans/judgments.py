@@ -30,6 +30,16 @@ def _predictions(spark, d):
     return g.filter((F.col("task_id") + F.col("k")) % 17 != 0).select("system", "task_id", F.element_at(F.array(*map(F.lit, STAGES)), F.col("k") + 1).alias("stage"), F.when(m == 0, "error").otherwise("ok").alias("status"), F.coalesce("grade", F.lit("-")).alias("digest"))
 
 
+def _judged(spark, d):
+    """Predictions of one stage with the task id that they name, their grades (one dimension left out of some), and the spec of all tasks."""
+    g = X.grades(spark, d)
+    own = F.when(F.col("task_id") % 13 == 0, "other").otherwise(F.col("task_id").cast("string"))
+    p = _predictions(spark, d).filter("stage = 'first'").select("system", F.col("task_id").cast("string").alias("task_id"), own.alias("own_task_id"), "status")
+    given = g.filter("task_id % 23 > 0 OR dim <> 'D2'").select("system", F.col("task_id").cast("string").alias("task_id"), "dim", F.when(F.col("applicable"), F.col("grade")).otherwise(F.coalesce("grade", F.lit("not_applicable"))).alias("grade"))
+    spec = g.groupBy(F.col("task_id").cast("string").alias("task_id"), "dim").agg(F.bool_or("applicable").alias("applicable"))
+    return p, given, spec
+
+
 _PRED = """, predictions AS (SELECT system, task_id, CASE k WHEN 0 THEN 'first' WHEN 1 THEN 'review_1' ELSE 'review_2' END AS stage,
  CASE WHEN (task_id + k * 7) % 11 = 0 THEN 'error' ELSE 'ok' END AS status, coalesce(grade, '-') AS digest FROM grades CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE dim = 'D4' AND (task_id + k) % 17 <> 0)
 """
@@ -64,7 +74,7 @@ QUERIES = {
     "jd_recheck": lambda s, d: J.recheck(_reported(s, d), _items(s, d)).select("system", "task_id", "field", F.round("reported", 6).alias("reported"), F.round("recomputed", 6).alias("recomputed")),
     "jd_confusion": lambda s, d: J.confusion(X.verdicts(s, d)),
     "jd_alignment": lambda s, d: J.alignment(X.verdicts(s, d)).select(F.coalesce("dim", F.lit("all")).alias("dim"), "labels", *[F.round(c, 6).alias(c) for c in ("mae", "exact", "within_one", "macro_f1", "quadratic_kappa")]),
-    "jd_validate": lambda s, d: J.validate_prediction(_predictions(s, d).filter("stage = 'first'"), X.grades(s, d)).select("system", "task_id", F.array_join("errors", ",").alias("errors")),
+    "jd_validate": lambda s, d: J.validate_prediction(*_judged(s, d)).select("system", "task_id", F.array_join("errors", ",").alias("errors")),
     "jd_fill_na": lambda s, d: J.fill_na(X.grades(s, d)).groupBy("system", "dim", "grade").agg(F.count("*").alias("n")),
     "jd_candidates": lambda s, d: J.candidates(_predictions(s, d)).select("system", "task_id", F.array_join("candidates", ";").alias("candidates")),
     "jd_stage_status": lambda s, d: J.stage_status(_expected(s, d), _stage_tasks(s, d)),
@@ -96,8 +106,13 @@ SELECT system, task_id, 'score' AS field, round(rs, 6) AS reported, round(score,
 UNION ALL SELECT system, task_id, 'raw_mean', round(rr, 6), round(raw_mean, 6) FROM r WHERE rr IS NULL AND raw_mean IS NOT NULL"""),
     "jd_confusion": oracle("verdicts", "SELECT dim, human, count(*) FILTER (judge = 'G') AS G, count(*) FILTER (judge = 'S') AS S, count(*) FILTER (judge = 'B') AS B FROM verdicts GROUP BY 1, 2"),
     "jd_alignment": oracle("verdicts", f", a AS ({_ALIGN}) SELECT dim, labels, round(mae, 6) AS mae, round(exact, 6) AS exact, round(within_one, 6) AS within_one, round(({_F1}) / ({_SEEN}), 6) AS macro_f1, round(CASE WHEN ({_CHANCE}) = 0 THEN 1.0 ELSE 1 - sq / (({_CHANCE})::DOUBLE / labels) END, 6) AS quadratic_kappa FROM a"),
-    "jd_validate": oracle("grades", _PRED + """, w AS (SELECT system, task_id, string_agg(dim || CASE WHEN applicable THEN ':missing' ELSE ':not_applicable' END, ',' ORDER BY dim) AS e FROM grades WHERE (applicable AND grade IS NULL) OR (NOT applicable AND grade IS NOT NULL) GROUP BY 1, 2)
-SELECT p.system, p.task_id, concat_ws(',', CASE WHEN status <> 'ok' THEN 'status' END, e) AS errors FROM predictions p LEFT JOIN w ON w.system = p.system AND w.task_id = p.task_id WHERE stage = 'first'"""),
+    "jd_validate": oracle("grades", _PRED + """, spec AS (SELECT task_id, dim, bool_or(applicable) AS applicable FROM grades GROUP BY 1, 2),
+p AS (SELECT *, CASE WHEN task_id % 13 = 0 THEN 'other' ELSE task_id::VARCHAR END AS own FROM predictions WHERE stage = 'first'),
+w AS (SELECT p.system, p.task_id, spec.dim, spec.applicable, CASE WHEN p.task_id % 23 > 0 OR spec.dim <> 'D2' THEN CASE WHEN g.applicable THEN g.grade ELSE coalesce(g.grade, 'not_applicable') END END AS grade
+      FROM p JOIN spec USING (task_id) LEFT JOIN grades g ON g.system = p.system AND g.task_id = p.task_id AND g.dim = spec.dim),
+e AS (SELECT system, task_id, string_agg(dim || CASE WHEN NOT applicable THEN ':not_applicable' WHEN grade IS NULL THEN ':missing' ELSE ':unknown' END, ',' ORDER BY dim) AS e FROM w
+      WHERE CASE WHEN applicable THEN grade IS NULL OR grade NOT IN ('G', 'S', 'B') ELSE grade IS NULL OR grade <> 'not_applicable' END GROUP BY 1, 2)
+SELECT p.system, p.task_id::VARCHAR AS task_id, concat_ws(',', CASE WHEN own <> p.task_id::VARCHAR THEN 'task_id' END, CASE WHEN status <> 'ok' THEN 'status' END, e) AS errors FROM p LEFT JOIN e ON e.system = p.system AND e.task_id = p.task_id"""),
     "jd_fill_na": oracle("grades", "SELECT system, dim, CASE WHEN applicable THEN grade ELSE 'not_applicable' END AS grade, count(*) AS n FROM grades GROUP BY 1, 2, 3"),
     "jd_candidates": oracle("grades", _PRED + """SELECT system, task_id, string_agg(stage || '=' || digest, ';' ORDER BY list_position(['review_1', 'first', 'review_2'], stage)) AS candidates FROM predictions GROUP BY 1, 2 HAVING count(*) = 3 AND min(status) = 'ok'"""),
     "jd_stage_status": oracle("grades", _PRED + _EXPECTED + """SELECT e.stage, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status <> 'ok') AS failed, count(*) FILTER (status IS NULL) AS missing, count(*) FILTER (status IS NULL OR status <> 'ok') AS remaining

@@ -53,6 +53,18 @@ def _background(s, d):
 _BG = ", bg AS (SELECT session, event_id % 7 AS task, seq AS t, CASE kind WHEN 'query' THEN 'started' WHEN 'stalled' THEN 'error' WHEN 'resume' THEN 'ready' END AS status FROM session_events WHERE kind IN ('query', 'stalled', 'resume'))\n"
 
 
+def _delegated(s, d):
+    """Rounds with the category of their task; a word of background work in English asks for none."""
+    return X.rounds(s, d).withColumn("category", F.when(F.col("session") % 7 == 0, R.DELEGATION).when(F.col("session") % 7 < 3, "background"))
+
+
+def _asked_tasks(s, d):
+    """Background tasks with the question of a round: started with it, before it, or at an unknown time."""
+    k = (F.col("session") + F.col("rn")) % 3
+    at = F.when(k == 0, F.col("turn") + 1).when(k == 2, F.col("turn") - 1)
+    return X.rounds(s, d).filter("turn % 5 = 0 AND rn % 2 = 0").select("session", F.col("rn").alias("task"), F.col("text").alias("question"), at.alias("started_t"))
+
+
 def _bg_rounds(s, d):
     r = X.rounds(s, d)
     return r.filter((F.col("session") + F.col("rn")) % 3 == 0).select("session", "rn", F.when(F.col("session") % 2 == 0, "ready").otherwise("error").alias("status"), (F.col("turn") + 5).alias("t"))
@@ -109,7 +121,7 @@ QUERIES = {
     "rsp_background": lambda s, d: R.background_tasks(_background(s, d)),
     "rsp_bg_match": lambda s, d: R.match_background(X.rounds(s, d).select("session", F.col("rn").alias("task"), F.col("text").alias("question"), (F.col("turn") + F.when(F.col("rn") % 2 == 0, 1).otherwise(-1)).alias("started_t")), X.rounds(s, d)),
     "rsp_outcome": lambda s, d: R.query_outcome(_flags(s, d), _bg_rounds(s, d)),
-    "rsp_async_needed": lambda s, d: R.needs_async(X.rounds(s, d), _flags(s, d), 6),
+    "rsp_async_needed": lambda s, d: R.needs_async(_delegated(s, d), _flags(s, d), R.match_background(_asked_tasks(s, d), X.rounds(s, d)), 6),
     "rsp_query_counts": lambda s, d: R.query_counts(_flags(s, d)),
     "rsp_final_wait": lambda s, d: _waits(s, d).select("session", "rn", "wait", "result"),
     "rsp_session_outcome": lambda s, d: R.session_outcome(_waits(s, d)).select("session", "queries", "replied", F.array_join("timed_out_ids", ",").alias("timed_out"), "outcome"),
@@ -156,7 +168,7 @@ ORACLES = {
     "rsp_background": oracle("events_", _BG + "SELECT session, task, min(t) FILTER (status = 'started') AS started_t, max(t) FILTER (status <> 'started') AS finished_t, arg_max(status, t) AS status FROM bg GROUP BY 1, 2"),
     "rsp_bg_match": oracle("rounds", "SELECT a.session, a.rn AS task, b.rn FROM rounds a JOIN rounds b ON a.session = b.session AND regexp_replace(a.text, '\\s+', '', 'g') = regexp_replace(b.text, '\\s+', '', 'g') AND a.turn + CASE WHEN a.rn % 2 = 0 THEN 1 ELSE -1 END >= b.turn"),
     "rsp_outcome": oracle("rounds responses", _OUT + "SELECT session, rn, outcome, t FROM outc"),
-    "rsp_async_needed": oracle("rounds", "SELECT session, rn, regexp_matches(text, '后台|异步|background|async') AS is_async, regexp_matches(text, '后台|异步|background|async') OR turn >= 6 AS tail FROM rounds"),
+    "rsp_async_needed": oracle("rounds", "SELECT session, rn, session % 7 = 0 OR turn % 5 = 0 AND rn % 2 = 0 AND (session + rn) % 3 <> 2 AS is_async, session % 7 = 0 OR turn % 5 = 0 AND rn % 2 = 0 AND (session + rn) % 3 <> 2 OR turn >= 6 AS tail FROM rounds"),
     "rsp_query_counts": oracle("rounds responses", _FLAGS + "SELECT session, rn, count(t) AS responses, count(*) FILTER (substantive) AS substantive, 0 AS deferred, count(*) FILTER (substantive AND same) AS echo, count(*) FILTER (substantive AND NOT same) AS completed, min(t) FILTER (substantive AND NOT same) AS first_t FROM f GROUP BY 1, 2"),
     "rsp_final_wait": oracle("rounds responses", _OUT + "SELECT session, rn, CASE WHEN t IS NULL THEN 0.0 ELSE wait END AS wait, result FROM waits"),
     "rsp_session_outcome": oracle("rounds responses", _OUT + """SELECT session, count(*) AS queries, count(*) FILTER (result = 'received') AS replied, coalesce(string_agg(rn::VARCHAR, ',' ORDER BY rn) FILTER (result <> 'received'), '') AS timed_out,

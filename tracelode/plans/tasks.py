@@ -143,6 +143,15 @@ def _seals(s, d):
 
 
 _N = ["url", "html"]
+_ERRORS = ("HTTP 401: refused", "rpc: UNAUTHENTICATED", "API Key无效", "Invalid API key given", "bad api key invalid", "Error 403 unauthorized", "HTTP 4010", "authentication of user")
+
+
+def _error():
+    """Error texts with and without a marker of refused credentials."""
+    said = F.get(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % 8).cast("int"))
+    return F.when(F.col("event_id") % 7 == 0, said).otherwise(F.col("event_type"))
+
+
 QUERIES = {
     "src_sheet_table": lambda s, d: T.validate_pool(_pool(s, d), ["id", "category"], "state").groupBy("id", "duplicate").agg(F.count(F.lit(1)).alias("n")),
     "task_clean_cell": lambda s, d: _pool(s, d).select(T.clean_cell(F.col("id")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")),
@@ -180,7 +189,7 @@ QUERIES = {
     "lg_validate": lambda s, d: G.validate_ledger(X.attempts(s, d).withColumn("attempt", F.col("attempt") + F.when(F.col("task") % 70 == 3, 1).otherwise(0)), 5),
     "lg_final_ok": lambda s, d: G.final_ok(X.attempts(s, d), 5),
     "lg_exhausted": lambda s, d: G.exhausted(X.attempts(s, d), 5),
-    "lg_auth_failed": lambda s, d: X.table(s, d, "events").select("event_id", G.auth_failed(F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("Error 40"), (F.col("event_id") % 5).cast("string"), F.lit(" here"))).otherwise(F.col("event_type"))).alias("auth")),
+    "lg_auth_failed": lambda s, d: X.table(s, d, "events").select("event_id", G.auth_failed(_error()).alias("auth")),
     "lg_seal": lambda s, d: G.check_seal(*_seals(s, d), ["p_name", "p_size"]),
     "lg_task_of_request": lambda s, d: G.task_of_request(_requests(s, d), "INPUT:"),
 }
@@ -246,7 +255,7 @@ SELECT task, request, row_number() OVER (PARTITION BY task ORDER BY c NULLS LAST
     "lg_validate": oracle("attempts", """, p AS (SELECT task, count(*) AS n FROM attempts GROUP BY 1) SELECT task, reason FROM (SELECT task, unnest([CASE WHEN n > 5 THEN 'over_budget' END, CASE WHEN task % 70 = 3 THEN 'sequence' END]) AS reason FROM p) WHERE reason IS NOT NULL"""),
     "lg_final_ok": oracle("attempts", _LEDGER),
     "lg_exhausted": oracle("attempts", f"SELECT stage, task, attempts FROM ({_LEDGER}) WHERE NOT ok AND attempts >= 5"),
-    "lg_auth_failed": "SELECT event_id, event_id % 7 = 0 AND event_id % 5 IN (1, 3) AS auth FROM events",
+    "lg_auth_failed": "SELECT event_id, event_id % 7 = 0 AND event_id % 8 IN (0, 1, 2, 3, 4, 6) AS auth FROM events",
     "lg_seal": "SELECT p_partkey AS ledger, CASE WHEN p_partkey % 40 = 0 THEN 'identity' WHEN p_partkey % 30 = 1 THEN 'no_seal' ELSE 'seal' END AS reason FROM part WHERE p_partkey % 40 = 0 OR p_partkey % 30 = 1 OR p_partkey % 25 = 2",
     "lg_task_of_request": "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 't' || (event_id % 75) END AS task_id FROM events",
 }

@@ -37,7 +37,7 @@ _SAMPLES = ", samples AS (SELECT session, seq, t_s, round_even(t_s % 20.0, 3) AS
 def _health(spark, d):
     e = _ev(spark, d)
     v = F.col("latency_ms")
-    return e.select("session", "seq", F.when(F.col("event_id") % 97 == 0, "failed").otherwise("connected").alias("state"), (F.col("event_id") % 41 == 0).alias("paused"), (F.col("event_id") % 6).alias("closes"), F.when(F.col("event_id") % 5 == 0, v / 2).alias("disconnected_s"), (v / 60).alias("unhealthy_s"), (v / 40).alias("media_stall_s"), (v / 15).alias("frame_stall_s"), (F.col("event_id") % 3).alias("guard_pauses"))
+    return e.select("session", "seq", "t_s", F.when(F.col("event_id") % 97 == 0, "camera").otherwise("upload").alias("source"), F.when(F.col("event_id") % 89 != 0, "running").alias("lifecycle"), (F.col("event_id") % 83 != 0).alias("analysis"), (F.col("event_id") % 79 != 0).alias("looping"), (F.col("event_id") % 101 == 0).alias("ended"), F.when(v > 60, 1).otherwise(4).alias("ready_state"), (F.col("event_id") % 41 == 0).alias("paused"), (F.col("event_id") % 6).alias("closes"), F.when(F.col("event_id") % 5 == 0, v / 2).alias("disconnected_s"), (v / 40).alias("media_stall_s"), (v / 15).alias("frame_stall_s"), (F.col("event_id") % 3).alias("guard_pauses"))
 
 
 def _merged(spark, d):
@@ -143,8 +143,11 @@ k AS (SELECT *, sum(back) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED
 SELECT s.session, s.seq, s.t_s, CASE WHEN s.media_s > w.progress + 0.03 OR s.media_s + 0.25 < w.progress THEN s.media_s ELSE w.progress END, CASE WHEN s.media_s > w.progress + 0.03 OR s.media_s + 0.25 < w.progress THEN s.t_s ELSE w.moved END,
  greatest(s.frame, w.frame), CASE WHEN s.frame > w.frame THEN s.t_s ELSE w.frame_at END FROM w JOIN samples s ON s.session = w.session AND s.seq = w.seq + 1)
 SELECT session, seq, round(t_s - moved, 4) AS stall_s, round(t_s - frame_at, 4) AS frame_stall_s, round(max(t_s - moved) OVER (PARTITION BY session), 4) AS longest_stall_s, round(max(t_s - frame_at) OVER (PARTITION BY session), 4) AS longest_frame_stall_s FROM w""").replace("WITH ", "WITH RECURSIVE ", 1),
-    "st_interrupts": oracle("events_", """, h AS (SELECT session, seq, CASE WHEN event_id % 97 = 0 THEN 'hard_state' WHEN event_id % 41 = 0 THEN 'paused' WHEN event_id % 5 = 0 AND event_id % 6 > 3 THEN 'reconnect_budget' WHEN event_id % 5 = 0 AND latency_ms / 2 > 30 THEN 'reconnect_timeout'
- WHEN latency_ms / 60 > 2 THEN 'unhealthy' WHEN latency_ms / 40 > CASE WHEN event_id % 3 > 0 THEN 30 ELSE 2 END THEN 'media_stall' WHEN event_id % 5 <> 0 AND latency_ms / 15 > 5 THEN 'frame_stall' END AS reason FROM session_events)
+    "st_interrupts": oracle("events_", """, b AS (SELECT *, event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0 OR event_id % 79 = 0 OR event_id % 101 = 0 AS hard, hard OR event_id % 41 = 0 OR coalesce(latency_ms > 60, false) AS bad FROM session_events),
+c AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY session ORDER BY seq) AS run FROM b),
+u AS (SELECT *, t_s - min(t_s) FILTER (WHERE bad) OVER (PARTITION BY session, run) AS unhealthy_s FROM c),
+h AS (SELECT session, seq, CASE WHEN hard THEN 'hard_state' WHEN event_id % 41 = 0 THEN 'paused' WHEN event_id % 5 = 0 AND event_id % 6 > 3 THEN 'reconnect_budget' WHEN event_id % 5 = 0 AND latency_ms / 2 > 30 THEN 'reconnect_timeout'
+ WHEN bad AND unhealthy_s > 2 THEN 'unhealthy' WHEN latency_ms / 40 > CASE WHEN event_id % 3 > 0 THEN 30 ELSE 2 END THEN 'media_stall' WHEN event_id % 5 <> 0 AND latency_ms / 15 > 5 THEN 'frame_stall' END AS reason FROM u)
 SELECT session, arg_min(reason, seq) AS reason, min(seq) AS seq FROM h WHERE reason IS NOT NULL GROUP BY 1"""),
     "st_downtime": oracle("events_", """, n AS (SELECT *, lead(kind) OVER w AS nk, lead(t_s) OVER w AS nt FROM session_events WHERE kind IN ('disconnect', 'resume') WINDOW w AS (PARTITION BY session ORDER BY seq))
 SELECT session, count(*) AS outages, round(sum(nt - t_s), 4) AS down_s, round(max(nt - t_s), 4) AS longest_s FROM n WHERE kind = 'disconnect' AND nk = 'resume' GROUP BY 1"""),
