@@ -9,7 +9,7 @@ from tracelode import plans
 from tracelode.operators import intervals, responses
 from tracelode.plans import fixtures
 from tracelode.sources import files
-from tracelode.streaming import sessions
+from tracelode.streaming import ordered, sessions
 
 SF = "/root/testdata/sf0.001"
 EVENTS = "session long, seq long, ts timestamp, event_id long, t_ms double, type string, source_position_s double, text string, task long, status string, t double"
@@ -66,60 +66,117 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "sum" / "csv"), header=True).columns == ["v", "id"]
 
 
+END = -1  # a session whose one event, far in the future, lets the watermark pass all others
+
+
 def rows(spark):
+    """Events of eight sessions, a minute apart."""
     r = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     kind = F.element_at(F.array(*map(F.lit, [sessions.PROGRESS, sessions.STALLED[0], sessions.DISCONNECTED, sessions.RESUMED[0], sessions.RESUMED[2]])), (F.col("event_id") % 5 + 1).cast("int"))
-    return r.select((F.col("user_id") % 8).alias("session"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 300).alias("event_id"), (F.col("event_id") * 10.0).alias("t_ms"), kind.alias("type"), (F.col("event_id") % 100 / 10.0).alias("source_position_s"), F.col("event_type").alias("text"), (F.col("event_id") % 3).alias("task"), F.element_at(F.array(F.lit("started"), F.lit("ready"), F.lit("error")), (F.col("event_id") % 3 + 1).cast("int")).alias("status"), (F.col("event_id") * 1.0).alias("t"))
+    return r.select((F.col("user_id") % 8).alias("session"), F.col("event_id").alias("seq"), F.timestamp_seconds(1_700_000_000 + F.col("event_id") * 60).alias("ts"), (F.col("event_id") % 300).alias("event_id"), (F.col("event_id") * 10.0).alias("t_ms"), kind.alias("type"), (F.col("event_id") % 100 / 10.0).alias("source_position_s"), F.col("event_type").alias("text"), (F.col("event_id") % 3).alias("task"), F.element_at(F.array(F.lit("started"), F.lit("ready"), F.lit("error")), (F.col("event_id") % 3 + 1).cast("int")).alias("status"), (F.col("event_id") * 1.0).alias("t"))
 
 
 def stream_of(spark, df, path):
-    """The rows as files in the order of the log, read one file a trigger."""
-    for k, part in enumerate(df.orderBy("seq").collect()[i : i + 400] for i in range(0, df.count(), 400)):
+    """The rows as files, read one file a trigger: in an order that is up to 25 minutes away from the log's, and an event that ends all sessions."""
+    came = df.withColumn("at", F.col("seq") + F.pmod(F.hash("seq"), F.lit(25))).orderBy("at").drop("at").collect()
+    for k, part in enumerate(came[i : i + 400] for i in range(0, len(came), 400)):
         spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").json(f"{path}/{k:03d}")
+    last = spark.createDataFrame([(END, 10**9)], "session long, seq long").withColumn("ts", F.timestamp_seconds(F.lit(4_000_000_000)))
+    last.coalesce(1).write.json(f"{path}/999")
     return files.read_events(spark, f"{path}/*", streaming=True, schema=EVENTS)
 
 
-def finished(spark, df, name, mode, tmp_path):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+def finished(spark, df, name, tmp_path):
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.table(name).filter(F.col("session") != END)
+
+
+def pairs(df, *c):
+    return sorted((tuple(r) for r in df.select(*c).collect()), key=repr)
+
+
+def numbers(df):
+    return df.select("session", "seq", "ts", F.col("t_ms").alias("wall_ms"), (F.col("source_position_s") * 900).alias("inbound_ms"), F.when(F.col("seq") % 7 == 0, F.col("t_ms") / 2).alias("query_ms"), (F.col("t_ms") / 1000).alias("t_s"), F.col("source_position_s").alias("media_s"), (F.col("seq") % 50).cast("double").alias("frame"))
+
+
+def chunks(df):
+    said = F.element_at(F.array(*map(F.lit, [sessions.START + "a", " b" + sessions.END, "c", sessions.QUIET, sessions.START + " d"])), (F.col("seq") % 5 + 1).cast("int"))
+    return df.select("session", "seq", "ts", F.floor(F.col("seq") / 90).alias("poll"), said.alias("text"))
 
 
-def test_streams_come_to_the_batch_result(spark, tmp_path):
+def frames(df):
+    """Requests of several frames, some of them late or longer than a segment."""
+    start = (F.col("seq") * 1.0 - F.when(F.col("seq") % 11 == 0, 40).otherwise(0)).alias("start_s")
+    return df.select("session", "seq", F.col("seq").alias("position"), "ts", F.floor(F.col("seq") / 20).alias("request"), start, (start + F.when(F.col("seq") % 17 == 0, 35).otherwise(1)).alias("end_s"))
+
+
+@pytest.mark.parametrize("name", ["outages", "clock", "stalls", "rounds", "segments", "background"])
+def test_streams_end_with_the_batch_result(spark, tmp_path, name):
     batch = rows(spark)
     stream = stream_of(spark, batch, str(tmp_path / "in"))
-    pairs = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
-    got = finished(spark, sessions.outages_stream(stream), "outages", "append", tmp_path)
-    want = sessions.closed_outages(batch)
-    assert pairs(got, "session", "start_s", "end_s", "reason") == pairs(want, "session", "start_s", "end_s", "reason") != []
-    assert pairs(sessions.merged_outages(got), "session", "start_s", "end_s") == pairs(sessions.outages(batch), "session", "start_s", "end_s")
-    numbers = lambda df: df.select("session", "seq", "ts", F.col("t_ms").alias("wall_ms"), (F.col("source_position_s") * 900).alias("inbound_ms"), F.when(F.col("seq") % 7 == 0, F.col("t_ms") / 2).alias("query_ms"), (F.col("t_ms") / 1000).alias("t_s"), F.col("source_position_s").alias("media_s"), (F.col("seq") % 50).cast("double").alias("frame"))
-    got = finished(spark, sessions.media_clock_stream(numbers(stream)), "clock", "append", tmp_path)
-    assert pairs(got, "session", "seq", "media_ms") == pairs(sessions.media_clock(numbers(batch)), "session", "seq", "media_ms")
-    got = finished(spark, sessions.stalls_stream(numbers(stream)), "stalls", "append", tmp_path)
-    assert pairs(got, "session", "seq", "stall_s", "frame_stall_s") == pairs(intervals.stalls(numbers(batch)), "session", "seq", "stall_s", "frame_stall_s")
-    said = F.element_at(F.array(*map(F.lit, [sessions.START + "a", " b" + sessions.END, "c", sessions.QUIET, sessions.START + " d"])), (F.col("seq") % 5 + 1).cast("int"))
-    chunks = lambda df: df.select("session", "seq", "ts", F.floor(F.col("seq") / 90).alias("poll"), said.alias("text"))
-    got = finished(spark, sessions.assemble_rounds_stream(chunks(stream)), "rounds", "append", tmp_path)
-    want = sessions.assemble_rounds(chunks(batch))
-    last = want.groupBy("session").agg(F.max("poll").alias("last"))
-    want = want.join(last, "session").filter("poll < last")  # the last poll of each session is still open
-    assert pairs(got, "session", "poll", "content") == pairs(want, "session", "poll", "content") != []
-    got = finished(spark, sessions.background_tasks(stream), "bg", "update", tmp_path)
-    last = got.groupBy("session", "task").agg(F.max_by(F.struct("started_t", "finished_t", "status"), F.coalesce(F.greatest("started_t", "finished_t"), "started_t", "finished_t")).alias("x")).select("session", "task", "x.status")
-    want = responses.background_tasks(batch.select("session", "task", "t", "status"))
-    assert pairs(last, "session", "task", "status") == pairs(want, "session", "task", "status")
-    got = finished(spark, sessions.dedupe_responses(stream, ["text"], "30 days"), "dedupe", "append", tmp_path)
-    want = responses.dedupe_responses(batch, ["text"])
-    assert pairs(got, "session", "text") == pairs(want, "session", "text")
-    assert finished(spark, sessions.idempotent_events(stream, "30 days"), "idem", "append", tmp_path).count() == intervals.idempotent_events(batch.withColumn("content", F.col("type"))).count()
-    visits = finished(spark, sessions.visits(stream, "2 hours"), "visits", "append", tmp_path)
-    want = intervals.sessions(batch.withColumn("t_s", F.unix_micros("ts") / 1e6), 7200.0)
-    missing = set(pairs(visits, "session", "events")) - set(pairs(want, "session", "events"))
-    assert not missing and visits.count() > 0.8 * want.count()  # visits that are still open have not come out
-    seg = finished(spark, sessions.segments(stream, "1 day"), "segs", "append", tmp_path)
-    want = batch.groupBy("session", F.window("ts", "1 day").start.alias("start_ts")).agg(F.count("*").alias("frames"))
-    assert set(pairs(seg, "session", "start_ts", "frames")) <= set(pairs(want, "session", "start_ts", "frames")) and seg.count() > 0
+    got, want, columns = {
+        "outages": lambda: (sessions.outages_stream(stream), sessions.closed_outages(batch), ("session", "start_s", "end_s", "reason")),
+        "clock": lambda: (sessions.media_clock_stream(numbers(stream)), sessions.media_clock(numbers(batch)), ("session", "seq", "media_ms")),
+        "stalls": lambda: (sessions.stalls_stream(numbers(stream)), intervals.stalls(numbers(batch)), ("session", "seq", "stall_s", "frame_stall_s")),
+        "rounds": lambda: (sessions.assemble_rounds_stream(chunks(stream)), sessions.assemble_rounds(chunks(batch)), ("session", "poll", "content")),
+        "segments": lambda: (sessions.segments_stream(frames(stream), 15.0), intervals.segments(frames(batch), 15.0), ("session", "segment", "frames", "start_s", "end_s")),
+        "background": lambda: (sessions.background_tasks(stream), responses.background_tasks(batch.select("session", "task", "t", "status")), ("session", "task", "started_t", "finished_t", "status")),
+    }[name]()
+    got = finished(spark, got, f"s_{name}", tmp_path)
+    assert pairs(got, *columns) == pairs(want, *columns) != []
+    if name == "outages":
+        assert pairs(sessions.merged_outages(got), "session", "start_s", "end_s") == pairs(sessions.outages(batch), "session", "start_s", "end_s")
+
+
+def test_declarative_streams(spark, tmp_path):
+    batch = rows(spark)
+    stream = stream_of(spark, batch, str(tmp_path / "in"))
+    got = finished(spark, sessions.dedupe_responses(stream, ["text"], "30 days"), "dedupe", tmp_path)
+    assert pairs(got, "session", "text") == pairs(responses.dedupe_responses(batch, ["text"]), "session", "text")
+    assert finished(spark, sessions.idempotent_events(stream, "30 days"), "idem", tmp_path).count() == intervals.idempotent_events(batch.withColumn("content", F.col("type"))).count()
+    visits = finished(spark, sessions.visits(stream, "10 minutes"), "visits", tmp_path)
+    assert pairs(visits, "session", "events") == pairs(intervals.sessions(batch.withColumn("t_s", F.unix_micros("ts") / 1e6), 600.0), "session", "events")
+
+
+def test_late_rows_have_a_table_of_their_own(spark, tmp_path):
+    batch = rows(spark)
+    early = batch.filter("seq < 500").withColumn("seq", F.col("seq") + 5000)  # comes when the watermark is far beyond it
+    parts = [batch.filter("seq < 400"), batch.filter("seq BETWEEN 400 AND 900"), early.unionByName(batch.filter("seq > 900")), batch.limit(1).withColumn("ts", F.lit(None).cast("timestamp"))]
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.json(str(tmp_path / "in" / str(k)))
+    stream, root = files.read_events(spark, str(tmp_path / "in" / "*"), streaming=True, schema=EVENTS), str(tmp_path / "out")
+    write = ordered.divide_late(root, "1 hour")
+    seen = []
+
+    def twice(df, n):
+        write(df, n)
+        write(df, n)  # as after a lost commit
+        seen.append(n)
+
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    on_time, late = ordered.on_time(spark, root), ordered.late_rows(spark, root)
+    kept, gone = on_time.count(), late.filter("ts IS NOT NULL").count()
+    assert len(seen) >= 4 and kept + late.count() == sum(p.count() for p in parts)
+    assert pairs(on_time.unionByName(late.drop("batch")), "session", "seq", "ts") == sorted(sum((pairs(p, "session", "seq", "ts") for p in parts), []), key=repr)
+    assert late.filter("ts IS NULL").count() == 1 and late.filter("seq >= 5000").count() == early.count()
+    write(stream_batch := spark.read.schema(EVENTS).json(str(tmp_path / "in" / "1")), 1)  # an old batch once more: the later ones do not count
+    assert ordered.on_time(spark, root).count() == kept and stream_batch.count() == parts[1].count()
+    # A stateful query with the same watermark drops some of these rows, by the watermark of one batch before or of this one, and no other.
+    q = sessions.idempotent_events(stream.withColumn("event_id", F.col("seq")), "1 hour").writeStream.format("memory").queryName("dropped").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
+    assert 0 < dropped <= gone and {r.seq for r in spark.table("dropped").collect()} >= {r.seq for r in ordered.on_time(spark, root).collect()}
+
+
+def test_requests_and_the_end_of_a_stream(spark):
+    make = lambda fs: spark.createDataFrame([(1, i, r, s, e) for i, (r, s, e) in enumerate(fs)], "session long, position long, request long, start_s double, end_s double")
+    got = lambda fs, end: [(r.segment, r.frames) for r in intervals.segments(make(fs), 10.0, end).orderBy("segment").collect()]
+    # Both frames of request 1 have come before its first segment is taken; one by one the second would be late.
+    assert got([(1, 1.0, 11.0), (1, 2.0, 3.0), (2, 12.0, 13.0)], False) == [(0, 2)]
+    assert got([(1, 1.0, 11.0), (2, 2.0, 3.0), (3, 12.0, 13.0)], False) == [(0, 1)]
+    # The request that ends the stream gives one segment only, though three are complete.
+    assert got([(1, 1.0, 2.0), (2, 12.0, 22.0), (2, 25.0, 31.0)], True) == [(0, 1)] and got([(1, 1.0, 2.0), (2, 12.0, 22.0), (2, 25.0, 31.0)], False) == [(0, 1), (1, 1), (2, 1)]
 
 
 def test_outage_is_dated_back_and_extended(spark):

@@ -124,41 +124,52 @@ def interruptions(samples: DataFrame, reconnects: int = 3, reconnect_timeout_s:
     return samples.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy("session").agg(F.min_by("reason", "seq").alias("reason"), F.min("seq").alias("seq"))
 
 
-def segments_of(rows, seconds: float, end_of_stream: bool) -> list[tuple]:
-    """Segments of frames in the order of their arrival, as (segment, frames, start_s, end_s)."""
-    pending, at, out = [], None, []
-    for start, end in rows:
-        pending.append((start, end))
-        at = start // seconds * seconds if at is None else at
-        while pending and max(e for _, e in pending) >= at + seconds:
-            at = _consume(pending, at, seconds, out)
-    while pending and end_of_stream:
-        flushed = len(out)
-        at = _consume(pending, at, seconds, out)
-        if len(out) > flushed:
-            break
+def by_request(rows) -> list[tuple]:
+    """(request, frames) of rows (request, start, end) in the order of arrival."""
+    out = []
+    for request, start, end in rows:
+        if not out or out[-1][0] != request:
+            out.append((request, []))
+        out[-1][1].append((start, end))
     return out
 
 
-def _consume(pending: list, at: float, seconds: float, out: list) -> float:
-    """The segment at `at`, or a jump to the next frame; what starts before its end is used up, late frames that no longer overlap it too."""
-    chosen = [(s, e) for s, e in pending if s < at + seconds and e > at]
-    if not chosen:
-        return max(at + seconds, min(s for s, _ in pending) // seconds * seconds)
-    out.append((int(at // seconds), len(chosen), min(s for s, _ in chosen), max(e for _, e in chosen)))
-    pending[:] = [(s, e) for s, e in pending if s >= at + seconds]
-    return at + seconds
+def segment_step(pending: list, at: float | None, frames: list, seconds: float, end: bool) -> tuple[list, float | None, list]:
+    """A request of frames (start, end): what is left of the frames, the segment clock, and the segments that are complete, as (segment, frames, start_s, end_s).
+
+    The request that ends the stream gives one segment, complete or not. What starts before the end of a segment is used up with it, late frames that no longer overlap it too."""
+    pending, out = [*pending, *frames], []
+    if pending and at is None:
+        at = pending[0][0] // seconds * seconds
+    while pending and (end or max(e for _, e in pending) >= at + seconds):
+        chosen = [(s, e) for s, e in pending if s < at + seconds and e > at]
+        if not chosen:
+            at = max(at + seconds, min(s for s, _ in pending) // seconds * seconds)
+            continue
+        out.append((int(at // seconds), len(chosen), min(s for s, _ in chosen), max(e for _, e in chosen)))
+        at += seconds
+        pending = [(s, e) for s, e in pending if s >= at]
+        if end:
+            break
+    return pending, at, out
 
 
 def segments(frames: DataFrame, seconds: float, end_of_stream: bool = True) -> DataFrame:
-    """Tumbling segments of frames that arrive in the order of `position`. A frame belongs to the segment of its start; one that comes late joins the current segment if it
-    still overlaps it, and is lost otherwise. A segment is complete when the end of some frame reaches its end; the end of the stream flushes one more.
+    """Tumbling segments of frames that arrive in the order of `position`, in requests. A frame belongs to the segment of its start; one that comes late joins the current segment if it
+    still overlaps it, and is lost otherwise. A segment is complete when the end of some frame reaches its end, after a whole request has come. With `end_of_stream` the last request
+    ends the stream: it gives one segment, complete or not. frames: session, position, request (each frame is one if there is no such column), start_s, end_s.
 
     Which segment is current depends on what came before, so a session, a recording of an hour or so, is one pass."""
+    if "request" not in frames.columns:
+        frames = frames.withColumn("request", F.col("position"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("position")[["start_s", "end_s"]].itertuples(index=False)
-        return pd.DataFrame([(key[0], *x) for x in segments_of(rows, seconds, end_of_stream)], columns=["session", "segment", "frames", "start_s", "end_s"])
+        requests = by_request(pdf.sort_values("position")[["request", "start_s", "end_s"]].itertuples(index=False))
+        pending, at, out = [], None, []
+        for k, (_, rows) in enumerate(requests):
+            pending, at, new = segment_step(pending, at, rows, seconds, end_of_stream and k == len(requests) - 1)
+            out += new
+        return pd.DataFrame([(key[0], *x) for x in out], columns=["session", "segment", "frames", "start_s", "end_s"])
 
     return frames.groupBy("session").applyInPandas(run, "session long, segment long, frames long, start_s double, end_s double")
 

@@ -1,19 +1,22 @@
-"""Stream forms of the session operators. The batch result over the same rows is what each must come to.
+"""Stream forms of the session operators. The batch result over the same rows is what each comes to, once the watermark has passed them.
 
-Events carry `ts` (event time) besides session and seq. State lives per session and is removed when the watermark has passed its last event by `lateness`;
-events that come later than the watermark allows are in the table that `late_events` writes, not in a result.
+Events carry `ts` (event time) besides session and seq. Sequential operators are folds in log order that end with their session (`ordered.ordered_fold`): a row is taken once
+the watermark has passed it, `lateness` behind the latest, and a session ends `idle` after its last row. Rows that come later than the watermark
+allows are on the side table of `ordered.divide_late`, not in a result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.intervals import merge_intervals, stall_step
+from ..operators.intervals import by_request, merge_intervals, segment_step, stall_step
+from .ordered import ordered_fold
+
+LATENESS, IDLE = "1 hour", "1 day"
 
 
 def dedupe_responses(stream: DataFrame, keys: list[str], lateness: str = "1 hour") -> DataFrame:
@@ -31,12 +34,6 @@ def visits(stream: DataFrame, gap: str, lateness: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", lateness).groupBy("session", w).agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("session_window")
 
 
-def segments(stream: DataFrame, length: str, lateness: str = "1 hour") -> DataFrame:
-    """Tumbling segments of a session; a segment comes out once the watermark has passed its end."""
-    w = F.window("ts", length)
-    return stream.withWatermark("ts", lateness).groupBy("session", w).agg(F.count(F.lit(1)).alias("frames")).select("session", F.col("window.start").alias("start_ts"), "frames")
-
-
 def ack_match(requests: DataFrame, acks: DataFrame, within: str = "1 hour") -> DataFrame:
     """Every acknowledgement of the same text within `within` of a request; null if none comes. Both: session, ts, text."""
     a = acks.withWatermark("ts", within).select(F.col("session").alias("a_session"), F.col("text").alias("a_text"), F.col("ts").alias("ack_ts"))
@@ -45,51 +42,27 @@ def ack_match(requests: DataFrame, acks: DataFrame, within: str = "1 hour") -> D
     return r.join(a, on, "left_outer").select("session", "ts", "text", "ack_ts")
 
 
-def kept_state(stream: DataFrame, keys: list[str], step, result: str, state: str, empty: tuple, lateness: str, mode: str = "append"):
-    """A fold over the rows of each key in log order: step(state, rows) gives the new state and a result. The state ends with the latest event time, and is
-    removed once the watermark is `lateness` beyond it."""
-    wait_ms = int(pd.Timedelta(lateness).total_seconds() * 1000)
-    names = [x.strip().split(" ")[0] for x in result.split(",")]
-
-    def fold(key, batches: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
-        if kept.hasTimedOut:
-            kept.remove()
-            return
-        *now, latest = kept.get if kept.exists else (*empty, 0)
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        now, out = step(key, tuple(now), pdf)
-        latest = max(latest, int(pdf["ts"].max().timestamp() * 1000))
-        kept.update((*now, latest))
-        kept.setTimeoutTimestamp(max(latest + wait_ms, kept.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
-
-    rows = stream.withWatermark("ts", lateness).groupBy(*keys)
-    return rows.applyInPandasWithState(fold, result, f"{state}, latest_ms long", mode, "EventTimeTimeout")
-
-
-def late_events(batch: DataFrame, newest_before: Column, lateness: str) -> DataFrame:
-    """Rows of a trigger that are older than the watermark before it, for a side table written in `foreachBatch`."""
-    return batch.filter(F.col("ts") < newest_before - F.expr(f"INTERVAL {lateness}"))
-
-
 BACKGROUND = "session long, task long, started_t double, finished_t double, status string"
 
 
-def background_tasks(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """Folds started, ready and error events into the latest row of each background task (update mode). stream: session, task, seq, ts, t, status."""
+def background_tasks(stream: DataFrame, lateness: str = LATENESS, idle: str = "30 days") -> DataFrame:
+    """The row of each background task, once no event of it has come for `idle`. stream: session, task, seq, ts, t, status (started, ready, error)."""
 
     def step(key, state, pdf):
         started, finished, status, at = state
         for t, s in zip(pdf["t"], pdf["status"]):
             if s == "started":
                 started = t if started is None else min(started, t)
-            else:
+            elif s in ("ready", "error"):
                 finished = t if finished is None else max(finished, t)
             if at is None or t >= at:
                 status, at = s, t
-        return (started, finished, status, at), [(*key, started, finished, status)]
+        return (started, finished, status, at), []
 
-    return kept_state(stream, ["session", "task"], step, BACKGROUND, "started double, finished double, status string, at double", (None,) * 4, lateness, "update")
+    def finish(key, state):
+        return [(*key, *state[:3])]
+
+    return ordered_fold(stream, ["session", "task"], ["seq", "t", "status"], step, BACKGROUND, "started double, finished double, status string, at double", (None,) * 4, lateness, idle, finish)
 
 
 #: Event types that open and close an outage.
@@ -153,15 +126,15 @@ def outages(events: DataFrame) -> DataFrame:
     return merged_outages(closed_outages(events))
 
 
-def outages_stream(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """`closed_outages` while sessions run: rows of one trigger are taken in log order, and the open outage is the state. `merged_outages` over what has come out makes them whole."""
-    return kept_state(stream, ["session"], _outages, _CLOSED, "start double, position double, reasons string, seen_ms double, seen_s double", _QUIET, lateness)
+def outages_stream(stream: DataFrame, lateness: str = LATENESS, idle: str = IDLE) -> DataFrame:
+    """`closed_outages` while sessions run; the open outage is the state. `merged_outages` over what has come out makes them whole."""
+    return ordered_fold(stream, ["session"], ["seq", "type", "t_ms", "source_position_s"], _outages, _CLOSED, "start double, position double, reasons string, seen_ms double, seen_s double", _QUIET, lateness, idle)
 
 
 STALL = "session long, seq long, stall_s double, frame_stall_s double"
 
 
-def stalls_stream(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
+def stalls_stream(stream: DataFrame, lateness: str = LATENESS, idle: str = IDLE) -> DataFrame:
     """`intervals.stalls` while sessions run. stream: session, seq, ts, t_s, media_s, frame."""
 
     def step(key, state, pdf):
@@ -171,7 +144,7 @@ def stalls_stream(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
             out.append((key[0], seq, None if state[0] is None else t - state[0], None if state[2] is None else t - state[2]))
         return state, out
 
-    return kept_state(stream, ["session"], step, STALL, "at double, value double, frame_at double, frames double", (None,) * 4, lateness)
+    return ordered_fold(stream, ["session"], ["seq", "t_s", "media_s", "frame"], step, STALL, "at double, value double, frame_at double, frames double", (None,) * 4, lateness, idle)
 
 
 CLOCK = "session long, seq long, media_ms double"
@@ -204,9 +177,9 @@ def media_clock(frames: DataFrame) -> DataFrame:
     return frames.groupBy("session").applyInPandas(run, CLOCK)
 
 
-def media_clock_stream(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
+def media_clock_stream(stream: DataFrame, lateness: str = LATENESS, idle: str = IDLE) -> DataFrame:
     """The same while sessions run. stream: session, seq, ts, wall_ms, inbound_ms, query_ms."""
-    return kept_state(stream, ["session"], _clock, CLOCK, "anchor double, origin double, last double", (None,) * 3, lateness)
+    return ordered_fold(stream, ["session"], ["seq", "wall_ms", "inbound_ms", "query_ms"], _clock, CLOCK, "anchor double, origin double, last double", (None,) * 3, lateness, idle)
 
 
 #: Control tokens of a model that speaks in rounds, and the forms that its output takes.
@@ -292,11 +265,43 @@ def assemble_rounds(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("session").applyInPandas(run, ROUNDS)
 
 
-def assemble_rounds_stream(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """The same while sessions run: a poll is answered when the first chunk of the next one comes. stream: session, seq, ts, poll, text."""
+def assemble_rounds_stream(stream: DataFrame, lateness: str = LATENESS, idle: str = IDLE) -> DataFrame:
+    """The same while sessions run: a poll is answered when the first chunk of the next one comes, the last one when its session ends. stream: session, seq, ts, poll, text."""
 
     def step(key, state, pdf):
         now, (out, _) = _rounds(key, state, pdf)
         return (now[0], int(now[1]), now[2]), out
 
-    return kept_state(stream, ["session"], step, ROUNDS, "pending string, poll long, done array<string>", ("", None, None), lateness)
+    def finish(key, state):
+        _, (out, ended) = _rounds(key, state, pd.DataFrame({"poll": [], "text": []}))
+        ended()
+        return out
+
+    return ordered_fold(stream, ["session"], ["seq", "poll", "text"], step, ROUNDS, "pending string, poll long, done array<string>", ("", None, None), lateness, idle, finish)
+
+
+SEGMENT = "session long, segment long, frames long, start_s double, end_s double"
+
+
+def segments_stream(stream: DataFrame, seconds: float, lateness: str = LATENESS, idle: str = IDLE) -> DataFrame:
+    """`intervals.segments` while sessions run. The buffer of frames, the segment clock and the frames of the last request are the state: that request is taken when the next
+    one comes, or with the end of the stream when the session ends. stream: session, seq (order of arrival), ts, request, start_s, end_s."""
+
+    def step(key, state, pdf):
+        starts, ends, at, request, held_starts, held_ends = state
+        pending, out = list(zip(starts or [], ends or [])), []
+        held = list(zip(held_starts or [], held_ends or []))
+        for number, frames in by_request(pdf[["request", "start_s", "end_s"]].itertuples(index=False)):
+            if request is not None and number != request:
+                pending, at, new = segment_step(pending, at, held, seconds, False)
+                out += new
+                held = []
+            request, held = number, [*held, *frames]
+        return ([p[0] for p in pending], [p[1] for p in pending], at, request, [h[0] for h in held], [h[1] for h in held]), [(key[0], *x) for x in out]
+
+    def finish(key, state):
+        starts, ends, at, _, held_starts, held_ends = state
+        return [(key[0], *x) for x in segment_step(list(zip(starts or [], ends or [])), at, list(zip(held_starts or [], held_ends or [])), seconds, True)[2]]
+
+    state = "starts array<double>, ends array<double>, at double, request long, held_starts array<double>, held_ends array<double>"
+    return ordered_fold(stream, ["session"], ["seq", "request", "start_s", "end_s"], step, SEGMENT, state, (None,) * 6, lateness, idle, finish)
