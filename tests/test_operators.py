@@ -312,3 +312,61 @@ def test_profile_rules(spark):
     rows = [("Up.Case-1", "m", "HTTPS://h/v1", "direct", "http"), ("a b", "m", "http://h", "direct", "http"), ("x", " ", "ftp://h", "other", "pigeon"), ("y", None, "http://u:p@h", None, "http"), ("z", "m", "http://h", "direct", "http"), ("z", "m", "http://h", "direct", "http")]
     got = sorted(tuple(r) for r in audits.validate_profiles(spark.createDataFrame(rows, "id string, model string, base_url string, route string, transport string"), ["direct"], ["http"]).collect())
     assert got == [("a b", "id"), ("x", "base_url"), ("x", "model"), ("x", "route"), ("x", "transport"), ("y", "credentials"), ("y", "model"), ("y", "route"), ("z", "repeated")]
+
+
+def test_attribution_is_that_of_the_rule_for_every_pair(spark):
+    import hashlib
+    import random
+
+    def same(a):
+        return "".join((a or "").split())
+
+    def belongs(x, q, following):
+        t, event, sha, prompt, frame = x
+        rn, turn, q_event, text, at = q
+        next_at, next_turn = (following[4], following[1]) if following else (None, None)
+        if event is not None and q_event is not None:
+            return event == q_event
+        if sha is not None:
+            return sha == hashlib.sha256(text.encode()).hexdigest()
+        if same(prompt):
+            return same(prompt) == same(text)
+        if frame is not None and at is not None:
+            return frame >= at - 0.001 and (next_at is None or frame < next_at - 0.001)
+        return t is not None and turn is not None and t >= turn and (next_turn is None or t < next_turn)
+
+    rng = random.Random(11)
+    rounds, said, want = [], [], []
+    for s in range(60):
+        n = rng.randrange(5)
+        wild = s % 3 == 0  # times that go back or are unknown
+        turns = sorted(rng.randrange(12) for _ in range(n))
+        ats = sorted(float(rng.randrange(12)) for _ in range(n)) if s % 2 else [None] * n
+        if wild:
+            rng.shuffle(turns)
+            ats = [rng.choice([None, float(rng.randrange(12))]) for _ in range(n)]
+            turns = [rng.choice([t, t, None]) for t in turns]
+        qs = [(k + 1, turns[k], rng.choice([None, "e1", "e2"]), rng.choice(["a b", "c", "a  b"]), ats[k]) for k in range(n)]
+        xs = [(rng.choice([None, *range(13)]), rng.choice([None, None, "e1", "e9"]), rng.choice([None, None, None, hashlib.sha256(b"c").hexdigest()]), rng.choice([None, None, "", " ab", "c"]), rng.choice([None, float(rng.randrange(13)), rng.randrange(13) - 0.001])) for _ in range(12)]
+        rounds += [(s, *q) for q in qs]
+        said += [(s, *x) for x in xs]
+        want += [(s, q[0], x[0]) for x in xs for k, q in enumerate(qs) if belongs(x, q, qs[k + 1] if k + 1 < n else None)]
+    r = spark.createDataFrame(said, "session long, t long, event_id string, query_sha256 string, prompt string, frame_s double")
+    q = spark.createDataFrame(rounds, "session long, rn long, turn long, event_id string, text string, query_s double")
+    got = responses.attribute_responses(r, q)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 400
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_and_acknowledgements_in_one_sweep(spark):
+    from tracelode.operators import sweeps
+
+    q = spark.createDataFrame([(1, 1, 0, 5, "a"), (1, 2, 5, 5, "b"), (1, 3, 5, 9, "c"), (1, 4, 9, None, "d"), (2, 1, 3, None, "e")], "session long, rn long, turn long, next_turn long, text string")
+    r = spark.createDataFrame([(1, 0, "x"), (1, 4, "y"), (1, 5, "z"), (1, 5, "z"), (2, 2, "early"), (3, 1, "nobody")], "session long, turn long, text string")
+    got = sorted((x.session, x.rn, x.t, x.text) for x in sweeps.inside_rounds(r, q).collect() if x.t is not None)
+    assert got == [(1, 1, 0, "x"), (1, 1, 4, "y"), (1, 3, 5, "z"), (1, 3, 5, "z")]
+    assert sorted((x.session, x.rn) for x in sweeps.inside_rounds(r, q).collect() if x.t is None) == [(1, 2), (1, 4), (2, 1)]
+    a = spark.createDataFrame([(1, 10, 5.0, "t"), (1, 9, 7.0, "t"), (1, 11, 4.0, "t"), (1, 12, 9.0, None)], "session long, seq long, t_s double, text string")
+    asked = spark.createDataFrame([(1, 1, 5.0, "t"), (1, 2, 5.5, "t"), (1, 3, 7.5, "t"), (1, 4, 1.0, None), (1, 5, 1.0, "u")], "session long, seq long, t_s double, text string")
+    # The first in the log, not the first in time.
+    assert {x.seq: x.ack_t_s for x in intervals.ack_match(asked, a).collect()} == {1: 7.0, 2: 7.0, 3: None, 4: None, 5: None}

@@ -207,11 +207,14 @@ def queue_delay(events: DataFrame) -> DataFrame:
 
 
 def ack_match(requests: DataFrame, acks: DataFrame) -> DataFrame:
-    """The first acknowledgement of the same text at or after each request. Both: session, seq, t_s, text."""
-    a = acks.select(F.col("session").alias("a_session"), F.col("text").alias("a_text"), F.struct("seq", "t_s").alias("a"))
-    on = (F.col("session") == F.col("a_session")) & (F.col("text") == F.col("a_text")) & (F.col("a.t_s") >= F.col("t_s"))
-    hit = requests.join(a, on, "left").groupBy("session", "seq", "t_s", "text").agg(F.min("a").alias("a"))
-    return hit.select("session", "seq", "t_s", "text", F.col("a.t_s").alias("ack_t_s"))
+    """The first acknowledgement, in log order, of the same text at or after each request; a null text has none. Both: session, seq, t_s, text.
+
+    One sweep from the end of a session: the least of what has been seen is what comes first in the log. At equal times acknowledgements are seen before requests."""
+    order = Window.partitionBy("session", "text").orderBy(F.desc("t_s"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    columns = ["session", "seq", "t_s", "text"]
+    rows = requests.select(*columns, F.lit(True).alias("asks")).unionByName(acks.select(*columns, F.lit(False).alias("asks")))
+    seen = F.min(F.when(~F.col("asks") & F.col("text").isNotNull(), F.struct("seq", "t_s"))).over(order)
+    return rows.withColumn("ack", seen).filter("asks").select(*columns, F.col("ack.t_s").alias("ack_t_s"))
 
 
 def value_runs(series: DataFrame, low: float, least_s: float, high: float, earliest_s: float = -0.25, latest_s: float = 30.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, nfkc, normalised, trimmed
+from .sweeps import inside_rounds
 
 PREFIX, CLOSER = rf"(?i)^</response>[{SPACES}]*", rf"(?i)</response>[{SPACES}]*\z"
 #: Markers and patterns of an answer that only promises one.
@@ -114,30 +115,78 @@ def first_failure(df: DataFrame) -> DataFrame:
     return df.filter("failed").groupBy("session").agg(F.min("t").alias("t"), F.min_by("message", "t").alias("message"))
 
 
-def attribute_responses(responses: DataFrame, rounds: DataFrame) -> DataFrame:
-    """(session, rn, t) for every round that a response belongs to. The first kind of evidence that a response has decides: event id, query hash,
-    prompt text, frame time, and else the time it came. responses: session, t, event_id, query_sha256, prompt, frame_s; rounds: session, rn, turn, event_id, text, query_s.
+#: A frame belongs to a query from this much before its time.
+EARLY_S = 0.001
+
+
+def evidence(responses: DataFrame) -> DataFrame:
+    """Responses with their prompt in compatibility normal form; an empty one is none."""
+    return responses.select("session", "t", "event_id", "query_sha256", F.nullif(normalized_question(F.col("prompt")), F.lit("")).alias("prompt"), "frame_s")
 
-    One join on the session with the rule as its condition, rounds times responses of a session, which suits recordings of an hour; a null bound is open."""
+
+def expected(rounds: DataFrame) -> DataFrame:
+    """Rounds with what a response to them carries, and the times of the next one."""
     w = Window.partitionBy("session").orderBy("rn")
-    q = rounds.select(F.col("session").alias("q_session"), "rn", F.col("event_id").alias("q_event"), F.sha2("text", 256).alias("q_sha"), normalized_question(F.col("text")).alias("q_text"), "query_s", F.lead("query_s").over(w).alias("next_s"), "turn", F.lead("turn").over(w).alias("next_turn"))
-    r = responses.select("session", "t", "event_id", "query_sha256", F.nullif(normalized_question(F.col("prompt")), F.lit("")).alias("prompt"), "frame_s")
-    rule = (
-        F.when(F.col("event_id").isNotNull() & F.col("q_event").isNotNull(), F.col("event_id") == F.col("q_event"))
-        .when(F.col("query_sha256").isNotNull(), F.col("query_sha256") == F.col("q_sha"))
-        .when(F.col("prompt").isNotNull(), F.col("prompt") == F.col("q_text"))
-        .when(F.col("frame_s").isNotNull() & F.col("query_s").isNotNull(), (F.col("frame_s") >= F.col("query_s") - 0.001) & (F.col("next_s").isNull() | (F.col("frame_s") < F.col("next_s") - 0.001)))
-        .otherwise((F.col("t") >= F.col("turn")) & (F.col("next_turn").isNull() | (F.col("t") < F.col("next_turn"))))
+    return rounds.select("session", "rn", "event_id", F.sha2("text", 256).alias("sha"), normalized_question(F.col("text")).alias("question"), "query_s", F.lead("query_s").over(w).alias("next_s"), "turn", F.lead("turn").over(w).alias("next_turn"))
+
+
+def attribute_responses(responses: DataFrame, rounds: DataFrame) -> DataFrame:
+    """(session, rn, t) for every round that a response belongs to. The first kind of evidence that a response has decides: event id (if the round has one too), query hash,
+    prompt text, frame time (if the round has one too), and else the time it came. responses: session, t, event_id, query_sha256, prompt, frame_s; rounds: session, rn, turn, event_id, text, query_s.
+
+    A response has a row in the lane of each kind of evidence that may decide, a round in the lane of each that it has. Lanes of equal keys
+    meet all rounds of the key; in lanes of time the last round before a response is the only one whose interval can hold it. Sessions whose rounds go back in time, or lack a time that
+    others have, have intervals that overlap, so there a response meets all rounds of its session. A bound that is unknown is open."""
+    number = lambda c: F.col(c).cast("double")
+    lane = lambda name, key, at: F.struct(F.lit(name).alias("lane"), key.alias("key"), at.alias("at"))
+    no_key, no_time = F.lit("").cast("string"), F.lit(None).cast("double")
+    r = evidence(responses)
+    bare = F.col("query_sha256").isNull() & F.col("prompt").isNull()
+    lanes = F.array(
+        F.when(F.col("event_id").isNotNull(), lane("event", F.col("event_id").cast("string"), no_time)),
+        F.when(F.col("query_sha256").isNotNull(), lane("hash", F.col("query_sha256"), no_time)).when(F.col("prompt").isNotNull(), lane("prompt", F.col("prompt"), no_time)),
+        F.when(bare & F.col("frame_s").isNotNull(), lane("frame", no_key, number("frame_s"))),
+        F.when(bare & F.col("t").isNotNull(), lane("time", no_key, number("t"))),
+    )
+    r = r.select("session", F.explode(F.array_compact(lanes)).alias("l"), F.struct("t", "event_id", "frame_s").alias("r"), F.lit(None).cast("boolean").alias("all"))
+
+    q = expected(rounds)
+    w = Window.partitionBy("session")
+    times = F.coalesce(F.bool_and((F.col("next_turn") >= F.col("turn")) | F.col("next_turn").isNull()).over(w), F.lit(True)) & (F.count("turn").over(w) == F.count(F.lit(1)).over(w))
+    frames = F.coalesce(F.bool_and((F.col("next_s") >= F.col("query_s")) | F.col("next_s").isNull()).over(w), F.lit(True)) & F.count("query_s").over(w).isin(F.lit(0), F.count(F.lit(1)).over(w))
+    q = q.withColumn("times", times).withColumn("frames", frames)
+    lanes = F.array(
+        F.when(F.col("event_id").isNotNull(), lane("event", F.col("event_id").cast("string"), no_time)),
+        lane("hash", F.col("sha"), no_time),
+        lane("prompt", F.col("question"), no_time),
+        F.when(F.col("query_s").isNotNull(), lane("frame", no_key, F.when(F.col("frames"), number("query_s") - EARLY_S))),
+        lane("time", no_key, F.when(F.col("times"), number("turn"))),
+    )
+    about = F.struct("rn", "event_id", "query_s", "next_s", "turn", "next_turn")
+    q = q.select("session", F.explode(F.array_compact(lanes)).alias("l"), about.alias("q")).withColumn("all", F.col("l.at").isNull())
+
+    rows = r.withColumn("q", F.lit(None).cast(q.schema["q"].dataType)).unionByName(q.withColumn("r", F.lit(None).cast(r.schema["r"].dataType)))
+    order = Window.partitionBy("session", "l.lane", "l.key").orderBy(F.col("l.at").asc_nulls_first(), F.col("q").isNull(), "q.rn").rowsBetween(Window.unboundedPreceding, 0)
+    every = F.collect_list(F.when(F.col("all"), F.col("q"))).over(order)
+    last = F.last(F.when(~F.col("all"), F.col("q")), ignorenulls=True).over(order)
+    rows = rows.select("session", F.col("l.lane").alias("lane"), "r", F.concat(every, F.array_compact(F.array(last))).alias("qs")).filter("r IS NOT NULL")
+    rows = rows.select("session", "lane", "r", F.explode("qs").alias("q"))
+    t, frame = F.col("r.t"), F.col("r.frame_s")
+    in_frames = (frame >= F.col("q.query_s") - EARLY_S) & (F.col("q.next_s").isNull() | (frame < F.col("q.next_s") - EARLY_S))
+    in_time = (t >= F.col("q.turn")) & (F.col("q.next_turn").isNull() | (t < F.col("q.next_turn")))
+    undecided = F.col("r.event_id").isNull() | F.col("q.event_id").isNull()
+    good = (
+        F.when(F.col("lane") == "event", F.lit(True))
+        .when(F.col("lane").isin("hash", "prompt"), undecided)
+        .when(F.col("lane") == "frame", undecided & in_frames)
+        .otherwise(undecided & (frame.isNull() | F.col("q.query_s").isNull()) & in_time)
     )
-    return r.join(q, (F.col("session") == F.col("q_session")) & rule).select("session", "rn", "t")
+    return rows.filter(good).select("session", F.col("q.rn").alias("rn"), F.col("r.t").alias("t"))
 
 
 def flags(responses: DataFrame, rounds: DataFrame) -> DataFrame:
     """Responses inside each round with what they are: substantive, deferred, echo, and whether they complete the query."""
-    q = rounds.select("session", "rn", "turn", "next_turn", F.col("text").alias("query"))
-    r = responses.select(F.col("session").alias("r_session"), F.col("turn").alias("t"), "text")
-    inside = (F.col("session") == F.col("r_session")) & (F.col("t") >= F.col("turn")) & (F.col("next_turn").isNull() | (F.col("t") < F.col("next_turn")))
-    rows = q.join(r, inside, "left").drop("r_session")
+    rows = inside_rounds(responses, rounds)
     # One row out of a generator: each is computed once and not again in every column that reads it.
     kind = F.when(F.col("t").isNotNull(), classify_response(F.col("text")))
     rows = rows.select("*", F.explode(F.array(kind)).alias("kind")).withColumn("substantive", F.coalesce(F.col("kind") == "substantive_response", F.lit(False)))
