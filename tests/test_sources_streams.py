@@ -129,6 +129,29 @@ def test_streams_end_with_the_batch_result(spark, tmp_path, name):
         assert pairs(sessions.merged_outages(got), "session", "start_s", "end_s") == pairs(sessions.outages(batch), "session", "start_s", "end_s")
 
 
+def asked_and_said(df):
+    """Every ninth event is a timed query, the others are responses with some evidence."""
+    k, said = F.col("seq"), F.col("seq") % 9 > 0
+    text = F.concat(F.lit("What  is "), (k % 4).cast("string"))
+    when = lambda c, v: F.when(c, v)
+    r = df.filter(said | (F.col("session") == END)).select("session", "seq", "ts", F.col("seq").alias("t"), when(k % 5 == 0, F.concat(F.lit("e"), (k % 40).cast("string"))).alias("event_id"), when(k % 7 == 1, F.sha2(F.concat(F.lit("What  is "), (k % 3).cast("string")), 256)).alias("query_sha256"), when(k % 7 == 2, F.concat(F.lit("what is"), (k % 5).cast("string"))).alias("prompt"), when(k % 7 > 4, k * 2.0 - 30).alias("frame_s"))
+    q = df.filter(~said).select("session", "seq", "ts", F.floor(F.col("seq") / 9).cast("long").alias("rn"), F.col("seq").alias("turn"), when(k % 2 == 0, F.concat(F.lit("e"), (k % 40).cast("string"))).alias("event_id"), F.regexp_replace(F.regexp_replace(text, "W", "w"), "(\\d)$", " $1").alias("text"), (k * 2.0).alias("query_s"))
+    return r, q
+
+
+def test_attribution_streams_end_with_the_batch_result(spark, tmp_path):
+    batch = rows(spark)
+    stream = stream_of(spark, batch, str(tmp_path / "in"))
+    r, q = asked_and_said(batch)
+    got = finished(spark, sessions.attribute_stream(*asked_and_said(stream)), "s_attributed", tmp_path)
+    want = responses.attribute_responses(r, q)
+    assert pairs(got, "session", "rn", "t") == pairs(want, "session", "rn", "t") and got.count() > 500
+    work = lambda df: df.filter("seq % 6 = 0 OR session = -1").select("session", "seq", "ts", F.col("seq").alias("task"), F.concat(F.lit("what is "), (F.col("seq") % 4).cast("string")).alias("question"), F.when(F.col("seq") % 4 > 0, F.col("seq") - 50).alias("started_t"))
+    got = finished(spark, sessions.match_background_stream(work(stream), asked_and_said(stream)[1]), "s_background_of", tmp_path)
+    want = responses.match_background(work(batch), q)
+    assert pairs(got, "session", "task", "rn") == pairs(want, "session", "task", "rn") and got.count() > 100
+
+
 def test_declarative_streams(spark, tmp_path):
     batch = rows(spark)
     stream = stream_of(spark, batch, str(tmp_path / "in"))

@@ -7,6 +7,7 @@ allows are on the side table of `ordered.divide_late`, not in a result.
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.intervals import by_request, merge_intervals, segment_step, stall_step
+from ..operators.responses import EARLY_S, normalized_question
 from .ordered import ordered_fold
 
 LATENESS, IDLE = "1 hour", "1 day"
@@ -305,3 +307,81 @@ def segments_stream(stream: DataFrame, seconds: float, lateness: str = LATENESS,
 
     state = "starts array<double>, ends array<double>, at double, request long, held_starts array<double>, held_ends array<double>"
     return ordered_fold(stream, ["session"], ["seq", "request", "start_s", "end_s"], step, SEGMENT, state, (None,) * 6, lateness, idle, finish)
+
+
+ATTRIBUTED = "session long, rn long, t long"
+_SAID, _ASKED = ("t", "event_id", "sha", "question", "at"), ("rn", "turn", "event_id", "sha", "question", "at")
+
+
+def _listed(kept: str | None) -> list[tuple]:
+    """Rows that a state keeps as JSON."""
+    return [tuple(x) for x in json.loads(kept or "[]")]
+
+
+def belongs(said: tuple, asked: tuple, following: tuple | None) -> bool:
+    """Whether a response (time, event id, hash, prompt, frame time) is to a round (number, time, event id, hash, question, frame time), given the round after it."""
+    t, event_id, sha, prompt, frame_s = said
+    _, turn, q_event, q_sha, question, query_s = asked
+    next_turn, next_s = (following[1], following[5]) if following else (None, None)
+    if event_id is not None and q_event is not None:
+        return event_id == q_event
+    if sha is not None:
+        return sha == q_sha
+    if prompt is not None:
+        return prompt == question
+    if frame_s is not None and query_s is not None:
+        return frame_s >= query_s - EARLY_S and (next_s is None or frame_s < next_s - EARLY_S)
+    return t is not None and turn is not None and t >= turn and (next_turn is None or t < next_turn)
+
+
+def attribute_stream(responses: DataFrame, rounds: DataFrame, lateness: str = LATENESS, idle: str = IDLE) -> DataFrame:
+    """`responses.attribute_responses` while sessions run. Both streams carry seq and ts, which order them in a session's log, rounds in the order of rn.
+
+    The rounds and the evidence of the responses are the state, as evidence other than time may name any round of the session. A round is
+    complete when the next one comes or the session ends; a pair is decided when its round is complete and its response is there, so each comes out once."""
+    none = lambda kind: F.lit(None).cast(kind)
+    when = ["session", "seq", "ts"]
+    key = F.nullif(normalized_question(F.col("prompt")), F.lit(""))
+    r = responses.select(*when, none("long").alias("rn"), none("long").alias("turn"), F.col("t").cast("long").alias("t"), "event_id", F.col("query_sha256").alias("sha"), key.alias("question"), F.col("frame_s").cast("double").alias("at"))
+    q = rounds.select(*when, F.col("rn").cast("long").alias("rn"), F.col("turn").cast("long").alias("turn"), none("long").alias("t"), "event_id", F.sha2("text", 256).alias("sha"), normalized_question(F.col("text")).alias("question"), F.col("query_s").cast("double").alias("at"))
+
+    def step(key, state, pdf):
+        (asked, said), out = map(_listed, state), []
+        for row in pdf.to_dict("records"):
+            if row["rn"] is not None:
+                asked.append(tuple(row[c] for c in _ASKED))
+                out += [(key[0], asked[-2][0], x[0]) for x in said if belongs(x, asked[-2], asked[-1])] if len(asked) > 1 else []
+            else:
+                said.append(tuple(row[c] for c in _SAID))
+                out += [(key[0], a[0], said[-1][0]) for a, b in zip(asked, asked[1:]) if belongs(said[-1], a, b)]
+        return (json.dumps(asked), json.dumps(said)), out
+
+    def finish(key, state):
+        asked, said = map(_listed, state)
+        return [(key[0], asked[-1][0], x[0]) for x in said if belongs(x, asked[-1], None)] if asked else []
+
+    return ordered_fold(q.unionByName(r), ["session"], ["seq", "rn", "turn", "t", "event_id", "sha", "question", "at"], step, ATTRIBUTED, "asked string, said string", (None, None), lateness, idle, finish)
+
+
+MATCHED = "session long, task long, rn long"
+
+
+def match_background_stream(tasks: DataFrame, rounds: DataFrame, lateness: str = LATENESS, idle: str = IDLE) -> DataFrame:
+    """`responses.match_background` while sessions run: a pair comes out when the later of its rows has come. tasks: session, seq, ts, task, question, started_t; rounds: session, seq, ts, rn, turn, text."""
+    none = F.lit(None).cast("long")
+    a = tasks.select("session", "seq", "ts", F.col("task").cast("long").alias("task"), none.alias("rn"), F.col("started_t").cast("double").alias("at"), normalized_question(F.col("question")).alias("question"))
+    b = rounds.select("session", "seq", "ts", none.alias("task"), F.col("rn").cast("long").alias("rn"), F.col("turn").cast("double").alias("at"), normalized_question(F.col("text")).alias("question"))
+
+    def step(key, state, pdf):
+        (started, asked), out = map(_listed, state), []
+        for row in pdf.to_dict("records"):
+            mine = (row["rn"] if row["task"] is None else row["task"], row["at"], row["question"])
+            others = started if row["task"] is None else asked
+            for other in others:
+                task, query = (other, mine) if row["task"] is None else (mine, other)
+                if task[2] == query[2] and (task[1] is None or query[1] is not None and task[1] >= query[1]):
+                    out.append((key[0], task[0], query[0]))
+            (asked if row["task"] is None else started).append(mine)
+        return (json.dumps(started), json.dumps(asked)), out
+
+    return ordered_fold(a.unionByName(b), ["session"], ["seq", "task", "rn", "at", "question"], step, MATCHED, "started string, asked string", (None, None), lateness, idle)
