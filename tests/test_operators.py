@@ -109,6 +109,45 @@ def test_reachable_follows_chains_to_their_end(spark):
     assert {r.node: r.depth for r in got} == {i: min(i, {79: 0, 80: 1}.get(i, 99), 2 + i - 3 if i >= 3 else 99) for i in range(81)}
 
 
+def test_reachable_is_breadth_first_search(spark):
+    import random
+
+    rng = random.Random(5)
+    for n, m in ((40, 40), (60, 90), (60, 45)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(100 + i, 101 + i) for i in range(9)] + [(7, 100), (300, 300), (310, 311), (311, 310), (None, 1), (2, None)]
+        roots = [rng.randrange(n), rng.randrange(n), 104, 300, 310, 999, None]
+        want, front = {x: 0 for x in roots if x is not None}, [x for x in roots if x is not None]
+        while front:
+            x = front.pop(0)
+            for a, b in edges:
+                if a == x and b is not None and b not in want:
+                    want[b] = want[x] + 1
+                    front.append(b)
+        got = audits.reachable(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(x,) for x in roots], "node long")).collect()
+        assert {r.node: r.depth for r in got} == want and len(got) == len(want)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(audits, "cut", lambda df, cut=audits.cut: rounds.append(1) or cut(df))
+    got = audits.reachable(spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), spark.createDataFrame([(0,), (5000,)], "node long"))
+    assert got.agg(F.count("*"), F.max("depth"), F.sum("depth")).first()[:] == (10_001, 5000, sum(range(5000)) + sum(range(5001)))
+    assert len(rounds) < 25  # tables in all, of which 14 double the pointers
+
+
+def test_markers_of_a_table_are_found_wherever_they_stand(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    texts = [(i, "".join(rng.choice("aab \né漢.") for _ in range(rng.randrange(60))) + " the end") for i in range(150)] + [(900, None), (901, ""), (902, "\U0001f600 x")]
+    markers = [(k, "".join(rng.choice("aab \né漢.") for _ in range(rng.randrange(1, 5)))) for k in range(120)] + [(500, ""), (501, " "), (502, "a"), (503, None), (504, "the end"), (505, "the end"), (506, "\U0001f600"), (507, "\n")]
+    want = sorted((i, k) for i, t in texts for k, m in markers if t is not None and m is not None and m in t)
+    for chars in (audits.MARKER_CHARS, 40):  # one automaton, and many
+        monkeypatch.setattr(audits, "MARKER_CHARS", chars)
+        got = audits.marker_join(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(markers, "marker_id long, text string"))
+        assert sorted((r.id, r.marker_id) for r in got.collect()) == want
+
+
 def test_fileset_hash_does_not_depend_on_order(spark):
     rows = [("g", f"p{i}", f"h{i}") for i in range(600)]
     make = lambda r: audits.fileset_hash(spark.createDataFrame(r, "g string, path string, sha256 string"), ["g"]).first()

@@ -6,14 +6,15 @@ Findings are long rows. Scans run every marker in one pass over the texts; sets
 from __future__ import annotations
 
 import re
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cluster import cut
 
-_GRAM = 8
-
 
 def verify_artifacts(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     """path, reason: missing files, and files whose size or hash has changed. Both: path, bytes, sha256."""
@@ -35,26 +36,60 @@ def marker_scan(texts: DataFrame, markers: list[str]) -> DataFrame:
     return texts.select("id", F.array_sort(hits).alias("markers")).filter(F.size("markers") > 0)
 
 
+#: Characters of the markers of one automaton, about a hundred bytes of memory each.
+MARKER_CHARS = 2_000_000
+_automata: dict[str, tuple] = {}
+
+
+def _automaton(token: str, markers: list[str]):
+    """The automaton of longer markers and the set of those of one character, built once in a worker; it keeps the last one only."""
+    if token not in _automata:
+        import ahocorasick
+
+        _automata.clear()
+        found = ahocorasick.Automaton()
+        for k, m in enumerate(markers):
+            if len(m) > 1:
+                found.add_word(m, k)
+        found.make_automaton()
+        _automata[token] = found if len(found) else None, {m: k for k, m in enumerate(markers) if len(m) == 1}
+    return _automata[token]
+
+
 def marker_join(texts: DataFrame, markers: DataFrame) -> DataFrame:
-    """(id, marker) pairs for a table of markers, too many to list. markers: marker_id, text. Candidates share the marker's longest inner word: with white space on both sides,
-    it is a word of every text that has the marker, while its first and last may be parts of longer ones. A marker without an inner word shares the first `_GRAM` characters
-    of its longest word, or all if it has fewer, with a word of the text. Only markers of nothing but white space meet every text."""
-    parts = F.split("text", r"\s+")
-    longest = lambda words: F.array_max(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    inner = F.when(F.size(parts) > 2, longest(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))))
-    m = markers.filter("text IS NOT NULL").select("marker_id", F.col("text").alias("marker"), inner.alias("key"), F.substring(longest(parts), 1, _GRAM).alias("gram"))
-    words = texts.select("id", F.explode(F.array_distinct(F.filter(parts, lambda w: w != ""))).alias("key"))
-    pairs = words.join(m.filter("key IS NOT NULL").hint("merge"), "key").select("id", "marker_id", "marker")
-    short = m.filter("key IS NULL")
-    sizes = [r[0] for r in short.select(F.coalesce(F.length("gram"), F.lit(0))).distinct().collect()]
-    if any(sizes):
-        cut_up = lambda c, n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array())
-        grams = F.transform(F.array(F.split("key", "")), lambda c: F.concat(*[cut_up(c, n) for n in sorted(sizes) if n]))[0]  # each word is cut into characters once
-        held = words.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
-        pairs = pairs.unionByName(held.join(short.hint("merge"), "gram").select("id", "marker_id", "marker"))
-    if 0 in sizes:
-        pairs = pairs.unionByName(texts.select("id", "text").join(short.filter("gram IS NULL"), F.col("text").contains(F.col("marker"))).select("id", "marker_id", "marker"))
-    return pairs.distinct().join(texts.hint("merge"), "id").filter(F.col("text").contains(F.col("marker"))).select("id", "marker_id")
+    """(id, marker_id) of every marker of a table that a text contains, whatever stands around it. texts: id, text; markers: marker_id, text. Null texts and markers have none; an
+    empty marker is in every text.
+
+    Distinct markers become automata of bounded size, broadcast one by one; each passes over the texts where they are, all its markers at once. Only the numbers of found markers are
+    joined with their ids, so markers that many texts hold are no hot key of the scan."""
+    spark = texts.sparkSession
+    named = cut(markers.filter("text IS NOT NULL").select("marker_id", F.col("text").alias("marker")))
+    distinct = named.filter("marker != ''").select("marker").distinct()
+    parts = -(-(distinct.agg(F.sum(F.length("marker"))).first()[0] or 0) // MARKER_CHARS)
+    dealt = cut(distinct.withColumn("part", F.pmod(F.xxhash64("marker"), F.lit(max(parts, 1)))))
+    scanned = texts.filter("text IS NOT NULL").select("id", "text")
+    schema = T.StructType([scanned.schema["id"], T.StructField("marker", T.StringType())])
+    out = scanned.select("id").join(named.filter("marker = ''").select("marker_id").hint("broadcast"))  # all of these, with every text
+    for k in range(parts):
+        listed = dealt.filter(F.col("part") == k).select("marker").toArrow().column("marker").to_pylist()
+        held, token = spark.sparkContext.broadcast(listed), uuid.uuid4().hex
+
+        def scan(batches, held=held, token=token):
+            found, single = _automaton(token, held.value)
+            for batch in batches:
+                rows, hits = [], []
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    mine = {n for _, n in found.iter(text)} if found else set()
+                    if single:
+                        mine.update(single[c] for c in single.keys() & set(text))
+                    rows += [i] * len(mine)
+                    hits += mine
+                markers = pa.array([held.value[n] for n in hits], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), markers], names=["id", "marker"])
+
+        hits = scanned.mapInArrow(scan, schema)
+        out = out.unionByName(hits.join(named.hint("shuffle_hash"), "marker").select("id", "marker_id"))
+    return out
 
 
 def literal_ids(texts: DataFrame, ids: DataFrame, pattern: str) -> DataFrame:
@@ -159,18 +194,45 @@ def fileset_hash(files: DataFrame, keys: list[str], digits: int = 2) -> DataFram
     return parts.groupBy(*keys).agg(F.sum("n").alias("files"), F.sha2(whole, 256).alias("hash"))
 
 
+def _paths(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """node, tail, hops, succ of links (nodes with one edge out and at most one in): the last link of their path, how far it is, and where that leads. Pointers double in each round; links on a
+    cycle of links have no tail and fall out."""
+    steps = links.join(edges.hint("merge"), F.col("node") == F.col("a")).select("node", F.col("b").alias("succ"))
+    inner = steps.join(links.select(F.col("node").alias("succ"), F.lit(True).alias("on")).hint("merge"), "succ", "left")
+    rows = cut(inner.select("node", F.when(F.col("on"), F.col("succ")).otherwise(F.col("node")).alias("tail"), F.when(F.col("on"), 1).otherwise(0).cast("long").alias("hops"), F.col("on").isNull().alias("done")))
+    before, left = None, rows.filter("NOT done").count()
+    while left and left != before:  # on paths some links arrive in every round, on cycles none
+        ahead = rows.select(F.col("node").alias("tail"), F.col("tail").alias("far"), F.col("hops").alias("more"), F.col("done").alias("over"))
+        jumped = rows.filter("NOT done").join(ahead.hint("merge"), "tail").select("node", F.col("far").alias("tail"), (F.col("hops") + F.col("more")).alias("hops"), F.col("over").alias("done"))
+        rows = cut(rows.filter("done").unionByName(jumped))
+        before, left = left, rows.filter("NOT done").count()
+    return rows.filter("done").join(steps.select(F.col("node").alias("tail"), "succ").hint("merge"), "tail").select("node", "tail", "hops", "succ")
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes that roots reach over edges, with the least depth. edges: a, b; roots: node. Each round keeps only nodes not seen before, and the last one finds none;
-    what has been seen becomes one table every ten rounds."""
-    seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
-    front, depth = seen, 0
-    while True:
-        depth += 1
-        new = cut(front.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            return seen
-        seen, front = seen.unionByName(new), new
-        seen = cut(seen) if depth % 10 == 0 else seen
+    """Nodes that roots reach over edges, with the least depth. edges: a, b; roots: node. A null is no node.
+
+    Paths without branches are one step: their links know the end after as many rounds as the logarithm of the longest path. Then the shortened graph is searched, one round for each branch
+    on the way; a node goes on only when its depth has become less. At last depths are filled in along the paths that have been entered."""
+    edges = cut(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct())
+    degree = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    links = degree.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).filter("out = 1 AND into <= 1").select("node")
+    paths = cut(_paths(edges, cut(links)))
+    jumps = paths.select("node", F.col("succ").alias("to"), (F.col("hops") + 1).alias("far"))
+    others = edges.join(paths.select(F.col("node").alias("a")).hint("merge"), "a", "left_anti").select(F.col("a").alias("node"), F.col("b").alias("to"), F.lit(1).cast("long").alias("far"))
+    steps = cut(jumps.unionByName(others))
+    seen = cut(roots.select("node").filter("node IS NOT NULL").distinct().withColumn("depth", F.lit(0).cast("long")))
+    front = seen
+    while not front.isEmpty():
+        reached = front.join(steps.hint("merge"), "node").groupBy(F.col("to").alias("node")).agg(F.min(F.col("depth") + F.col("far")).alias("new"))
+        seen = cut(seen.join(reached.hint("merge"), "node", "full_outer").select("node", F.least("depth", "new").alias("depth"), F.coalesce(F.col("new") < F.col("depth"), F.col("depth").isNull()).alias("better")))
+        front, seen = seen.filter("better").select("node", "depth"), seen.select("node", "depth")
+    # A link behind an entry of its path is as deep as the best of them and the way from there; running minima along the path.
+    along = paths.join(seen.hint("merge"), "node", "left")
+    best = F.min(F.col("depth") + F.col("hops")).over(Window.partitionBy("tail").orderBy(F.desc("hops")))
+    filled = along.select("node", (best - F.col("hops")).alias("depth")).filter("depth IS NOT NULL")
+    rest = seen.join(paths.select("node").hint("merge"), "node", "left_anti")
+    return rest.unionByName(filled).select("node", F.col("depth").cast("int").alias("depth"))
 
 
 def preflight_check(frames: DataFrame, actual: DataFrame) -> DataFrame:
