@@ -122,6 +122,21 @@ def test_line_runs_over_partition_borders():
         assert drops == {(1, d, 0) for d in range(12)}, cut
 
 
+def test_lines_of_a_row_that_repeats_are_not_held(spark):
+    import pyarrow as pa
+
+    rows = [(1, "again\nand again\nagain")] * 5000 + [(i, "again\nown %d" % i) for i in range(2, 9)] + [(None, "again")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted({(r.doc_id, r.n_dropped) for r in lines.keep_bitmaps(spark, docs, 1, 9).collect()}, key=repr)
+    assert got == sorted([(1, 2), (None, 1), *[(i, 1) for i in range(2, 9)]], key=repr)
+    assert lines.keep_bitmaps(spark, docs, 1, 10).count() == 0
+    # Many batches of one repeated row: one row waits at the end.
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n_lines", pa.int32()), ("pos", pa.int32())])
+    batch = pa.RecordBatch.from_pylist([dict(h1=5, h2=6, doc_id=None, th=8, n_lines=1, pos=0)] * 1000, schema=schema)
+    out = list(lines.decide(10)(iter([batch] * 50)))
+    assert sum(b.num_rows for b in out) == 2 and {k for b in out for k in b.column("kind").to_pylist()} == {lines.WAIT, lines.EDGE}
+
+
 def test_token_store_round_trip(spark, sf_dir):
     from tokenizers import Tokenizer
 
@@ -260,13 +275,30 @@ def test_ledger_counts_a_blob_once(spark):
 def test_mixing_of_sources_without_words(spark):
     rows = [(i, "a b c" * 3, "s1") for i in range(20)] + [(100 + i, "", None) for i in range(5)] + [(200 + i, " \n", "s0") for i in range(3)] + [(300, "w", "s2"), (301, "", "s2")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = {r.doc_id: r for r in mixing.taken(*mixing.mix(spark, docs)).collect()}
+    out = {r.doc_id: r for r in mixing.taken(*mixing.mix(spark, docs)[:3]).collect()}
     assert len(out) == len(rows) and all((out[i].taken, out[i].copies, out[i].target) == (0, 0, 0.0) for i in (100, 104, 200, 202))
     assert out[300].taken == 3 and out[301].copies <= 3  # a source stops at 3 times its size
     kept = collections.Counter(r.doc_id for r in mixing.stage(spark, docs, "").collect())
     assert kept[100] == kept[200] == 0 and kept[300] == 3 and max(kept.values()) <= 3
 
 
+def test_mixing_of_one_row_that_repeats(spark):
+    """A source of copies of one row comes as near to its target as its largest document allows."""
+    rows = [(1, "w " * 50, "s0", 1.5)] * 1000 + [(2 + i, "a b c " * (i % 9), "s1", 0.1 * i) for i in range(400)] + [(None, None, None, None)] * 3 + [(9000, "x y", None, 2.0)] * 70
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k double").repartition(7)
+    got = mixing.taken(*mixing.mix(spark, docs)[:3]).collect()
+    sums, goal = collections.Counter(), {}
+    assert len(got) == len(rows)
+    for r in got:
+        sums[r.source_size, r.target] += r.taken
+        goal[r.source_size, r.target] = max(goal.get((r.source_size, r.target), 0), r.size)
+    assert all(abs(taken - target) <= goal[size, target] for (size, target), taken in sums.items()) and len(sums) == 3
+    kept = collections.Counter(tuple(r) for r in mixing.stage(spark, docs, "").collect())
+    assert kept[rows[0]] * 50 == sum(r.taken for r in got if r.doc_id == 1) and kept[rows[-1]] * 2 == sum(r.taken for r in got if r.doc_id == 9000)
+    again = mixing.taken(*mixing.mix(spark, docs.repartition(3))[:3]).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
 def test_mixing(spark, sf_dir):
     for d in (sf_dir, SF, "/root/testdata/sf0.01"):
         docs = common.table(spark, d, "documents").collect()

@@ -46,7 +46,7 @@ def test_stages_have_their_effect(spark, tmp_path):
 
 def _mixed(spark, frame, rows):
     """How often each document is taken: whole repeats of its source, and once more below the threshold of its hash that comes nearest to what is left."""
-    hashes = {(r.doc_id, r.text): r.h for r in frame.select("doc_id", "text", mixing.hash_of(0).alias("h")).collect()}
+    hashes = {(r.doc_id, r.text): r.h for r in frame.withColumns({"th": common.text_key(F.col("text")), "k": F.lit(1)}).select("doc_id", "text", mixing.hash_of(0).alias("h")).collect()}
     size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
     sources = collections.defaultdict(list)
     for r in rows:

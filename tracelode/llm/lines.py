@@ -8,7 +8,7 @@ Their counts (two rows a partition at most) are summed afterwards, and only rows
 threshold wait for that sum. Positions of a document become one compressed bitmap, and the document is rebuilt from it.
 
 Defined cases: null text is one empty line; keys shorter than `min_points` are never counted or dropped;
-a null doc_id is a document like others; rows repeating doc_id and text count as one document and get the same result;
+a null doc_id is a document like others; rows repeating doc_id and text count as one document and get the same result (a task takes the lines of such a document once, and equal neighbours fall out of the stream, so they are never held);
 an empty table gives an empty result. doc_id must be a number or the text of one; it is cast to long.
 """
 
@@ -33,13 +33,21 @@ _DECIDED = "kind int, h1 long, h2 long, doc_id long, th long, n_lines int, pos i
 
 _LINES = "h1 long, h2 long, doc_id long, th long, n_lines int, pos int"
 _STRIPPED = common.BLANKS.encode()
+#: Documents that a task remembers, to take the lines of rows that repeat once.
+REMEMBERED = 100_000
 
 
 def line_rows(docs: DataFrame, min_points: int) -> DataFrame:
     """A row for each line whose key is long enough: 128-bit hash of the key, document, number of lines, position."""
 
     def hashed(batches):
+        met = set()
         for batch in batches:
+            keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()))
+            new = [i for i, key in enumerate(keys) if key not in met and not met.add(key)]
+            if len(met) > REMEMBERED:
+                met.clear()
+            batch = batch if len(new) == len(keys) else batch.take(pa.array(new, pa.int64()))
             digests, counts, rows, positions = [], [], [], []
             for k, text in enumerate(batch.column("text")):
                 lines = text.as_py().encode().lower().split(b"\n")  # bytes: only A-Z
@@ -63,7 +71,7 @@ def decide(min_docs: int):
 
     def run(batches):
         names = ["h1", "h2", "doc_id", "th", "n_lines", "pos"]
-        key, docs, last, first, held = None, 0, None, True, []
+        key, docs, last, row, first, held = None, 0, None, None, True, []
 
         def rows(kind, cols, n=0):
             size = len(cols[0])
@@ -82,6 +90,16 @@ def decide(min_docs: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            equal = np.ones(batch.num_rows, bool)  # to the row before
+            for n in names:
+                c = batch.column(n)
+                v, null = c.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(c.is_null())
+                equal &= np.concatenate([[row is not None and row[n] == (None if null[0] else v[0])], (v[1:] == v[:-1]) & (null[1:] == null[:-1])])
+            row = {n: batch.column(n)[batch.num_rows - 1].as_py() for n in names}
+            if equal.any():
+                batch = batch.filter(pa.array(~equal))
+                if not batch.num_rows:
+                    continue
             cols = [batch.column(n) for n in names]
             h1, h2 = (c.to_numpy(zero_copy_only=False) for c in cols[:2])
             null = np.asarray(cols[2].is_null())

@@ -7,7 +7,7 @@ the budget is the only one that is refined, with the next bits of the hash. Noth
 budget keeps what a smaller one took), and only histograms are shuffled, summed before the shuffle.
 
 Defined cases: null text counts 0 words; the null source is a source of its own, last in order; rows that repeat
-doc_id and text share one hash and are taken or left together; documents without words take 0, and a source of nothing else has target 0; windows over all sources run in one task, which suits up to some millions of sources; an empty table gives an empty result.
+doc_id, text and source are numbered, in any order, and the number is part of the hash, so they are taken one by one; documents without words take 0, and a source of nothing else has target 0; windows over all sources run in one task, which suits up to some millions of sources; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from . import common
 
 #: Bits of each histogram level, and levels.
 BITS, LEVELS = 10, 4
+#: Parts in which rows that repeat are numbered.
+SALTS = 64
 #: Joins against the table of sources broadcast it up to so many sources; beyond, it is a sort-merge join.
 BROADCAST_SOURCES = 10_000
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -30,11 +32,38 @@ def words(text) -> F.Column:
 
 
 def hash_of(seed: int) -> F.Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), common.text_key(F.col("text"))), 64 - BITS * LEVELS)
-
-
-def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
-    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), hash_of(seed).alias("h"))
+    """From doc_id, text key `th` and the number `k` of the row among its equals; the first has no number in its hash."""
+    first, more = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("th")), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("th"), F.col("k"))
+    return F.shiftrightunsigned(F.when(F.col("k") == 1, first).otherwise(more), 64 - BITS * LEVELS)
+
+
+def numbered(spark: SparkSession, rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """`rows` (doc_id, th, source and more) with `k`: 1 to n among rows that are equal in these three, in any order.
+
+    repeated: the keys that occur more than once, a written table. Rows of such a key are dealt over SALTS parts, numbered in each, and moved on by what the parts before hold."""
+    if repeated.isEmpty():
+        return rows.withColumn("k", F.lit(1).cast("long"))
+    key = ["doc_id", "th", "source"]
+    keys = repeated.select(F.struct(*key).alias("__key")).hint("merge")
+    on = F.struct(*key).eqNullSafe(F.col("__key"))
+    single = rows.join(keys, on, "left_anti").withColumn("k", F.lit(1).cast("long"))
+    several = rows.join(keys, on, "left_semi").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    several = common.written(spark, several, "mix-repeated")
+    before = Window.partitionBy(*key).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = several.groupBy(*key, "__salt").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select(F.struct(*key, "__salt").alias("__part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*key, "__salt").orderBy(F.lit(0)))
+    several = several.withColumn("__n", inside).join(parts.hint("merge"), F.struct(*key, "__salt").eqNullSafe(F.col("__part")))
+    return single.unionByName(several.withColumn("k", F.col("__n") + F.col("__before")).select(*single.columns))
+
+
+def sized(spark: SparkSession, docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A row for each row of docs: doc_id, source, size, hash; and the keys of rows that repeat."""
+    rows = common.written(spark, docs.select("doc_id", "source", words(F.col("text")).alias("size"), common.text_key(F.col("text")).alias("th")), "mix-rows")
+    key = ["doc_id", "th", "source"]
+    repeated = common.written(spark, rows.groupBy(*key).count().filter("count > 1").select(*key), "mix-repeated-keys")
+    sizes = numbered(spark, rows, repeated).select("doc_id", "source", "size", hash_of(seed).alias("h"))
+    return common.written(spark, sizes, "mix-sizes"), repeated
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = MOST) -> DataFrame:
@@ -77,12 +106,12 @@ def thresholds(spark: SparkSession, sizes: DataFrame, goal: DataFrame, hint: str
     return state.select("source", "source_size", "target", "repeats", F.when(whole, F.lit(0).cast("long")).otherwise(edge).alias("below"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, str]:
-    """Sizes of all rows, the table of sources with thresholds, and the hint for joins with it."""
-    sizes = common.written(spark, sized(docs, seed), "mix-sizes")
+def mix(spark: SparkSession, docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, str, DataFrame]:
+    """Sizes of all rows, the table of sources with thresholds, the hint for joins with it, and the keys of rows that repeat."""
+    sizes, repeated = sized(spark, docs, seed)
     goal = common.written(spark, targets(sizes), "mix-targets")
     hint = "broadcast" if goal.count() <= BROADCAST_SOURCES else "merge"
-    return sizes, thresholds(spark, sizes, goal, hint), hint
+    return sizes, thresholds(spark, sizes, goal, hint), hint, repeated
 
 
 def taken(rows: DataFrame, goal: DataFrame, hint: str) -> DataFrame:
@@ -92,14 +121,15 @@ def taken(rows: DataFrame, goal: DataFrame, hint: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(*mix(spark, common.table(spark, sf_dir, "documents")))
+    return taken(*mix(spark, common.table(spark, sf_dir, "documents"))[:3])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document as often as it is taken, in the columns it came with."""
-    _, goal, hint = mix(spark, docs)
+    _, goal, hint, repeated = mix(spark, docs)
     goal = goal.select(F.struct("source", "repeats", "below").alias("__goal")).hint(hint)
-    h = hash_of(0)
-    rows = docs.join(goal, F.col("source").eqNullSafe(F.col("__goal.source")))
-    times = F.col("__goal.repeats") + (h < F.col("__goal.below")).cast("long")
-    return rows.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    # Columns of the documents may have any name, so they travel in one.
+    rows = docs.select("doc_id", common.text_key(F.col("text")).alias("th"), "source", F.struct(*docs.columns).alias("__row"))
+    rows = numbered(spark, rows, repeated).join(goal, F.col("source").eqNullSafe(F.col("__goal.source")))
+    times = F.col("__goal.repeats") + (hash_of(0) < F.col("__goal.below")).cast("long")
+    return rows.select("__row", times.alias("__times")).filter("__times > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
