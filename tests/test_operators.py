@@ -409,3 +409,25 @@ def test_rounds_and_acknowledgements_in_one_sweep(spark):
     asked = spark.createDataFrame([(1, 1, 5.0, "t"), (1, 2, 5.5, "t"), (1, 3, 7.5, "t"), (1, 4, 1.0, None), (1, 5, 1.0, "u")], "session long, seq long, t_s double, text string")
     # The first in the log, not the first in time.
     assert {x.seq: x.ack_t_s for x in intervals.ack_match(asked, a).collect()} == {1: 7.0, 2: 7.0, 3: None, 4: None, 5: None}
+
+
+def test_a_list_of_windows_with_an_error_is_refused(spark):
+    rows = [(1, 1, "9-3 seconds", 1), (1, 2, None, 1), (1, 3, None, 1), (2, 1, "1-2", 3), (2, 2, "5-4", 3), (2, 3, "- 2", 3), (3, 1, "4-5", 1), (3, 2, None, 1)]
+    got = windows.resolve_windows(spark.createDataFrame(rows, "session int, seq int, window string, listed int"), 2.0, 1).orderBy("session", "seq").collect()
+    assert [(r.start_s, r.end_s, r.error) for r in got] == [(None, None, "reversed")] * 6 + [(4.0, 5.0, None), (6.0, 8.0, None)]
+
+
+def test_recordings_roll_up_with_their_supervisors(spark):
+    checked = spark.createDataFrame([("a", True), ("a", True), ("b", True), ("c", False), ("c", True)], "system string, ok boolean")
+    status = lambda xs, n: {r.system: (r.total, r.ok, r.status) for r in quality.verify_rollup(checked, spark.createDataFrame(xs, "system string, supervisor_status string"), n).collect()}
+    got = status([("a", "complete"), ("b", "running"), ("c", "complete"), ("d", None)], 4)
+    assert got == {"a": (2, 2, "complete"), "b": (1, 1, "incomplete"), "c": (2, 1, "incomplete"), "d": (0, 0, "incomplete"), None: (5, 4, "incomplete")}
+    assert status([("a", "complete"), ("b", "complete")], 2)[None] == (3, 3, "complete") and status([("a", "complete"), ("b", "complete")], 4)[None] == (3, 3, "incomplete")
+
+
+def test_texts_are_cut_and_normalised_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    t = spark.createDataFrame([("t", "R1: a\nR2: b", "R1: 3 R2: 5")], "task_id string, query string, query_time string")
+    assert plan(tasks.query_rounds(t)).count("regexp_extract_all") == 3 and tasks.query_rounds(t).count() == 2
+    said = spark.createDataFrame([("</response> hi",)], "text string")
+    assert plan(said.select(responses.classify_response(F.col("text")))).count("regexp_replace") < 20

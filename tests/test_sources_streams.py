@@ -97,7 +97,7 @@ def pairs(df, *c):
 
 
 def numbers(df):
-    return df.select("session", "seq", "ts", F.col("t_ms").alias("wall_ms"), (F.col("source_position_s") * 900).alias("inbound_ms"), F.when(F.col("seq") % 7 == 0, F.col("t_ms") / 2).alias("query_ms"), (F.col("t_ms") / 1000).alias("t_s"), F.col("source_position_s").alias("media_s"), (F.col("seq") % 50).cast("double").alias("frame"))
+    return df.select("session", "seq", "ts", F.col("t_ms").alias("wall_ms"), (F.col("source_position_s") * 900).alias("inbound_ms"), F.when(F.col("seq") % 7 == 0, F.col("t_ms") / 2).alias("query_ms"), (F.col("t_ms") - F.col("seq") % 9).alias("queued_ms"), (F.col("t_ms") / 1000).alias("t_s"), F.col("source_position_s").alias("media_s"), (F.col("seq") % 50).cast("double").alias("frame"))
 
 
 def chunks(df):
@@ -218,9 +218,12 @@ def test_overlapping_outages_are_one(spark):
 
 
 def test_media_clock_follows_its_anchor(spark):
-    df = spark.createDataFrame([(1, 1, 0.0, 10.0, None), (1, 2, 5.0, 3.0, None), (1, 3, 6.0, 0.0, 4.0), (1, 4, 6.0, None, None), (1, 5, 9.0, 100.0, None), (1, 6, 8.0, None, None)], "session long, seq long, wall_ms double, inbound_ms double, query_ms double")
+    df = spark.createDataFrame([(1, 1, 0.0, 10.0, None, None), (1, 2, 5.0, 3.0, None, None), (1, 3, 6.0, 0.0, 4.0, None), (1, 4, 6.0, None, None, None), (1, 5, 9.0, 100.0, None, None), (1, 6, 8.0, None, None, None), (2, 1, 50.0, 1.0, 7.0, 20.0), (2, 2, 60.0, 2.0, None, None)], "session long, seq long, wall_ms double, inbound_ms double, query_ms double, queued_ms double")
     # An exact query time is the value, even if the clock had gone further; after it the clock moves by 1 ms at least.
-    assert [r.media_ms for r in sessions.media_clock(df).orderBy("seq").collect()] == [10.0, 15.0, 4.0, 5.0, 100.0, 101.0]
+    assert [r.media_ms for r in sessions.media_clock(df.filter("session = 1")).orderBy("seq").collect()] == [10.0, 15.0, 4.0, 5.0, 100.0, 101.0]
+    # A query that was queued at 20 and sent at 50: 40 ms after it was queued the clock is 40 ms on.
+    assert [r.media_ms for r in sessions.media_clock(df.filter("session = 2")).orderBy("seq").collect()] == [7.0, 47.0]
+    assert [r.media_ms for r in sessions.media_clock(df, sessions.INBOUND_TURN).orderBy("session", "seq").collect()] == [10.0, 3.0, 0.0, None, 100.0, None, 1.0, 2.0]
 
 
 def test_rounds_cut_by_chunk_borders(spark):

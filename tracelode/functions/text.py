@@ -34,6 +34,11 @@ def normalised(text: Column) -> Column:
     return trimmed(F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"\r\n?", "\n"))
 
 
+def once(value: Column, f) -> Column:
+    """f(value) with value computed a single time, however often f reads it: the variable of a lambda over one element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def name_key(text: Column) -> Column:
     """A file or label name for matching: normal form, without the page sign, spaces, underscores and dashes, in lower case."""
     return F.lower(F.regexp_replace(nfkc(F.replace(F.coalesce(text, F.lit("")), F.lit("📄"), F.lit(""))), r"(?U)[\s_\-—–]+", ""))

@@ -32,7 +32,7 @@ def query_rules(expected: DataFrame, actual: DataFrame, drift_s: float = 0.5) ->
 def verify_recordings(tasks: DataFrame, systems: DataFrame, recordings: DataFrame, queries: DataFrame, prompt_sha256: str, policy: str = POLICY, semantics: str = SEMANTICS) -> DataFrame:
     """Every task of every system against its recording: the list of broken rules, in order.
 
-    tasks: task_id, queries, last_query_s, duration_s; systems: system, supervisor_prompt, request_id, transport, runner, protocol, query_mode; queries: what `query_rules` gives;
+    tasks: task_id, queries, last_query_s, duration_s; systems: system, request_id, transport, runner, protocol, query_mode; queries: what `query_rules` gives;
     recordings: system, task_id and what supervisor (result_status), summary, validation, contract, audits, outcome, video file, probe and, if tried, full decode (decoded) say; null is unknown."""
     systems = systems.select("system", F.struct(*[c for c in systems.columns if c != "system"]).alias("w"))
     systems = systems.hint("broadcast" if systems.count() <= BROADCAST_SYSTEMS else "shuffle_replicate_nl")
@@ -46,7 +46,7 @@ def verify_recordings(tasks: DataFrame, systems: DataFrame, recordings: DataFram
     shortest = F.coalesce(F.nullif("minimum_s", F.lit(0.0)), F.greatest(F.coalesce("duration_s", F.lit(0.0)), F.greatest(F.lit(0.0), F.coalesce("last_query_s", F.lit(0.0))) + 1))
     there = F.coalesce(c("video_exists"), F.lit(False))
     broken = rules(
-        supervisor_prompt=~c("w.supervisor_prompt").eqNullSafe(F.lit(prompt_sha256)), result=no(c("result_status") == "ok"), no_summary=no("has_summary"), no_validation=no("has_validation"), summary_status=no(c("summary_status") == "ok"),
+        result=no(c("result_status") == "ok"), no_summary=no("has_summary"), no_validation=no("has_validation"), summary_status=no(c("summary_status") == "ok"),
         task_identity=no((c("summary_task") == c("task_id")) & (c("validation_task") == c("task_id"))), model_identity=no(c("backend_ok") & c("identity_ok")), prompt=no(c("prompt_sha256") == prompt_sha256),
         request_id=~c("request_id").eqNullSafe(c("w.request_id")), transport=~c("transport").eqNullSafe(c("w.transport")), scaffold=F.coalesce(c("w.runner") == "joyai_scaffold", F.lit(False)) & no(c("scaffold") == SCAFFOLD),
         protocol=realtime & ~c("protocol").eqNullSafe(c("w.protocol")), query_mode=realtime & ~c("query_mode").eqNullSafe(c("w.query_mode")), realtime_audit=realtime & no("realtime_ok"), frame_audit=~realtime & no("frames_ok"),
@@ -60,10 +60,15 @@ def verify_recordings(tasks: DataFrame, systems: DataFrame, recordings: DataFram
     return rows.select("system", "task_id", broken.alias("errors")).withColumn("ok", F.size("errors") == 0)
 
 
-def verify_rollup(checked: DataFrame) -> DataFrame:
-    """Ok and total by system and over all (system null)."""
-    out = checked.rollup("system").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("ok"))
-    return out.withColumn("status", F.when(F.col("ok") == F.col("total"), "complete").otherwise("incomplete"))
+def verify_rollup(checked: DataFrame, systems: DataFrame, expected: int) -> DataFrame:
+    """Ok and total by system and over all (system null), and the status. A system is complete if its supervisor says so and all its tasks are ok, the campaign if
+    it has as many systems as expected and all are complete. systems: system, supervisor_status (null without a supervisor)."""
+    tasks = checked.groupBy("system").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("ok"))
+    per = systems.select("system", "supervisor_status").join(tasks.hint("merge"), "system", "left").na.fill(0, ["total", "ok"])
+    per = per.withColumn("good", F.col("supervisor_status").eqNullSafe(F.lit("complete")) & (F.col("ok") == F.col("total")))
+    status = lambda good: F.when(good, "complete").otherwise("incomplete").alias("status")
+    out = per.groupingSets([["system"], []], "system").agg(F.sum("total").alias("total"), F.sum("ok").alias("ok"), F.count(F.lit(1)).alias("n"), F.bool_and("good").alias("good"), F.grouping("system").alias("all"))
+    return out.select("system", "total", "ok", status(F.col("good") & ((F.col("all") == 0) | (F.col("n") == expected))))
 
 
 def delivery(rounds: DataFrame, sends: DataFrame) -> DataFrame:

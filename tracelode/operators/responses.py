@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES, nfkc, normalised, trimmed
+from ..functions.text import SPACES, nfkc, normalised, once, trimmed
 from .sweeps import inside_rounds
 
 PREFIX, CLOSER = rf"(?i)^</response>[{SPACES}]*", rf"(?i)</response>[{SPACES}]*\z"
@@ -49,13 +49,19 @@ def classify_response(text: Column, raw: Column | None = None, provider_error: C
     """The class of a response: the first rule that holds. `raw` is the provider's text before any adapter touched it, if known.
 
     Texts are read in normal form. Only a substantive response counts as an answer; of the others only silence keeps the protocol."""
-    t = normalised(text)
-    r = normalised(raw) if raw is not None else F.lit("")
     failed = F.coalesce(provider_error, F.lit(False)) if provider_error is not None else F.lit(False)
+    r = normalised(raw) if raw is not None else F.lit("")
+
+    def with_inner(x):
+        inner = F.when(x["marked"], trimmed(F.regexp_replace(x["t"], PREFIX, ""))).otherwise(x["t"])
+        return once(inner, lambda i: once(F.struct(i.alias("inner"), trimmed(F.regexp_replace(i, CLOSER, "")).alias("content")), lambda y: _classified(x["t"], x["r"], x["marked"], y["inner"], y["content"], failed)))
+
+    # Each form of the text is computed once, not in every rule that reads it.
+    return once(F.struct(normalised(text).alias("t"), r.alias("r")), lambda n: once(F.struct(n["t"].alias("t"), n["r"].alias("r"), n["t"].rlike(PREFIX).alias("marked")), with_inner))
+
+
+def _classified(t: Column, r: Column, marked: Column, inner: Column, content: Column, failed: Column) -> Column:
     upstream = F.when(r != "", r).otherwise(t)
-    marked = t.rlike(PREFIX)
-    inner = F.when(marked, trimmed(F.regexp_replace(t, PREFIX, ""))).otherwise(t)
-    content = trimmed(F.regexp_replace(inner, CLOSER, ""))
     return (
         F.when(failed | t.rlike(ERROR_TEXT), "provider_error")
         .when(t == "", "empty_output")
@@ -84,8 +90,7 @@ def is_deferred(text: Column) -> Column:
             hit = hit | t.contains(marker)
         return hit
 
-    # A lambda over one element: the body is computed once, not in every term.
-    return F.get(F.transform(F.array(F.lower(body(text))), promises), 0)
+    return once(F.lower(body(text)), promises)
 
 
 def normalized_question(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_key
+from ..functions.text import name_key, once
 
 #: Phrases that mean "at the start".
 AT_START = ("视频开始", "开始就发送")
@@ -45,19 +45,21 @@ _PART = "array<struct<label:string,text:string>>"
 
 def split_labels(cell: Column, allow_numbered: bool = False) -> Column:
     """"R1: … R2: …" (or "1. … 2. …") as (label, text) pairs. It takes two labels at least; empty parts fall out."""
-    text = F.coalesce(clean_cell(cell), F.lit(""))
+    none = F.array().cast(_PART)
 
-    def by(pattern):
-        labels = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        bodies = F.split(text, pattern, -1)
-        pairs = F.zip_with(labels, F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))), lambda a, b: F.struct(round_label(a).alias("label"), strip(b).alias("text")))
-        return F.when(F.size(labels) >= 2, F.filter(pairs, lambda p: p["text"] != ""))
+    def paired(cut):
+        bodies = F.slice(cut["bodies"], 2, F.greatest(F.size(cut["bodies"]) - 1, F.lit(0)))
+        pairs = F.zip_with(cut["labels"], bodies, lambda a, b: F.struct(round_label(a).alias("label"), strip(b).alias("text")))
+        return F.when(F.size(cut["labels"]) >= 2, F.filter(pairs, lambda p: p["text"] != "")).otherwise(none)
 
-    none = F.array().cast(_PART)
-    out = by(_LABEL)
-    if allow_numbered:
-        out = F.coalesce(F.when(F.size(by(_LABEL)) > 0, by(_LABEL)), by(_NUMBER))
-    return F.coalesce(out, none)
+    def by(text, pattern):
+        return once(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("labels"), F.split(text, pattern, -1).alias("bodies")), paired)
+
+    def parts(text):
+        labelled = by(text, _LABEL)
+        return once(labelled, lambda x: F.when(F.size(x) > 0, x).otherwise(by(text, _NUMBER))) if allow_numbered else labelled
+
+    return once(F.coalesce(clean_cell(cell), F.lit("")), parts)
 
 
 def query_rounds(tasks: DataFrame, default_s: float = 0.0) -> DataFrame:

@@ -24,15 +24,17 @@ def frame_window(text: Column, frame_s: Column) -> Column:
 
 def resolve_windows(frames: DataFrame, frame_s: float, default_index: int = 0) -> DataFrame:
     """The window of every frame: the one that is listed for it; else, if the list has one entry only, that many frames after its start; else by place from `default_index` on.
+    A list with an entry in error is refused: no frame of its session has a window, and all have the first error.
     `in_order` is false where a frame starts before the one ahead. frames: session, seq, window (text), listed (entries in the session's list)."""
     w = Window.partitionBy("session")
     rows = frames.withColumn("place", F.row_number().over(w.orderBy("seq")) - 1).withColumn("w", frame_window(F.col("window"), F.lit(frame_s)))
+    rows = rows.withColumn("refused", F.min(F.when(F.col("w.error").isNotNull(), F.struct("place", "w.error"))).over(w)["error"])
     rows = rows.withColumn("base", F.max(F.when(F.col("place") == 0, F.col("w.start_s"))).over(w))
     single = (F.col("listed") == 1) & (F.col("place") > 0)
     start = F.coalesce("w.start_s", F.when(single, F.col("base") + F.col("place") * frame_s), (F.col("place") + default_index) * F.lit(frame_s))
-    rows = rows.withColumn("start_s", F.when(F.col("w.error").isNull(), start)).withColumn("end_s", F.coalesce("w.end_s", F.col("start_s") + frame_s))
+    rows = rows.withColumn("start_s", F.when(F.col("refused").isNull(), start)).withColumn("end_s", F.when(F.col("refused").isNull(), F.coalesce("w.end_s", F.col("start_s") + frame_s)))
     rows = rows.withColumn("in_order", F.coalesce(F.col("start_s") >= F.lag("start_s").over(w.orderBy("seq")), F.lit(True)))
-    return rows.withColumn("error", F.col("w.error")).drop("place", "base", "w")
+    return rows.withColumn("error", F.col("refused")).drop("place", "base", "w", "refused")
 
 
 def wall_window(passes: DataFrame, most_s: float, now: Column) -> DataFrame:

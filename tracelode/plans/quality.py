@@ -42,7 +42,7 @@ def _checked(s, d):
     last = _last(s, d)
     recordings = last.select("system", "task_id", *[F.expr(e).alias(n) for n, e in _FIELDS.items()])
     n = _systems(s).select("system", F.substring("system", 2, 1).cast("int").alias("n"))
-    systems = n.select("system", F.when(F.col("n") == 2, "old").otherwise("p").alias("supervisor_prompt"), F.lit("r").alias("request_id"), F.when(F.col("n") == 0, "native-video-realtime").otherwise("frames").alias("transport"), F.when(F.col("n") == 1, "joyai_scaffold").otherwise("plain").alias("runner"), F.lit("v1").alias("protocol"), F.lit("inline").alias("query_mode"))
+    systems = n.select("system", F.lit("r").alias("request_id"), F.when(F.col("n") == 0, "native-video-realtime").otherwise("frames").alias("transport"), F.when(F.col("n") == 1, "joyai_scaffold").otherwise("plain").alias("runner"), F.lit("v1").alias("protocol"), F.lit("inline").alias("query_mode"))
     place = F.col("place")
     expected = _tasks(s, d).select("task_id", F.explode(F.sequence(F.lit(1), F.col("queries").cast("int"))).alias("place")).select("task_id", "place", F.concat(F.lit("R"), place.cast("string")).alias("id"), F.concat(F.lit("q"), place.cast("string")).alias("text"), (place * 5.0).alias("query_s"))
     rows = last.select("*", F.explode(F.sequence(F.lit(1), (F.col("k") % 4 + 1).cast("int"))).alias("place")).filter("place <= k % 4")
@@ -57,7 +57,7 @@ acts AS (SELECT system, task_id, k, unnest(range(1, k % 4 + 1)) AS place FROM la
 qr AS (SELECT system AS q_system, task_id AS q_task, count(*) AS n, bool_or(place <= task_id % 3 + 1 AND (k + place) % 13 = 0) AS q1, bool_or(place <= task_id % 3 + 1 AND (k + place) % 17 = 0) AS q2, bool_or(place <= task_id % 3 + 1 AND ((k + place) % 29 = 0 OR (k + place) % 8 > 5)) AS q3,
  bool_or(place <= task_id % 3 + 1 AND (k + place) % 19 = 0) AS q4, bool_or(place <= task_id % 3 + 1 AND (k + place) % 23 = 0) AS q5 FROM acts GROUP BY 1, 2),
 base AS (SELECT *, CASE WHEN minimum_s > 0 THEN minimum_s ELSE greatest(c_nationkey, c_custkey % 3 * 5.0 + 6) END AS shortest FROM customer CROSS JOIN (SELECT unnest(range(3)) AS n_sys) LEFT JOIN rec ON r_system = 's' || n_sys AND r_task = c_custkey LEFT JOIN qr ON q_system = 's' || n_sys AND q_task = c_custkey),
-checked AS (SELECT 's' || n_sys AS system, c_custkey AS task_id, k, list_filter([CASE WHEN n_sys = 2 THEN 'supervisor_prompt' END, CASE WHEN k IS NULL OR k % 41 = 0 THEN 'result' END, CASE WHEN k IS NULL OR k % 43 = 0 THEN 'no_summary' END, CASE WHEN k IS NULL OR k % 47 = 0 THEN 'no_validation' END,
+checked AS (SELECT 's' || n_sys AS system, c_custkey AS task_id, k, list_filter([CASE WHEN k IS NULL OR k % 41 = 0 THEN 'result' END, CASE WHEN k IS NULL OR k % 43 = 0 THEN 'no_summary' END, CASE WHEN k IS NULL OR k % 47 = 0 THEN 'no_validation' END,
  CASE WHEN k IS NULL OR k % 53 = 0 THEN 'summary_status' END, CASE WHEN k IS NULL OR k % 59 = 0 THEN 'task_identity' END, CASE WHEN k IS NULL OR k % 61 = 0 OR k % 67 = 0 THEN 'model_identity' END, CASE WHEN k IS NULL OR k % 71 = 0 THEN 'prompt' END, CASE WHEN k IS NULL OR k % 73 = 0 THEN 'request_id' END,
  CASE WHEN k IS NULL THEN 'transport' END, CASE WHEN n_sys = 1 AND (k IS NULL OR k % 29 = 0) THEN 'scaffold' END, CASE WHEN n_sys = 0 AND (k IS NULL OR k % 31 = 0) THEN 'protocol' END, CASE WHEN n_sys = 0 AND (k IS NULL OR k % 37 = 0) THEN 'query_mode' END, CASE WHEN n_sys = 0 AND (k IS NULL OR k % 23 = 0) THEN 'realtime_audit' END,
  CASE WHEN n_sys > 0 AND (k IS NULL OR k % 19 = 0) THEN 'frame_audit' END, CASE WHEN k IS NULL OR k % 79 = 0 THEN 'barrier' END, CASE WHEN k IS NULL OR k % 83 = 0 THEN 'model_not_ready' END, CASE WHEN k IS NULL OR k % 89 = 0 THEN 'early_upload' END, CASE WHEN k IS NULL OR k % 97 = 0 THEN 'delivery' END,
@@ -184,7 +184,7 @@ def _cataloged(s, d):
 
 QUERIES = {
     "qa_verify": lambda s, d: _checked(s, d).select("system", "task_id", F.array_join("errors", ",").alias("errors"), "ok"),
-    "qa_verify_rollup": lambda s, d: Q.verify_rollup(_checked(s, d)),
+    "qa_verify_rollup": lambda s, d: Q.verify_rollup(_checked(s, d), _systems(s).select("system", F.when(F.col("system") == "s1", "running").otherwise("complete").alias("supervisor_status")), 3),
     "qa_delivery": lambda s, d: Q.delivery(X.rounds(s, d), _sends(s, d)),
     "qa_barrier": lambda s, d: Q.start_barrier(_barrier(s, d)).select("session", "barrier_ok"),
     "qa_video": lambda s, d: Q.video_quality(*_videos(s, d)).select("session", F.array_join("errors", ",").alias("errors")),
@@ -221,7 +221,7 @@ _EV_O = "(SELECT session, seq, t_s, row_number() OVER (PARTITION BY session ORDE
 _SENDS = ", sends AS (SELECT session, rn, CASE WHEN (session + rn) % 11 = 0 THEN 0 WHEN (session * 3 + rn) % 17 = 0 THEN 2 ELSE 1 END AS n FROM rounds)\n"
 ORACLES = {
     "qa_verify": f"WITH {_SUM} SELECT system, task_id, array_to_string(errors, ',') AS errors, len(errors) = 0 AS ok FROM checked",
-    "qa_verify_rollup": f"WITH {_SUM} SELECT system, count(*) AS total, count(*) FILTER (len(errors) = 0) AS ok, CASE WHEN count(*) FILTER (len(errors) = 0) = count(*) THEN 'complete' ELSE 'incomplete' END AS status FROM checked GROUP BY ROLLUP (system)",
+    "qa_verify_rollup": f"WITH {_SUM} SELECT system, count(*) AS total, count(*) FILTER (len(errors) = 0) AS ok, CASE WHEN count(*) FILTER (len(errors) = 0) = count(*) AND system = 's0' OR count(*) FILTER (len(errors) = 0) = count(*) AND system = 's2' THEN 'complete' ELSE 'incomplete' END AS status FROM checked GROUP BY ROLLUP (system)",
     "qa_delivery": oracle("rounds", _SENDS + "SELECT session, count(*) AS rounds, bool_and(n = 1) AS delivered_once FROM sends GROUP BY 1"),
     "qa_barrier": "SELECT o_orderkey AS session, coalesce(o_orderkey % 5 <= o_orderkey % 7 AND o_orderkey % 7 <= CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 11 + 2 END AND CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 11 + 2 END <= 12 AND o_orderkey % 3 = o_orderkey % 6, false) AS barrier_ok FROM orders",
     "qa_video": """WITH r AS (SELECT l_orderkey AS k, count(*) FILTER (l_linenumber < 6) AS a, count(*) FILTER (l_linenumber < 5) AS e, count(*) FILTER (l_linenumber < 5 AND abs(l_quantity + l_discount * 6 - l_quantity) > 0.5) AS late FROM lineitem GROUP BY 1), v AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 19 <> 0 THEN (o_orderkey % 97) * 0.5 END AS d, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 50 END AS until_s FROM orders)

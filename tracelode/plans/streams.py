@@ -23,7 +23,7 @@ def _outage_events(s, d):
 
 def _frames(s, d):
     e = X.session_events(s, d)
-    return e.select("session", "seq", (F.col("t_s") * 1000).alias("wall_ms"), (F.col("latency_ms") * 10).alias("inbound_ms"), F.when(F.col("kind") == "query", F.col("t_s") * 500).alias("query_ms"))
+    return e.select("session", "seq", (F.col("t_s") * 1000).alias("wall_ms"), (F.col("latency_ms") * 10).alias("inbound_ms"), F.when(F.col("kind") == "query", F.col("t_s") * 500).alias("query_ms"), (F.col("t_s") * 1000 - F.col("event_id") % 40).alias("queued_ms"))
 
 
 def _chunks(s, d):
@@ -68,9 +68,9 @@ f AS (SELECT q.session, q.seq, arg_min(o.latency_ms, o.seq) AS latency_ms, round
 p AS (SELECT c_custkey, c_custkey % 2 = 1 OR c_custkey % 3 = 0 AS explicit FROM customer)
 SELECT c_custkey AS task_id, CASE WHEN explicit THEN 'explicit_query_or_startup_model_latency' ELSE 'visual_event_end_to_end' END AS mode, count(f.seq) AS n, coalesce(round(sum(latency_ms), 3), 0) AS latency_ms, coalesce(round(sum(wall), 3), 0) AS wall_delay_s FROM p LEFT JOIN f ON f.session = c_custkey AND explicit GROUP BY 1, 2"""),
     "sink_index": "SELECT true AS first, false AS again, true AS changed, o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 5 <> 0",
-    "st_media_clock": oracle("events_", """, f AS (SELECT session, seq, t_s * 1000 AS wall, latency_ms * 10 AS inbound, CASE WHEN kind = 'query' THEN t_s * 500 END AS q FROM session_events),
-w AS (SELECT session, seq, coalesce(q, inbound, 0) AS anchor, wall AS origin, coalesce(q, inbound, 0) AS media_ms FROM f WHERE seq = 1 UNION ALL
-SELECT f.session, f.seq, coalesce(f.q, w.anchor), CASE WHEN f.q IS NULL THEN w.origin ELSE f.wall END, CASE WHEN f.q IS NOT NULL THEN f.q ELSE greatest(w.anchor + greatest(0, f.wall - w.origin), coalesce(f.inbound, 0), w.media_ms + 1) END
+    "st_media_clock": oracle("events_", """, f AS (SELECT session, seq, t_s * 1000 AS wall, latency_ms * 10 AS inbound, CASE WHEN kind = 'query' THEN t_s * 500 END AS q, t_s * 1000 - event_id % 40 AS queued FROM session_events),
+w AS (SELECT session, seq, coalesce(q, inbound, 0) AS anchor, CASE WHEN q IS NULL THEN wall ELSE queued END AS origin, coalesce(q, inbound, 0) AS media_ms FROM f WHERE seq = 1 UNION ALL
+SELECT f.session, f.seq, coalesce(f.q, w.anchor), CASE WHEN f.q IS NULL THEN w.origin ELSE f.queued END, CASE WHEN f.q IS NOT NULL THEN f.q ELSE greatest(w.anchor + greatest(0, f.wall - w.origin), coalesce(f.inbound, 0), w.media_ms + 1) END
 FROM w JOIN f ON f.session = w.session AND f.seq = w.seq + 1) SELECT session, seq, media_ms FROM w""").replace("WITH ", "WITH RECURSIVE ", 1),
     "iv_outages": oracle("events_", """, e AS (SELECT session, seq, t_s * 1000 AS t, kind IN ('output', 'stalled') AS late, kind IN ('output', 'stalled', 'disconnect') AS down, kind = 'query' AS progress, CASE WHEN kind <> 'disconnect' THEN latency_ms END AS p,
  CASE kind WHEN 'output' THEN 'local_rtsp_relay_output_stalled' WHEN 'stalled' THEN 'local_rtsp_relay_failed' WHEN 'disconnect' THEN 'capture_stream_disconnected' ELSE 'local_rtsp_relay_resumed' END AS type FROM session_events),

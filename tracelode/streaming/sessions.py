@@ -156,10 +156,11 @@ def _clock(key, state, pdf):
     """Anchor, wall time of the anchor, last value."""
     anchor, origin, last = state
     out = []
-    for seq, wall, inbound, query in pdf[["seq", "wall_ms", "inbound_ms", "query_ms"]].itertuples(index=False):
-        inbound, query = _number(inbound), _number(query)
+    for seq, wall, inbound, query, queued in pdf[["seq", "wall_ms", "inbound_ms", "query_ms", "queued_ms"]].itertuples(index=False):
+        inbound, query, queued = _number(inbound), _number(query), _number(queued)
         if query is not None and query >= 0:
-            anchor, origin, last = query, wall, query
+            # The clock runs from when the query was queued, not from when its frame is sent.
+            anchor, origin, last = query, wall if queued is None else queued, query
         else:
             if anchor is None:
                 anchor, origin = inbound or 0.0, wall
@@ -169,9 +170,16 @@ def _clock(key, state, pdf):
     return (anchor, origin, last), out
 
 
-def media_clock(frames: DataFrame) -> DataFrame:
-    """An anchored clock: a query's exact time is its value and sets the anchor; else it is anchor plus elapsed, at least the inbound time and the last value plus 1 ms.
-    frames: session, seq, wall_ms, inbound_ms, query_ms (null without a query). Each value depends on the one before, so a session is one pass."""
+#: Policies of the clock: anchored at queries, or the inbound time of each turn as it is.
+ANCHORED, INBOUND_TURN = "anchored", "inbound-turn"
+
+
+def media_clock(frames: DataFrame, policy: str = ANCHORED) -> DataFrame:
+    """An anchored clock: a query's exact time is its value and sets the anchor at the time it was queued; else it is anchor plus elapsed, at least the inbound time and the last value plus 1 ms.
+    frames: session, seq, wall_ms, inbound_ms, query_ms and queued_ms (null without a query). Each value depends on the one before, so a session is one pass; with the policy
+    of inbound turns none does."""
+    if policy == INBOUND_TURN:
+        return frames.select("session", "seq", F.col("inbound_ms").cast("double").alias("media_ms"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_clock(key, (None,) * 3, pdf.sort_values("seq"))[1], columns=["session", "seq", "media_ms"])
@@ -180,8 +188,8 @@ def media_clock(frames: DataFrame) -> DataFrame:
 
 
 def media_clock_stream(stream: DataFrame, lateness: str = LATENESS, idle: str = IDLE) -> DataFrame:
-    """The same while sessions run. stream: session, seq, ts, wall_ms, inbound_ms, query_ms."""
-    return ordered_fold(stream, ["session"], ["seq", "wall_ms", "inbound_ms", "query_ms"], _clock, CLOCK, "anchor double, origin double, last double", (None,) * 3, lateness, idle)
+    """The same while sessions run. stream: session, seq, ts, wall_ms, inbound_ms, query_ms, queued_ms."""
+    return ordered_fold(stream, ["session"], ["seq", "wall_ms", "inbound_ms", "query_ms", "queued_ms"], _clock, CLOCK, "anchor double, origin double, last double", (None,) * 3, lateness, idle)
 
 
 #: Control tokens of a model that speaks in rounds, and the forms that its output takes.
