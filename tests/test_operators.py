@@ -431,3 +431,48 @@ def test_texts_are_cut_and_normalised_once(spark):
     assert plan(tasks.query_rounds(t)).count("regexp_extract_all") == 3 and tasks.query_rounds(t).count() == 2
     said = spark.createDataFrame([("</response> hi",)], "text string")
     assert plan(said.select(responses.classify_response(F.col("text")))).count("regexp_replace") < 20
+
+
+def test_medians_of_large_groups_are_exact(spark):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    groups = {
+        "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-3, 9) for _ in range(700)], "same": [4.25] * 501, "even": [float(x) for x in range(600)], "steps": [rng.choice([1.0, 1.0, 2.0, 1e9]) for _ in range(900)],
+        "close": [1 + k * 2**-52 for k in range(400)], None: [rng.gauss(0, 1) for _ in range(333)], "small": [3.0, 1.0, 2.0, 4.0], "none": [],
+    }
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("none", None), ("even", None), ("inf", float("inf"))] + [("inf", float(x)) for x in range(200)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r for r in timeline.numeric_summary(df, ["g"], "x", 50).collect()}
+    want = {r.g: r for r in timeline.numeric_summary(df, ["g"], "x").collect()}
+    assert got.keys() == want.keys() and all(got[g][:4] == want[g][:4] and got[g]["max"] == want[g]["max"] for g in want)
+    sizes = df.filter("g IS NULL OR g NOT IN ('inf', 'small', 'none')").groupBy("g").agg(F.count("x").alias("count"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    exact = {r.g: r.median for r in timeline.selected(df, ["g"], "x", sizes, 50).collect()}
+    assert exact == {g: statistics.median(groups[g]) for g in exact} and len(exact) == 6
+
+
+def test_changed_files_are_found_by_their_branches(spark, tmp_path):
+    rows = [(g, f"p{i}", f"h{i}") for g in ("a", "b") for i in range(400)]
+    make = lambda rs: spark.createDataFrame(rs, "g string, path string, sha256 string")
+    after = [r if r != ("a", "p7", "h7") else ("a", "p7", "other") for r in rows if r != ("b", "p9", "h9")] + [("b", "q", "h"), ("c", "only", "h")]
+    for name, rs in (("one", rows), ("two", after), ("again", rows[::-1])):
+        audits.write_fileset(make(rs), ["g"], str(tmp_path / name))
+    got = audits.changed_files(spark, str(tmp_path / "one"), str(tmp_path / "two"), ["g"])
+    assert sorted(map(tuple, got.collect())) == [("a", "p7", "changed"), ("b", "p9", "gone"), ("b", "q", "new"), ("c", "only", "new")]
+    read = [f for f in got.inputFiles()]
+    assert 0 < len({f.split("branch=")[1].split("/")[0] for f in read if "branch=" in f}) <= 256
+    assert audits.changed_files(spark, str(tmp_path / "one"), str(tmp_path / "again"), ["g"]).count() == 0
+    tree = {(r.g, r.branch): r.files for r in spark.read.parquet(str(tmp_path / "one" / "tree")).collect()}
+    assert tree["a", ""] == 400 and sum(n for (g, b), n in tree.items() if g == "a" and len(b) == 2) == 400
+
+
+def test_crops_move_to_the_nearest_full_frame(spark):
+    import random
+
+    rng = random.Random(2)
+    outs = [(s, i, float(rng.randrange(100))) for s in range(8) for i in range(6)] + [(9, 1, 5.0)]
+    fulls = [(s, rng.randrange(400) / 4) for s in range(8) for _ in range(rng.randrange(1, 9))] + [(50, 1.0), (3, None)]
+    got = {tuple(r) for r in sampling.crop_times(spark.createDataFrame(outs, "session long, seq long, t_s double"), spark.createDataFrame(fulls, "session long, t_s double"), 100).collect()}
+    want = {(s, min((abs(f - c), f) for x, f in fulls if x == s and f is not None)[1]) for s, _, t in outs for c in (t - 0.6, t, t + 0.8) if any(x == s for x, _ in fulls)}
+    assert got == want

@@ -9,7 +9,7 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,6 +194,56 @@ def fileset_hash(files: DataFrame, keys: list[str], digits: int = 2) -> DataFram
     return parts.groupBy(*keys).agg(F.sum("n").alias("files"), F.sha2(whole, 256).alias("hash"))
 
 
+#: Levels of a tree of hashes, of 16 branches each; the last one's branches are folders of the stored files.
+TREE_LEVELS = 2
+
+
+def fileset_tree(files: DataFrame, keys: list[str], levels: int = TREE_LEVELS) -> DataFrame:
+    """keys, branch, files, hash: a hash for every branch of a group's tree of files, of which the empty branch is the whole. A file hangs at the first hex digits of the hash of its path.
+
+    The lowest branches hash their files in order, every other one the hashes of its up to 16 branches, so no task lists more than a branch. files: keys, path, sha256."""
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda f: F.concat_ws("=", f["path"], f["sha256"]))
+    level = files.groupBy(*keys, F.substring(F.sha2("path", 256), 1, levels).alias("branch")).agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(entries, "\n"), 256).alias("hash"))
+    out = level = cut(level)
+    for depth in range(levels - 1, -1, -1):
+        parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("branch", "hash"))), lambda x: F.concat_ws("=", x["branch"], x["hash"])), "\n")
+        level = level.groupBy(*keys, F.substring("branch", 1, depth).alias("upper")).agg(F.sum("files").alias("files"), F.sha2(parts, 256).alias("hash")).withColumnRenamed("upper", "branch")
+        level = level.select(*keys, "branch", "files", "hash")
+        out = out.unionByName(level)
+    return out
+
+
+def write_fileset(files: DataFrame, keys: list[str], path: str, levels: int = TREE_LEVELS) -> None:
+    """The files in a folder for each lowest branch, and their tree beside them."""
+    rows = files.select(*keys, "path", "sha256", F.substring(F.sha2("path", 256), 1, levels).alias("branch"))
+    rows.repartition("branch").write.mode("overwrite").partitionBy("branch").parquet(f"{path}/files")
+    fileset_tree(files, keys, levels).write.mode("overwrite").parquet(f"{path}/tree")
+
+
+def changed_files(spark: SparkSession, before: str, after: str, keys: list[str], levels: int = TREE_LEVELS) -> DataFrame:
+    """keys, path, reason (gone, new, changed) between two filesets that `write_fileset` has written.
+
+    The trees are compared from the top, and only branches below a difference are looked at; of the files only the folders of differing lowest branches are read, a list of at most
+    16 ** levels names."""
+    trees = [spark.read.parquet(f"{p}/tree") for p in (before, after)]
+    differ = None
+    for depth in range(levels + 1):
+        old, new = (t.filter(F.length("branch") == depth).select(F.struct(*keys, "branch").alias("at"), F.col("hash").alias(n)) for t, n in zip(trees, ("old", "new")))
+        if differ is not None:
+            upper = differ.select("up").hint("merge")
+            above = F.struct(*[F.col("at")[k].alias(k) for k in keys], F.substring(F.col("at.branch"), 1, depth - 1).alias("branch"))
+            old, new = (t.join(upper, above.eqNullSafe(F.col("up")), "left_semi") for t in (old, new))
+        both = old.join(new.withColumnRenamed("at", "at2").hint("merge"), F.col("at").eqNullSafe(F.col("at2")), "full_outer")
+        differ = cut(both.filter(~F.col("old").eqNullSafe(F.col("new"))).select(F.coalesce("at", "at2").alias("up")))
+    folders = [r[0] for r in differ.select("up.branch").distinct().collect()]
+    read = lambda p: spark.read.schema(spark.read.parquet(f"{p}/files").schema).parquet(f"{p}/files").filter(F.col("branch").cast("string").isin(*folders))
+    lists = [read(p).select(F.struct(*keys, "path").alias(f"{n}_at"), F.col("sha256").alias(n)) for p, n in ((before, "old"), (after, "new"))]
+    both = lists[0].join(lists[1].hint("merge"), F.col("old_at").eqNullSafe(F.col("new_at")), "full_outer")
+    reason = F.when(F.col("new_at").isNull(), "gone").when(F.col("old_at").isNull(), "new").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
+    at = F.coalesce("old_at", "new_at")
+    return both.select(*[at[k].alias(k) for k in keys], at["path"].alias("path"), reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def _paths(edges: DataFrame, links: DataFrame) -> DataFrame:
     """node, tail, hops, succ of links (nodes with one edge out and at most one in): the last link of their path, how far it is, and where that leads. Pointers double in each round; links on a
     cycle of links have no tail and fall out."""

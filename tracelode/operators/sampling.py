@@ -33,9 +33,12 @@ def crop_times(outputs: DataFrame, full: DataFrame, budget: int) -> DataFrame:
     """Times around outputs, evenly sampled and moved to the nearest full-frame time, each once. Both: session, t_s; outputs also seq."""
     c = outputs.filter("t_s IS NOT NULL").select("session", "seq", F.posexplode(F.array(F.col("t_s") - 0.6, F.col("t_s"), F.col("t_s") + 0.8)).alias("part", "c_s"))
     c = evenly_sample(c, ["session"], ["seq", "part"], budget)
-    f = full.select(F.col("session").alias("f_session"), F.col("t_s").alias("full_s"))
-    near = c.join(f.hint("merge"), F.col("session") == F.col("f_session")).groupBy("session", "seq", "part").agg(F.min(F.struct(F.abs(F.col("full_s") - F.col("c_s")).alias("gap"), "full_s")).alias("n"))
-    return near.select("session", F.col("n.full_s").alias("t_s")).distinct()
+    # The nearest is the last one before or the first one after: two sweeps over the session in order of time, each with what it saw last.
+    rows = c.select("session", F.col("c_s").alias("at"), F.lit(None).cast("double").alias("full_s")).unionByName(full.filter("t_s IS NOT NULL").select("session", F.col("t_s").cast("double").alias("at"), F.col("t_s").cast("double").alias("full_s")))
+    seen = lambda order: F.last("full_s", ignorenulls=True).over(Window.partitionBy("session").orderBy(order, F.col("full_s").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("is_full", F.col("full_s").isNotNull()).withColumn("below", seen(F.asc("at"))).withColumn("above", seen(F.desc("at"))).filter("NOT is_full")
+    gap = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col(x) - F.col("at")).alias("gap"), F.col(x).alias("full_s")))
+    return rows.select("session", F.least(gap("below"), gap("above"))["full_s"].alias("t_s")).filter("t_s IS NOT NULL").distinct()
 
 
 def query_segments(sessions: DataFrame, queries: DataFrame, before: float = 1.0, after: float = 4.0) -> DataFrame:

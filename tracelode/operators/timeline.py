@@ -6,9 +6,13 @@ Event tables carry `session` and `seq`, the order of the log; "first" means firs
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cluster import cut
+
 #: Texts that count as silence once white space is gone and letters are lower.
 SILENCE = ("", "</silence>", "<silence>", "silence", "null", "none")
 
@@ -55,10 +59,58 @@ def intervals_between(outputs: DataFrame, column: str) -> DataFrame:
     return outputs.withColumn("interval_s", gap).filter("interval_s IS NOT NULL")
 
 
-def numeric_summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """count, min, exact median, mean and max to three decimals; groups without a value have none of them."""
+#: Values of a group that one task may sort; bins of a histogram; groups that are broadcast.
+MEDIAN_ROWS, BINS, BROADCAST_GROUPS = 1 << 20, 4096, 10_000
+
+
+def selected(df: DataFrame, keys: list[str], column: str, groups: DataFrame, most: int) -> DataFrame:
+    """keys and the exact median of large groups (keys, count, lo, hi; a table), by histograms that are refined where the wanted rank lies.
+
+    A histogram has BINS bins between the least and the greatest value that are left, so a round gains three or four decimal digits; it is summed before the shuffle, and no task holds more than
+    `most` values of a group. Even counts have two ranks, whose mean is the median."""
+    key = F.struct(*keys)
+    hint = "broadcast" if groups.count() <= BROADCAST_GROUPS else "merge"
+    rows = df.select(key.alias("key"), F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    ranks = F.array_distinct(F.array(F.floor((F.col("count") - 1) / 2), F.floor(F.col("count") / 2)))
+    left = cut(groups.select(key.alias("g"), F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("before"), F.col("count").alias("n"), F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")))
+    inside = lambda t: rows.join(t.hint(hint), F.col("key").eqNullSafe(F.col("g")) & F.col("x").between(F.col("lo"), F.col("hi")))
+    ready = []
+    while True:
+        over = (F.col("lo") == F.col("hi")) | (F.col("n") <= most)
+        ready.append(left.filter(over))
+        left = left.filter(~over)
+        if left.isEmpty():
+            break
+        # Halves first: the difference of two finite numbers need not be finite.
+        place = F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS)
+        bins = inside(left).groupBy("g", "rank", "before", F.least(place, F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("g", "rank").orderBy("bin"))
+        left = cut(bins.withColumn("before", F.col("before") + upto - F.col("n")).filter("before <= rank AND rank < before + n").select("g", "rank", "before", "n", "lo", "hi"))
+    found = reduce(DataFrame.unionByName, ready)
+    single = found.filter("lo = hi").select("g", "rank", F.col("lo").alias("x"))
+    place = F.row_number().over(Window.partitionBy("g", "rank").orderBy("x")) - 1 + F.col("before")
+    sorted_ = inside(found.filter("lo < hi")).withColumn("place", place).filter("place = rank").select("g", "rank", "x")
+    # As the built-in median interpolates.
+    middle = single.unionByName(sorted_).groupBy("g").agg((F.min("x") * 0.5 + F.max("x") * 0.5).alias("median"))
+    return middle.select(*[F.col("g")[k].alias(k) for k in keys], "median")
+
+
+def numeric_summary(df: DataFrame, keys: list[str], column: str, most: int = MEDIAN_ROWS) -> DataFrame:
+    """count, min, exact median, mean and max to three decimals; groups without a value have none of them.
+
+    Groups of more than `most` finite values get their median by `selected`; the others from the built-in one, which keeps a group's distinct values in one task."""
     r = lambda c: F.bround(c, 3)
-    return df.groupBy(*keys).agg(F.count(column).alias("count"), r(F.min(column)).alias("min"), r(F.median(column)).alias("median"), r(F.avg(column)).alias("mean"), r(F.max(column)).alias("max"))
+    plain = (F.count(column).alias("count"), r(F.min(column)).alias("min"), r(F.median(column)).alias("median"), r(F.avg(column)).alias("mean"), r(F.max(column)).alias("max"))
+    sizes = df.groupBy(*keys).agg(F.count(column).alias("count"), F.min(column).alias("lo"), F.max(column).alias("hi"), F.avg(column).alias("avg"))
+    infinite = float("inf")
+    large = cut(sizes.filter((F.col("count") > most) & (F.abs("lo") < infinite) & (F.abs("hi") < infinite)))
+    if large.isEmpty():
+        return df.groupBy(*keys).agg(*plain)
+    mine = large.select(F.struct(*keys).alias("__g")).hint("broadcast" if large.count() <= BROADCAST_GROUPS else "merge")
+    rest = df.join(mine, F.struct(*keys).eqNullSafe(F.col("__g")), "left_anti").groupBy(*keys).agg(*plain)
+    medians = selected(df, keys, column, large, most).select(F.struct(*keys).alias("__g"), "median").hint("merge")
+    done = large.join(medians, F.struct(*keys).eqNullSafe(F.col("__g"))).select(*keys, "count", r("lo").alias("min"), r("median").alias("median"), r("avg").alias("mean"), r("hi").alias("max"))
+    return rest.unionByName(done)
 
 
 def first_output_after_query(queries: DataFrame, outputs: DataFrame) -> DataFrame:
