@@ -168,7 +168,7 @@ def identity_check(predictions: DataFrame, stages: DataFrame, fields: list[str])
     """Fields of a prediction that differ from its stage's identity, one row each."""
     s = stages.select("stage", *[F.col(f).alias(f"want_{f}") for f in fields])
     rules = [F.when(~F.col(f).eqNullSafe(F.col(f"want_{f}")), f) for f in fields]
-    return predictions.join(s, "stage", "left").select("id", "stage", F.explode(F.array_compact(F.array(*rules))).alias("field"))
+    return predictions.join(s.hint("merge"), "stage", "left").select("id", "stage", F.explode(F.array_compact(F.array(*rules))).alias("field"))
 
 
 def map_diff(declared: DataFrame, actual: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def item_scores(scores: DataFrame, *carry: str) -> DataFrame:
 def recheck(reported: DataFrame, computed: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """Findings where a reported score differs from the recomputed one, or only one of both is there."""
     names = ("score", "score_without_d3", "raw_mean")
-    both = reported.select(*ITEM, *[F.col(n).alias(f"reported_{n}") for n in names]).join(computed.select(*ITEM, *names), list(ITEM), "full_outer")
+    both = reported.select(*ITEM, *[F.col(n).alias(f"reported_{n}") for n in names]).join(computed.select(*ITEM, *names).hint("merge"), list(ITEM), "full_outer")
     rows = [F.struct(F.lit(n).alias("field"), F.col(f"reported_{n}").alias("reported"), F.col(n).alias("recomputed")) for n in names]
     out = both.select(*ITEM, F.explode(F.array(*rows)).alias("f")).select(*ITEM, "f.*")
     differs = (F.abs(F.col("reported") - F.col("recomputed")) > tolerance) | (F.col("reported").isNull() != F.col("recomputed").isNull())

@@ -73,7 +73,7 @@ def verify_rollup(checked: DataFrame, systems: DataFrame, expected: int) -> Data
 
 def delivery(rounds: DataFrame, sends: DataFrame) -> DataFrame:
     """Whether each round of a session was delivered exactly once. rounds: session, rn; sends: session, rn."""
-    n = rounds.join(sends.groupBy("session", "rn").agg(F.count(F.lit(1)).alias("times")), ["session", "rn"], "left")
+    n = rounds.join(sends.groupBy("session", "rn").agg(F.count(F.lit(1)).alias("times")).hint("merge"), ["session", "rn"], "left")
     return n.groupBy("session").agg(F.count(F.lit(1)).alias("rounds"), F.bool_and(F.coalesce("times", F.lit(0)) == 1).alias("delivered_once"))
 
 

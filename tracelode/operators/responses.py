@@ -229,7 +229,7 @@ def match_background(tasks: DataFrame, rounds: DataFrame) -> DataFrame:
     """Background tasks of a query: the same question, started no earlier than it or at an unknown time. tasks: session, task, question, started_t."""
     a = tasks.withColumn("key", normalized_question(F.col("question")))
     b = rounds.select(F.col("session").alias("q_session"), "rn", "turn", normalized_question(F.col("text")).alias("q_key"))
-    return a.join(b, (F.col("session") == F.col("q_session")) & (F.col("key") == F.col("q_key")) & (F.col("started_t").isNull() | (F.col("started_t") >= F.col("turn")))).select("session", "task", "rn")
+    return a.join(b.hint("merge"), (F.col("session") == F.col("q_session")) & (F.col("key") == F.col("q_key")) & (F.col("started_t").isNull() | (F.col("started_t") >= F.col("turn")))).select("session", "task", "rn")
 
 
 def final_wait(outcomes: DataFrame, timeout: float) -> DataFrame:
@@ -270,7 +270,7 @@ def frame_drift(expected: DataFrame, firsts: DataFrame, most_s: float = 3.0) ->
 def backend_identity(observed: DataFrame, profiles: DataFrame) -> DataFrame:
     """Whether the backends that a system answered from are among its aliases. observed: system, backend; profiles: system, aliases, checked."""
     seen = observed.groupBy("system").agg(F.collect_set(F.lower("backend")).alias("seen"), F.count(F.when(F.col("backend").isNull(), 1)).alias("without_name"))
-    rows = profiles.join(seen, "system", "left").withColumn("strange", F.array_except(F.coalesce("seen", F.array().cast("array<string>")), F.transform("aliases", F.lower)))
+    rows = profiles.join(seen.hint("merge"), "system", "left").withColumn("strange", F.array_except(F.coalesce("seen", F.array().cast("array<string>")), F.transform("aliases", F.lower)))
     status = F.when(~F.col("checked"), "disabled").when(F.coalesce(F.size("seen"), F.lit(0)) <= 0, "missing").when(F.size("strange") > 0, "mismatch").otherwise("verified")
     return rows.select("system", status.alias("status"), F.coalesce("without_name", F.lit(0)).alias("without_name"))
 

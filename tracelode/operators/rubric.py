@@ -94,7 +94,7 @@ def duration_conflict(tasks: DataFrame) -> DataFrame:
 def applicable_counts(declared: DataFrame, long: DataFrame) -> DataFrame:
     """Declared against actual numbers of applicable items. declared: dim, declared."""
     actual = long.groupBy("dim").agg(F.count_if("applicable").alias("actual"))
-    return declared.join(actual, "dim", "left").select("dim", "declared", F.coalesce("actual", F.lit(0)).alias("actual")).filter("declared IS NOT NULL AND declared != actual")
+    return declared.join(actual.hint("merge"), "dim", "left").select("dim", "declared", F.coalesce("actual", F.lit(0)).alias("actual")).filter("declared IS NOT NULL AND declared != actual")
 
 
 def issues(long: DataFrame) -> DataFrame:

@@ -164,7 +164,7 @@ def task_gate(tasks: DataFrame, expected: int) -> DataFrame:
 def audio_coverage(rounds: DataFrame, entries: DataFrame) -> DataFrame:
     """Query hashes without audio, audio without a query, and audio whose bytes do not fit its samples. entries: query_sha256, sample_count, bytes."""
     q = rounds.select(F.sha2("query", 256).alias("query_sha256")).distinct().withColumn("asked", F.lit(True))
-    both = q.join(entries, "query_sha256", "full_outer")
+    both = q.join(entries.hint("merge"), "query_sha256", "full_outer")
     finding = F.when(F.col("bytes").isNull(), "no_audio").when(F.col("asked").isNull(), "no_query").when(F.col("sample_count") * 4 != F.col("bytes"), "size")
     return both.select("query_sha256", finding.alias("finding")).filter("finding IS NOT NULL")
 

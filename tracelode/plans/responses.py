@@ -73,7 +73,7 @@ def _bg_rounds(s, d):
 def _waits(s, d):
     out = R.query_outcome(_flags(s, d), _bg_rounds(s, d))
     asked = X.rounds(s, d).select("session", "rn", F.col("turn").alias("asked_t"))
-    return R.final_wait(out.join(asked, ["session", "rn"]), 4.0)
+    return R.final_wait(out.join(asked.hint("merge"), ["session", "rn"]), 4.0)
 
 
 def _timed(s, d):
