@@ -209,7 +209,7 @@ QUERIES = {
     "ev_crop_times": lambda s, d: S.crop_times(_outputs(s, d), _ev(s, d).filter("kind = 'query'").select("session", "t_s"), 6),
     "ev_query_segments": lambda s, d: S.query_segments(_recordings(s, d), _ev(s, d).filter("kind = 'query'")).select("session", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s")),
     "ev_plans": lambda s, d: S.temporal_plans(_specs(s, d)),
-    "ev_grid": lambda s, d: S.sample_grid(S.query_segments(_recordings(s, d), _ev(s, d).filter("kind = 'none'")), 2.0, 100),
+    "ev_grid": lambda s, d: S.sample_grid(S.query_segments(_recordings(s, d), _ev(s, d).filter("kind = 'query'")), 2.0, 100),
     "ev_sheets": lambda s, d: S.sheets(_samples(s, d), 4).select("session", "plan", "sheet", "t_s", "tiles"),
     "ev_catalog": lambda s, d: _cataloged(s, d),
     "ev_tail_zoom": lambda s, d: S.tail_zoom(_specs(s, d)),
@@ -264,9 +264,12 @@ UNION ALL SELECT session, 0.0, 35.0 FROM r WHERE session NOT IN (SELECT session
     "ev_plans": f"""WITH {_SPECS}, m AS (SELECT *, CASE WHEN source_s IS NULL THEN recording_s ELSE least(source_s, recording_s) END AS media FROM specs)
 SELECT task_id, 0 AS place, CASE WHEN source_s IS NULL THEN 'left_video' ELSE 'source_video' END AS view, CASE WHEN category = '实时计数' THEN 4.0 WHEN category = '实时翻译' THEN 2.0 WHEN d1 AND media <= 180 THEN 2.0 WHEN d1 THEN 1.0 ELSE 0.5 END::DOUBLE AS fps, CASE WHEN category IN ('实时计数', '实时翻译') OR d1 THEN 240 ELSE 180 END AS max_frames, 12 AS tiles, CASE WHEN category = 'App引导' THEN 8 WHEN category IN ('实时计数', '实时翻译') THEN 14 ELSE 10 END AS max_sheets FROM m WHERE media > 0
 UNION ALL SELECT task_id, CASE WHEN media > 0 THEN 1 ELSE 0 END, 'right_ui', CASE WHEN d5 THEN 4.0 ELSE 2.0 END, 120, 6, 10 FROM m WHERE category IN ('App引导', '智能体委托') OR d5 OR source_s IS NULL""",
-    "ev_grid": f"""WITH r AS (SELECT c_custkey AS session, c_nationkey * 10.0::DOUBLE + 5 AS d FROM customer), g AS (SELECT session, d, 0.0 AS a, CASE WHEN d <= 120 THEN d ELSE 35.0 END AS b FROM r UNION ALL SELECT session, d, d - 45, d FROM r WHERE d > 120),
+    "ev_grid": oracle("events_", f""", r AS (SELECT c_custkey AS session, c_nationkey * 10.0::DOUBLE + 5 AS d FROM customer), q AS (SELECT session, t_s FROM session_events WHERE kind = 'query'),
+o AS (SELECT * FROM r WHERE session NOT IN (SELECT session FROM q)),
+g AS (SELECT session, d, greatest(0.0, t_s - 1) AS a, least(d, t_s + 4) AS b FROM r JOIN q USING (session)
+ UNION ALL SELECT session, d, 0.0, CASE WHEN d <= 120 THEN d ELSE 35.0 END FROM o UNION ALL SELECT session, d, d - 45, d FROM o WHERE d > 120),
 h AS (SELECT *, least(b, greatest(0.0, d - least(0.5, greatest(0.05, d * 0.1)))) AS z FROM g), t AS (SELECT DISTINCT session, round_even(a + i / 2.0::DOUBLE, 3) AS t_s FROM (SELECT session, a, unnest(range(floor((z - a) * 2)::BIGINT + 1)) AS i FROM h WHERE z >= a)),
-e AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t_s) - 1 AS p, count(*) OVER (PARTITION BY session) AS n FROM t) SELECT session, t_s FROM e WHERE {_even('100', 'n', 'p')}""",
+e AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t_s) - 1 AS p, count(*) OVER (PARTITION BY session) AS n FROM t) SELECT session, t_s FROM e WHERE {_even('100', 'n', 'p')}"""),
     "ev_sheets": oracle("events_", f""", s AS (SELECT DISTINCT session, CASE WHEN kind = 'output' THEN 1 ELSE 0 END AS plan, t_s, CASE WHEN kind = 'output' THEN 3 ELSE 2 END AS most FROM session_events WHERE kind IN ('output', 'query')),
 n AS (SELECT *, count(*) OVER (PARTITION BY session, plan) AS n, row_number() OVER (PARTITION BY session, plan ORDER BY t_s) - 1 AS p FROM s), w AS (SELECT session, plan, least(ceil(max(n) / 4.0), max(most)) AS want FROM n GROUP BY 1, 2),
 b AS (SELECT session, plan, greatest(0, least(want, 4 - coalesce(sum(want) OVER (PARTITION BY session ORDER BY plan ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS room FROM w),

@@ -132,6 +132,13 @@ def _summaries(s, d):
     return g.select(F.lit("s1").alias("system"), F.col("conv_id").cast("string").alias("task_id"), F.lit(1).alias("attempt"), turns("user", lambda x: F.struct(x["text"].alias("query"), x["turn"].alias("turn"))).alias("query_events"), turns("assistant", lambda x: F.struct(x["turn"].alias("t"), x["text"].alias("text"))).alias("vlm_responses"))
 
 
+def _unpacked(s, d):
+    """The responses and the queries of all summaries."""
+    parts = files.explode_summaries(_summaries(s, d))
+    rows = lambda kind, name, t, text: parts[name].select("task_id", F.lit(kind).alias("kind"), "seq", F.col(t).alias("t"), F.sha2(text, 256).alias("text"))
+    return rows("assistant", "vlm_responses", "t", "text").unionByName(rows("user", "query_events", "turn", "query"))
+
+
 def _index_sink(s, d):
     """An index written, written again with its rows in another order, written changed, and read back beside what each write did."""
     o, path = X.table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), new_path(s, "index")
@@ -160,14 +167,14 @@ QUERIES |= {
     "src_task_jsonl": _task_lines,
     "src_task_csv": _task_csv,
     "src_result_tree": _result_tree,
-    "src_capture_summary": lambda s, d: files.explode_summaries(_summaries(s, d))["vlm_responses"].select("task_id", "seq", "t", F.sha2("text", 256).alias("text")),
+    "src_capture_summary": lambda s, d: _unpacked(s, d),
     "src_artifacts": _artifact_files,
     "sink_run_summary": _run_summary,
     "st_frame_window": lambda s, d: X.table(s, d, "events").select("event_id", W.frame_window(_window_text(), F.lit(2.0)).alias("w")).select("event_id", "w.*"),
     "st_resolve_windows": lambda s, d: W.resolve_windows(_partial_windows(s, d), 2.0, 5).select("session", "seq", "start_s", "end_s", "in_order"),
     "st_wall_window": lambda s, d: W.wall_window(X.table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("timestamp")).alias("started")), 3600.0, F.lit("1996-06-01 00:30:00").cast("timestamp")).select("o_orderkey", F.round("remaining_s", 3).alias("remaining_s"), "expired"),
     "jd_extract_json": lambda s, d: X.table(s, d, "events").select("event_id", F.get_json_object(J.extract_json(_answer()), "$.k").alias("k")),
-    "jd_stage_input": lambda s, d: J.stage_input(X.grades(s, d).filter("dim = 'D4'").select("system", "task_id", F.col("grade").alias("judgment"), F.col("category").alias("task_spec")), "review_1", {"first": ["task_spec"], "review_1": ["judgment", "task_spec"]}).select("system", "task_id", F.sha2("document", 256).alias("document")),
+    "jd_stage_input": lambda s, d: J.stage_input(X.grades(s, d).select("system", "task_id", F.col("grade").alias("judgment"), F.concat_ws(":", "dim", "category").alias("task_spec")), "review_1", {"first": ["task_spec"], "review_1": ["judgment", "task_spec"]}).select("system", "task_id", F.sha2("document", 256).alias("document")),
     "aud_execution": lambda s, d: A.execution_check(*_executions(s, d), ["input", "prediction", "raw"], ["model", "prompt_sha256"]),
 }
 
@@ -218,9 +225,9 @@ ORACLES |= {
     "src_event_log": oracle("events_", "SELECT session::VARCHAR AS session, count(*) AS n, max(seq) AS last_seq FROM session_events WHERE event_id % 50 <> 0 GROUP BY 1"),
     "src_task_jsonl": oracle("rounds", "SELECT session || '-' || rn AS id, sha256(text) AS query, turn::DOUBLE AS at_s FROM rounds"),
     "src_task_csv": "SELECT conv_id || '-' || turn AS id, sha256('say \"' || text || '\"' || chr(10) || 'end') AS query FROM conversations",
-    "src_capture_summary": "SELECT conv_id::VARCHAR AS task_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, turn AS t, sha256(text) AS text FROM conversations WHERE role = 'assistant'",
+    "src_capture_summary": "SELECT conv_id::VARCHAR AS task_id, role AS kind, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS seq, turn AS t, sha256(text) AS text FROM conversations WHERE role IN ('user', 'assistant')",
     "src_result_tree": oracle("grades", "SELECT dim AS stage, system || '-t' || task_id AS task_id, grade, applicable FROM grades"),
-    "jd_stage_input": oracle("grades", """SELECT system, task_id, sha256('{"judgment":' || coalesce('"' || grade || '"', 'null') || ',"task_spec":"' || category || '"}') AS document FROM grades WHERE dim = 'D4'"""),
+    "jd_stage_input": oracle("grades", """SELECT system, task_id, sha256('{"judgment":' || coalesce('"' || grade || '"', 'null') || ',"task_spec":"' || dim || ':' || category || '"}') AS document FROM grades"""),
     "src_artifacts": "SELECT 65 * count(*) AS bytes, true AS hashed FROM documents",
     "sink_run_summary": "SELECT o_orderkey, o_orderstatus, o_orderstatus AS again FROM orders",
     "st_frame_window": """WITH e AS (SELECT event_id, event_id % 8 AS m, (event_id % 100)::DOUBLE AS a, (event_id % 90)::DOUBLE AS b, (event_id % 77)::DOUBLE AS c FROM events)
