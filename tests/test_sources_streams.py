@@ -1,6 +1,7 @@
 """Sources and sinks on small files, and streams against the batch result of the same rows."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tracelode import plans
 from tracelode.operators import intervals, responses
 from tracelode.plans import fixtures
-from tracelode.sources import files
+from tracelode.sources import files, trees
 from tracelode.streaming import ordered, sessions
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +67,126 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "sum" / "csv"), header=True).columns == ["v", "id"]
 
 
+def parts_of(path):
+    """The data files of an index with the times they were written at."""
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path + "/data") for f in fs if f.startswith("part-")}
+
+
+def test_index_rewrites_changed_parts_only(spark, tmp_path):
+    df = spark.range(200).select("id", F.when(F.col("id") % 3 != 0, F.col("id").cast("string")).alias("v"))
+    df = df.unionByName(df.filter("id < 5")).unionByName(spark.createDataFrame([(None, None)], "id long, v string"))  # repeated rows and nulls
+    p, schema = str(tmp_path / "index"), df.schema
+    held = lambda: sorted(map(repr, files.read_index(spark, p, schema).collect()))
+    of = lambda x: sorted(map(repr, x.collect()))
+    assert files.write_index(df, p, ["id"], 8) == (list(range(8)), []) and held() == of(df)
+    before = parts_of(p)
+    assert files.write_index(df.orderBy(F.desc("id")), p, ["id"], 8) == ([], []) and parts_of(p) == before
+    one = df.withColumn("v", F.when(F.col("id") == 7, "other").otherwise(F.col("v")))
+    written, gone = files.write_index(one, p, ["id"], 8)
+    after = parts_of(p)
+    assert len(written) == 1 and not gone and held() == of(one)
+    assert {f for f in after if f"index_part={written[0]}/" not in f} == {f for f, t in before.items() if after.get(f) == t}
+    # A row that occurs once less is a change, and a part without rows is not read though its folder stays.
+    assert len(files.write_index(one.dropDuplicates(), p, ["id"], 8)[0]) >= 1 and held() == of(one.dropDuplicates())
+    few = df.filter("id = 7")
+    written, gone = files.write_index(few, p, ["id"], 8)
+    assert len(written) == 1 and len(gone) == 7 and held() == of(few)
+    assert files.write_index(df, p, ["id"], 4)[0] == list(range(4)) and held() == of(df)
+    assert files.write_index(df.limit(0), p, ["id"], 4) == ([], list(range(4))) and held() == []
+    with pytest.raises(ValueError, match="index_part"):
+        files.write_index(df.withColumnRenamed("v", "index_part"), p)
+
+
+def test_index_mends_a_write_that_failed(spark, tmp_path, monkeypatch):
+    df, p = spark.range(100), str(tmp_path / "index")
+    files.write_index(df, p, ["id"], 8)
+    real, calls = files._write_generation, []
+
+    def lost(*a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        real(*a)
+
+    monkeypatch.setattr(files, "_write_generation", lost)
+    with pytest.raises(RuntimeError, match="lost"):
+        files.write_index(df.filter("id != 3"), p, ["id"], 8)  # the data are new, their hashes were not written
+    monkeypatch.setattr(files, "_write_generation", real)
+    written, _ = files.write_index(df, p, ["id"], 8)
+    assert len(written) == 1 and sorted(r.id for r in files.read_index(spark, p, df.schema).collect()) == list(range(100))
+
+
+def tree_of(root, stages, tasks):
+    for stage in stages:
+        for task in tasks:
+            (root / stage / task).mkdir(parents=True)
+            (root / stage / task / "prediction.json").write_text(json.dumps({"ok": task != "t2", "n": int(task[1:])}))
+            (root / stage / task / "_hidden.json").write_text("{}")
+
+
+def test_result_tree_opens_only_the_folders_asked_for(spark, tmp_path):
+    stages, tasks = ["first", "second", "third"], [f"t{k}" for k in range(150)]
+    tree_of(tmp_path, stages, tasks)
+    (tmp_path / "first" / "t0" / "prediction.json").write_text("{broken")
+    (tmp_path / "first" / "t1" / "prediction.json").write_bytes(b"\xff\xfe{")
+    t = trees.result_tree(spark, str(tmp_path), "ok boolean, n long")
+    every = {(r.stage, r.task_id): r.doc for r in t.collect()}
+    assert len(every) == 450 and every["first", "t0"] is None and every["first", "t1"] is None and every["second", "t2"].ok is False and t.rdd.getNumPartitions() == 8
+    old = {(r.stage, r.task_id): r.doc for r in files.read_result_tree(spark, f"{tmp_path}/*/*/prediction.json", "ok boolean, n long").collect()}
+    assert {k: v and (v.ok, v.n) for k, v in old.items()} == {k: v and (v.ok, v.n) for k, v in every.items()}
+    # Folders that are not asked for cannot be read at all.
+    for task in tasks:
+        (tmp_path / "third" / task / "prediction.json").unlink()
+        (tmp_path / "third" / task / "prediction.json").symlink_to(tmp_path / "nowhere")
+    keys = lambda df: sorted((r.stage, r.task_id) for r in df.collect())
+    assert len(keys(t.filter("stage = 'second'"))) == 150
+    assert keys(t.filter("stage IN ('first', 'second', 'none') AND task_id IN ('t5', 't7', '../t1', '')")) == [(s, k) for s in ("first", "second") for k in ("t5", "t7")]
+    assert keys(t.filter("stage = 'first' AND task_id LIKE 't14%' AND doc.n > 145")) == [("first", f"t{k}") for k in range(146, 150)]
+    assert keys(t.filter("stage = 'first' AND stage = 'second'")) == [] and keys(t.filter("stage = 'none'")) == []
+    assert t.filter("stage = 'second' AND task_id = 't9'").rdd.getNumPartitions() == 1
+
+
+def follow(spark, tmp_path, **options):
+    """One run of the query to the end of the logs; all rows that its runs have written."""
+    stream = trees.follow_events(spark, str(tmp_path / "logs"), "session string, seq long", **options)
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sorted((r.session, r.seq) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect())
+
+
+def test_followed_logs_lose_and_repeat_nothing(spark, tmp_path):
+    log = lambda s, n: f'{{"session": "{s}", "seq": {n}}}\n'
+    (tmp_path / "logs" / "sub").mkdir(parents=True)
+    a, b = tmp_path / "logs" / "a.jsonl", tmp_path / "logs" / "sub" / "b.jsonl"
+    a.write_text("".join(log("a", k) for k in range(500)) + "{broken\n\n" + log("a", 500)[:9])
+    assert follow(spark, tmp_path, slice_bytes=100) == [("a", k) for k in range(500)]
+    with a.open("a") as f:  # the line that was being written becomes whole
+        f.write(log("a", 500)[9:] + "".join(log("a", k) for k in range(501, 600)))
+    b.write_text("".join(log("b", k) for k in range(40)) + log("é" * 300, 1))
+    want = [("a", k) for k in range(600)] + [("b", k) for k in range(40)] + [("é" * 300, 1)]
+    assert follow(spark, tmp_path, slice_bytes=100) == want
+    assert follow(spark, tmp_path) == want  # a restart without new lines
+    b.unlink()
+    with a.open("a") as f:
+        f.write(log("a", 600))
+    assert follow(spark, tmp_path) == sorted([*want, ("a", 600)])
+    a.write_text(log("a", 1))
+    with pytest.raises(Exception, match="has become shorter"):
+        follow(spark, tmp_path)
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_slices_of_a_log_hold_each_line_once(tmp_path, size):
+    lines = ["", "a", "é" * 40, "x" * 150, "", "last"]
+    (tmp_path / "l").write_text("\n".join(lines) + "\n" + "unfinished")
+    reader = trees.LogReader(str(tmp_path), size)
+    end = reader.latestOffset()
+    rows = [r for p in reader.partitions({}, end) for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["value"] for r in rows] == lines and [r["at"] for r in rows] == sorted({r["at"] for r in rows})
+    (tmp_path / "empty").write_text("")
+    assert reader.latestOffset() == end and reader.partitions(end, end) == []
+
+
 END = -1  # a session whose one event, far in the future, lets the watermark pass all others
 
 

@@ -9,7 +9,7 @@ from ..operators import audits as A
 from ..operators import judgments as J
 from ..operators import timeline as L
 from ..operators import windows as W
-from ..sources import files
+from ..sources import files, trees
 from ..streaming import sessions as S
 from . import fixtures as X
 from .fixtures import oracle
@@ -103,6 +103,15 @@ def _event_log(s, d):
     return files.read_events(s, path).groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
 
 
+def _followed_log(s, d):
+    """The same log as a stream that follows it, taken up to its end into a table."""
+    _events_text(s, d).write.text(path := new_path(s, "events"))
+    table, state = new_path(s, "followed"), new_path(s, "state")
+    stream = trees.follow_events(s, path, files.EVENT)
+    stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(stream.schema).parquet(table).groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
+
+
 def _task_lines(s, d):
     r = X.rounds(s, d)
     doc = F.to_json(F.struct(F.concat_ws("-", "session", "rn").alias("id"), F.lit("c").alias("category"), F.array(F.struct(F.lit("R1").alias("id"), F.col("text").alias("query"), F.col("turn").cast("double").alias("query_time_s"))).alias("queries")))
@@ -143,7 +152,7 @@ def _index_sink(s, d):
     """An index written, written again with its rows in another order, written changed, and read back beside what each write did."""
     o, path = X.table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), new_path(s, "index")
     done = [files.write_if_changed(x, path) for x in (o, o.repartition("o_custkey"), o.filter("o_orderkey % 5 != 0"))]
-    return s.read.schema(o.schema).json(path).select(*[F.lit(x).alias(n) for n, x in zip(("first", "again", "changed"), done)], "*")
+    return files.read_index(s, path, o.schema).select(*[F.lit(x).alias(n) for n, x in zip(("first", "again", "changed"), done)], "*")
 
 
 def _artifact_files(s, d):
@@ -164,6 +173,7 @@ def _run_summary(s, d):
 
 QUERIES |= {
     "src_event_log": _event_log,
+    "src_event_log_followed": _followed_log,
     "src_task_jsonl": _task_lines,
     "src_task_csv": _task_csv,
     "src_result_tree": _result_tree,
@@ -221,8 +231,10 @@ def _answer():
     return F.when(k % 4 == 0, F.col("props")).when(k % 4 == 1, F.concat(F.lit("Here:\n```json\n"), F.col("props"), F.lit("\n```"))).when(k % 4 == 2, F.concat(F.lit("so "), F.col("props"), F.lit(" done"))).otherwise("nothing")
 
 
+_LOG_COUNTS = oracle("events_", "SELECT session::VARCHAR AS session, count(*) AS n, max(seq) AS last_seq FROM session_events WHERE event_id % 50 <> 0 GROUP BY 1")
 ORACLES |= {
-    "src_event_log": oracle("events_", "SELECT session::VARCHAR AS session, count(*) AS n, max(seq) AS last_seq FROM session_events WHERE event_id % 50 <> 0 GROUP BY 1"),
+    "src_event_log_followed": _LOG_COUNTS,
+    "src_event_log": _LOG_COUNTS,
     "src_task_jsonl": oracle("rounds", "SELECT session || '-' || rn AS id, sha256(text) AS query, turn::DOUBLE AS at_s FROM rounds"),
     "src_task_csv": "SELECT conv_id || '-' || turn AS id, sha256('say \"' || text || '\"' || chr(10) || 'end') AS query FROM conversations",
     "src_capture_summary": "SELECT conv_id::VARCHAR AS task_id, role AS kind, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS seq, turn AS t, sha256(text) AS text FROM conversations WHERE role IN ('user', 'assistant')",

@@ -116,25 +116,81 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(out, pa.string())], names=["path", "bytes", "sha256"])
 
 
-def content_hash(df: DataFrame) -> str:
-    """A hash of a table that does not depend on the order of its rows: sums of row hashes, one row to the driver."""
-    doc = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(doc).cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit("second"), doc).cast("decimal(38,0)"))).first()
-    return "-".join(map(str, r))
+def content_hash(df: DataFrame, *by: str) -> DataFrame:
+    """A hash of a table, or of each group of its rows, that does not depend on the order of the rows: their number and two sums of row hashes."""
+    doc = F.to_json(F.struct(*sorted(c for c in df.columns if c not in by)), {"ignoreNullFields": "false"})
+    total = lambda *seed: F.sum(F.xxhash64(*seed, doc).cast("decimal(38,0)")).cast("string")
+    return df.groupBy(*by).agg(F.concat_ws("-", F.count(F.lit(1)), total(), total(F.lit("second"))).alias("hash"))
 
 
-def write_if_changed(df: DataFrame, path: str) -> bool:
-    """Writes JSON lines unless the same rows are there already; says whether it wrote."""
+#: Parts of an index that is written by changed parts.
+PARTS = 64
+_PART, _HASHES = "index_part", "index_part long, parts long, hash string"
+
+
+def _generations(spark: SparkSession, path: str) -> tuple[int, dict[int, tuple]]:
+    """The newest generation of an index's part hashes and what it holds, at most `parts` rows; 0 and nothing if there is none."""
     from pyspark.errors import AnalysisException
 
     try:
-        if content_hash(df.sparkSession.read.schema(df.schema).json(path)) == content_hash(df):
-            return False
+        rows = spark.read.schema(_HASHES + ", gen long").option("basePath", f"{path}/hashes").parquet(f"{path}/hashes")
+        last = rows.agg(F.max("gen")).first()[0]
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    df.write.mode("overwrite").json(path)
-    return True
+        return 0, {}
+    held = rows.filter((F.col("gen") == F.lit(last)) & (F.col(_PART) >= 0)).collect()
+    return last or 0, {r[_PART]: (r.parts, r.hash) for r in held}
+
+
+def _write_generation(spark: SparkSession, path: str, gen: int, held: dict[int, tuple]) -> None:
+    """One file, so a generation is there whole or not at all; the row of part -1 makes one without parts a file too."""
+    rows = [(-1, 0, "")] + [(p, *h) for p, h in sorted(held.items())]
+    spark.createDataFrame(rows, _HASHES).coalesce(1).write.mode("overwrite").parquet(f"{path}/hashes/gen={gen}")
+
+
+def write_index(df: DataFrame, path: str, keys: list[str] | None = None, parts: int = PARTS) -> tuple[list[int], list[int]]:
+    """Writes JSON lines in `parts` parts by hash of `keys` (all columns, if not given), but only the parts whose rows have changed. Gives the parts written and the parts that have no rows any more.
+
+    Part hashes lie beside the data, so the old rows are not read, and if nothing has changed nothing is written. Before data change, a generation of hashes
+    without the changed parts is written; after that, one with all. A writer that fails in between leaves no hash that does not belong to its part, and the next write
+    mends it. Parts without rows stay as folders that `read_index` passes over. Null keys have a part; repeated rows count as often as they occur; one writer at a time.
+    """
+    spark = df.sparkSession
+    if _PART in df.columns:
+        raise ValueError(f"{_PART} is the name of the part's own column")
+    placed_rows = df.withColumn(_PART, F.pmod(F.xxhash64(*(keys or sorted(df.columns))), F.lit(parts)))
+    gen, old = _generations(spark, path)
+    new = {r[_PART]: (parts, r.hash) for r in content_hash(placed_rows, _PART).collect()}
+    changed, gone = sorted(p for p, h in new.items() if old.get(p) != h), sorted(set(old) - set(new))
+    if not changed and not gone and gen:
+        return [], []
+    kept = {p: h for p, h in old.items() if new.get(p) == h}
+    if changed and old:
+        _write_generation(spark, path, gen := gen + 1, kept)
+    if changed:
+        # Spark splits a part that holds very many rows over several files.
+        rows = placed_rows.filter(F.col(_PART).isin(changed)).hint("rebalance", _PART)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_PART).json(f"{path}/data")
+    _write_generation(spark, path, gen + 1, new)
+    return changed, gone
+
+
+def read_index(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of an index that `write_index` wrote; folders of parts that have no rows now are not read."""
+    from pyspark.sql.types import StructType
+
+    live = list(_generations(spark, path)[1])
+    schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    if not live:
+        return spark.createDataFrame([], schema)
+    names = schema.names
+    return spark.read.schema(StructType([*schema.fields]).add(_PART, "long")).json(f"{path}/data").filter(F.col(_PART).isin(live)).select(*names)
+
+
+def write_if_changed(df: DataFrame, path: str) -> bool:
+    """Writes an index unless the same rows are there already; says whether it wrote."""
+    return any(write_index(df, path))
 
 
 def write_run_summary(df: DataFrame, path: str, columns: list[str]) -> None:
