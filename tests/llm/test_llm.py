@@ -209,7 +209,8 @@ def _top(vs, k=10):
 def test_topk_with_ties(spark, sf_dir, monkeypatch):
     vs = [(r.vec_id, r.embedding) for r in common.table(spark, sf_dir, "embeddings").collect()]
     want = _top(vs)
-    for rows, qs in ((8192, 1024), (16, 2)):
+    for rows, qs, size in ((8192, 1024, 1 << 24), (16, 1, 1 << 9)):
+        monkeypatch.setattr(vectors, "BLOCK_BYTES", size)  # the second takes several scans
         monkeypatch.setattr(vectors, "BLOCK_ROWS", rows)
         monkeypatch.setattr(vectors, "BLOCK_QUERIES", qs)
         assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in run(spark, "op5_topk_search", sf_dir)} == want

@@ -2,9 +2,9 @@
 
 Components become integers floor(1024 x). Equal vectors are one class that remembers its k + 1 smallest distinct ids and how often each
 occurs, as no answer can need more of it. The approximation file holds one byte per component of each class: its cell between the component's least and greatest value in the table.
-A cell gives an upper and a lower bound of the inner product. Queries meet the cells in blocks of bounded size (block of queries, block of classes):
-a block pair keeps, of each query, the classes whose upper bound reaches the k-th best lower bound seen there. Over all blocks the k-th best lower bound is
-raised, and what cannot reach it falls out. Exact vectors are then read in bound order, in two steps: the first k candidates of
+A cell gives an upper and a lower bound of the inner product. The file is scanned where it lies, once for every block of queries, which is a broadcast variable of
+bounded bytes; cells are never shuffled. A task keeps, of each query, the k best lower bounds it has seen so far and gives out the classes whose upper bound reaches the least of them.
+Over all tasks the k-th best lower bound is raised, and what cannot reach it falls out. Exact vectors are then read in bound order, in two steps: the first k candidates of
 each query give its k-th exact score, and of the others only those whose bound reaches that score are read. Nothing is approximate in the result.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components take no part, neither as query nor as candidate; vectors meet only vectors
@@ -20,12 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.cluster import new_path
 from . import common
 
 K, EVERY = 10, 100
 CELLS = 256
-#: Classes and queries of one block pair.
+#: Classes and queries that are multiplied at once.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
+#: Bytes of the queries of one scan, which pass through the driver.
+BLOCK_BYTES = 16 << 20
+FOUND = "query_id long, qn int, cls long, low double, high double"
 #: Parts of a query's candidates where they meet what is known of the query.
 SALTS = 16
 
@@ -50,35 +54,64 @@ def _matrix(column: pa.Array, dim: int, kind) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
 
 
-def bounds_udf(k: int, scale):
-    """Candidates of one block pair. Bounds are sums in double precision of integers far below 2^53, widened by one cell step's rounding."""
+def bounds_udf(k: int, scale, asked):
+    """Candidates of one block of queries among the cells of a task. Bounds are sums in double precision of integers far below 2^53, widened by one cell step's rounding. `asked` is a broadcast variable: for each length of vectors ids, numbers and matrix of the queries."""
 
-    def pair(_, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        names = ["query_id", "qn", "cls", "low", "high"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
-        if not queries.num_rows or not rows.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names=names)
-        dim = rows.column("dim")[0].as_py()
+    def pair(rows: pa.RecordBatch, dim: int, first: int, best: np.ndarray) -> pa.RecordBatch:
+        ids, numbers, matrix = (x[first : first + BLOCK_QUERIES] for x in asked.value[dim])
         lo, step = scale.value[dim]
         cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, dim).astype(float)
         cell_lo, cell_hi = lo + cells * step, lo + (cells + 1) * step
-        q = _matrix(queries.column("v").combine_chunks(), dim, float)
+        q = matrix.astype(float)
         up, down = np.maximum(q, 0), np.minimum(q, 0)
         slack = 1e-9 * (np.abs(q) @ np.maximum(np.abs(lo), np.abs(lo + CELLS * step)))[:, None] + 1e-6
         high = up @ cell_hi.T + down @ cell_lo.T + slack
         low = up @ cell_lo.T + down @ cell_hi.T - slack
-        ids, own = rows.column("cls").to_numpy(), queries.column("query_id").to_numpy()
         # A class that holds only the query's own id is no candidate; any other stands for at least one answer, so the bound is of rank k.
         lone = rows.column("lone")
-        barred = (own[:, None] == lone.fill_null(0).to_numpy()) & lone.is_valid().to_numpy()
+        barred = (ids[:, None] == lone.fill_null(0).to_numpy(zero_copy_only=False)) & lone.is_valid().to_numpy(zero_copy_only=False)
         low[barred] = -np.inf
-        best = np.partition(low, -min(k, low.shape[1]), axis=1)[:, -min(k, low.shape[1])]
-        if low.shape[1] < k:
-            best[:] = -np.inf
-        a, b = np.nonzero((high >= best[:, None]) & ~barred)
-        return pa.table([pa.array(own[a]), pa.array(queries.column("qn").to_numpy()[a], pa.int32()), pa.array(ids[b]), pa.array(low[a, b]), pa.array(high[a, b])], names=names)
-
-    return pair
+        best[:] = np.partition(np.hstack([best, low]), -k, axis=1)[:, -k:]
+        a, b = np.nonzero((high >= best.min(axis=1)[:, None]) & ~barred)
+        columns = [pa.array(ids[a]), pa.array(numbers[a], pa.int32()), rows.column("cls").take(pa.array(b)), pa.array(low[a, b]), pa.array(high[a, b])]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "qn", "cls", "low", "high"])
+
+    def scan(batches):
+        best = {dim: np.full((len(ids), k), -np.inf) for dim, (ids, _, _) in asked.value.items()}
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in set(np.unique(dims).tolist()) & set(best):
+                rows = batch.filter(pa.array(dims == dim))
+                for i in range(0, rows.num_rows, BLOCK_ROWS):
+                    for first in range(0, len(best[dim]), BLOCK_QUERIES):
+                        yield pair(rows.slice(i, BLOCK_ROWS), dim, first, best[dim][first : first + BLOCK_QUERIES])
+
+    return scan
+
+
+def query_matrices(block: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The queries of one block, of bounded bytes, by the length of their vectors."""
+    rows = block.select("query_id", "qn", "v", "dim").toArrow()
+    out = {}
+    for dim in pc.unique(rows.column("dim")).to_pylist():
+        some = rows.filter(pc.equal(rows.column("dim"), dim))
+        out[dim] = some.column("query_id").to_numpy(), some.column("qn").to_numpy(), _matrix(some.column("v").combine_chunks(), dim, np.int64)
+    return out
+
+
+def candidates(spark: SparkSession, asked: DataFrame, coded: DataFrame, k: int, scale) -> DataFrame:
+    """Classes that may be among a query's k best, by one scan of the cells for each block of queries."""
+    blocks = max(1, -(-(asked.agg(F.sum("dim")).first()[0] or 0) * 8 // BLOCK_BYTES))
+    path, found = new_path(spark, "vector-query-blocks"), new_path(spark, "vector-candidates")
+    placed = asked.withColumn("qb", F.pmod(F.xxhash64("query_id", "qn"), F.lit(blocks)))
+    placed.repartition(blocks, "qb").write.partitionBy("qb").parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    for b in range(blocks):
+        block = spark.sparkContext.broadcast(query_matrices(placed.filter(F.col("qb") == b)))
+        rows = coded.mapInArrow(bounds_udf(k, scale, block), FOUND)
+        rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).write.mode("append").parquet(found)
+        block.unpersist()
+    return spark.read.schema(FOUND + ", part int").parquet(found)
 
 
 def scales(reps: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -117,22 +150,14 @@ def salted(rows: DataFrame, as_: str) -> DataFrame:
 def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     rows = common.written(spark, integers(vectors), "vectors")
     reps = common.written(spark, classes(rows, k).filter("dim > 0"), "vector-classes")
-    count = max(1, reps.count())
     scale = spark.sparkContext.broadcast(scales(reps))
     coded = common.written(spark, approximated(reps, scale).select("cls", "lone", "dim", "cells"), "vector-cells")
     asked = rows.filter(is_query).dropDuplicates(["vec_id", "v"]).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")).filter("dim > 0")
     # Several vectors under one query_id are told apart by `qn`; each has bounds of its own.
     asked = asked.withColumn("qn", F.row_number().over(Window.partitionBy("query_id").orderBy("v")))
     asked = common.written(spark, asked, "vector-queries")
-    row_blocks, query_blocks = -(-count // BLOCK_ROWS), -(-max(1, asked.count()) // BLOCK_QUERIES)
-    block = lambda c, n, as_: F.pmod(F.xxhash64(c), F.lit(n)).alias(as_)
-    every = lambda n, as_: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(as_)
-    left = asked.select("query_id", "qn", "v", "dim", block("query_id", query_blocks, "qb"), every(row_blocks, "rb"))
-    right = coded.select("cls", "lone", "dim", "cells", block("cls", row_blocks, "rb"), every(query_blocks, "qb"))
-    keys = ["dim", "qb", "rb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(bounds_udf(k, scale), "query_id long, qn int, cls long, low double, high double")
-    found = common.written(spark, found.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")), "vector-candidates")
-    # The k-th best lower bound of each query over all blocks; both ranks here are limited to k before the shuffle. A query with very many
+    found = candidates(spark, asked, coded, k, scale)
+    # The k-th best lower bound of each query over all tasks; both ranks here are limited to k before the shuffle. A query with very many
     # candidates meets its bound in parts, so that they do not come into one task.
     place = F.row_number().over(Window.partitionBy("query_id", "qn").orderBy(F.desc("low")))
     floor = found.withColumn("p", place).filter(F.col("p") == k).select(F.col("query_id").alias("f_id"), F.col("qn").alias("f_qn"), F.col("low").alias("floor"))
