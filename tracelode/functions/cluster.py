@@ -32,3 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+#: Rows of an input that one task of `dealt` takes.
+ROWS = 100_000
+
+
+def shares(table: DataFrame) -> int:
+    """Into how many tasks the rows of a table are dealt: as many as ROWS makes of them, so that a task's share does not grow with the table, but no fewer than there are cores."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // ROWS))
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """`df` by the hash of `keys` in `n` tasks. What follows by these keys (windows, groups, joins with a side dealt alike) stays in them: the shuffle's own partitions go by the
+    bytes that are shuffled, which say little of rows that are multiplied, sorted and grouped later on."""
+    return df.repartition(n, *keys)
