@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracelode.functions import cluster
+from tracelode.operators import intervals
 from tracelode.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +16,12 @@ def test_lines_are_dealt_by_their_number(spark, monkeypatch):
         at = rows.select(key, F.spark_partition_id().alias("p")).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         assert rows.rdd.getNumPartitions() == -(-lines // 500)
         assert at.filter("n > 1").isEmpty()
+
+
+def test_segments_around_intervals_outside_the_trim(spark):
+    m = spark.createDataFrame([(1, 0.0, 1.0), (1, 3.0, 4.0), (1, 6.0, 7.0), (1, 9.0, 12.0), (2, 0.0, 1.0), (2, 20.0, 30.0), (4, 1.0, 2.0)], "session long, start_s double, end_s double")
+    trims = spark.createDataFrame([(1, 2.0, 10.0), (2, 2.0, 10.0), (3, 2.0, 10.0), (None, 2.0, 10.0)], "session long, trim_start_s double, trim_end_s double")
+    got = intervals.keep_segments(trims, m)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2.0, 3.0), (1, 4.0, 6.0), (1, 7.0, 9.0), (2, 2.0, 10.0), (3, 2.0, 10.0)]
+    # The intervals meet their trims once, and gaps come out of that join.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

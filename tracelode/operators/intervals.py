@@ -33,12 +33,20 @@ def merge_intervals(df: DataFrame, min_s: float = 0.001, touch_s: float = TOUCH_
 
 def keep_segments(trims: DataFrame, merged: DataFrame, least_s: float = 0.01) -> DataFrame:
     """What is left of [trim_start, trim_end] of each session without its merged intervals; pieces of `least_s` or less go."""
-    t = trims.select("session", F.greatest("trim_start_s", F.lit(0.0)).alias("a"), F.greatest("trim_end_s", "trim_start_s", F.lit(0.0)).alias("b"))
-    inside = merged.join(t, "session").select("session", "b", F.greatest("start_s", "a").alias("s"), F.least("end_s", "b").alias("e")).filter(F.col("e") - F.col("s") > TOUCH_S)
-    # Every gap ends where an interval starts, or at the end of the trim; it starts where the interval before ends, or at the start.
-    marks = inside.select("session", F.col("s").alias("gap_end"), F.col("e").alias("next_start")).unionByName(t.select("session", F.col("b").alias("gap_end"), F.lit(float("inf")).alias("next_start")))
-    start = F.lag("next_start").over(Window.partitionBy("session").orderBy("gap_end", "next_start"))
-    out = marks.withColumn("prev", start).join(t.select("session", "a"), "session").select("session", F.coalesce("prev", "a").alias("start_s"), F.col("gap_end").alias("end_s"))
+    t = trims.select("session", F.greatest("trim_start_s", F.lit(0.0)).alias("a"), F.greatest("trim_end_s", "trim_start_s", F.lit(0.0)).alias("b")).filter("session IS NOT NULL")
+    rows = t.join(merged.select("session", "start_s", "end_s"), "session", "left").withColumn("s", F.greatest("start_s", "a")).withColumn("e", F.least("end_s", "b"))
+    inside = F.col("start_s").isNotNull() & (F.col("e") - F.col("s") > TOUCH_S)
+    rows = rows.select("session", "a", "b", F.when(inside, F.col("s")).alias("s"), F.when(inside, F.col("e")).alias("e"))
+    # Every gap ends where an interval starts, or at the end of the trim; it starts where the interval before ends, or at the start. Intervals that lie outside come last.
+    order = Window.partitionBy("session").orderBy(F.asc_nulls_last("s"), "e")
+    rows = rows.withColumns({"before": F.lag("e").over(order), "after": F.lead("s").over(order), "n": F.row_number().over(order)})
+    gap = lambda start, end: F.struct(start.alias("start_s"), end.alias("end_s"))
+    here, last = F.col("s").isNotNull(), F.col("after").isNull()
+    gaps = F.array(
+        F.when(here, gap(F.coalesce("before", "a"), F.col("s"))),
+        F.when(here & last, gap(F.col("e"), F.col("b"))).when(~here & (F.col("n") == 1), gap(F.col("a"), F.col("b"))),
+    )
+    out = rows.select("session", F.explode(F.array_compact(gaps)).alias("g")).select("session", "g.*")
     return out.filter(F.col("end_s") - F.col("start_s") > least_s)
 
 
