@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracelode.functions import cluster
-from tracelode.operators import intervals
+from tracelode.operators import intervals, judgments
 from tracelode.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +25,12 @@ def test_segments_around_intervals_outside_the_trim(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 2.0, 3.0), (1, 4.0, 6.0), (1, 7.0, 9.0), (2, 2.0, 10.0), (3, 2.0, 10.0)]
     # The intervals meet their trims once, and gaps come out of that join.
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_a_prediction_meets_its_grades_as_one_row(spark):
+    p = spark.createDataFrame([("s", "t1", "t1", "ok"), ("s", "t2", "t2", "ok")], "system string, task_id string, own_task_id string, status string")
+    g = spark.createDataFrame([("s", "t1", "D1", "G"), ("s", "t1", "D1", "X"), ("s", "t1", "D2", None), ("r", "t1", "D3", "G")], "system string, task_id string, dim string, grade string")
+    spec = spark.createDataFrame([("t1", d, True) for d in ("D3", "D2", "D1")] + [("t2", "D1", None)], "task_id string, dim string, applicable boolean")
+    got = judgments.validate_prediction(p, g, spec)
+    assert {r.task_id: r.errors for r in got.collect()} == {"t1": ["D1:unknown", "D2:missing", "D3:missing"], "t2": []}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2

@@ -105,18 +105,28 @@ def validate_prediction(predictions: DataFrame, grades: DataFrame, spec: DataFra
     nothing applies. Grades of dimensions that the spec does not have are not looked at.
 
     predictions: system, task_id, own_task_id (as the prediction names it), status; grades: system, task_id, dim, grade; spec: task_id, dim, applicable."""
-    asked = predictions.select(*ITEM).join(spec.select("task_id", "dim", "applicable").hint("merge"), "task_id")
-    rows = asked.join(grades.select(*ITEM, "dim", "grade").hint("merge"), [*ITEM, "dim"], "left")
-    fault = (
-        F.when(F.col("applicable") & F.col("grade").isNull(), "missing")
-        .when(F.col("applicable") & ~F.col("grade").isin(*LEVELS), "unknown")
-        .when(~F.col("applicable") & ~F.col("grade").eqNullSafe(F.lit("not_applicable")), "not_applicable")
-    )
-    per = rows.groupBy(*ITEM).agg(F.array_sort(F.collect_list(F.when(fault.isNotNull(), F.concat_ws(":", "dim", fault)))).alias("errors"))
+    # A task's dimensions and an item's grades meet as lists, so that the joins have a row for each prediction and not for each of its grades.
+    asked = spec.groupBy("task_id").agg(F.collect_list(F.struct("dim", "applicable")).alias("asked"))
+    given = grades.groupBy(*ITEM).agg(F.collect_list(F.struct("dim", "grade")).alias("given"))
+    rows = predictions.join(given.hint("merge"), list(ITEM), "left").join(asked.hint("merge"), "task_id", "left")
+
+    def faults(s):
+        def of(grade):
+            fault = (
+                F.when(s["applicable"] & grade.isNull(), "missing")
+                .when(s["applicable"] & ~grade.isin(*LEVELS), "unknown")
+                .when(~s["applicable"] & ~grade.eqNullSafe(F.lit("not_applicable")), "not_applicable")
+            )
+            return F.when(fault.isNotNull(), F.concat_ws(":", s["dim"], fault))
+
+        own = F.transform(F.filter("given", lambda g: g["dim"] == s["dim"]), lambda g: g["grade"])
+        return F.transform(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(None).cast("string"))), of)
+
+    errors = F.array_sort(F.array_compact(F.flatten(F.transform("asked", faults))))
     own = F.when(~F.col("own_task_id").eqNullSafe(F.col("task_id")), "task_id")
     status = F.when(~F.col("status").eqNullSafe(F.lit("ok")), "status")
     none = F.array().cast("array<string>")
-    return predictions.join(per.hint("merge"), list(ITEM), "left").select(*ITEM, F.concat(F.array_compact(F.array(own, status)), F.coalesce("errors", none)).alias("errors"))
+    return rows.select(*ITEM, F.concat(F.array_compact(F.array(own, status)), F.coalesce(errors, none)).alias("errors"))
 
 
 def fill_na(grades: DataFrame) -> DataFrame:

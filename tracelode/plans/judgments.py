@@ -34,10 +34,10 @@ def _predictions(spark, d):
 def _judged(spark, d):
     """Predictions of one stage with the task id that they name, their grades (one dimension left out of some), and the spec of all tasks."""
     g = X.grades(spark, d)
-    own = F.when(F.col("task_id") % 13 == 0, "other").otherwise(F.col("task_id").cast("string"))
-    p = _predictions(spark, d).filter("stage = 'first'").select("system", F.col("task_id").cast("string").alias("task_id"), own.alias("own_task_id"), "status")
-    given = g.filter("task_id % 23 > 0 OR dim <> 'D2'").select("system", F.col("task_id").cast("string").alias("task_id"), "dim", F.when(F.col("applicable"), F.col("grade")).otherwise(F.coalesce("grade", F.lit("not_applicable"))).alias("grade"))
-    spec = g.groupBy(F.col("task_id").cast("string").alias("task_id"), "dim").agg(F.bool_or("applicable").alias("applicable"))
+    own = F.when(F.col("task_id") % 13 == 0, -1).otherwise(F.col("task_id"))
+    p = _predictions(spark, d).filter("stage = 'first'").select("system", "task_id", own.alias("own_task_id"), "status")
+    given = g.filter("task_id % 23 > 0 OR dim <> 'D2'").select("system", "task_id", "dim", F.when(F.col("applicable"), F.col("grade")).otherwise(F.coalesce("grade", F.lit("not_applicable"))).alias("grade"))
+    spec = g.groupBy("task_id", "dim").agg(F.bool_or("applicable").alias("applicable"))
     return p, given, spec
 
 
@@ -76,7 +76,7 @@ QUERIES = {
     "jd_recheck": lambda s, d: _rechecked(s, d).select("system", "task_id", "field", F.round("reported", 6).alias("reported"), F.round("recomputed", 6).alias("recomputed")),
     "jd_confusion": lambda s, d: J.confusion(X.verdicts(s, d)),
     "jd_alignment": lambda s, d: J.alignment(X.verdicts(s, d)).select(F.coalesce("dim", F.lit("all")).alias("dim"), "labels", *[F.round(c, 6).alias(c) for c in ("mae", "exact", "within_one", "macro_f1", "quadratic_kappa")]),
-    "jd_validate": lambda s, d: J.validate_prediction(*_judged(s, d)).select("system", "task_id", F.array_join("errors", ",").alias("errors")),
+    "jd_validate": lambda s, d: J.validate_prediction(*_judged(s, d)).select("system", F.col("task_id").cast("string").alias("task_id"), F.array_join("errors", ",").alias("errors")),
     "jd_fill_na": lambda s, d: J.fill_na(X.grades(s, d)).groupBy("system", "dim", "grade").agg(F.count("*").alias("n")),
     "jd_candidates": lambda s, d: J.candidates(_predictions(s, d)).select("system", "task_id", F.array_join("candidates", ";").alias("candidates")),
     "jd_stage_status": lambda s, d: J.stage_status(_expected(s, d), _stage_tasks(s, d)),
