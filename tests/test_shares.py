@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracelode.functions import cluster
-from tracelode.operators import intervals, judgments
+from tracelode.operators import intervals, judgments, responses
 from tracelode.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,13 @@ def test_a_prediction_meets_its_grades_as_one_row(spark):
     got = judgments.validate_prediction(p, g, spec)
     assert {r.task_id: r.errors for r in got.collect()} == {"t1": ["D1:unknown", "D2:missing", "D3:missing"], "t2": []}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_flags_go_through_python_once(spark):
+    rounds = spark.createDataFrame([(1, 1, 0, 2, "Ｗhat  now？"), (1, 2, 2, None, "é")], "session long, rn long, turn long, next_turn long, text string")
+    said = spark.createDataFrame([(1, 0, "</response> What now?"), (1, 1, "</response> ＬＥＴ ＭＥ ｋｅｅｐ ｌｏｏｋｉｎｇ"), (1, 2, "</response> e\u0301 </response>\r\n"), (1, 3, None), (1, 4, "</response> 火")], "session long, turn long, text string")
+    got = responses.flags(said, rounds)
+    assert {r.t: (r.kind, r.deferred, r.echo, r.completes) for r in got.collect()} == {
+        0: ("substantive_response", False, True, False), 1: ("substantive_response", True, False, False), 2: ("unexpected_response_closer", False, False, False), 3: ("empty_output", False, False, False), 4: ("substantive_response", False, False, True),
+    }
+    assert got._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Texts that are Python's own strings at a time.
+SLICE = 256
+
+
 @F.arrow_udf(T.StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+    slices = (texts.slice(i, SLICE).to_pylist() for i in range(0, len(texts), SLICE))
+    done = [pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in s], pa.string()) for s in slices]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def nfkc(text: Column) -> Column:

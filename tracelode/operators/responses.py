@@ -29,7 +29,11 @@ DEFERRED_PATTERNS = (
 
 def body(text: Column) -> Column:
     """A response in normal form without its marker in front and a closing one behind."""
-    return trimmed(F.regexp_replace(F.regexp_replace(normalised(text), PREFIX, ""), CLOSER, ""))
+    return unmarked(normalised(text))
+
+
+def unmarked(normal: Column) -> Column:
+    return trimmed(F.regexp_replace(F.regexp_replace(normal, PREFIX, ""), CLOSER, ""))
 
 
 def squeezed(text: Column) -> Column:
@@ -50,14 +54,18 @@ def classify_response(text: Column, raw: Column | None = None, provider_error: C
 
     Texts are read in normal form. Only a substantive response counts as an answer; of the others only silence keeps the protocol."""
     failed = F.coalesce(provider_error, F.lit(False)) if provider_error is not None else F.lit(False)
-    r = normalised(raw) if raw is not None else F.lit("")
+    return _classify(normalised(text), normalised(raw) if raw is not None else F.lit(""), failed)
+
+
+def _classify(normal: Column, raw: Column, failed: Column) -> Column:
+    """The class of a response in normal form."""
 
     def with_inner(x):
         inner = F.when(x["marked"], trimmed(F.regexp_replace(x["t"], PREFIX, ""))).otherwise(x["t"])
         return once(inner, lambda i: once(F.struct(i.alias("inner"), trimmed(F.regexp_replace(i, CLOSER, "")).alias("content")), lambda y: _classified(x["t"], x["r"], x["marked"], y["inner"], y["content"], failed)))
 
     # Each form of the text is computed once, not in every rule that reads it.
-    return once(F.struct(normalised(text).alias("t"), r.alias("r")), lambda n: once(F.struct(n["t"].alias("t"), n["r"].alias("r"), n["t"].rlike(PREFIX).alias("marked")), with_inner))
+    return once(F.struct(normal.alias("t"), raw.alias("r")), lambda n: once(F.struct(n["t"].alias("t"), n["r"].alias("r"), n["t"].rlike(PREFIX).alias("marked")), with_inner))
 
 
 def _classified(t: Column, r: Column, marked: Column, inner: Column, content: Column, failed: Column) -> Column:
@@ -84,13 +92,17 @@ _BORDER = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]
 
 
 def is_deferred(text: Column) -> Column:
+    return _promises(body(text))
+
+
+def _promises(said: Column) -> Column:
     def promises(t):
         hit = t.rlike("|".join(f"(?:{p})" for p in DEFERRED_PATTERNS).replace("\\b", _BORDER))
         for marker in DEFERRED_MARKERS:
             hit = hit | t.contains(marker)
         return hit
 
-    return once(F.lower(body(text)), promises)
+    return once(F.lower(said), promises)
 
 
 def normalized_question(text: Column) -> Column:
@@ -192,12 +204,15 @@ def attribute_responses(responses: DataFrame, rounds: DataFrame) -> DataFrame:
 def flags(responses: DataFrame, rounds: DataFrame) -> DataFrame:
     """Responses inside each round with what they are: substantive, deferred, echo, and whether they complete the query."""
     rows = inside_rounds(responses, rounds)
-    # One row out of a generator: each is computed once and not again in every column that reads it.
-    kind = F.when(F.col("t").isNotNull(), classify_response(F.col("text")))
+    # One row out of a generator: each is computed once and not again in every column that reads it. Normal forms are all that needs Python, so a row goes there once:
+    # what a response says, cut out of its normal form, is in normal form too.
+    normal = F.struct(normalised(F.col("text")).alias("text"), normalized_question(F.col("query")).alias("query"))
+    rows = rows.select("*", F.explode(F.array(normal)).alias("normal"))
+    kind = F.when(F.col("t").isNotNull(), _classify(F.col("normal.text"), F.lit(""), F.lit(False)))
     rows = rows.select("*", F.explode(F.array(kind)).alias("kind")).withColumn("substantive", F.coalesce(F.col("kind") == "substantive_response", F.lit(False)))
-    said = F.when(F.col("substantive"), F.col("text"))
-    more = F.struct(F.coalesce(is_deferred(said), F.lit(False)).alias("deferred"), F.coalesce(is_query_echo(said, F.col("query")), F.lit(False)).alias("echo"))
-    rows = rows.select("*", F.explode(F.array(more)).alias("m")).select("*", "m.deferred", "m.echo").drop("m")
+    said = unmarked(F.when(F.col("substantive"), F.col("normal.text")))
+    more = once(said, lambda b: F.struct(F.coalesce(_promises(b), F.lit(False)).alias("deferred"), F.coalesce((b != "") & (squeezed(b) == F.col("normal.query")), F.lit(False)).alias("echo")))
+    rows = rows.select("*", F.explode(F.array(more)).alias("m")).select("*", "m.deferred", "m.echo").drop("m", "normal")
     return rows.withColumn("completes", F.col("substantive") & ~F.col("deferred") & ~F.col("echo"))
 
 
