@@ -59,6 +59,27 @@ def test_result_tree_holds_every_document(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want))) and len(got) > 1000
 
 
+def test_packed_tree(spark, tmp_path):
+    names = ["t1", 't"2\\', "t\t3\nx", "\u4e00\U0001f600", "", None]
+    rows = [(stage, n, {"ok": k % 2 == 0, "n": k} if k != 4 else None) for stage in ("D1", "a=b/c d", "007") for k, n in enumerate(names)]
+    p = str(tmp_path / "tree")
+    files.write_packed_tree(spark.createDataFrame(rows, "stage string, task_id string, doc struct<ok:boolean,n:long>"), p)
+    (tmp_path / "tree" / "stage=D1" / "part-x").write_text('{"task_id": "b1", "doc": {broken\n{"task_id":"b\\"2","doc":{"ok":"no","n":1}}\n{"task_id":"b\\"3","doc":{"ok":true,\nb4\n{"task_id":"b5","doc":[1]}\n{"task_id":"b6"}\n')
+    t = files.read_packed_tree(spark, p, "ok boolean, n long")
+    got = sorted(((r.stage, r.task_id, r.doc and r.doc.asDict()) for r in t.collect()), key=repr)
+    broken = [("D1", n, None) for n in ("b1", 'b"2', 'b"3', None, "b5", "b6")]
+    assert got == sorted(rows + broken, key=repr)
+    # Whether a document can be read does not depend on the fields that are asked for.
+    assert sorted((r.n for r in t.select("doc.n").collect()), key=repr) == sorted((r[2] and r[2]["n"] for r in rows + broken), key=repr)
+    assert t.filter("stage = '007'").count() == len(names) and t.filter("task_id = 'b\"3'").count() == 1
+
+
+def test_result_tree_parses_a_document_once(spark):
+    """The JSON reader makes the fields; rows are neither cut, parsed by an expression nor given their path."""
+    plan = plans.queries()["src_result_tree"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Format: JSON" in plan and not any(x in plan for x in ("from_json", "file_path", "substring_index"))
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(5).withColumn("v", F.col("id").cast("string"))
     p = str(tmp_path / "out")

@@ -65,6 +65,20 @@ def read_result_tree(spark: SparkSession, path: str, schema: str, packed: bool =
     return rows.select("path", "stage", "task_id", F.from_json("value", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("d")).select("path", "stage", "task_id", F.when(F.col("d._broken").isNull(), F.col("d")).alias("doc"))
 
 
+def write_packed_tree(docs: DataFrame, path: str) -> None:
+    """Documents as <root>/stage=<stage>/<file>, many a file, each a line of JSON with its task. docs: stage, task_id, doc. Files are compressed; one is read by one task, so their size goes by the tasks that write them."""
+    docs.select("stage", "task_id", "doc").write.partitionBy("stage").json(path, compression="lz4")
+
+
+def read_packed_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """stage, task_id and `doc` of a tree that `write_packed_tree` wrote; an unreadable document is null. Spark's JSON reader takes task and document in one pass, and the stage comes with the file, so no row is cut,
+    parsed again or looked up by its path. Of a broken line the task is taken out of its text, where it comes first."""
+    rows = spark.read.schema(f"task_id string, doc struct<{schema}>, _broken string, stage string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
+    named = F.regexp_extract("_broken", r'^\s*\{\s*"task_id"\s*:\s*("(?:[^"\\]|\\.)*+")', 1)
+    task = F.coalesce("task_id", F.when(F.col("_broken").isNotNull(), F.get_json_object(F.concat(F.lit('{"t":'), named, F.lit("}")), "$.t")))
+    return rows.select("stage", task.alias("task_id"), F.when(F.col("_broken").isNull(), F.col("doc")).alias("doc"))
+
+
 def read_events(spark: SparkSession, path: str, streaming: bool = False, strict: bool = False, schema: str = EVENT, files_per_trigger: int = 1):
     """An append-only event log as a table or a stream; malformed lines are dropped, or with `strict` an error."""
     mode = "FAILFAST" if strict else "DROPMALFORMED"
